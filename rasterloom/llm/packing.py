@@ -62,9 +62,10 @@ class WordEncoder:
             self.known, self.older = {"": b""}, self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known, older = self.known, self.older
-        new = set().union(*split) - known.keys()
         order = []
-        for word in new:
+        for word in set().union(*split):  # `set - keys()` would walk all keys
+            if word in known:
+                continue
             if (ids := older.get(word)) is None:
                 order.append(word)
             else:

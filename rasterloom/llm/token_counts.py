@@ -52,9 +52,10 @@ class SpanEncoder:
         if len(self.known) > CACHE_PARTS:
             self.known, self.older = {}, self.known
         known, older, split = self.known, self.older, [self.parts(t) for t in texts]
-        new = set().union(*split) - known.keys()
         order = []
-        for part in new:
+        for part in set().union(*split):  # `set - keys()` would walk all keys
+            if part in known:
+                continue
             if (spans := older.get(part)) is None:
                 order.append(part)
             else:
