@@ -18,11 +18,13 @@ for each row; a text longer than a window is cut into pieces; an empty table giv
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 SENTENCE_CUT, HARD_CUT, OVERHEAD = 8.0, 32.0, 1.0
 #: A stretch between possible cuts is not longer than this; the tokens solved at once; the tokens solved again.
 SPACING, STRETCH, AGAIN = 256, 1 << 18, 1 << 14
+#: Marks that may follow the letters of a word; the tokenizer splits before them (an apostrophe is not among them).
+MARKS = '.,!?;:*%&$#-"()'
 #: Words that an encoder keeps in each of its two generations.
 CACHE_WORDS = 400_000
 
@@ -52,10 +56,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.removesuffix("</w>")[-1:] in (".", "!", "?") and token.endswith("</w>")]
+        self.letters = _letters_encoder(path)
         self.ends_sentence = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_sentence[ends] = True
 
+    def _of_marks(self, marks: str) -> bytes:
+        if len(self.marks) > CACHE_WORDS:
+            self.marks = {}
+        self.marks[marks] = ids = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_WORDS:  # words in use move to the new generation, the others go with the next change
@@ -66,15 +78,42 @@ class WordEncoder:
         for word in set().union(*split):  # `set - keys()` would walk all keys
             if word in known:
                 continue
-            if (ids := older.get(word)) is None:
-                order.append(word)
-            else:
+            if (ids := older.get(word)) is not None:
                 known[word] = ids
+                continue
+            core = word.rstrip(MARKS)
+            marks = word[len(core) :]
+            # Latin letters alone need no normaliser but lower case, and the marks after them are a part of their own
+            if self.letters and core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                known[word] = array("I", self.letters(core.lower().encode() + b"\xff")).tobytes() + (self.marks.get(marks) or self._of_marks(marks))
+            else:
+                order.append(word)
         for word, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
             known[word] = array("I", e.ids).tobytes()
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+def _letters_encoder(path: str):
+    """The same merges in tiktoken's form, which is several times faster for a single run of letters, or None.
+
+    A byte that UTF-8 never holds stands for the word end.  The merges are applied in the order of their ids, as the
+    file's own list has them; the tests hold the ids against the tokenizer's.
+    """
+    import tiktoken
+
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    if model.get("end_of_word_suffix") != "</w>":
+        return None
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in visible)}
+    ranks = {}
+    for token, rank in model["vocab"].items():
+        body = token.removesuffix("</w>")
+        if all(c in byte_of for c in body) and not token.startswith("<|"):
+            ranks[bytes(byte_of[c] for c in body) + b"\xff" * (body != token)] = rank
+    return tiktoken.Encoding("letters", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker, so that its words outlive a task."""

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import packing, quality_rules, sharding, token_counts
-from rasterloom.llm.common import table
+from rasterloom.llm import packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from rasterloom.llm.common import id_bucket, table
 
 #: Bytes of text that one shard may hold.
 SHARD_LIMIT = 1 << 20
@@ -22,14 +22,31 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def _predicted(scored: DataFrame, held_out) -> DataFrame:
+    """Adds the fold of a row and its label at 0.3; a null id lies in no fold."""
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 4) == 2
+    model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _predicted(toxicity.score(docs, model), held_out)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 5) == 0
+    model = quality_classifier.quality_model(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _predicted(quality_classifier.score(docs, model), held_out)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op6_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op6_quality_rules, op8_quality_classifier, op10_sharding)}
 
 SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT)}
