@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from rasterloom.llm import additive_quant, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from rasterloom.llm.common import id_bucket, table
 
 #: Bytes of text that one shard may hold.
@@ -43,10 +43,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_classifier.score(docs, model), held_out)
 
 
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quant.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op6_quality_rules, op8_quality_classifier, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op6_quality_rules, op8_quality_classifier, op9_additive_quantisation, op10_sharding)}
 
 SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT)}
