@@ -261,3 +261,20 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 12_000) -> bytes:
     return fit_in_one_task(labelled_sample(docs, labels, "toxic", learn, max_rows), fit)
+
+
+def without_toxic(docs: DataFrame, model: bytes, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, clean, coefficients = pickle.loads(shared.value)
+        matcher = Matcher(lexicon, clean)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                x = np.array([matcher.features(t or "") for t in part.column(at).to_pylist()]).reshape(-1, len(coefficients))
+                p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -30, 30)))
+                yield part.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
