@@ -1,13 +1,19 @@
-"""A corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""A corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Quality rules and the toxicity score drop documents, near-duplicate classes keep one document each, and the rest is
+packed into windows of token ids.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import quality_rules
-from rasterloom.llm.common import shared_folder
+from rasterloom.llm import bag_minhash, packing, quality_rules, toxicity
+from rasterloom.llm.common import id_bucket, shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +21,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.quality_filter(docs)
 
 
-STAGES = [("quality rules", keep_quality)]
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.3 by a model learned from the labelled ones outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.toxicity_model(docs, labels, id_bucket(F.col("doc_id"), 4) != 2)
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return bag_minhash.keep_one(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed windows."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [("quality rules", keep_quality), ("toxicity", drop_toxic), ("minhash near-dedup", drop_copies), ("packing", pack_tokens)]
 
+#: Tokens and the learned score have no SQL form.
 ORACLE_SQL = None
 
 
