@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_quant, bag_minhash, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from rasterloom.llm import additive_quant, bag_minhash, packing, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
 from rasterloom.llm.common import id_bucket, table
 
 #: Bytes of text that one shard may hold.
@@ -37,6 +37,11 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return drawn.select("doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op6_quality_rules, op8_quality_classifier, op9_additive_quantisation, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op8_quality_classifier, op9_additive_quantisation, op10_sharding)}
 
 SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT)}
