@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_quant, bag_minhash, packing, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
+from rasterloom.llm import additive_quant, bag_minhash, html_extract, packing, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
 from rasterloom.llm.common import id_bucket, table
 
 #: Bytes of text that one shard may hold.
@@ -46,6 +46,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 5) == 0
     model = quality_classifier.quality_model(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -60,6 +65,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op8_quality_classifier, op9_additive_quantisation, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op7_html_extraction, op8_quality_classifier, op9_additive_quantisation, op10_sharding)}
 
 SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT)}
