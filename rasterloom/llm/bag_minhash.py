@@ -8,12 +8,19 @@ of each slot is the signature, and two slots agree with the probability of the w
 generated only up to the horizon at which all slots are filled, so the work is near linear in the text and not in text
 times slots.
 
-Links.  Texts that share a band's key meet in a bucket.  In every round some members lead: each is compared exactly (on
-the whole multisets) with all others of its bucket and then leaves it, since its pairs there are settled.  Verified links
-are merged into components, and a bucket whose remaining members lie in one component is settled as well.  The first
-leaders are the smallest and largest member; later ones are the members outside the bucket's largest component, more in
-each round.  So every pair that shares a bucket is compared or already connected: no bucket is capped, and a bucket of
-many copies costs a comparison a member rather than all its pairs.
+Links.  Texts that share a band's key meet in a bucket.  The bucket's most central member (the one whose buckets are the
+largest) leads: every member is compared with the leader exactly, on the whole multisets.  Verified links make components,
+and a bucket whose members lie in one component is settled.  What is left in small buckets is compared pair by pair.  In
+larger ones a lemma keeps the comparisons few.  Let D(x) be the symmetric difference of x and the leader L.  Two texts
+reach the similarity 0.8 if and only if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= (|x| + |y|) / 9.  If x is not linked to L,
+then |D(x)| > (|x| + |L|) / 9, so a link to y needs
+
+    |D(x) & D(y)|  >  (|D(y)| + (|L| - |y|) / 9) / 2,
+
+that is, x and y share at least that many edits.  So y is listed under the rarest of its edits only, as many as leave
+fewer than that, and x looks itself up under all of its own.  Pairs that meet are compared exactly through their edits.
+Every pair that shares a bucket is thus compared, ruled out by the lemma, or already connected: no bucket is capped, and
+copies of one text with edits of their own never meet pair by pair.
 
 Identical texts (by a 64-bit hash) are one node from the start.  Every stage ends in a written table.
 
@@ -39,6 +46,8 @@ from rasterloom.llm.common import materialise
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8, 20 bands of 4 slots miss one pair in 37,000.
 BANDS, ROWS = 20, 4
+#: Buckets of up to so many members are compared pair by pair.
+SMALL = 12
 CACHE_WORDS = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -161,28 +170,67 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts overlap by SIMILARITY or more.  b, the leader, may be frequent."""
+def edits(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The symmetric difference of multisets a and b, as hashes of (element, side, number of the copy)."""
+    every = np.union1d(a[0], b[0])
+    count = np.zeros((2, len(every)), np.int64)
+    for side, (h, c) in enumerate((a, b)):
+        count[side, np.searchsorted(every, h)] = c
+    gap = count[0] - count[1]
+    times = np.abs(gap)
+    element = np.repeat(mix(every + (gap > 0).astype(np.uint64) * _A), times)
+    copy = np.arange(len(element)) - np.repeat(np.cumsum(times) - times, times)
+    return mix(element + copy.astype(np.uint64) * _C).view(np.int64)
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked, size_a, size_b, edits) for pairs (a, b, wide); edits only where wide.  b may be frequent."""
     mine = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = mine.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kept = shingler(), OrderedDict()
+        names = ["a", "b", "linked", "size_a", "size_b", "edits"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
-            found = [[], []]
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                for a, b, x, y in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                found = []
+                for a, b, wide, x, y in zip(*[c.to_pylist() for c in batch.slice(k, 256).columns], strict=True):
                     if b not in kept:
                         kept[b] = own.bag(y)
                         if len(kept) > 64:
                             kept.popitem(last=False)
-                    if overlap(own.bag(x), kept[b]) >= SIMILARITY:
-                        found[0].append(a)
-                        found[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
+                    bag, lead = own.bag(x), kept[b]
+                    found.append((a, b, overlap(bag, lead) >= SIMILARITY, int(bag[1].sum()), int(lead[1].sum()), edits(bag, lead) if wide else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
+    return both.select("a", "b", "wide", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, size_a long, size_b long, edits array<long>")
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+def by_edits(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one leader's star that the leader itself does not connect.
+
+    `stars` has the compared pairs (a member, b leader) with their edits.
+    """
+    members = stars.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("a", "b", "linked", "size_a", "size_b", "edits", F.coalesce("label", "a").alias("label"))
+    members = materialise(members, "members")
+    listed = members.select("a", "b", "label", "linked", "size_a", "size_b", F.size("edits").alias("n"), F.explode("edits").alias("edit"))
+    often = listed.groupBy("b", "edit").agg(F.count("*").alias("times"), F.min("label").alias("x"), F.max("label").alias("y"), F.max((~F.col("linked")).cast("int")).alias("open"))
+    # an edit matters if an unlinked member and a member of another component have it
+    useful = listed.join(often.where("x != y AND open = 1").select("b", "edit", "times"), ["b", "edit"])
+    # only edits that others share can be listed; those that nobody shares come first in the order of rarity
+    shared = useful.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "edit"))
+    needed = F.floor((F.col("n") + (F.col("size_b") - F.col("size_a")) / 9) / 2) + 1  # at least so many edits in common
+    ranked = useful.join(shared, ["a", "b"]).withColumn("rank", rank)
+    prefix = ranked.where((F.col("rank") <= F.col("shared") - F.greatest(needed, F.lit(1)) + 1)).select("b", "edit", F.col("a").alias("m"), F.col("label").alias("label_m"))
+    asking = useful.where("NOT linked").select("b", "edit", "a", "label")
+    met = asking.join(prefix, ["b", "edit"]).where("label != label_m").select("b", "a", "m").distinct()
+    one = members.select("b", "a", F.col("size_a").alias("n_a"), F.col("edits").alias("d_a"))
+    two = members.select("b", F.col("a").alias("m"), F.col("size_a").alias("n_m"), F.col("edits").alias("d_m"))
+    apart = F.size("d_a") + F.size("d_m") - 2 * F.size(F.array_intersect("d_a", "d_m"))
+    close = met.join(one, ["b", "a"]).join(two, ["b", "m"]).where(apart * 9 <= F.col("n_a") + F.col("n_m"))
+    return close.select("a", F.col("m").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,31 +260,26 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = with_node(docs)
     rows = materialise(banded(nodes), "bands")
     keyed = rows.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    buckets = materialise(keyed.join(shared, "key").select("key", "node", "low", "high"), "buckets")
-    wanted = buckets.select("node").distinct()
-    texts = materialise(nodes.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    pairs = buckets.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
-    open_ = buckets.where("node != low AND node != high").select("key", "node")
-    labels, leaders = None, 4
-    while True:
-        once = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.first(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        links = materialise(verified(once, texts), "links")
-        edges = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(edges)
-        # buckets whose members are not yet in one component
-        named = open_.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        unsettled = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        named = materialise(named.join(unsettled, "key"), "unsettled")
-        if named.isEmpty():
-            return rows.select("doc_id", "node"), labels
-        largest = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", "count").alias("major"))
-        others = named.join(largest, "key").where("label != major")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
-        lead = materialise(others.withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("node").alias("b"), F.col("label").alias("lead_label")), "leaders")
-        pairs = named.join(lead, "key").where("label != lead_label").select(F.col("node").alias("a"), "b")
-        open_ = materialise(named.join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "open")
-        leaders *= 4
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    buckets = materialise(keyed.join(shared, "key").select("key", "node", "n"), "buckets")
+    weight = materialise(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    texts = materialise(nodes.select("node", "text").join(weight, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    lead = buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    led = materialise(buckets.join(lead, "key"), "led")
+    pairs = led.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.max(F.col("n") > SMALL).alias("wide"))
+    stars = materialise(compared(pairs, texts), "stars")
+    labels = components(stars.where("linked").select("a", "b"))
+    left = led.where("node != lead").join(labels, "node", "left").select("key", "node", "n", "lead", F.coalesce("label", "node").alias("label"))
+    unsettled = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    left = materialise(left.join(unsettled, "key"), "unsettled")
+    small = left.where(F.col("n") <= SMALL).select("key", "node", "label")
+    other = small.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    rest = small.join(other, "key").where("node < b AND label != label_b").select(F.col("node").alias("a"), "b").distinct()
+    found = compared(rest.withColumn("wide", F.lit(False)), texts).where("linked").select("a", "b")
+    wide = left.where(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    met = by_edits(stars.join(wide.select("b").distinct(), "b", "left_semi").where(F.col("edits").isNotNull()), labels)
+    star = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return rows.select("doc_id", "node"), components(star.union(found).union(met))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
