@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import materialise
+
 BOOKS, WORDS, BEAM, ROUNDS, SWEEPS = 16, 256, 6, 2, 3
 
 
@@ -145,6 +147,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample: int = 8
     """(query_id, rank, vec_id, score): the k nearest rows found for each row with is_query(vec_id) true."""
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    rows = materialise(rows.dropDuplicates(["vec_id", "embedding"]), "vectors")
+    shortlist = max(shortlist, 4 * k)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     empty = "query_id long, rank int, vec_id long, score double"
     if drawn.empty:

@@ -124,8 +124,8 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, size: int,
     """The window ends for a stream of `total` tokens; `last`: the stream ends there."""
     marks = np.unique(np.concatenate([doc_ends, sentence_ends, [0, total]]))
     gaps = np.diff(marks)
-    wide = np.flatnonzero(gaps > SPACING)
-    extra = [np.arange(marks[i] + SPACING, marks[i + 1], SPACING) for i in wide]
+    space = max(1, min(SPACING, size // 2))
+    extra = [np.arange(marks[i] + space, marks[i + 1], space) for i in np.flatnonzero(gaps > space)]
     if last:  # the tail may be cut anywhere, so that powers of two fill it
         extra.append(np.arange(max(0, total - size), total))
     place = np.unique(np.concatenate([marks, *extra])) if extra else marks
@@ -134,7 +134,7 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, size: int,
     penalty[np.searchsorted(place, doc_ends)] = 0.0
     penalty[-1] = 0.0
     exact: list[list[int]] = [[] for _ in range(len(place))]
-    step = 1
+    step = 1 if last else min(size, 256)  # short windows serve to end a stream
     while step <= size:
         wanted = place - step
         at = np.searchsorted(place, wanted)

@@ -239,7 +239,8 @@ def fit_in_one_task(sample: DataFrame, fitter) -> bytes:
         rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fitter(rows)], pa.binary())], ["model"])
 
-    return bytes(sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first().model)
+    found = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(found.model) if found else fitter([])
 
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:
