@@ -264,3 +264,27 @@ def reduced_rate(history: list[float], rate: float, factor: float = 0.5, patienc
 def is_best(history: list[float]) -> bool:
     """Whether the last epoch has the least validation loss so far, so that its weights are kept."""
     return bool(history) and history[-1] < min(history[:-1], default=math.inf)
+
+
+def save_weights(spark, weights: list[dict[str, np.ndarray]], path: str) -> None:
+    """Weights as a Parquet table (step, name, shape, data)."""
+    rows = [(i, name, list(w.shape), bytearray(w.astype("<f4").tobytes())) for i, own in enumerate(weights) for name, w in own.items()]
+    spark.createDataFrame(rows, "step int, name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark, net: Network, path: str) -> list[dict[str, np.ndarray]]:
+    """Weights written by save_weights; FileNotFoundError if there are none, ValueError if they belong to another network."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path).collect()
+    except AnalysisException as error:
+        raise FileNotFoundError(path) from error
+    out: list[dict[str, np.ndarray]] = [{} for _ in net.steps]
+    for r in rows:
+        if r.step >= len(out) or net.steps[r.step].shapes.get(r.name) != tuple(r.shape):
+            raise ValueError(f"the weights at {path} belong to another network")
+        out[r.step][r.name] = np.frombuffer(r.data, "<f4").reshape(r.shape)
+    if any(set(own) != set(step.shapes) for own, step in zip(out, net.steps, strict=True)):
+        raise ValueError(f"the weights at {path} are not complete")
+    return out

@@ -7,10 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from rasterloom.functions import radiometry
-from rasterloom.operators import nn
-from rasterloom.plans.image_queries import _S, _placed
+from rasterloom.functions.georef import Grid
+from rasterloom.operators import dataset, nn
+from rasterloom.plans import training
+from rasterloom.plans.grid_queries import NORM_SQL, PADDED_SQL, TILE_PIXELS_SQL, TILES_SQL
+from rasterloom.plans.image_queries import _J, _S, _judged, _placed
+from rasterloom.plans.prediction import predict_mosaic as predict_plan
 from rasterloom.plans.registry import query
 from rasterloom.sources import grids, tiff, vector
+from rasterloom.sources.grids import DTM_SQL, MASK_SQL, POINTS_SQL
 from rasterloom.streaming import mosaic as stream
 
 
@@ -116,8 +121,6 @@ def mosaic_stream(spark, sf_dir):
 @query()
 def model_mosaic(spark, sf_dir):
     """The prediction plan over the terrain with a seeded network as its model, tile by tile."""
-    from rasterloom.plans.prediction import predict_mosaic
-
     net = nn.unet(filters=2, layers=2)
     grid, patch = grids.terrain_grid(spark, sf_dir), 32
 
@@ -127,4 +130,65 @@ def model_mosaic(spark, sf_dir):
         out = nn.predict_tiles(rows, net, net.weights(1), patch).select("tile_id", F.posexplode("data").alias("k", "value"))
         return out.select(F.shiftright("tile_id", 31).cast("int").alias("row_off"), (F.col("tile_id") % (1 << 31)).cast("int").alias("col_off"), F.floor(F.col("k") / patch).cast("int").alias("r"), (F.col("k") % patch).cast("int").alias("c"), "value")
 
-    return predict_mosaic(spark, grids.terrain(spark, sf_dir), grid, patch, 8, model)
+    return predict_plan(spark, grids.terrain(spark, sf_dir), grid, patch, 8, model)
+
+
+@query(f"""WITH {DTM_SQL}, {TILES_SQL}, {TILE_PIXELS_SQL}, {PADDED_SQL}, {NORM_SQL} SELECT CAST(row_off + r AS INT) AS "row", CAST(col_off + c AS INT) AS col,
+  CAST(greatest(max(CASE WHEN trunc(value * 100.0E0) > 10 THEN trunc(value * 100.0E0) ELSE 0 END), 0) AS SMALLINT) AS pred
+FROM norm, dims WHERE row_off + r < h AND col_off + c < w GROUP BY 1, 2""")
+def prediction_files(spark, sf_dir):
+    """The mosaic written as byte TIFF files of 64 rows each, LZW-packed with nodata 0, and read back."""
+    grid = grids.terrain_grid(spark, sf_dir)
+    mosaic = predict_plan(spark, grids.terrain(spark, sf_dir), grid, 32, 8)
+    bands = mosaic.groupBy(F.floor(F.col("row") / 64).cast("int").alias("k")).agg(F.array_sort(F.collect_list(F.struct("row", "col", "pred"))).alias("cells"))
+    tiles = bands.select(
+        F.format_string("map_pred_%d.tif", "k").alias("name"), F.least(F.lit(64), grid.height - F.col("k") * 64).alias("height"), F.lit(grid.width).alias("width"), F.transform("cells", lambda x: x["pred"].cast("float")).alias("data"),
+        F.lit(grid.transform.c).alias("origin_x"), (F.lit(grid.transform.f) + grid.transform.e * 64 * F.col("k")).alias("origin_y"), F.lit(grid.transform.a).alias("resolution"),
+    )
+    tiff.save(tiff.to_files(tiles, "u1", nodata=0), folder := _shared(spark))
+    read = tiff.blocks(tiff.files(spark, folder), block=64)
+    cell = read.select(F.regexp_extract("path", r"_(\d+)\.tif$", 1).cast("int").alias("k"), "row_off", "col_off", "width", F.posexplode("data").alias("i", "v"))
+    row = F.col("k") * 64 + F.col("row_off") + F.floor(F.col("i") / F.col("width")).cast("int")
+    return cell.select(row.alias("row"), (F.col("col_off") + F.col("i") % F.col("width")).cast("int").alias("col"), F.col("v").cast("smallint").alias("pred"))
+
+
+def _pairs(spark, sf_dir):
+    grid = grids.terrain_grid(spark, sf_dir)
+    label = Grid("mask", grid.width, grid.height, grid.transform.shifted(2, 4))
+    return grid, training.patch_pairs(grids.terrain(spark, sf_dir), grid, grids.mask(spark, sf_dir), label, grids.points(spark, sf_dir, grid), 16)
+
+
+_PAIRS_SQL = f"""WITH {DTM_SQL}, {MASK_SQL}, {POINTS_SQL}, both_ AS (SELECT d."row" - 2 AS "row", d.col - 4 AS col, d.value AS first, m.value AS second FROM dtm d JOIN mask m ON m."row" = d."row" - 2 AND m.col = d.col - 4),
+located AS (SELECT point_id, CAST(floor((x - 4.0E0 - 500002) / 0.5E0) AS INT) AS x0, CAST(floor((y + 4.0E0 - 6199999) / -0.5E0) AS INT) AS y0, CAST(floor((x + 4.0E0 - 500002) / 0.5E0) AS INT) AS x1, CAST(floor((y - 4.0E0 - 6199999) / -0.5E0) AS INT) AS y1
+  FROM points, dims WHERE x BETWEEN 500002 AND 500000 + 0.5E0 * w AND y BETWEEN 6200000 - 0.5E0 * h AND 6199999),
+numbered AS (SELECT row_number() OVER (ORDER BY point_id) - 1 AS patch_id, * FROM located, dims WHERE x0 >= 0 AND x1 <= w - 4 AND y0 >= 0 AND y1 <= h - 2),
+pairs AS (SELECT patch_id, CAST("row" - y0 AS INT) AS r, CAST(col - x0 AS INT) AS c, first, second FROM numbered JOIN both_ ON "row" >= y0 AND "row" < y1 AND col >= x0 AND col < x1)"""
+
+
+@query(f"{_PAIRS_SQL} SELECT * REPLACE (CASE WHEN isnan(first) THEN NULL ELSE first END AS first) FROM pairs")
+def patch_pairs(spark, sf_dir):
+    """Image and label patches where the label raster starts two rows and four columns into the image."""
+    _, pairs = _pairs(spark, sf_dir)
+    return pairs.withColumn("first", F.when(~F.isnan("first"), F.col("first")))
+
+
+@query(f"""{_PAIRS_SQL}, usable AS (SELECT patch_id FROM pairs GROUP BY 1 HAVING count_if(second > 30) >= 200 AND count(*) = 256),
+placed AS (SELECT patch_id, row_number() OVER (ORDER BY md5('42-0-' || patch_id)) - 1 AS p, count(*) OVER () AS n FROM usable)
+SELECT CAST(k // 8 AS INT) AS batch_id, CAST(k % 8 AS INT) AS slot, patch_id FROM placed, (SELECT unnest(range(0, CAST((SELECT (count(*) + 7) // 8 * 8 FROM usable) AS BIGINT))) AS k) WHERE p = k % n""")
+def training_batches(spark, sf_dir):
+    _, pairs = _pairs(spark, sf_dir)
+    try:
+        return training.training_batches(pairs, 16, 8, 200)
+    except ValueError:  # the smallest tables have no whole patch
+        return spark.createDataFrame([], "batch_id int, slot int, patch_id long")
+
+
+@query(f"""{_J}, turns AS (SELECT image_id, d, CAST('0x' || substr(md5('42-' || d || '-' || image_id), 1, 1) AS INT) < 8 AS flip, CAST('0x' || substr(md5('42-' || d || '-' || image_id), 2, 1) AS INT) % 4 AS k
+  FROM (SELECT DISTINCT image_id FROM judged), (SELECT unnest([0, 1]) AS d)),
+flipped AS (SELECT image_id, d, k, "row" AS r, CASE WHEN flip THEN 7 - col ELSE col END AS c, y, p FROM judged JOIN turns USING (image_id))
+SELECT image_id, d AS draw, CAST(CASE k WHEN 0 THEN r WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r ELSE c END AS INT) AS "row", CAST(CASE k WHEN 0 THEN c WHEN 1 THEN r WHEN 2 THEN 7 - c ELSE 7 - r END AS INT) AS col, y, round(p, 9) AS p FROM flipped""")
+def augmented_pairs(spark, sf_dir):
+    """Two draws of every image with its mask; both halves of a pair get the same turn."""
+    judged = _judged(spark, sf_dir)
+    draws = [judged.withColumn("draw", F.lit(d)).select("image_id", "draw", *[c.alias(n) for c, n in zip(dataset.turned(F.col("row"), F.col("col"), 8, 8, *dataset.drawn_turn(F.col("image_id"), d)), ("row", "col"), strict=True)], "y", F.round("p", 9).alias("p")) for d in (0, 1)]
+    return draws[0].union(draws[1])

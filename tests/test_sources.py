@@ -67,3 +67,33 @@ def test_stream_takes_late_tiles(spark, tmp_path):
         spark.createDataFrame(rows, mosaic.SCORES).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         mosaic.write_mosaic(mosaic.mosaic_stream(mosaic.read_scores(spark, f"{folder}/in", 1)), f"{folder}/out", f"{folder}/state").awaitTermination()
     assert sorted(map(tuple, mosaic.current(spark, f"{folder}/out").collect())) == [(0, 0, 20), (0, 1, 50)]
+
+
+def test_weights_round_trip(spark, tmp_path):
+    from rasterloom.operators import nn
+
+    net = nn.unet(filters=2, layers=1)
+    nn.save_weights(spark, net.weights(3), f"{tmp_path}/w")
+    read = nn.load_weights(spark, net, f"{tmp_path}/w")
+    assert all((a[k] == b[k]).all() for a, b in zip(read, net.weights(3), strict=True) for k in b)
+    with pytest.raises(FileNotFoundError):
+        nn.load_weights(spark, net, f"{tmp_path}/none")
+    with pytest.raises(ValueError):
+        nn.load_weights(spark, nn.unet(filters=3, layers=1), f"{tmp_path}/w")
+
+
+def test_patch_files(spark, tmp_path):
+    from rasterloom.functions.georef import Grid
+    from rasterloom.plans import training
+
+    grid = Grid("g", 12, 10, T)
+    image = spark.createDataFrame([(r, c, float(r * 12 + c)) for r in range(10) for c in range(12)], "row int, col int, value double")
+    label = image.withColumn("value", image.value % 2)
+    points = spark.createDataFrame([(5, 102.1, 197.9), (9, 103.1, 197.4), (11, 100.1, 199.9)], "point_id long, x double, y double")
+    pairs = training.patch_pairs(image, grid, label, grid, points, 4, start_id=7)
+    assert {r.patch_id for r in pairs.collect()} == {7, 8} and pairs.count() == 32
+    tiff.save(tiff.to_files(training.patch_tiles(pairs, 4, grid)), f"file://{tmp_path}/out")
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == ["7_img.tif", "7_lab.tif", "8_img.tif", "8_lab.tif"]
+    first = tiff.Tiff((tmp_path / "out" / "7_img.tif").read_bytes()).read()[0]
+    assert (first == np.arange(120).reshape(10, 12)[2:6, 2:6]).all()
