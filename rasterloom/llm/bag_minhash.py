@@ -11,16 +11,17 @@ times slots.
 Links.  Texts that share a band's key meet in a bucket.  The bucket's most central member (the one whose buckets are the
 largest) leads: every member is compared with the leader exactly, on the whole multisets.  Verified links make components,
 and a bucket whose members lie in one component is settled.  What is left in small buckets is compared pair by pair.  In
-larger ones a lemma keeps the comparisons few.  Let D(x) be the symmetric difference of x and the leader L.  Two texts
-reach the similarity 0.8 if and only if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= (|x| + |y|) / 9.  If x is not linked to L,
-then |D(x)| > (|x| + |L|) / 9, so a link to y needs
+larger ones edits keep the comparisons few.  Let C be the leader with every edit that more than half of the members share,
+D(x) the symmetric difference of x and C, and q(x) = 9 |D(x)| - |x|.  Two texts reach the similarity 0.8 if and only if
 
-    |D(x) & D(y)|  >  (|D(y)| + (|L| - |y|) / 9) / 2,
+    18 |D(x) & D(y)| >= q(x) + q(y).
 
-that is, x and y share at least that many edits.  So y is listed under the rarest of its edits only, as many as leave
-fewer than that, and x looks itself up under all of its own.  Pairs that meet are compared exactly through their edits.
-Every pair that shares a bucket is thus compared, ruled out by the lemma, or already connected: no bucket is capped, and
-copies of one text with edits of their own never meet pair by pair.
+The member l of least q is compared with all others.  For an x without a link to l the right side is above
+q(y) - q(l) >= 0, so x links only to texts that share edits with it, at least (q(x) + q(y)) / 18 of them.  First x is
+compared with the member of least q for each of its edits.  Whoever is then still outside the component of l looks for
+the rest: y is listed under the rarest of its edits only, as many as leave fewer than x would need, in a list for each
+range of q(x), and x looks under the rarest of its own.  Every pair that shares a bucket is thus compared, ruled out, or
+already connected: no bucket is capped, and copies with edits of their own never meet pair by pair.
 
 Identical texts (by a 64-bit hash) are one node from the start.  Every stage ends in a written table.
 
@@ -38,7 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise
@@ -207,30 +208,61 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "wide", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, size_a long, size_b long, edits array<long>")
 
 
-def by_edits(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one leader's star that the leader itself does not connect.
+def centred(stars: DataFrame) -> DataFrame:
+    """(b, a, size, q, edits) of the members a of each leader b, with edits against the members' centre."""
+    n = stars.groupBy("b").agg(F.count("*").alias("n"))
+    times = stars.select("b", F.explode("edits").alias("edit")).groupBy("b", "edit").agg(F.count("*").alias("times"))
+    usual = times.join(n, "b").where("2 * times > n").groupBy("b").agg(F.collect_list("edit").alias("usual"))
+    z = F.coalesce("usual", F.array().cast("array<long>"))
+    own = F.concat(F.array_except("edits", z), F.array_except(z, "edits"))
+    moved = stars.join(usual, "b", "left").select("b", "a", F.col("size_a").alias("size"), own.alias("edits"))
+    return moved.withColumn("q", 9 * F.size("edits").cast("long") - F.col("size"))
 
-    `stars` has the compared pairs (a member, b leader) with their edits.
+
+def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the pairs (b, a, m) in stars of b those that reach the similarity, compared by their edits."""
+    one = members.select("b", "a", F.col("q").alias("q_a"), F.col("edits").alias("d_a"))
+    two = members.select("b", F.col("a").alias("m"), F.col("q").alias("q_m"), F.col("edits").alias("d_m"))
+    met = pairs.join(one, ["b", "a"]).join(two, ["b", "m"])
+    return met.where(18 * F.size(F.array_intersect("d_a", "d_m")) >= F.col("q_a") + F.col("q_m")).select("a", F.col("m").alias("b"))
+
+
+def _band(need: Column) -> Column:
+    """Half octaves of the edits that a text must share with the nearest member."""
+    return F.floor(F.log2(F.greatest(need, F.lit(0.0)) + 1) * 2).cast("int")
+
+
+def by_edits(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """More links (a, b), between members of one leader's star.
+
+    `stars` has the compared pairs (a member, b leader) with their edits; `links` are the links known so far.
     """
-    members = stars.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").select("a", "b", "linked", "size_a", "size_b", "edits", F.coalesce("label", "a").alias("label"))
-    members = materialise(members, "members")
-    listed = members.select("a", "b", "label", "linked", "size_a", "size_b", F.size("edits").alias("n"), F.explode("edits").alias("edit"))
-    often = listed.groupBy("b", "edit").agg(F.count("*").alias("times"), F.min("label").alias("x"), F.max("label").alias("y"), F.max((~F.col("linked")).cast("int")).alias("open"))
-    # an edit matters if an unlinked member and a member of another component have it
-    useful = listed.join(often.where("x != y AND open = 1").select("b", "edit", "times"), ["b", "edit"])
-    # only edits that others share can be listed; those that nobody shares come first in the order of rarity
-    shared = useful.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "edit"))
-    needed = F.floor((F.col("n") + (F.col("size_b") - F.col("size_a")) / 9) / 2) + 1  # at least so many edits in common
-    ranked = useful.join(shared, ["a", "b"]).withColumn("rank", rank)
-    prefix = ranked.where((F.col("rank") <= F.col("shared") - F.greatest(needed, F.lit(1)) + 1)).select("b", "edit", F.col("a").alias("m"), F.col("label").alias("label_m"))
-    asking = useful.where("NOT linked").select("b", "edit", "a", "label")
-    met = asking.join(prefix, ["b", "edit"]).where("label != label_m").select("b", "a", "m").distinct()
-    one = members.select("b", "a", F.col("size_a").alias("n_a"), F.col("edits").alias("d_a"))
-    two = members.select("b", F.col("a").alias("m"), F.col("size_a").alias("n_m"), F.col("edits").alias("d_m"))
-    apart = F.size("d_a") + F.size("d_m") - 2 * F.size(F.array_intersect("d_a", "d_m"))
-    close = met.join(one, ["b", "a"]).join(two, ["b", "m"]).where(apart * 9 <= F.col("n_a") + F.col("n_m"))
-    return close.select("a", F.col("m").alias("b"))
+    members = materialise(centred(stars), "members")
+    if members.isEmpty():
+        return links.limit(0)
+    nearest = members.groupBy("b").agg(F.min(F.struct("q", "a")).alias("l")).select("b", F.col("l.a").alias("m"), F.col("l.q").alias("q_l"))
+    heads = members.select("b", "a", "q", F.explode("edits").alias("edit"))
+    champion = heads.groupBy("b", "edit").agg(F.min(F.struct("q", "a"))["a"].alias("m"))
+    tries = heads.select("b", "a", "edit").join(champion, ["b", "edit"]).select("b", "a", "m").union(members.select("b", "a").join(nearest.select("b", "m"), "b"))
+    near = materialise(_linked(tries.where("a != m").distinct(), members), "near")
+    labels = components(links.union(near))
+    named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    home = named.select("b", F.col("a").alias("m"), F.col("label").alias("home")).join(nearest, ["b", "m"]).select("b", "home", "q_l")
+    named = named.join(home, "b").withColumn("need", (F.col("q") + F.col("q_l")) / 18).withColumn("out", F.col("label") != F.col("home"))
+    listed = named.select("b", "a", "label", "q", "need", "out", F.explode("edits").alias("edit"))
+    often = listed.groupBy("b", "edit").agg(F.count("*").alias("times"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("out").cast("int")).alias("open"))
+    # an edit matters if a member outside and a member of another component have it
+    useful = materialise(listed.join(often.where("x != y AND open = 1").select("b", "edit", "times"), ["b", "edit"]), "useful")
+    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("times", "edit"))
+    ranked = useful.withColumn("rank", rank).join(useful.groupBy("b", "a").agg(F.count("*").alias("n")), ["b", "a"])
+    reach = lambda need: F.col("rank") <= F.col("n") - F.greatest(F.ceil(need), F.lit(1)) + 1
+    asking = ranked.where("out").where(reach(F.col("need"))).select("b", "edit", "a", "label", _band(F.col("need")).alias("band"))
+    bands = useful.where("out").select("b", _band(F.col("need")).alias("band")).distinct().withColumn("least", F.pow(F.lit(2.0), F.col("band") / 2) - 1 - 1e-9)
+    # an x of this band has need >= least, so x and y share at least least + (q(y) - q(l)) / 18 edits
+    above = ranked.join(nearest.select("b", "q_l"), "b").join(bands, "b")
+    shown = above.where(reach(F.col("least") + (F.col("q") - F.col("q_l")) / 18 - 1e-9)).select("b", "band", "edit", F.col("a").alias("m"), F.col("label").alias("label_m"))
+    met = asking.join(shown, ["b", "band", "edit"]).where("label != label_m").select("b", "a", "m").distinct()
+    return near.union(_linked(met, members))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,11 +307,11 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = left.where(F.col("n") <= SMALL).select("key", "node", "label")
     other = small.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
     rest = small.join(other, "key").where("node < b AND label != label_b").select(F.col("node").alias("a"), "b").distinct()
-    found = compared(rest.withColumn("wide", F.lit(False)), texts).where("linked").select("a", "b")
+    found = materialise(compared(rest.withColumn("wide", F.lit(False)), texts).where("linked").select("a", "b"), "found")
     wide = left.where(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    met = by_edits(stars.join(wide.select("b").distinct(), "b", "left_semi").where(F.col("edits").isNotNull()), labels)
-    star = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return rows.select("doc_id", "node"), components(star.union(found).union(met))
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
+    met = by_edits(stars.join(wide.select("b").distinct(), "b", "left_semi").where(F.col("edits").isNotNull()), known)
+    return rows.select("doc_id", "node"), components(known.union(met))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
