@@ -226,7 +226,10 @@ def satellite_unet(channels: int = 1, classes: int = 1, layers: int = 4, head: s
 
 
 def predict_tiles(tiles: DataFrame, net: Network, weights: list[dict[str, np.ndarray]], size: int, at_once: int = 32) -> DataFrame:
-    """Probabilities of whole tiles: rows (tile_id, data) with data row-major, `size` x `size`; weights are broadcast."""
+    """Probabilities of whole tiles: rows (tile_id, data) with data row-major, `size` along every axis of the network.
+
+    Weights are broadcast.  A network without padding returns fewer cells than it got.
+    """
     shared = tiles.sparkSession.sparkContext.broadcast((net, weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +237,7 @@ def predict_tiles(tiles: DataFrame, net: Network, weights: list[dict[str, np.nda
         for pdf in batches:
             for k in range(0, len(pdf), at_once):
                 part = pdf.iloc[k : k + at_once]
-                x = np.stack([np.asarray(d, np.float32) for d in part["data"]]).reshape(-1, size, size, 1)
+                x = np.stack([np.asarray(d, np.float32) for d in part["data"]]).reshape(-1, *(size,) * own.space, 1)
                 y = own.forward(x, w)[..., 0]
                 yield pd.DataFrame({"tile_id": part["tile_id"].to_numpy(), "data": list(y.reshape(len(part), -1))})
 

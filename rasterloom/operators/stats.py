@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,10 @@ def histogram(pixels: DataFrame, low: float, high: float, buckets: int, value: s
     counted = pixels.where(~F.isnan(F.col(value).cast("double"))).groupBy(F.width_bucket(F.col(value).cast("double"), F.lit(low), F.lit(high), F.lit(buckets)).cast("int").alias("bucket")).count()
     spine = pixels.sparkSession.range(1, buckets + 1).select(F.col("id").cast("int").alias("bucket"))
     return spine.join(counted, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def counted(rows: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """rows unchanged, and their number and that of each condition, observed while the rows are used."""
+    seen = Observation()
+    named = [F.count_if(condition).alias(name) for name, condition in conditions.items()]
+    return rows.observe(seen, F.count("*").alias("rows"), *named), seen

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import radiometry
 from rasterloom.functions.georef import Grid
-from rasterloom.operators import dataset, nn
+from rasterloom.operators import dataset, nn, tiling
 from rasterloom.plans import training
 from rasterloom.plans.grid_queries import NORM_SQL, PADDED_SQL, TILE_PIXELS_SQL, TILES_SQL
 from rasterloom.plans.image_queries import _J, _S, _judged, _placed
@@ -53,6 +53,29 @@ def satellite_forward(spark, sf_dir):
     return _forward(nn.satellite_unet(layers=1, filters=4, wide=6))(spark, sf_dir)
 
 
+@query()
+def vnet_forward(spark, sf_dir):
+    """Scores of volumes of eight successive chips by a seeded three-dimensional network."""
+    net = nn.vnet(filters=2, layers=2)
+    tiles = _chip_tiles(spark, sf_dir)
+    volumes = tiles.groupBy(F.floor(F.col("tile_id") / 8).alias("tile_id")).agg(F.array_sort(F.collect_list(F.struct("tile_id", "data"))).alias("slices"), F.count("*").alias("n")).where("n = 8")
+    out = nn.predict_tiles(volumes.select("tile_id", F.flatten(F.transform("slices", lambda s: s["data"])).alias("data")), net, net.weights(1), 8, 4)
+    return out.select("tile_id", F.posexplode("data").alias("k", "p")).select("tile_id", "k", radiometry.suppress(radiometry.score(F.col("p"))).alias("pred"))
+
+
+@query()
+def unpadded_forward(spark, sf_dir):
+    """Scores of the terrain's tiles by a network without padding: 8 x 8 cells of each 48 x 48 tile."""
+    net, patch = nn.unpadded_unet(filters=2, layers=2), 48
+    grid = grids.terrain_grid(spark, sf_dir)
+    tiles = tiling.tile_grid(spark, grid, patch, 8)
+    padded = tiling.pad(tiling.to_tiles(grids.terrain(spark, sf_dir), grid, patch, 8), tiles, patch)
+    value = radiometry.min_max_over(radiometry.fill_nan(F.col("value")), "row_off", "col_off").cast("float")
+    cells = padded.withColumn("value", value).groupBy("row_off", "col_off").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * patch + F.col("c")).alias("k"), F.col("value").alias("v")))).alias("cells"))
+    rows = cells.select((F.col("row_off").cast("long") * 1_000_000 + F.col("col_off")).alias("tile_id"), F.transform("cells", lambda x: x["v"]).alias("data"))
+    return nn.predict_tiles(rows, net, net.weights(1), patch).select("tile_id", F.posexplode("data").alias("k", "p"))
+
+
 @query("SELECT * FROM (VALUES ('unet', CAST(1989477 AS BIGINT)), ('unet without attention', 1945233), ('vnet', 5649329), ('unpadded', 31030593), ('satellite', 1616289)) AS t(model, parameters)")
 def parameter_counts(spark, sf_dir):
     nets = {"unet": nn.unet(), "unet without attention": nn.unet(attention=False), "vnet": nn.vnet(), "unpadded": nn.unpadded_unet(), "satellite": nn.satellite_unet()}

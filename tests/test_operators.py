@@ -279,3 +279,9 @@ def test_reprojection(spark):
     assert tuple(there.select(x, y).first()) == pytest.approx((13.4, 52.5))
     with pytest.raises(ValueError):
         georef.reproject(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:32633")
+
+
+def test_counts_are_observed(spark):
+    rows, seen = stats.counted(spark.range(10), even=F.col("id") % 2 == 0)
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "even": 5}
