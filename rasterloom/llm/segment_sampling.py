@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from rasterloom.llm.bag_minhash import mix
 
 SCHEMA = "doc_id long, sample int, ids binary, log_prob double, perturbed double, inclusion double"
 BLANK = "▁"
-CACHE_UNITS = 150_000
+CACHE_UNITS = 300_000
 _STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 _units = re.compile(f"{BLANK}+[^{BLANK}]*").findall
 
@@ -50,6 +51,7 @@ class Vocabulary:
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [(i, p.id_to_piece(i)) for i in range(p.vocab_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))]
         self.byte_ids = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.low_bytes = np.array(self.byte_ids[:0x80], np.int64)
         rank = {i: min(-p.get_score(i), float(p.vocab_size())) for i, _ in pieces}
         self.log_weight = np.full(p.vocab_size(), -theta * np.log(p.vocab_size() + 2.0))
         for i, r in rank.items():
@@ -75,14 +77,18 @@ class Bank:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.index = vocabulary, {}
         self.nodes = self.edges = 0
-        self.first_node, self.size, self.first_edge = (np.zeros(1024, np.int64) for _ in range(3))
-        self.cum, self.logp = np.zeros(1024), np.zeros(1024)
-        self.length, self.piece = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.first_node, self.size, self.first_edge = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 19, np.int32)
+        self.cum, self.logp = np.zeros(1 << 20), np.zeros(1 << 20)
+        self.length, self.piece = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int32)
+
+    def clear(self) -> None:
+        """Forgets all units; the arrays keep their room."""
+        self.index, self.nodes, self.edges = {}, 0, 0
 
     def _put(self, name: str, at: int, new: np.ndarray) -> None:
         old = getattr(self, name)
         if at + len(new) > len(old):
-            setattr(self, name, old := np.concatenate([old, np.zeros(at + len(new), old.dtype)]))
+            setattr(self, name, old := np.concatenate([old, np.zeros(max(len(old) // 2, at + len(new) - len(old)), old.dtype)]))
         old[at : at + len(new)] = new
 
     def add(self, units: list[str]) -> None:
@@ -113,11 +119,11 @@ class Bank:
             starts.append(maybe[hit])
             lengths.append(np.full(int(hit.sum()), length))
             pieces.append(ids[at[hit]])
-            if length == 1:  # characters without a piece become bytes, kept as the negative code point
+            if length == 1:  # characters without a piece become bytes; several bytes are kept as the negative code point
                 bare = np.setdiff1d(place, starts[-1], assume_unique=True)
                 starts.append(bare)
                 lengths.append(np.ones(len(bare), np.int64))
-                pieces.append(-raw[bare].astype(np.int64) - 1)
+                pieces.append(np.where(raw[bare] < 0x80, v.low_bytes[np.minimum(raw[bare], 0x7F)], -raw[bare].astype(np.int64) - 1))
         # edges by their start, the longest first: they tend to be the likeliest
         start = np.concatenate(starts[::-1])
         order = np.argsort(start, kind="stable")
@@ -142,7 +148,8 @@ class Bank:
             back[s[a:b][heads]] = np.logaddexp.reduceat(total[a:b], heads)
         logp = np.empty(len(s))
         logp[order] = total - back[s]
-        heads = np.searchsorted(start, np.arange(n))
+        heads = np.bincount(start, minlength=n)
+        heads = np.cumsum(heads) - heads
         p = np.exp(logp)
         cum = np.cumsum(p)
         cum -= np.repeat(cum[heads] - p[heads], np.diff(np.append(heads, len(start))))
@@ -306,12 +313,14 @@ _banks: dict[tuple[str, float], Bank] = {}
 def sample_texts(texts: list[str], keys: np.ndarray, model: str, theta: float, k: int) -> list[list[tuple[bytes, float, float, float]]]:
     """For each text up to k tuples (ids, log probability, perturbed value, inclusion score), in falling order."""
     bank = _banks.get((model, theta))
-    if bank is None or len(bank.index) > CACHE_UNITS:
+    if bank is None:
         _banks[model, theta] = bank = Bank(vocabulary(model, theta))
+    if len(bank.index) > CACHE_UNITS:
+        bank.clear()
     split = [_units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-    bank.add([u for u in dict.fromkeys(x for units in split for x in units) if u not in bank.index])
-    sizes = np.array([len(u) for u in split])
-    units = np.fromiter((bank.index[u] for x in split for u in x), np.int64, int(sizes.sum()))
+    bank.add([u for u in dict.fromkeys(chain.from_iterable(split)) if u not in bank.index])
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    units = np.fromiter(map(bank.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
     ends = np.cumsum(sizes)
     place = np.arange(len(units)) - np.repeat(ends - sizes, sizes)
     own = mix(np.repeat(keys, sizes) + place.astype(np.uint64) * _STEP)
