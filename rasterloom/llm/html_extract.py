@@ -141,19 +141,20 @@ class Page:
             paragraphs[p] += paragraphs[k] + (tags[k] == "p")
             heads[p] += heads[k] + (tags[k] in ("h1", "h2"))
             children[p] += 1
-        depth, above, bad_above, good_above = [0] * n, [0] * n, [0] * n, [0] * n
-        place, same, seen = [0] * n, [0] * n, {}
+        depth, above, bad_above, good_above, place = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        alike: dict[tuple[int, str], int] = {}  # siblings of one tag, and the text in them
+        alike_text: dict[tuple[int, str], int] = {}
+        siblings = [0] * n
         for k in range(1, n):
             p = parents[k]
             depth[k] = depth[p] + 1
             above[k] = above[p] | self.groups[p]
             bad_above[k] = bad_above[p] or tags[p] in _BAD_TAGS
             good_above[k] = good_above[p] or tags[p] in ("article", "main")
-            count, chars, order = seen.get((p, tags[k]), (0, 0, 0))
-            seen[p, tags[k]] = count + 1, chars + total[k], 0
-            number = seen.get((p, ""), (0, 0, 0))[0]
-            place[k] = number
-            seen[p, ""] = number + 1, 0, 0
+            alike[p, tags[k]] = alike.get((p, tags[k]), 0) + 1
+            alike_text[p, tags[k]] = alike_text.get((p, tags[k]), 0) + total[k]
+            place[k] = siblings[p]
+            siblings[p] += 1
         has_article = any(t in ("article", "main") for t in tags)
         out = np.zeros((n, N_FEATURES), np.float32)
         whole = max(1, total[0])
@@ -166,8 +167,7 @@ class Page:
                     out[k, len(_TAGS) + g] = 1
                 if above[k] >> g & 1:
                     out[k, len(_TAGS) + len(TOKENS) + g] = 1
-            count, chars, _ = seen.get((parents[k], tags[k]), (1, total[k], 0))
-            same[k] = count
+            count, chars = alike.get((parents[k], tags[k]), 1), alike_text.get((parents[k], tags[k]), total[k])
             size = max(1, total[k])
             out[k, -16:] = (
                 math.log1p(total[k]), math.log1p(own[k]), all_links[k] / size, all_stops[k] / size, total[k] / below[k] / 100, depth[k],
@@ -307,7 +307,7 @@ def training_page(rng: random.Random) -> tuple[str, str]:
             parts.append(f"<blockquote><p>{words(4, 40)}</p></blockquote>")
         else:
             parts.append(f"<table><tr><td>{words(1, 8)}</td><td>{words(1, 8)}</td></tr></table>")
-    inside = [bad(rng.choice(["advert", "share", "advert", "side"])) if rng.random() < 0.15 else "" for _ in parts]
+    inside = [bad(rng.choice(["advert", "share", "advert", "side", "form", "notice"])) if rng.random() < 0.15 else "" for _ in parts]
     wrap = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<article" + marks("main") + ">", "</article>"), ("<div" + marks("main") + ">", "</div>"), ("<div" + marks("main") + ">", "</div>"), ("<main><article>", "</article></main>"), ("<section><div>", "</div></section>"), ("<div>", "</div>")])
     before = [bad(g) for g in ("notice", "head", "menu", "advert", "form", "side", "advert") if rng.random() < 0.4]
     after = [bad(g) for g in ("share", "side", "comment", "form", "advert", "notice", "foot") if rng.random() < 0.45]
