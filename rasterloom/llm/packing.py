@@ -43,6 +43,23 @@ MARKS = '.,!?;:*%&$#-"()'
 CACHE_WORDS = 400_000
 
 
+class _Kept(dict):
+    """Values made on demand, in two generations: what the older one still held moves on when it is asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space, word by word with a cache.
 
@@ -54,43 +71,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.removesuffix("</w>")[-1:] in (".", "!", "?") and token.endswith("</w>")]
         self.letters = _letters_encoder(path)
+        self.words, self.marks = _Kept(self._word), _Kept(self._whole)
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.removesuffix("</w>")[-1:] in (".", "!", "?") and token.endswith("</w>")]
         self.ends_sentence = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_sentence[ends] = True
 
-    def _of_marks(self, marks: str) -> bytes:
-        if len(self.marks) > CACHE_WORDS:
-            self.marks = {}
-        self.marks[marks] = ids = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
-        return ids
+    def _whole(self, part: str) -> bytes:
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes() if part else b""
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        # Latin letters alone need no normaliser but lower case, and the marks after them are a part of their own
+        if self.letters and core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+            ids = array("I", self.letters(core.lower().encode() + b"\xff")).tobytes()
+            return ids if len(core) == len(word) else ids + self.marks[word[len(core) :]]
+        return self._whole(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:  # words in use move to the new generation, the others go with the next change
-            self.known, self.older = {"": b""}, self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known, older = self.known, self.older
-        order = []
-        for word in set().union(*split):  # `set - keys()` would walk all keys
-            if word in known:
-                continue
-            if (ids := older.get(word)) is not None:
-                known[word] = ids
-                continue
-            core = word.rstrip(MARKS)
-            marks = word[len(core) :]
-            # Latin letters alone need no normaliser but lower case, and the marks after them are a part of their own
-            if self.letters and core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                known[word] = array("I", self.letters(core.lower().encode() + b"\xff")).tobytes() + (self.marks.get(marks) or self._of_marks(marks))
-            else:
-                order.append(word)
-        for word, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-            known[word] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def _letters_encoder(path: str):
@@ -134,7 +135,7 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, size: int,
     penalty[np.searchsorted(place, doc_ends)] = 0.0
     penalty[-1] = 0.0
     exact: list[list[int]] = [[] for _ in range(len(place))]
-    step = 1 if last else min(size, 256)  # short windows serve to end a stream
+    step = 1
     while step <= size:
         wanted = place - step
         at = np.searchsorted(place, wanted)
