@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.llm.bag_minhash import mix
 
@@ -354,6 +355,21 @@ def decode(ids, model: str) -> str:
     return vocabulary(model, 1.0).processor.decode([int(i) for i in ids])
 
 
+def decode_rows(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
+    """Rows with their ids (little-endian unsigned 32-bit integers) replaced by `text`; null ids give a null text."""
+    at, kept = rows.columns.index(ids), [f for f in rows.schema.fields if f.name not in (ids, "text")]
+    places, names = [rows.columns.index(f.name) for f in kept], [*(f.name for f in kept), "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        processor = vocabulary(model, 1.0).processor
+        for batch in batches:
+            parts = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else processor.decode(x) if x else "" for x in parts]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, places), pa.array(texts, pa.string())], names)
+
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+
+
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, theta: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Up to k distinct sampled segmentations (SCHEMA) of every text; ids are little-endian unsigned 32-bit integers."""
 

@@ -226,10 +226,14 @@ def fit(rows: list[tuple[int, str, int]]) -> bytes:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int) -> DataFrame:
-    """At most max_rows rows (doc_id, text, label) with `learn` true, by the smallest hash of the id."""
+    """At most max_rows rows (doc_id, text, label) with `learn` true, by the smallest hash of the id.
+
+    Of rows that repeat an id the least text counts, so a frequent id cannot make the sample grow.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(learn)
     chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def fit_in_one_task(sample: DataFrame, fitter) -> bytes:

@@ -317,3 +317,18 @@ def test_segmentation_round_trip(odd, docs, texts):
         assert segment_sampling.decode(np.frombuffer(r.ids, "<u4"), PIECES) == ODD[4 if r.doc_id is None else r.doc_id].replace("▁", " ")
     again = segment_sampling.sample_segmentations(docs.repartition(7), PIECES, k=2).collect()
     assert {(r.doc_id, r.sample, bytes(r.ids)) for r in again} == {(r.doc_id, r.sample, bytes(r.ids)) for r in rows}
+
+
+def test_decoding_rows(spark, docs, texts):
+    drawn = segment_sampling.sample_segmentations(docs, PIECES, k=1).withColumn("text", F.lit("other"))
+    back = segment_sampling.decode_rows(drawn, PIECES)
+    assert "ids" not in back.columns and {r.doc_id: r.text for r in back.collect()} == texts
+    odd = spark.createDataFrame([(1, None), (2, b"")], "doc_id long, ids binary")
+    assert {r.doc_id: r.text for r in segment_sampling.decode_rows(odd, PIECES).collect()} == {1: None, 2: ""}
+
+
+def test_frequent_id_keeps_the_sample_small(spark):
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(500)] + [(8, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.text, r.label) for r in rows) == [(7, "text 0", 1), (8, "other", 0)]
