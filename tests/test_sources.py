@@ -97,3 +97,14 @@ def test_patch_files(spark, tmp_path):
     assert names == ["7_img.tif", "7_lab.tif", "8_img.tif", "8_lab.tif"]
     first = tiff.Tiff((tmp_path / "out" / "7_img.tif").read_bytes()).read()[0]
     assert (first == np.arange(120).reshape(10, 12)[2:6, 2:6]).all()
+
+
+def test_stored_pixels_prune(spark, tmp_path):
+    from rasterloom.sources import store
+
+    pixels = spark.range(64 * 64).selectExpr("'a' AS raster_id", "1 + id % 2 AS band", "CAST(id DIV 64 AS INT) AS row", "CAST(id % 64 AS INT) AS col", "id AS value")
+    store.write_pixels(pixels, f"{tmp_path}/p", block=16, files=8)
+    window = store.read_pixels(spark, f"{tmp_path}/p", 20, 30, 5, 4, block=16, raster_id="a", band=1)
+    assert sorted(r.value for r in window.collect()) == sorted(r * 64 + c for r in range(20, 25) for c in range(30, 34) if (r * 64 + c) % 2 == 0)
+    plan = window._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(row,20)" in plan and "LessThanOrEqual(col,33)" in plan and "PartitionFilters: [isnotnull(raster_id" in plan
