@@ -106,5 +106,5 @@ def test_stored_pixels_prune(spark, tmp_path):
     store.write_pixels(pixels, f"{tmp_path}/p", block=16, files=8)
     window = store.read_pixels(spark, f"{tmp_path}/p", 20, 30, 5, 4, block=16, raster_id="a", band=1)
     assert sorted(r.value for r in window.collect()) == sorted(r * 64 + c for r in range(20, 25) for c in range(30, 34) if (r * 64 + c) % 2 == 0)
-    plan = window._jdf.queryExecution().toString()
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(window._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(row,20)" in plan and "LessThanOrEqual(col,33)" in plan and "PartitionFilters: [isnotnull(raster_id" in plan
