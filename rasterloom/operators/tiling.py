@@ -6,7 +6,7 @@ equi join, never a range join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.georef import Grid
@@ -38,10 +38,15 @@ def starts_covering(at: Column, extent: int, patch: int, stride: int) -> Column:
 
 
 def tile_grid(spark: SparkSession, grid: Grid, patch: int, overlap: int) -> DataFrame:
-    """(row_off, col_off, height, width) of the windows of a raster, clipped to it."""
+    """(row_off, col_off, height, width) of the windows of a raster, clipped to it.
+
+    The k-th start is k strides, or the last possible one: windows are made in parallel from their number alone.
+    """
     stride = stride_of(patch, overlap)
-    rows = spark.range(1).select(F.explode(starts(grid.height, patch, stride)).alias("row_off"))
-    tiles = rows.select("row_off", F.explode(starts(grid.width, patch, stride)).alias("col_off"))
+    last_row, last_col = max(grid.height - patch, 0), max(grid.width - patch, 0)
+    down, across = -(-last_row // stride) + 1, -(-last_col // stride) + 1
+    at = lambda k, last: F.least(k * stride, F.lit(last)).cast("int")
+    tiles = spark.range(down * across).select(at(F.floor(F.col("id") / across), last_row).alias("row_off"), at(F.col("id") % across, last_col).alias("col_off"))
     return tiles.select("row_off", "col_off", F.least(F.lit(patch), grid.height - F.col("row_off")).alias("height"), F.least(F.lit(patch), grid.width - F.col("col_off")).alias("width"))
 
 
@@ -62,9 +67,16 @@ def cells(tiles: DataFrame, patch: int) -> DataFrame:
 
 
 def pad(tile_pixels: DataFrame, tiles: DataFrame, patch: int, fill: float = 0.0) -> DataFrame:
-    """Tiles with all their cells; those without a pixel hold `fill`."""
-    spine = cells(tiles.select("row_off", "col_off"), patch)
-    return spine.join(tile_pixels, ["row_off", "col_off", "r", "c"], "left").select("row_off", "col_off", "r", "c", F.coalesce("value", F.lit(fill)).alias("value"))
+    """Tiles with all their cells; those without a pixel hold `fill`.
+
+    Pixels and empty cells are dealt together by tile, once: the windows here and any later one over the tile's key need
+    no further shuffle, which a join on the cell would.
+    """
+    tile, value = ["row_off", "col_off"], F.coalesce(F.col("value").cast("double"), F.lit(fill))
+    spine = cells(tiles.select(*tile), patch).select(*tile, "r", "c", F.lit(fill).alias("value"), F.lit(0).alias("__real"))
+    both = tile_pixels.select(*tile, "r", "c", value.alias("value"), F.lit(1).alias("__real")).union(spine).repartition(*tile)
+    best = F.max("__real").over(Window.partitionBy(*tile, "r", "c"))
+    return both.withColumn("__best", best).where("__real = __best").select(*tile, "r", "c", "value")
 
 
 def crop(tile_pixels: DataFrame, grid: Grid) -> DataFrame:

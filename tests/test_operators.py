@@ -285,3 +285,12 @@ def test_counts_are_observed(spark):
     rows, seen = stats.counted(spark.range(10), even=F.col("id") % 2 == 0)
     rows.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 10, "even": 5}
+
+
+@quick
+@given(h=st.integers(1, 70), w=st.integers(1, 70), patch=st.integers(1, 30), overlap=st.integers(0, 29))
+def test_tile_grid(spark, h, w, patch, overlap):
+    if overlap < patch:
+        found = tiling.tile_grid(spark, Grid("g", w, h, T), patch, overlap).collect()
+        want = [(r, c, min(patch, h - r), min(patch, w - c)) for r in plain_starts(h, patch, patch - overlap) for c in plain_starts(w, patch, patch - overlap)]
+        assert sorted(map(tuple, found)) == want
