@@ -49,7 +49,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Buckets of up to so many members are compared pair by pair.
 SMALL = 12
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -40,7 +40,7 @@ SPACING, STRETCH, AGAIN = 256, 1 << 18, 1 << 14
 #: Marks that may follow the letters of a word; the tokenizer splits before them (an apostrophe is not among them).
 MARKS = '.,!?;:*%&$#-"()'
 #: Words that an encoder keeps in each of its two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class _Kept(dict):

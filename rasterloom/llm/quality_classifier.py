@@ -28,7 +28,7 @@ from rasterloom.llm.toxicity import fit_in_one_task, labelled_sample
 
 BITS = 18
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.3, 1.0, 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
