@@ -211,8 +211,10 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def centred(stars: DataFrame) -> DataFrame:
     """(b, a, size, q, edits) of the members a of each leader b, with edits against the members' centre."""
     n = stars.groupBy("b").agg(F.count("*").alias("n"))
-    times = stars.select("b", F.explode("edits").alias("edit")).groupBy("b", "edit").agg(F.count("*").alias("times"))
-    usual = times.join(n, "b").where("2 * times > n").groupBy("b").agg(F.collect_list("edit").alias("usual"))
+    # each star's size goes along with its edits, which are thus never dealt by the leader alone
+    listed = stars.select("b", "edits").join(n, "b").select("b", "n", F.explode("edits").alias("edit"))
+    times = listed.groupBy("b", "edit").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    usual = times.where("2 * times > n").groupBy("b").agg(F.collect_list("edit").alias("usual"))
     z = F.coalesce("usual", F.array().cast("array<long>"))
     own = F.concat(F.array_except("edits", z), F.array_except(z, "edits"))
     moved = stars.join(usual, "b", "left").select("b", "a", F.col("size_a").alias("size"), own.alias("edits"))
