@@ -37,7 +37,7 @@ STRIP = " \t.,;:!?|*%&$#()[]{}<>\"'“”«»„‘’-_~=+/\\"
 
 WINDOW = 6
 STEM_LOW, STEM_HIGH, EDIT_FROM = 3, 9, 5
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 #: Coefficients that serve without labels: constant, strongest hit, plain, quoted and near hits, density.
 DEFAULT = np.array([-4.0, 0.8, 0.8, 0.1, 0.3, 0.0])
 
