@@ -2,10 +2,13 @@
 
 The lexicon holds whole words and stems (a stem matches every word that it begins).  It is learned from labelled rows:
 terms whose document frequency is far higher among toxic texts.  A word is run through the trie and the automaton at
-once: states are (trie node, position, edits), the first letter must agree, and terms of five letters or more allow one
-edit.  Words that clean training texts use are never near misses.  Each hit gets the log odds of its term; hits between
-quotation marks or after a reporting word are summed apart from the rest, and a small logistic regression over those
-sums gives the score.
+once; states are sets of (trie node, edits, awaited letter), made when first reached.  An edit is a letter that is
+missing, too many or another one, or two neighbours that changed places, the first letter included.  Terms of five
+letters or more allow one edit, of eight or more two, and words of four one that keeps their length.  Signs at the ends
+of a word are tried as letters, too.  Only terms that enough toxic texts hold, and whose near hits unseen clean texts
+hardly have, allow edits, and words that clean training texts use are never near misses.  Each hit gets the log odds of
+its term, a near hit NEAR_SHARE of it; hits between quotation marks or after a reporting word are summed apart from the
+rest, and a small logistic regression over those sums gives the score.
 
 The fit uses at most `max_rows` labelled rows (those with the smallest hash of their id), in one task; everything else
 runs on every row where it lies.
@@ -21,7 +24,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,76 +33,170 @@ from pyspark.sql import functions as F
 
 #: Insults that serve where no labels are given.
 SEED_TERMS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown".split()
+#: Usual words that are near those insults.
+ORDINARY = frozenset(
+    "crown crowns crowned clone cloned crash crashed thrash brash track tracks trace lower lowers closer loner loser's laser lasers loses loose looser lose poser user "
+    "slum sum scam spam swum scrum strum sculpt maroon boron moon motor micron stud stupor pathetically".split()
+)
 #: Words that report what others say.
 REPORTING = frozenset("said says wrote quoted quote called asked sagte schrieb sagt zitat dit écrit cite dijo escribió cita".split())
 OPENING, CLOSING = '"“«„‘', '"”»“’'
+MASKS = "*%&$#|!+~_=/-"
 STRIP = " \t.,;:!?|*%&$#()[]{}<>\"'“”«»„‘’-_~=+/\\"
+PUNCTUATION = "".join(c for c in STRIP if c not in MASKS)
 
 WINDOW = 6
-STEM_LOW, STEM_HIGH, EDIT_FROM = 3, 9, 5
+STEM_LOW, STEM_HIGH, EDIT_FROM, TWO_FROM = 3, 9, 5, 8
+MOST_STATES = 20_000
+WIDE = False
+#: What a near hit counts of its term's log odds.
+NEAR_SHARE = 0.75
+#: A term allows edits if so large a share of the toxic texts hold it, and near hits on it are in no larger a share of clean ones.
+NEAR_SUPPORT, NEAR_CLEAN = 0.03, 0.002
 CACHE_WORDS = 300_000
 #: Coefficients that serve without labels: constant, strongest hit, plain, quoted and near hits, density.
 DEFAULT = np.array([-4.0, 0.8, 0.8, 0.1, 0.3, 0.0])
 
 
 class Matcher:
-    """The trie of a lexicon {term: log odds}; a stem is written with a star at its end."""
+    """The trie of a lexicon {term: log odds}; a stem is written with a star at its end.
 
-    def __init__(self, lexicon: dict[str, float], clean: frozenset[str] = frozenset()):
-        self.lexicon, self.clean = lexicon, clean
+    Terms in `exact_only` allow no edits.  Without `wide`, the narrower rule holds: the first letters agree, and terms of
+    EDIT_FROM letters or more allow one edit, where a transposition counts as two.
+    """
+
+    def __init__(self, lexicon: dict[str, float], clean: frozenset[str] = frozenset(), exact_only: frozenset[str] = frozenset(), wide: bool = False):
+        self.lexicon, self.clean, self.wide = lexicon, clean, wide
         self.root: dict = {}
-        for term, weight in lexicon.items():
+        # the trie of terms that allow edits: children, ends of stems and words, most edits of any term below
+        self.below: list[dict[str, int]] = [{}]
+        self.ends: list[dict[bool, tuple[str, int]]] = [{}]
+        self.reach = [0]
+        for term in lexicon:
+            body, stem = term.rstrip("*"), term.endswith("*")
             node = self.root
-            for c in term.rstrip("*"):
+            for c in body:
                 node = node.setdefault(c, {})
             # keys longer than a character mark ends: of a stem, of a word
-            node["stem" if term.endswith("*") else "word"] = (weight, len(term.rstrip("*")))
+            node["stem" if stem else "word"] = term
+            if term not in exact_only and (edits := self.allowed(body, stem)):
+                self._add(body, stem, term, edits)
+        self.letters = frozenset(c for children in self.below for c in children)
+        self._forget()
         self.plain: set[str] = set()
         self.hits: dict[str, tuple[float, bool]] = {}
 
-    def match(self, word: str) -> tuple[float, bool] | None:
-        """The greatest log odds of a term that the word matches, and whether it needs an edit; exact matches first."""
-        exact, near = 0.0, 0.0
-        node, at = self.root, 0
-        starts: list[tuple[dict, int]] = []
-        size = len(word)
-        while True:
-            if (end := node.get("stem")) and end[0] > exact:
-                exact = end[0]
+    def allowed(self, body: str, stem: bool) -> int:
+        """How many edits a term allows."""
+        if len(body) >= EDIT_FROM:
+            return 2 if self.wide and len(body) >= TWO_FROM else 1
+        return int(self.wide and not stem and len(body) == EDIT_FROM - 1)
+
+    def _add(self, body: str, stem: bool, term: str, edits: int) -> None:
+        at = 0
+        self.reach[0] = max(self.reach[0], edits)
+        for c in body:
+            if c not in self.below[at]:
+                self.below[at][c] = len(self.below)
+                self.below.append({})
+                self.ends.append({})
+                self.reach.append(0)
+            at = self.below[at][c]
+            self.reach[at] = max(self.reach[at], edits)
+        self.ends[at][stem] = (term, edits)
+
+    def _forget(self) -> None:
+        """States of the automaton are sets of (trie node, edits, awaited letter); they are made when first reached."""
+        self.states: list[tuple] = []
+        self.numbers: dict[frozenset, int] = {}
+        self.moves: list[dict[str, int]] = []
+        self.start = self._state({(0, 0, "")})
+
+    def _state(self, found: set[tuple[int, int, str]]) -> int:
+        todo, least = list(found), {}
+        while todo:
+            node, e, held = todo.pop()
+            if least.get((node, held), 9) <= e:
+                continue
+            least[node, held] = e
+            if not held and (self.wide or node):  # a missing letter
+                todo.extend((child, e + 1, "") for child in self.below[node].values() if self.reach[child] > e)
+        key = frozenset((node, e, held) for (node, held), e in least.items())
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            ended = {stem: [t for node, e, held in key if not held and (t := self.ends[node].get(stem)) and t[1] >= e] for stem in (True, False)}
+            self.states.append((key, [t for t, _ in ended[True]], [t for t, _ in ended[False]]))
+            self.moves.append({})
+        return self.numbers[key]
+
+    def _move(self, state: int, c: str) -> int:
+        """The state after a letter; -1 if no term can follow."""
+        out = set()
+        for node, e, held in self.states[state][0]:
+            if held:  # the second letter of a transposition
+                if c == held:
+                    out.add((node, e, ""))
+                continue
+            if (child := self.below[node].get(c)) is not None and self.reach[child] >= e:
+                out.add((child, e, ""))
+            if self.reach[node] > e and (self.wide or node):
+                out.add((node, e + 1, ""))  # a letter too many
+                for d, child in self.below[node].items():
+                    if d != c and self.reach[child] > e:
+                        out.add((child, e + 1, ""))
+                        if self.wide and (after := self.below[child].get(c)) is not None and self.reach[after] > e:
+                            out.add((after, e + 1, d))
+        self.moves[state][c] = found = self._state(out) if out else -1
+        return found
+
+    def find(self, word: str) -> tuple[str, bool] | None:
+        """The term of the greatest log odds that the word matches, and whether it needs edits.
+
+        Exact matches come first; if `wide`, a word that only begins with a stem may count more as a near hit.
+        """
+        exact, node, size = [], self.root, len(word)
+        for at in range(size + 1):
+            if end := node.get("stem"):
+                exact.append(end)
             if at == size:
-                if (end := node.get("word")) and end[0] > exact:
-                    exact = end[0]
+                if end := node.get("word"):
+                    exact.append(end)
+            elif (node := node.get(word[at])) is None:
                 break
-            if at:
-                starts.append((node, at))
-            if (node := node.get(word[at])) is None:
+        weight = self.lexicon.__getitem__
+        best = max(exact, key=weight, default=None)
+        if word in self.clean or (best and not (self.wide and best.endswith("*"))):
+            return best and (best, False)
+        if len(self.states) > MOST_STATES:
+            self._forget()
+        near, state = [], self.start
+        for c in word:
+            if c not in self.letters:
+                c = ""
+            if (after := self.moves[state].get(c)) is None:
+                after = self._move(state, c)
+            if (state := after) < 0:
                 break
-            at += 1
-        else:
-            node = None
-        if exact:
-            return exact, False
-        if size < EDIT_FROM - 1 or word in self.clean:
-            return None
-        if node is not None and size:
-            starts.append((node, size))
-        for node, at in starts:  # one edit here, then the rest must agree
-            ways = [(node, at + 1)] if at < size else []
-            for c, child in node.items():
-                if len(c) == 1:
-                    ways.append((child, at))
-                    if at < size and c != word[at]:
-                        ways.append((child, at + 1))
-            for place, i in ways:
-                while place is not None:
-                    if (end := place.get("stem")) and end[1] >= EDIT_FROM and end[0] > near:
-                        near = end[0]
-                    if i == size:
-                        if (end := place.get("word")) and end[1] >= EDIT_FROM and end[0] > near:
-                            near = end[0]
-                        break
-                    place, i = place.get(word[i]), i + 1
-        return (near, True) if near else None
+            near += self.states[state][1]
+        else:  # a term of four letters must keep its length
+            near += [t for t in self.states[state][2] if len(t) >= EDIT_FROM or len(t) == size]
+        if near and (best is None or NEAR_SHARE * max(map(weight, near)) > weight(best)):
+            return max(near, key=weight), True
+        return best and (best, False)
+
+    def match(self, word: str) -> tuple[float, bool] | None:
+        """The greatest log odds of a term that the word matches, and whether it needs edits."""
+        found = self.find(word)
+        return found and (self.lexicon[found[0]], found[1])
+
+    def look(self, written: str) -> tuple[str, bool] | None:
+        """find for a word as it is written; signs at its ends may also stand for letters."""
+        best = None
+        for form in forms(written) if self.wide else forms(written)[:1]:
+            found = self.find(form)
+            if found and (best is None or (not found[1], self.lexicon[found[0]]) > (not best[1], self.lexicon[best[0]])):
+                best = found
+        return best
 
     def features(self, text: str) -> list[float]:
         words = text.split()
@@ -109,9 +206,9 @@ class Matcher:
         new = [w for w in set(words).difference(self.plain) if w not in self.hits]
         if new:
             for w in new:
-                found = self.match(w.lower().strip(STRIP))
+                found = self.look(w)
                 if found:
-                    self.hits[w] = found
+                    self.hits[w] = self.lexicon[found[0]], found[1]
                 else:
                     self.plain.add(w)
         out = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
@@ -123,16 +220,25 @@ class Matcher:
                 continue
             if is_quoted(words, i):
                 quoted += hit[0]
-            elif hit[1]:
-                near += hit[0]
-            else:
-                plain += hit[0]
-                strongest = max(strongest, hit[0])
+                continue
+            share = hit[0]
+            if hit[1]:
+                near += share
+                share *= NEAR_SHARE
+            plain += share
+            strongest = max(strongest, share)
         if len(self.hits) > CACHE_WORDS:
             self.hits = {}
         return [1.0, strongest, math.log1p(plain), math.log1p(quoted), math.log1p(near), plain / math.sqrt(len(words))]
 
 
+def forms(written: str) -> list[str]:
+    """A written word without the signs at its ends, and with those that may mask a letter, if it has any."""
+    low = written.lower()
+    bare, masked = low.strip(STRIP), low.strip(PUNCTUATION)
+    return [bare] if masked == bare else [bare, masked]
+
+
 def is_quoted(words: list[str], at: int) -> bool:
     """Whether the context window of a word shows quotation: marks on both sides, or a reporting word before."""
     before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
@@ -183,6 +289,29 @@ def learn_lexicon(texts: list[set[str]], toxic: np.ndarray, least: float = 2.0,
     return kept
 
 
+def near_words(matcher: Matcher, texts: Iterable[str]) -> frozenset[str]:
+    """The words of texts, in all their forms, that would be near hits."""
+    written = {w for t in texts for w in t.split()}
+    return frozenset(f for w in written for f in forms(w) if (found := matcher.find(f)) and found[1])
+
+
+def rarely_held(lexicon: dict[str, float], toxic_texts: Iterable[set[str]], n: int) -> frozenset[str]:
+    """Terms that too few toxic texts hold to look for misspellings of them."""
+    seen = Counter()
+    for words in toxic_texts:
+        seen.update(lexicon.keys() & terms_of(words))
+    return frozenset(t for t in lexicon if seen[t] < max(3, NEAR_SUPPORT * n))
+
+
+def loose_terms(matcher: Matcher, clean_texts: list[str]) -> frozenset[str]:
+    """Terms whose near hits are found in too many clean texts that the matcher has not seen."""
+    found = Counter()
+    for text in clean_texts:
+        hits = [hit for w in set(text.split()) if (hit := matcher.look(w))]
+        found.update({term for term, near in hits if near})
+    return frozenset(t for t, count in found.items() if count > max(1, NEAR_CLEAN * len(clean_texts)))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
     """Newton steps for ridge logistic regression."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -198,18 +327,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 
 
 def fit(rows: list[tuple[int, str, int]]) -> bytes:
-    """A pickled (lexicon, clean words, coefficients) from rows (doc_id, text, label), in any order."""
+    """A pickled (lexicon, clean words, terms without edits, coefficients) from rows (doc_id, text, label), in any order."""
     rows = sorted(rows)
     toxic = np.array([r[2] for r in rows], np.int64)
     held = np.arange(len(rows)) % 10 >= 7  # the coefficients come from rows that the lexicon has not seen
     if min(toxic[~held].sum(), (1 - toxic[~held]).sum()) < 5:
-        return pickle.dumps(({t: 4.0 for t in SEED_TERMS}, frozenset(), DEFAULT))
+        lexicon = {t: 4.0 for t in SEED_TERMS}
+        clean = near_words(Matcher(lexicon, wide=WIDE), (t for _, t, y in rows if not y))
+        return pickle.dumps((lexicon, clean | ORDINARY, frozenset(), DEFAULT))
     words = [{w.strip(STRIP) for w in t.lower().split()} - {""} for _, t, _ in rows]
     lexicon = learn_lexicon([w for w, h in zip(words, held, strict=True) if not h], toxic[~held])
-    matcher = Matcher(lexicon)
-    clean = {w for ws, y, h in zip(words, toxic, held, strict=True) if not y and not h for w in ws}
-    clean = frozenset(w for w in clean if (m := matcher.match(w)) and m[1])
-    matcher = Matcher(lexicon, clean)
+    exact_only = rarely_held(lexicon, (w for w, y, h in zip(words, toxic, held, strict=True) if y and not h), int(toxic[~held].sum()))
+    matcher = Matcher(lexicon, frozenset(), exact_only, WIDE)
+    clean = near_words(matcher, (t for (_, t, y), h in zip(rows, held, strict=True) if not y and not h))
+    exact_only |= loose_terms(Matcher(lexicon, clean, exact_only, WIDE), [t for (_, t, y), h in zip(rows, held, strict=True) if not y and h])
+    clean |= near_words(Matcher(lexicon, clean, exact_only, WIDE), (t for (_, t, y), h in zip(rows, held, strict=True) if not y and h))
+    matcher = Matcher(lexicon, clean, exact_only, WIDE)
     x = np.array([matcher.features(t) for (_, t, _), h in zip(rows, held, strict=True) if h]).reshape(-1, len(DEFAULT))
     y = toxic[held]
     coefficients = DEFAULT
@@ -222,7 +355,7 @@ def fit(rows: list[tuple[int, str, int]]) -> bytes:
             if coefficients[worst] >= 0:
                 break
             used[worst] = False
-    return pickle.dumps((lexicon, clean, coefficients))
+    return pickle.dumps((lexicon, clean, exact_only, coefficients))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int) -> DataFrame:
@@ -252,8 +385,8 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, clean, coefficients = pickle.loads(shared.value)
-        matcher = Matcher(lexicon, clean)
+        lexicon, clean, exact_only, coefficients = pickle.loads(shared.value)
+        matcher = Matcher(lexicon, clean, exact_only, WIDE)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -273,8 +406,8 @@ def without_toxic(docs: DataFrame, model: bytes, threshold: float = 0.3) -> Data
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, clean, coefficients = pickle.loads(shared.value)
-        matcher = Matcher(lexicon, clean)
+        lexicon, clean, exact_only, coefficients = pickle.loads(shared.value)
+        matcher = Matcher(lexicon, clean, exact_only, WIDE)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

@@ -1,6 +1,7 @@
 """Packing, token counts, toxicity, quality rules and classifier, segmentations: brute force, round trips, odd rows."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -227,6 +228,29 @@ def test_quotation_is_not_abuse():
     assert matcher.features("an idiiot here")[4] > 0 and matcher.features("nothing here") == [1.0, 0, 0, 0, 0, 0]
 
 
+def toxic_scorer():
+    """The score under a model fitted on made-up prose, some with insults, none of them misspelled."""
+    rng = np.random.default_rng(3)
+    parts = ["ba", "ce", "du", "fo", "gi", "ha", "lem", "nor", "pas", "rit"]
+    prose = lambda: ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(12)]
+    rows = []
+    for k in range(600):
+        words = prose()
+        if k % 4 == 0:
+            words.insert(int(rng.integers(0, 12)), str(rng.choice(toxicity.SEED_TERMS)))
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    lexicon, clean, exact_only, weights = pickle.loads(toxicity.fit(rows))
+    matcher = toxicity.Matcher(lexicon, clean, exact_only, toxicity.WIDE)
+    return lambda text: 1 / (1 + np.exp(-np.dot(matcher.features(text), weights))), prose
+
+
+def test_misspelled_insults_are_toxic():
+    score, prose = toxic_scorer()
+    for text in ("you are an idiiot and no more", "stupyd idiiot", "what a mooron he is", "you are a clowwn and no more"):
+        assert score(text) >= 0.3, text
+    assert np.mean([score(" ".join(prose())) >= 0.3 for _ in range(300)]) < 0.01
+
+
 def auc(y, s):
     rank = np.argsort(np.argsort(s))
     n = sum(y)
