@@ -48,7 +48,7 @@ PUNCTUATION = "".join(c for c in STRIP if c not in MASKS)
 WINDOW = 6
 STEM_LOW, STEM_HIGH, EDIT_FROM, TWO_FROM = 3, 9, 5, 8
 MOST_STATES = 20_000
-WIDE = False
+WIDE = True
 #: What a near hit counts of its term's log odds.
 NEAR_SHARE = 0.75
 #: A term allows edits if so large a share of the toxic texts hold it, and near hits on it are in no larger a share of clean ones.

@@ -251,6 +251,54 @@ def test_misspelled_insults_are_toxic():
     assert np.mean([score(" ".join(prose())) >= 0.3 for _ in range(300)]) < 0.01
 
 
+def close(a, b, most):
+    """Whether a becomes b by so many edits; neighbours that change places are one."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            least = min(rows[i - 1][j] + 1, rows[i][-1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                least = min(least, rows[i - 2][j - 2] + 1)
+            rows[i].append(least)
+    return rows[-1][-1] <= most
+
+
+def test_wide_automaton_against_edit_distance():
+    terms = {"idiot": 3.0, "moron": 2.0, "scum": 4.0, "pathetic": 6.0, "disgusting": 5.0, "strange*": 1.0}
+    matcher = toxicity.Matcher(terms, wide=True)
+    rng = np.random.default_rng(5)
+    words = ["", "1diot", "ztupid", "idoit", "scvm", "cum", "scums", "d1sgust1ng", "apthetci", "ohtepatic", "tsrangely"]
+    for term in terms:
+        for _ in range(300):
+            w = list(term.rstrip("*") + ("xy" if rng.random() < 0.3 else ""))
+            for _ in range(rng.integers(0, 4)):
+                k = int(rng.integers(0, len(w)))
+                w[k : k + 2] = [w[k : k + 2][::-1], w[k + 1 : k + 2], ["x", *w[k : k + 2]], ["1", *w[k + 1 : k + 2]]][rng.integers(0, 4)]
+                w = w or ["i"]
+            words.append("".join(w))
+    for w in words:
+        near = []
+        for t, o in terms.items():
+            body = t.rstrip("*")
+            ends = [w[:k] for k in range(len(w) + 1)] if t.endswith("*") else [w]
+            most = 2 if len(body) >= 8 else 1
+            if any(close(e, body, most) for e in ends if len(body) > 4 or len(e) == 4):
+                near.append(o)
+        exact = max([o for t, o in terms.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t)], default=0.0)
+        if exact and (exact > 1 or not near or 0.75 * max(near) <= exact):
+            assert matcher.match(w) == (exact, False), w
+        else:
+            assert matcher.match(w) == ((max(near), True) if near else None), w
+
+
+def test_disguised_insults_are_toxic():
+    score, prose = toxic_scorer()
+    for text in ("1diot", "ztupid man", "$tupid", "*diot", "you idoit", "so stuipd", "you are scvm", "you are $cum", "d1sgust1ng"):
+        assert score(text) >= 0.3, text
+    assert np.mean([score(" ".join(prose())) >= 0.3 for _ in range(300)]) < 0.01
+
+
 def auc(y, s):
     rank = np.argsort(np.argsort(s))
     n = sum(y)
