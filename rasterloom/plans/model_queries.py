@@ -65,15 +65,25 @@ def vnet_forward(spark, sf_dir):
 
 @query()
 def unpadded_forward(spark, sf_dir):
-    """Scores of the terrain's tiles by a network without padding: 8 x 8 cells of each 48 x 48 tile."""
-    net, patch = nn.unpadded_unet(filters=2, layers=2), 48
+    """Scores of the whole terrain by a network without padding: 8 x 8 cells of each 48 x 48 tile.
+
+    The raster gets a margin of zeros on all sides and tiles lie a stride of 8 apart, so that their inner cells meet; tile
+    and cell k give the place in the terrain, and cells of tiles beyond its far edges are left out.
+    """
+    net, patch, inner = nn.unpadded_unet(filters=2, layers=2), 48, 8
+    margin = (patch - inner) // 2
     grid = grids.terrain_grid(spark, sf_dir)
-    tiles = tiling.tile_grid(spark, grid, patch, 8)
-    padded = tiling.pad(tiling.to_tiles(grids.terrain(spark, sf_dir), grid, patch, 8), tiles, patch)
+    up = lambda n: -(-n // inner) * inner + 2 * margin
+    wide = Grid("padded", up(grid.width), up(grid.height), grid.transform.shifted(-margin, -margin))
+    moved = grids.terrain(spark, sf_dir).withColumns({"row": F.col("row") + margin, "col": F.col("col") + margin})
+    tiles = tiling.tile_grid(spark, wide, patch, patch - inner)
+    padded = tiling.pad(tiling.to_tiles(moved, wide, patch, patch - inner), tiles, patch)
     value = radiometry.min_max_over(radiometry.fill_nan(F.col("value")), "row_off", "col_off").cast("float")
     cells = padded.withColumn("value", value).groupBy("row_off", "col_off").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * patch + F.col("c")).alias("k"), F.col("value").alias("v")))).alias("cells"))
     rows = cells.select((F.col("row_off").cast("long") * 1_000_000 + F.col("col_off")).alias("tile_id"), F.transform("cells", lambda x: x["v"]).alias("data"))
-    return nn.predict_tiles(rows, net, net.weights(1), patch).select("tile_id", F.posexplode("data").alias("k", "p"))
+    scored = nn.predict_tiles(rows, net, net.weights(1), patch).select("tile_id", F.posexplode("data").alias("k", "p"))
+    row, col = F.floor(F.col("tile_id") / 1_000_000) + F.floor(F.col("k") / inner), F.col("tile_id") % 1_000_000 + F.col("k") % inner
+    return scored.where((row < grid.height) & (col < grid.width))
 
 
 @query("SELECT * FROM (VALUES ('unet', CAST(1989477 AS BIGINT)), ('unet without attention', 1945233), ('vnet', 5649329), ('unpadded', 31030593), ('satellite', 1616289)) AS t(model, parameters)")

@@ -39,3 +39,13 @@ def test_equals_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_unpadded_forward_scores_every_cell(spark):
+    from rasterloom.sources import grids
+
+    grid = grids.terrain_grid(spark, SF)
+    rows = registry.QUERIES["unpadded_forward"](spark, SF).collect()
+    places = [(r.tile_id // 1_000_000 + r.k // 8, r.tile_id % 1_000_000 + r.k % 8) for r in rows]
+    assert sorted(places) == [(i, j) for i in range(grid.height) for j in range(grid.width)]
+    assert all(0 <= r.p <= 1 for r in rows)
