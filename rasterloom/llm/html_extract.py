@@ -11,7 +11,8 @@ input is used for training, so a page's text never depends on other rows.
 
 Defined results: a null or empty page gives an empty text; scripts, styles, heads and form controls never give text;
 text outside any element counts as the body's; broken markup is read as far as it goes (unclosed elements end with their
-parent, stray end tags are skipped); repeated rows give equal texts; very long pages are read whole, without recursion;
+parent, an unclosed head with the first text or element that cannot stand in it, unclosed scripts, styles, titles, text
+areas and frames with the page, as in browsers; stray end tags are skipped); repeated rows give equal texts; very long pages are read whole, without recursion;
 an empty table gives an empty table; other columns are ignored.
 """
 
@@ -36,15 +37,21 @@ BLOCKS = frozenset(
     "caption form fieldset blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 address details summary dialog center".split()
 )
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-HIDDEN = "script style noscript template svg iframe object select textarea button option title canvas video audio math datalist"
+RAW = "script style iframe textarea title"
+HIDDEN = frozenset("noscript template svg object select button option canvas video audio math datalist".split())
+#: Elements whose start tag may also be their end, and elements that a head may hold.
+FOREIGN = ("svg", "math")
+IN_HEAD = frozenset("base basefont bgsound link meta noscript template".split())
 #: Elements that a start tag of the same kind closes, and where that search ends.
 SELF_CLOSING = {"p": "", "li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<head(?=[\s>]).*?(?:</head\s*>|(?=<body)|\Z)|<(" + "|".join(HIDDEN.split()) + r")(?=[\s>/]).*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")(?=[\s>/])"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split()}
+_EMPTY = re.compile(r"[^<>]*/>")
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -75,16 +82,50 @@ class Page:
         self.tags, self.parents, self.groups = ["body"], [-1], [0]
         self.pieces: list[tuple[int, str, bool]] = []  # block, raw text, inside a link; an empty text parts blocks
         stack, linked = [0], 0
+        hidden: list[str] = []  # a hidden element that is open, and the elements open inside it
+        in_head, at = False, 0
         tags, parents, groups, pieces = self.tags, self.parents, self.groups, self.pieces
-        for m in _TOKEN.finditer(source):
+        while m := _TOKEN.match(source, at):
+            at = m.end()
             text = m.group(5)
             if text is not None:
-                pieces.append((stack[-1], text, linked > 0))
+                if in_head and not text.isspace():
+                    in_head = False
+                if not hidden and not in_head:
+                    pieces.append((stack[-1], text, linked > 0))
+                continue
+            if (name := m.group(1)) is not None:
+                if any(f in hidden for f in FOREIGN) and (end := _EMPTY.match(source, at)):
+                    at = end.end()
+                else:
+                    end = _RAW_END[name.lower()].search(source, at)
+                    at = end.end() if end else len(source)
                 continue
             name = m.group(3)
             if name is None:
                 continue
             name = name.lower()
+            if name == "head":
+                in_head = not m.group(2) and len(tags) == 1 and not hidden
+                continue
+            if in_head and not m.group(2) and not hidden and name not in IN_HEAD:
+                in_head = False
+            if hidden:
+                if not m.group(2):
+                    if (name in BLOCKS or name in HIDDEN) and not (name in FOREIGN and m.group(4).endswith("/")):
+                        hidden.append(name)
+                    continue
+                if name in hidden:
+                    while hidden.pop() != name:
+                        pass
+                    continue
+                if name not in ("html", "body") and all(tags[k] != name for k in stack[1:]):
+                    continue
+                hidden = []  # the parent closes
+            if name in HIDDEN:
+                if not m.group(2) and not (name in FOREIGN and m.group(4).endswith("/")):
+                    hidden = [name]
+                continue
             if name not in BLOCKS:
                 if name == "a":
                     linked = 0 if m.group(2) else 1

@@ -270,3 +270,21 @@ def test_pipeline(spark):
     assert {p.doc_id for p in pieces} == set(ids)
     assert all(zlib.crc32(p.ids) >= 0 and len(p.ids) == 4 * p.length for p in pieces)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "minhash near-dedup", "packing"]
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<html><head><title>T</title><meta charset=x><article><p>one two</p><p>three four</article>",
+        "<body><article><p>one two <svg class='i' /></p><math/><p>three four</p></article>",
+        "<body><article><p>one two <button>no</p><p>three four</p></article>",
+        "<body><article><div>one two<object data=x>no</div><div>three four</div></article>",
+        "<body><article><p>one two <noscript><div>no</div></p><p>three four</p></article>",
+        "<body><article><p>one two <option>no</p><p>three four</p></article>",
+        "<body><article><p>one two <svg><title/><path/></svg></p><p>three four</p></article>",
+        "<html><head><script>'<div>'</script></head><body><p>one two</p><p>three four</p>",
+    ],
+)
+def test_open_elements_end_with_their_parent(source):
+    page = html_extract.Page(source)
+    assert page.text([True] * len(page.tags)) == "one two three four"
