@@ -55,12 +55,20 @@ def satellite_forward(spark, sf_dir):
 
 @query()
 def vnet_forward(spark, sf_dir):
-    """Scores of volumes of eight successive chips by a seeded three-dimensional network."""
+    """Scores of volumes of eight successive chips by a seeded three-dimensional network.
+
+    Chips that a volume lacks count as zeros; only the cells of chips that exist are returned.
+    """
     net = nn.vnet(filters=2, layers=2)
     tiles = _chip_tiles(spark, sf_dir)
-    volumes = tiles.groupBy(F.floor(F.col("tile_id") / 8).alias("tile_id")).agg(F.array_sort(F.collect_list(F.struct("tile_id", "data"))).alias("slices"), F.count("*").alias("n")).where("n = 8")
-    out = nn.predict_tiles(volumes.select("tile_id", F.flatten(F.transform("slices", lambda s: s["data"])).alias("data")), net, net.weights(1), 8, 4)
-    return out.select("tile_id", F.posexplode("data").alias("k", "p")).select("tile_id", "k", radiometry.suppress(radiometry.score(F.col("p"))).alias("pred"))
+    volumes = tiles.groupBy(F.floor(F.col("tile_id") / 8).alias("volume")).agg(F.array_sort(F.collect_list(F.struct("tile_id", "data"))).alias("slices"))
+    empty = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    at = lambda k: F.get(F.filter("slices", lambda s: s["tile_id"] == F.col("volume") * 8 + k), F.lit(0))["data"]
+    whole = volumes.select(F.col("volume").alias("tile_id"), F.flatten(F.array(*[F.coalesce(at(k), empty) for k in range(8)])).alias("data"))
+    out = nn.predict_tiles(whole, net, net.weights(1), 8, 4)
+    cell = out.select("tile_id", F.posexplode("data").alias("k", "p")).withColumn("chip", F.col("tile_id") * 8 + F.floor(F.col("k") / 64))
+    real = cell.join(tiles.select(F.col("tile_id").alias("chip")), "chip", "left_semi")
+    return real.select("tile_id", "k", radiometry.suppress(radiometry.score(F.col("p"))).alias("pred"))
 
 
 @query()

@@ -49,3 +49,9 @@ def test_unpadded_forward_scores_every_cell(spark):
     places = [(r.tile_id // 1_000_000 + r.k // 8, r.tile_id % 1_000_000 + r.k % 8) for r in rows]
     assert sorted(places) == [(i, j) for i in range(grid.height) for j in range(grid.width)]
     assert all(0 <= r.p <= 1 for r in rows)
+
+
+def test_vnet_forward_scores_every_chip(spark):
+    chips = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    rows = registry.QUERIES["vnet_forward"](spark, SF).collect()
+    assert sorted((r.tile_id * 8 + r.k // 64, r.k % 64) for r in rows) == sorted((i, k) for i in chips for k in range(64))
