@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.sources.scratch import checkpointed
+
 _LABELLED = "image_id long, row int, col int, label long"
 
 
@@ -51,11 +53,11 @@ def components(mask: DataFrame, width: int, block: int = 256, rounds: int = 64)
         return pd.DataFrame({"image_id": pdf["image_id"], "row": row, "col": col, "label": row[least].astype(np.int64) * width + col[least]})
 
     blocked = pixels.withColumns({"block_row": F.floor(F.col("row") / block), "block_col": F.floor(F.col("col") / block)})
-    local = _cut(blocked.groupBy("image_id", "block_row", "block_col").applyInPandas(lambda pdf: tile(pdf), _LABELLED))
+    local = checkpointed(blocked.groupBy("image_id", "block_row", "block_col").applyInPandas(lambda pdf: tile(pdf), _LABELLED))
     edge = local.where((F.col("row") % block).isin(0, block - 1) | (F.col("col") % block).isin(0, block - 1))
     near = edge.select("image_id", F.col("label").alias("other"), F.explode(F.array(F.struct((F.col("row") + 1).alias("row"), F.col("col").alias("col")), F.struct(F.col("row").alias("row"), (F.col("col") + 1).alias("col")))).alias("at"))
     touching = near.select("image_id", "other", "at.row", "at.col").join(edge, ["image_id", "row", "col"]).where("label != other").select("image_id", F.col("label").alias("a"), F.col("other").alias("b")).distinct()
-    both = _cut(touching.union(touching.select("image_id", "b", "a")))
+    both = checkpointed(touching.union(touching.select("image_id", "b", "a")))
     if both.isEmpty():
         return local
     names = both.select("image_id", "a").distinct().withColumn("label", F.col("a"))
@@ -64,7 +66,7 @@ def components(mask: DataFrame, width: int, block: int = 256, rounds: int = 64)
         # the least label on offer, then the label of that label: paths halve in every round
         step = names.join(offered, ["image_id", "a"]).select("image_id", "a", "label", F.least("label", "offer").alias("next"))
         jump = step.select("image_id", F.col("a").alias("next"), F.col("next").alias("far"))
-        step = _cut(step.join(jump, ["image_id", "next"]).select("image_id", "a", "label", F.least("next", "far").alias("next")))
+        step = checkpointed(step.join(jump, ["image_id", "next"]).select("image_id", "a", "label", F.least("next", "far").alias("next")))
         names = step.select("image_id", "a", F.col("next").alias("label"))
         if step.where("label != next").isEmpty():
             break
@@ -73,17 +75,6 @@ def components(mask: DataFrame, width: int, block: int = 256, rounds: int = 64)
     return local.join(names.withColumnRenamed("label", "whole").withColumnRenamed("a", "label"), ["image_id", "label"], "left").select("image_id", "row", "col", F.coalesce("whole", "label").alias("label"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def component_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("image_id", "label").agg(F.count("*").alias("size"))
 

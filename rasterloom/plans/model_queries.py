@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from rasterloom.functions import radiometry
@@ -16,14 +14,12 @@ from rasterloom.plans.prediction import predict_mosaic as predict_plan
 from rasterloom.plans.registry import query
 from rasterloom.sources import grids, tiff, vector
 from rasterloom.sources.grids import DTM_SQL, MASK_SQL, POINTS_SQL
+from rasterloom.sources.scratch import work_folder
 from rasterloom.streaming import mosaic as stream
 
 
 def _shared(spark) -> str:
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-    return f"{folder.rstrip('/')}/grids-{uuid.uuid4().hex}"
+    return work_folder(spark, "grids")
 
 
 def _chip_tiles(spark, sf_dir):
