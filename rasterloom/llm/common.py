@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.sources import scratch
+
 #: The characters that separate words: the space and the controls 0x09 to 0x0D.
 WHITE = " \t\n\x0b\x0c\r"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that setting is absent."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context_dir.isDefined():
-            return context_dir.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    return folder
+#: Characters of words that a worker keeps besides their number, so that long words do not fill its memory.
+CACHE_CHARS = 4_000_000
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, which ends its lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch.work_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.__dict__["written_to"] = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of `materialise` that no later plan reads; others are left alone."""
+    for t in tables:
+        if t is not None and (path := t.__dict__.pop("written_to", None)):
+            scratch.delete(t.sparkSession, path)
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most `rows` rows and, beyond one row, `size` bytes of text in the column at `text`."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,8 +7,8 @@ are summed into cells of `step` bits (map-side combined), every cell adds its by
 shallowest prefix that fits is the cell's bucket.  Cells that are still too large go on with the next `step` bits in
 another round over those rows alone, until the hash is used up.
 
-Defined results: null id and text take part as empty strings and weigh 0 bytes of text; rows with the same id and text
-share a hash, and where they alone exceed the limit their bucket gets numbered overflow pages, filled in scan order
+Defined results: the hash covers the id alone, and a null id counts as an empty string; a null text weighs 0 bytes; rows
+with the same id share a hash, and where they alone exceed the limit their bucket gets numbered overflow pages, filled in scan order
 within each scan partition; a single row heavier than the limit has a page of its own; an empty table gives no shards;
 other columns are ignored, whatever their names.
 """
