@@ -12,8 +12,9 @@ input is used for training, so a page's text never depends on other rows.
 Defined results: a null or empty page gives an empty text; scripts, styles, heads and form controls never give text;
 text outside any element counts as the body's; broken markup is read as far as it goes (unclosed elements end with their
 parent, an unclosed head with the first text or element that cannot stand in it, unclosed scripts, styles, titles, text
-areas and frames with the page, as in browsers; stray end tags are skipped); repeated rows give equal texts; very long pages are read whole, without recursion;
-an empty table gives an empty table; other columns are ignored.
+areas and frames with the page, as in browsers; stray end tags are skipped; a tag without an end is text); repeated rows
+give equal texts; very long pages are read whole, without recursion and in time linear in their length; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import math
 import pickle
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import slices
+
 #: Elements that make blocks, elements without content, elements whose content is never text.
 BLOCKS = frozenset(
     "html body div p section article main header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr td th "
@@ -45,14 +49,14 @@ IN_HEAD = frozenset("base basefont bgsound link meta noscript template".split())
 #: Elements that a start tag of the same kind closes, and where that search ends.
 SELF_CLOSING = {"p": "", "li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")(?=[\s>/])"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)",
-    re.S | re.I,
-)
-_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split()}
-_EMPTY = re.compile(r"[^<>]*/>")
-_MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: What follows a tag's name up to its end; a quotation mark opens a value only after an equals sign.  No part of the
+#: pattern gives back what it took, so a tag is read in one pass.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW.split()}
+_EMPTY = re.compile(r"[^<>]*+/>")
+#: One attribute after the other, so that a name inside another attribute's value is not taken for one.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+|["'=]""")
 _WORD = re.compile(r"[a-z]+")
 
 #: Words of class, id and role attributes, by what they usually mark.
@@ -75,91 +79,138 @@ _BAD_TAGS = frozenset("nav header footer aside form dialog".split())
 N_FEATURES = len(_TAGS) + 2 * len(TOKENS) + 16
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """Tokens of a page: ("text", text, ""), ("open", name, attributes) and ("close", name, "").
+
+    Comments, declarations and the content of raw elements are left out.  The work is linear in the page: every scan that
+    finds nothing is the last of its kind.  If a tag's quotes leave it open up to the page's end, from there on the first
+    ">" ends a tag; a "<" without any ">" behind it is text.
+    """
+    at, size, quoted, ends, foreign = 0, len(source), True, True, 0
+    while at < size:
+        start = source.find("<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            yield "text", source[at:start], ""
+            at = start
+            continue
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if source[at + 1 : at + 2] in ("!", "?") and ends:
+            end = source.find(">", at)
+            ends = end >= 0
+            if ends:
+                at = end + 1
+                continue
+        closing = source[at + 1 : at + 2] == "/"
+        name = _NAME.match(source, at + 1 + closing) if ends else None
+        rest = None
+        if name is not None:
+            rest = _REST.match(source, name.end()) if quoted else None
+            if rest is None:
+                quoted = False
+                end = source.find(">", name.end())
+                ends = end >= 0
+        if name is None or not ends:
+            yield "text", "<", ""
+            at += 1
+            continue
+        at = rest.end() if rest else end + 1
+        tag, attributes = name.group().lower(), source[name.end() : at - 1]
+        if closing:
+            foreign -= tag in FOREIGN and foreign > 0
+            yield "close", tag, ""
+            continue
+        if tag in FOREIGN and not attributes.endswith("/"):
+            foreign += 1
+        if tag in _RAW_END and not (foreign and attributes.endswith("/")):
+            end_tag = _RAW_END[tag].search(source, at)
+            at = end_tag.end() if end_tag else size
+            continue
+        yield "open", tag, attributes
+
+
 class Page:
     """Block elements in document order with their parents, and pieces of text with their block."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.groups = ["body"], [-1], [0]
         self.pieces: list[tuple[int, str, bool]] = []  # block, raw text, inside a link; an empty text parts blocks
-        stack, linked = [0], 0
+        self.stack = [0]
+        self.places: dict[str, list[int]] = {}  # for each tag the places of its open elements in the stack
+        linked, in_head = 0, False
         hidden: list[str] = []  # a hidden element that is open, and the elements open inside it
-        in_head, at = False, 0
-        tags, parents, groups, pieces = self.tags, self.parents, self.groups, self.pieces
-        while m := _TOKEN.match(source, at):
-            at = m.end()
-            text = m.group(5)
-            if text is not None:
-                if in_head and not text.isspace():
+        inside = Counter()  # the same by name
+        tags, pieces, stack = self.tags, self.pieces, self.stack
+        for kind, name, attributes in tokens(source):
+            if kind == "text":
+                if in_head and not name.isspace():
                     in_head = False
                 if not hidden and not in_head:
-                    pieces.append((stack[-1], text, linked > 0))
+                    pieces.append((stack[-1], name, linked > 0))
                 continue
-            if (name := m.group(1)) is not None:
-                if any(f in hidden for f in FOREIGN) and (end := _EMPTY.match(source, at)):
-                    at = end.end()
-                else:
-                    end = _RAW_END[name.lower()].search(source, at)
-                    at = end.end() if end else len(source)
-                continue
-            name = m.group(3)
-            if name is None:
-                continue
-            name = name.lower()
+            opens = kind == "open"
             if name == "head":
-                in_head = not m.group(2) and len(tags) == 1 and not hidden
+                in_head = opens and len(tags) == 1 and not hidden
                 continue
-            if in_head and not m.group(2) and not hidden and name not in IN_HEAD:
+            if in_head and opens and not hidden and name not in IN_HEAD:
                 in_head = False
+            empty = name in FOREIGN and attributes.endswith("/")
             if hidden:
-                if not m.group(2):
-                    if (name in BLOCKS or name in HIDDEN) and not (name in FOREIGN and m.group(4).endswith("/")):
+                if opens:
+                    if (name in BLOCKS or name in HIDDEN) and not empty:
                         hidden.append(name)
+                        inside[name] += 1
                     continue
-                if name in hidden:
-                    while hidden.pop() != name:
-                        pass
+                if inside[name]:
+                    while (gone := hidden.pop()) != name:
+                        inside[gone] -= 1
+                    inside[name] -= 1
                     continue
-                if name not in ("html", "body") and all(tags[k] != name for k in stack[1:]):
+                if name not in ("html", "body") and not self.places.get(name):
                     continue
-                hidden = []  # the parent closes
+                hidden, inside = [], Counter()  # the parent closes
             if name in HIDDEN:
-                if not m.group(2) and not (name in FOREIGN and m.group(4).endswith("/")):
-                    hidden = [name]
+                if opens and not empty:
+                    hidden, inside = [name], Counter([name])
                 continue
             if name not in BLOCKS:
                 if name == "a":
-                    linked = 0 if m.group(2) else 1
+                    linked = int(opens)
                 elif name in ("br", "hr"):
                     pieces.append((stack[-1], "", False))
                 continue
             linked = 0
             if name in ("html", "body"):
-                if not m.group(2) and name == "body":
-                    groups[0] |= _groups(m.group(4))
+                if opens and name == "body":
+                    self.groups[0] |= _groups(attributes)
                 continue
-            if m.group(2):
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        del stack[k:]
-                        break
+            if not opens:
+                if places := self.places.get(name):
+                    self._close(places[-1])
                 pieces.append((stack[-1], "", False))
                 continue
             if tags[stack[-1]] == "p" and len(stack) > 1:
-                stack.pop()
-            if name in SELF_CLOSING:
+                self._close(len(stack) - 1)
+            if name in SELF_CLOSING and (places := self.places.get(name)):
                 ends = SELF_CLOSING[name].split()
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if tags[stack[k]] in ends or not ends:
-                        break
+                if places[-1] > max((self.places[e][-1] for e in ends if self.places.get(e)), default=0) and (ends or places[-1] == len(stack) - 1):
+                    self._close(places[-1])
             tags.append(name)
-            parents.append(stack[-1])
-            groups.append(_groups(m.group(4)))
+            self.parents.append(stack[-1])
+            self.groups.append(_groups(attributes))
+            self.places.setdefault(name, []).append(len(stack))
             stack.append(len(tags) - 1)
             pieces.append((stack[-1], "", False))
 
+    def _close(self, place: int) -> None:
+        """Takes the element at a place of the stack and all that are open in it off the stack."""
+        while len(self.stack) > place:
+            self.places[self.tags[self.stack.pop()]].pop()
+
     def features(self) -> np.ndarray:
         """A row for each block."""
         n = len(self.tags)
@@ -245,13 +296,19 @@ class Page:
         return kept
 
 
-@lru_cache(maxsize=100_000)
 def _groups(attributes: str) -> int:
+    """The groups of marks in the class, id and role of a tag, as bits."""
+    return _marked(attributes) if len(attributes) <= 200 else _marked.__wrapped__(attributes)
+
+
+@lru_cache(maxsize=50_000)
+def _marked(attributes: str) -> int:
     found = 0
-    for m in _MARKS.finditer(attributes or ""):
-        for w in _WORD.findall((m.group(1) or m.group(2) or m.group(3) or "").lower()):
-            if (g := _GROUP.get(w)) is not None:
-                found |= 1 << g
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m.group(1) and m.group(2) and m.group(1).lower() in ("class", "id", "role"):
+            for w in _WORD.findall(m.group(2).lower()):
+                if (g := _GROUP.get(w)) is not None:
+                    found |= 1 << g
     return found
 
 
@@ -393,8 +450,7 @@ def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
+            for part in slices(batch, 2, 128):
                 texts = extract_texts([h or "" for h in part.column(2).to_pylist()], own)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
