@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from rasterloom.llm.common import CACHE_CHARS, slices
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 #: In tokens: what a cut after a sentence costs, a cut inside one, and any window at all.
@@ -39,7 +41,7 @@ SENTENCE_CUT, HARD_CUT, OVERHEAD = 8.0, 32.0, 1.0
 SPACING, STRETCH, AGAIN = 256, 1 << 18, 1 << 14
 #: Marks that may follow the letters of a word; the tokenizer splits before them (an apostrophe is not among them).
 MARKS = '.,!?;:*%&$#-"()'
-#: Words that an encoder keeps in each of its two generations.
+#: Words that an encoder keeps in each of its two generations, of CACHE_CHARS characters at most.
 CACHE_WORDS = 150_000
 
 
@@ -48,13 +50,14 @@ class _Kept(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.chars = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         if (value := self.older.get(key)) is None:
             value = self.make(key)
-        if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
+        self.chars += len(key)
+        if len(self) >= CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.older, self.chars = dict(self), len(key)
             self.clear()
         self[key] = value
         return value
@@ -214,8 +217,7 @@ class Packer:
 
 def _batches(rows: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple[list, list]]:
     for batch in rows:
-        for k in range(0, batch.num_rows, at_once):
-            part = batch.slice(k, at_once)
+        for part in slices(batch, 1, at_once):
             yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
 
 

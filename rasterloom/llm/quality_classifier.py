@@ -5,8 +5,8 @@ its words (case, trailing symbols, a mark for a repeated word), hashed to 2**BIT
 the counts, scaled to length one.  The fit passes over the sample in a fixed order with FTRL-proximal updates (per-place
 learning rates, L1 and L2).  A score is the logistic function of a sparse dot product.
 
-The fit uses at most `max_rows` labelled rows (those with the smallest hash of their id), in one task; all rows are
-scored where they lie.
+The fit uses at most `max_rows` labelled rows (those with the smallest hash of their id) and `max_bytes` of their text, in
+one task; all rows are scored where they lie.
 
 Defined results: a null text counts as empty, and an empty text gets the score of the constant alone; rows with a null
 id are scored but never learned from; null labels are left out, repeated labels of an id count once, with the larger
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import CACHE_CHARS, slices
 from rasterloom.llm.toxicity import fit_in_one_task, labelled_sample
 
 BITS = 18
@@ -46,17 +47,19 @@ class Hasher:
 
     def __init__(self):
         self.words: dict[str, int] = {}
+        self.chars = 0
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
+        if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.words, self.chars = {}, 0
         known = self.words
         for w in set(words):
             if w in known:
                 continue
+            self.chars += len(w)
             known[w] = zlib.crc32(w.lower().encode()) << 32 | zlib.crc32(word_shape(w).encode(), 7)
         both = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         own, shape = both >> _HALF, both & _LOW
@@ -106,8 +109,8 @@ def fit(rows: list[tuple[int, str, int]]) -> bytes:
     return ftrl([hasher.vector(t) for _, t, _ in rows], np.array([r[2] for r in rows], float)).tobytes()
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 12_000) -> bytes:
-    return fit_in_one_task(labelled_sample(docs, labels, "quality", learn, max_rows), fit)
+def quality_model(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 12_000, max_bytes: int = 1 << 26) -> bytes:
+    return fit_in_one_task(labelled_sample(docs, labels, "quality", learn, max_rows), fit, max_bytes)
 
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:
@@ -117,8 +120,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, hasher = np.frombuffer(shared.value, np.float32).astype(float), Hasher()
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, 1, 512):
                 found = [hasher.vector(t or "") for t in part.column(1).to_pylist()]
                 total = weights[-1] + np.array([weights[i] @ v for i, v in found])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], ["doc_id", "score"])

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import CACHE_CHARS, slices
+
 SCHEMA = "doc_id long, section int, kind string, char_start long, n_chars long, n_tokens long, n_crossing long, token_share double"
 RULES = ("first", "last", "most")
-#: Parts that an encoder keeps in each of its two generations.
+#: Parts that an encoder keeps in each of its two generations, of CACHE_CHARS characters at most but for the last batch.
 CACHE_PARTS = 400_000
 
 
@@ -46,16 +48,18 @@ class SpanEncoder:
         self.parts = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.chars = 0
 
     def spans(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Starts and ends of the tokens of each text, in characters."""
-        if len(self.known) > CACHE_PARTS:
-            self.known, self.older = {}, self.known
+        if len(self.known) > CACHE_PARTS or self.chars > CACHE_CHARS:
+            self.known, self.older, self.chars = {}, self.known, 0
         known, older, split = self.known, self.older, [self.parts(t) for t in texts]
         order = []
         for part in set().union(*split):  # `set - keys()` would walk all keys
             if part in known:
                 continue
+            self.chars += len(part)
             if (spans := older.get(part)) is None:
                 order.append(part)
             else:
@@ -116,8 +120,7 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, rule: str = "mos
         encoder = span_encoder(tokenizer, pattern)
         names = ["doc_id", "section", "kind", "char_start", "n_chars", "n_tokens", "n_crossing", "token_share"]
         for batch in rows:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1, 256):
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 out: list[list] = [[] for _ in range(8)]
                 for doc_id, body, (starts, ends) in zip(ids, texts, encoder.spans(texts), strict=True):

@@ -10,8 +10,8 @@ hardly have, allow edits, and words that clean training texts use are never near
 its term, a near hit NEAR_SHARE of it; hits between quotation marks or after a reporting word are summed apart from the
 rest, and a small logistic regression over those sums gives the score.
 
-The fit uses at most `max_rows` labelled rows (those with the smallest hash of their id), in one task; everything else
-runs on every row where it lies.
+The fit uses at most `max_rows` labelled rows (those with the smallest hash of their id) and `max_bytes` of their text, in
+one task, and keeps at most `most_terms` terms (2,000), the weightiest; everything else runs on every row where it lies.
 
 Defined results: a null text counts as empty, and an empty text gets the score of a text without hits; rows with a null
 id are scored but never learned from; labels that are null are left out; repeated labels of an id count once, with the
@@ -28,9 +28,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import CACHE_CHARS, slices
+
 #: Insults that serve where no labels are given.
 SEED_TERMS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown".split()
 #: Usual words that are near those insults.
@@ -84,6 +87,7 @@ class Matcher:
         self.letters = frozenset(c for children in self.below for c in children)
         self._forget()
         self.plain: set[str] = set()
+        self.chars = 0
         self.hits: dict[str, tuple[float, bool]] = {}
 
     def allowed(self, body: str, stem: bool) -> int:
@@ -200,8 +204,8 @@ class Matcher:
 
     def features(self, text: str) -> list[float]:
         words = text.split()
-        if len(self.plain) > CACHE_WORDS:
-            self.plain = set()
+        if len(self.plain) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.plain, self.chars = set(), 0
         # `set - keys()` would walk all keys, so the words are looked up one by one
         new = [w for w in set(words).difference(self.plain) if w not in self.hits]
         if new:
@@ -211,6 +215,7 @@ class Matcher:
                     self.hits[w] = self.lexicon[found[0]], found[1]
                 else:
                     self.plain.add(w)
+                    self.chars += len(w)
         out = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
         if self.hits.keys().isdisjoint(words):
             return out
@@ -361,22 +366,34 @@ def fit(rows: list[tuple[int, str, int]]) -> bytes:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int) -> DataFrame:
     """At most max_rows rows (doc_id, text, label) with `learn` true, by the smallest hash of the id.
 
-    Of rows that repeat an id the least text counts, so a frequent id cannot make the sample grow.
+    Labels of documents that are not there take up no place.  Of rows that repeat an id the least text counts, so a
+    frequent id cannot make the sample grow.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(learn)
+    there = docs.select(F.col("doc_id").cast(labels.schema["doc_id"].dataType).alias("doc_id"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(learn).join(there, "doc_id", "left_semi")
     chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
-def fit_in_one_task(sample: DataFrame, fitter) -> bytes:
-    """fitter(rows) on an executor, over a sample of bounded size."""
+def fit_in_one_task(sample: DataFrame, fitter, max_bytes: int) -> bytes:
+    """fitter(rows) on an executor, over a sample of bounded size.
+
+    Rows come in the order of their id's hash; one whose text would bring the texts above max_bytes is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        rows, room = [], max_bytes
+        for batch in batches:
+            for part in slices(batch, 1, 256):
+                sizes = pc.binary_length(part.column(1)).to_pylist()
+                for k, size in enumerate(sizes):
+                    if size <= room:
+                        room -= size
+                        rows.append(tuple(c[k].as_py() for c in part.columns))
         yield pa.RecordBatch.from_arrays([pa.array([fitter(rows)], pa.binary())], ["model"])
 
-    found = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    found = sample.select("doc_id", "text", "label").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model binary").first()
     return bytes(found.model) if found else fitter([])
 
 
@@ -388,8 +405,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
         lexicon, clean, exact_only, coefficients = pickle.loads(shared.value)
         matcher = Matcher(lexicon, clean, exact_only, WIDE)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, 1, 512):
                 x = np.array([matcher.features(t or "") for t in part.column(1).to_pylist()]).reshape(-1, len(coefficients))
                 p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(x[:, 1])], ["doc_id", "score", "strongest"])
@@ -397,8 +413,8 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, strongest double")
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 12_000) -> bytes:
-    return fit_in_one_task(labelled_sample(docs, labels, "toxic", learn, max_rows), fit)
+def toxicity_model(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 12_000, max_bytes: int = 1 << 26) -> bytes:
+    return fit_in_one_task(labelled_sample(docs, labels, "toxic", learn, max_rows), fit, max_bytes)
 
 
 def without_toxic(docs: DataFrame, model: bytes, threshold: float = 0.3) -> DataFrame:
@@ -409,8 +425,7 @@ def without_toxic(docs: DataFrame, model: bytes, threshold: float = 0.3) -> Data
         lexicon, clean, exact_only, coefficients = pickle.loads(shared.value)
         matcher = Matcher(lexicon, clean, exact_only, WIDE)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, at, 512):
                 x = np.array([matcher.features(t or "") for t in part.column(at).to_pylist()]).reshape(-1, len(coefficients))
                 p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -30, 30)))
                 yield part.filter(pa.array(p < threshold))
