@@ -3,7 +3,8 @@
 A text becomes a lattice whose edges are vocabulary pieces; the probability of a path is proportional to the product of
 its piece weights, w(piece) = (rank + 2)**-theta with rank from the model file.  Characters outside the vocabulary are
 one edge of byte pieces.  A piece never reaches past a blank that follows another character, so the lattice factors into
-units (blanks and the characters after them), and the backward sums of a unit are computed once and kept.
+units (blanks and the characters after them), and the backward sums of a unit are computed once and kept.  Long units,
+as of scripts without blanks, are cut again wherever no piece that the vocabulary holds reaches across.
 
 Search.  Every path has a Gumbel perturbed log probability; the k largest are a sample without replacement.  A best-first
 search keeps regions of the path space with the perturbed value of their best path.  The root's value is a Gumbel, and
@@ -31,10 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.llm.bag_minhash import mix
+from rasterloom.llm.common import slices
 
 SCHEMA = "doc_id long, sample int, ids binary, log_prob double, perturbed double, inclusion double"
 BLANK = "▁"
-CACHE_UNITS = 300_000
+#: Units and edges that a bank keeps between batches.
+CACHE_UNITS, CACHE_EDGES = 300_000, 6_000_000
+#: Units of more characters than this are cut where no piece reaches across.
+LONG = 24
 _STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 _units = re.compile(f"{BLANK}+[^{BLANK}]*").findall
 
@@ -86,6 +91,38 @@ class Bank:
         """Forgets all units; the arrays keep their room."""
         self.index, self.nodes, self.edges = {}, 0, 0
 
+    def _matches(self, codes: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, ids) of the pieces found in hashed characters, by length; left: characters to a unit's end."""
+        v = self.vocabulary
+        h, power, place = np.zeros(len(codes), np.uint64), 1, np.arange(len(codes))
+        for length in range(1, max(v.tables) + 1):
+            place = place[left[place] >= length]
+            if not len(place):
+                return
+            h[place] += codes[place + length - 1] * np.uint64(power)
+            power = power * _BASE % (1 << 64)
+            if length not in v.tables:
+                continue
+            hashes, ids = v.tables[length]
+            maybe = place[v.screen[(h[place] >> np.uint64(44)).astype(np.int64)]]
+            at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+            hit = hashes[at] == h[maybe]
+            yield length, maybe[hit], ids[at[hit]]
+
+    def cut(self, unit: str) -> list[str]:
+        """A unit in parts between which no piece reaches, so that its paths are those of the parts one after another."""
+        if len(unit) <= LONG:
+            return [unit]
+        n = len(unit)
+        codes = mix(np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64) + _STEP)
+        inside = np.zeros(n + 1, np.int64)  # pieces that begin to reach across a place, less those that no longer do
+        for length, starts, _ in self._matches(codes, n - np.arange(n)):
+            if length > 1:
+                np.add.at(inside, starts + 1, 1)
+                np.add.at(inside, starts + length, -1)
+        at = [0, *np.flatnonzero(np.cumsum(inside)[1:n] == 0) + 1, n]
+        return [unit[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def _put(self, name: str, at: int, new: np.ndarray) -> None:
         old = getattr(self, name)
         if at + len(new) > len(old):
@@ -104,24 +141,12 @@ class Bank:
         ends = np.repeat(np.cumsum(sizes), sizes)
         left = ends - np.arange(n)  # characters from here to the unit's end
         starts, lengths, pieces = [], [], []
-        h, power, place = np.zeros(n, np.uint64), 1, np.arange(n)
-        for length in range(1, max(v.tables) + 1):
-            place = place[left[place] >= length]
-            if not len(place):
-                break
-            h[place] += codes[place + length - 1] * np.uint64(power)
-            power = power * _BASE % (1 << 64)
-            if length not in v.tables:
-                continue
-            hashes, ids = v.tables[length]
-            maybe = place[v.screen[(h[place] >> np.uint64(44)).astype(np.int64)]]
-            at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-            hit = hashes[at] == h[maybe]
-            starts.append(maybe[hit])
-            lengths.append(np.full(int(hit.sum()), length))
-            pieces.append(ids[at[hit]])
+        for length, found, ids in self._matches(codes, left):
+            starts.append(found)
+            lengths.append(np.full(len(found), length))
+            pieces.append(ids)
             if length == 1:  # characters without a piece become bytes; several bytes are kept as the negative code point
-                bare = np.setdiff1d(place, starts[-1], assume_unique=True)
+                bare = np.setdiff1d(np.arange(n), found, assume_unique=True)
                 starts.append(bare)
                 lengths.append(np.ones(len(bare), np.int64))
                 pieces.append(np.where(raw[bare] < 0x80, v.low_bytes[np.minimum(raw[bare], 0x7F)], -raw[bare].astype(np.int64) - 1))
@@ -316,9 +341,12 @@ def sample_texts(texts: list[str], keys: np.ndarray, model: str, theta: float, k
     bank = _banks.get((model, theta))
     if bank is None:
         _banks[model, theta] = bank = Bank(vocabulary(model, theta))
-    if len(bank.index) > CACHE_UNITS:
+    if len(bank.index) > CACHE_UNITS or bank.edges > CACHE_EDGES:
         bank.clear()
     split = [_units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+    for units_of in split:
+        if units_of and max(map(len, units_of)) > LONG:
+            units_of[:] = chain.from_iterable(map(bank.cut, units_of))
     bank.add([u for u in dict.fromkeys(chain.from_iterable(split)) if u not in bank.index])
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     units = np.fromiter(map(bank.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
@@ -375,8 +403,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, theta: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in slices(batch, 1, 256, 1 << 20):
                 ids = part.column(0).to_pylist()
                 keys = mix(part.column(2).to_numpy().view(np.uint64))
                 rows = []
