@@ -39,16 +39,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise
+from rasterloom.llm.common import CACHE_CHARS, discard, materialise, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8, 20 bands of 4 slots miss one pair in 37,000.
 BANDS, ROWS = 20, 4
 #: Buckets of up to so many members are compared pair by pair.
 SMALL = 12
+#: Edits that a lot of a star holds on average, rows of a lot that one task looks up, entries folded at once.
+LOT, SPREAD, FOLD = 8192, 2048, 1 << 20
+#: Rows of a star's own columns, to be met by its members.
+SALTS = 16
+#: Champions that a text outside the main component is compared with first.
+CHAMPIONS = 2
 CACHE_WORDS = 150_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -65,15 +71,17 @@ class Shingler:
 
     def __init__(self):
         self.words: dict[str, int] = {}
+        self.chars = 0
 
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
+        if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.words, self.chars = {}, 0
         known = self.words
         for w in words:
             if w not in known:
                 known[w] = xxhash.xxh3_64_intdigest(w)
+                self.chars += len(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - SHINGLE + 1) if len(h) else 0
         total = np.zeros(n, np.uint64)
@@ -158,8 +166,7 @@ def banded(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler()
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, 2, 64):
                 bags = [own.bag(t) for t in part.column(2).to_pylist()]
                 full = [i for i, b in enumerate(bags) if len(b[0])]
                 keys: list = [[]] * len(bags)
@@ -208,16 +215,150 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "wide", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, size_a long, size_b long, edits array<long>")
 
 
+_LOTS = "b long, lot long, edits array<long>, times array<long>, low array<long>, high array<long>, open array<long>, q array<long>, best array<long>"
+
+
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int64()))
+
+
+def _flat(batch: pa.RecordBatch, lists: str, *others: str) -> list[np.ndarray]:
+    """The values of a list column, and other columns repeated for each of them."""
+    column = batch.column(lists)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    return [column.flatten().to_numpy(), *[np.repeat(batch.column(o).to_numpy(zero_copy_only=False).astype(np.int64), lengths) for o in others]]
+
+
+def _lot_of(edit: np.ndarray, lots: np.ndarray) -> np.ndarray:
+    return (edit.view(np.uint64) % lots.astype(np.uint64)).astype(np.int64)
+
+
+def _folded(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns b, lot, edit, times, low, high, open, q, best with one entry for each edit of a star, in order."""
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    b, lot, edit, _, _, _, _, q, best = columns
+    order = np.lexsort((best, q, edit, lot, b))
+    b, lot, edit, times, low, high, open_, q, best = (c[order] for c in columns)
+    new = np.flatnonzero(np.concatenate([[True], (edit[1:] != edit[:-1]) | (b[1:] != b[:-1])]))
+    return [b[new], lot[new], edit[new], np.add.reduceat(times, new), np.minimum.reduceat(low, new), np.maximum.reduceat(high, new), np.maximum.reduceat(open_, new), q[new], best[new]]
+
+
+def _lot_rows(folded: list[np.ndarray]) -> pa.RecordBatch:
+    b, lot = folded[:2]
+    new = np.flatnonzero(np.concatenate([[True], (lot[1:] != lot[:-1]) | (b[1:] != b[:-1])]))
+    lengths = np.diff(np.append(new, len(b)))
+    names = [x.split()[0] for x in _LOTS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(b[new]), pa.array(lot[new]), *[_lists(lengths, c) for c in folded[2:]]], names)
+
+
+def tally(members: DataFrame) -> DataFrame:
+    """What a star's members have in common, by edit: rows (_LOTS) that each list the edits of one lot of a star.
+
+    Members are rows (b, a, q, lots, label, out, edits).  For every edit: how many members have it, their least and
+    greatest label, whether one of them is out, and the member of least q among them.  Edits of a star are dealt into
+    `lots` by their value and counted before they are shuffled; a task holds the distinct edits of one lot at a time.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            edit, b, a, q, lots, label, out = _flat(batch, "edits", "b", "a", "q", "lots", "label", "out")
+            held.append([b, _lot_of(edit, lots), edit, np.ones(len(edit), np.int64), label, label, out, q, a])
+            size += len(edit)
+            if size > FOLD:
+                yield _lot_rows(_folded(held))
+                held, size = [], 0
+        if size:
+            yield _lot_rows(_folded(held))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            edit, b, lot = _flat(batch, "edits", "b", "lot")
+            held.append([b, lot, edit, *[batch.column(c).flatten().to_numpy() for c in ("times", "low", "high", "open", "q", "best")]])
+            size += len(edit)
+            if size > FOLD:  # the last lot may go on in the next batch
+                folded = _folded(held)
+                last = (folded[0] == b[-1]) & (folded[1] == lot[-1]) if len(b) else np.zeros(len(folded[0]), bool)
+                if not last.all():
+                    yield _lot_rows([c[~last] for c in folded])
+                held = [[c[last] for c in folded]]
+                size = int(last.sum())
+        if size:
+            yield _lot_rows(_folded(held))
+
+    counted = members.select("b", "a", "q", "lots", "label", F.col("out").cast("long").alias("out"), "edits").mapInArrow(count, _LOTS)
+    return counted.repartition("b", "lot").sortWithinPartitions("b", "lot").mapInArrow(merge, _LOTS)
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """(b, lot, a, edits): the edits of each member by lots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.append_column("row", pa.array(np.arange(batch.num_rows)))
+            edit, b, a, lots, row = _flat(batch, "edits", "b", "a", "lots", "row")
+            if not len(edit):
+                continue
+            lot = _lot_of(edit, lots)
+            order = np.lexsort((edit, lot, row))
+            edit, b, a, lot, row = edit[order], b[order], a[order], lot[order], row[order]
+            new = np.flatnonzero(np.concatenate([[True], (lot[1:] != lot[:-1]) | (row[1:] != row[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(b[new]), pa.array(lot[new]), pa.array(a[new]), _lists(np.diff(np.append(new, len(edit))), edit)], ["b", "lot", "a", "edits"])
+
+    return members.select("b", "a", "lots", "edits").mapInArrow(run, "b long, lot long, a long, edits array<long>")
+
+
+def looked_up(members: DataFrame, lots: DataFrame, value: str, keep) -> DataFrame:
+    """(b, a, found): for each member its edits that a lot keeps, as structs (value, edit) in order.
+
+    `lots` comes from tally, `value` is one of its lists, and keep(entry) tells by the lists of an edit whether it counts.
+    Lots that many members touch are looked up by several tasks.
+    """
+    kept = lots.select("b", "lot", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("rows"), F.filter(F.arrays_zip("edits", "times", "low", "high", "open", "best"), keep).alias("z")).where(F.size("z") > 0)
+    listed = materialise(kept.select("b", "lot", F.ceil(F.col("rows") / SPREAD).alias("parts"), F.transform("z", lambda z: z["edits"]).alias("edits"), F.transform("z", lambda z: z[value]).alias("values")), "lots")
+    parts = listed.where("parts > 1").select("b", "lot", "parts")
+    table = listed.select("b", "lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).cast("long").alias("a"), "edits", "values")
+    asking = dealt(members).join(parts, ["b", "lot"], "left").select("b", "lot", F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0)).alias("part"), "a", "edits", F.lit(None).cast("array<long>").alias("values"))
+    both = table.union(asking).repartition("b", "lot", "part").sortWithinPartitions("b", "lot", "part", F.col("values").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, values = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            found = []
+            for b, lot, part, a, own, given in zip(*[batch.column(c).to_numpy(zero_copy_only=False) if c in ("edits", "values") else batch.column(c).to_pylist() for c in ("b", "lot", "part", "a", "edits", "values")], strict=True):
+                if given is not None:
+                    at, known, values = (b, lot, part), own, given
+                elif at == (b, lot, part):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    hit = known[place] == own
+                    if hit.any():
+                        found.append((b, a, own[hit], values[place[hit]]))
+            if found:
+                lengths = [len(f[2]) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), _lists(lengths, np.concatenate([f[2] for f in found])), _lists(lengths, np.concatenate([f[3] for f in found]))], ["b", "a", "edit", "value"])
+
+    hits = both.mapInArrow(run, "b long, a long, edit array<long>, value array<long>")
+    return hits.groupBy("b", "a").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("value", "edit")))).alias("found"))
+
+
+def _with_star(members: DataFrame, stars: DataFrame, how: str = "inner") -> DataFrame:
+    """Members with the columns of their star: a row for each b, laid out SALTS times so that no task gets a whole star."""
+    salted = stars.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS))).join(salted, ["b", "salt"], how).drop("salt")
+
+
 def centred(stars: DataFrame) -> DataFrame:
-    """(b, a, size, q, edits) of the members a of each leader b, with edits against the members' centre."""
-    n = stars.groupBy("b").agg(F.count("*").alias("n"))
-    # each star's size goes along with its edits, which are thus never dealt by the leader alone
-    listed = stars.select("b", "edits").join(n, "b").select("b", "n", F.explode("edits").alias("edit"))
-    times = listed.groupBy("b", "edit").agg(F.count("*").alias("times"), F.max("n").alias("n"))
-    usual = times.where("2 * times > n").groupBy("b").agg(F.collect_list("edit").alias("usual"))
+    """(b, a, size, lots, q, edits) of the members a of each leader b, with edits against the members' centre."""
+    sizes = stars.groupBy("b").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum(F.size("edits")), F.lit(1)) / LOT).alias("lots"))
+    raw = materialise(_with_star(stars.select("b", "a", F.col("size_a").alias("size"), "edits"), sizes), "raw")
+    zero = F.lit(0).cast("long")
+    counts = tally(raw.select("b", "a", zero.alias("q"), "lots", zero.alias("label"), zero.alias("out"), "edits")).join(raw.groupBy("b").agg(F.first("n").alias("n")), "b")
+    frequent = counts.select("b", F.transform(F.filter(F.arrays_zip("edits", "times"), lambda z: 2 * z["times"] > F.col("n")), lambda z: z["edits"]).alias("often"))
+    usual = frequent.where(F.size("often") > 0).groupBy("b").agg(F.flatten(F.collect_list("often")).alias("usual"))
     z = F.coalesce("usual", F.array().cast("array<long>"))
     own = F.concat(F.array_except("edits", z), F.array_except(z, "edits"))
-    moved = stars.join(usual, "b", "left").select("b", "a", F.col("size_a").alias("size"), own.alias("edits"))
+    moved = _with_star(raw, usual, "left").select("b", "a", "size", "lots", own.alias("edits"))
     return moved.withColumn("q", 9 * F.size("edits").cast("long") - F.col("size"))
 
 
@@ -229,51 +370,66 @@ def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return met.where(18 * F.size(F.array_intersect("d_a", "d_m")) >= F.col("q_a") + F.col("q_m")).select("a", F.col("m").alias("b"))
 
 
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of stars that still have members outside the component of the member l of least q.
+
+    Adds label, out (whether outside), l and q_l.  Members inside stay only if one outside might be linked to them: for
+    that their edits must suffice for the least q outside.
+    """
+    named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    nearest = named.groupBy("b").agg(F.min(F.struct("q", "a", "label")).alias("l"))
+    told = _with_star(named, nearest).withColumn("out", F.col("label") != F.col("l.label"))
+    least = told.where("out").groupBy("b").agg(F.min("q").alias("q_out"))
+    open_ = _with_star(told, least).where(F.col("out") | (9 * F.size("edits") + F.col("size") >= F.col("q_out")))
+    return open_.select("b", "a", "size", "q", "lots", "label", "out", F.col("l.a").alias("l"), F.col("l.q").alias("q_l"), "edits")
+
+
 def _band(need: Column) -> Column:
     """Half octaves of the edits that a text must share with the nearest member."""
     return F.floor(F.log2(F.greatest(need, F.lit(0.0)) + 1) * 2).cast("int")
 
 
-def by_edits(stars: DataFrame, links: DataFrame) -> DataFrame:
+def by_edits(stars: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """More links (a, b), between members of one leader's star.
 
-    `stars` has the compared pairs (a member, b leader) with their edits; `links` are the links known so far.
+    `stars` has the compared pairs (a member, b leader) with their edits; `links` are the links known so far, and `labels`
+    components of them.
     """
     members = materialise(centred(stars), "members")
-    if members.isEmpty():
+    todo = materialise(_unsettled(members, labels), "unsettled")
+    if todo.isEmpty():
         return links.limit(0)
-    nearest = members.groupBy("b").agg(F.min(F.struct("q", "a")).alias("l")).select("b", F.col("l.a").alias("m"), F.col("l.q").alias("q_l"))
-    heads = members.select("b", "a", "q", F.explode("edits").alias("edit"))
-    champion = heads.groupBy("b", "edit").agg(F.min(F.struct("q", "a"))["a"].alias("m"))
-    tries = heads.select("b", "a", "edit").join(champion, ["b", "edit"]).select("b", "a", "m").union(members.select("b", "a").join(nearest.select("b", "m"), "b"))
+    # members of least q for some edit of x; x tries those that come up most often, and l
+    votes = looked_up(todo.where("out"), tally(todo), "best", lambda z: z["times"] > 1).select("b", "a", F.transform("found", lambda z: z["value"]).alias("v"))
+    often = F.slice(F.array_sort(F.transform(F.array_distinct("v"), lambda m: F.struct((-F.size(F.filter("v", lambda x: x == m))).alias("n"), m.alias("m")))), 1, CHAMPIONS)
+    tries = votes.select("b", "a", F.explode(F.transform(often, lambda x: x["m"])).alias("m")).union(todo.where("out").select("b", "a", "l"))
     near = materialise(_linked(tries.where("a != m").distinct(), members), "near")
-    labels = components(links.union(near))
-    named = members.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    home = named.select("b", F.col("a").alias("m"), F.col("label").alias("home")).join(nearest, ["b", "m"]).select("b", "home", "q_l")
-    named = named.join(home, "b").withColumn("need", (F.col("q") + F.col("q_l")) / 18).withColumn("out", F.col("label") != F.col("home"))
-    listed = named.select("b", "a", "label", "q", "need", "out", F.explode("edits").alias("edit"))
-    often = listed.groupBy("b", "edit").agg(F.count("*").alias("times"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("out").cast("int")).alias("open"))
+    if not near.isEmpty():
+        # whoever is linked now takes a label of those it is linked to, which belong to its component as well
+        named = near.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select(F.col("a").alias("node"), F.coalesce("label", "b").alias("label"))
+        labels = named.union(labels.join(named, "node", "left_anti").select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
+        todo = materialise(_unsettled(members, labels), "unsettled")
     # an edit matters if a member outside and a member of another component have it
-    useful = materialise(listed.join(often.where("x != y AND open = 1").select("b", "edit", "times"), ["b", "edit"]), "useful")
-    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("times", "edit"))
-    ranked = useful.withColumn("rank", rank).join(useful.groupBy("b", "a").agg(F.count("*").alias("n")), ["b", "a"])
-    reach = lambda need: F.col("rank") <= F.col("n") - F.greatest(F.ceil(need), F.lit(1)) + 1
-    asking = ranked.where("out").where(reach(F.col("need"))).select("b", "edit", "a", "label", _band(F.col("need")).alias("band"))
-    bands = useful.where("out").select("b", _band(F.col("need")).alias("band")).distinct().withColumn("least", F.pow(F.lit(2.0), F.col("band") / 2) - 1 - 1e-9)
+    useful = looked_up(todo, tally(todo), "times", lambda z: (z["low"] != z["high"]) & (z["open"] == 1))
+    ranked = materialise(todo.select("b", "a", "label", "q", "q_l", "out", ((F.col("q") + F.col("q_l")) / 18).alias("need")).join(useful, ["b", "a"]), "useful")
+    reach = lambda need: F.slice("found", 1, F.greatest(F.size("found") - F.greatest(F.ceil(need), F.lit(1)) + 1, F.lit(0)).cast("int"))
+    asking = ranked.where("out").select("b", F.explode(F.transform(reach(F.col("need")), lambda z: z["edit"])).alias("edit"), "a", "label", _band(F.col("need")).alias("band"))
+    bands = ranked.where("out").select("b", _band(F.col("need")).alias("band")).distinct().withColumn("least", F.pow(F.lit(2.0), F.col("band") / 2) - 1 - 1e-9)
     # an x of this band has need >= least, so x and y share at least least + (q(y) - q(l)) / 18 edits
-    above = ranked.join(nearest.select("b", "q_l"), "b").join(bands, "b")
-    shown = above.where(reach(F.col("least") + (F.col("q") - F.col("q_l")) / 18 - 1e-9)).select("b", "band", "edit", F.col("a").alias("m"), F.col("label").alias("label_m"))
+    above = _with_star(ranked, bands).select("b", "band", "a", "label", reach(F.col("least") + (F.col("q") - F.col("q_l")) / 18 - 1e-9).alias("prefix"))
+    shown = above.select("b", "band", F.explode(F.transform("prefix", lambda z: z["edit"])).alias("edit"), F.col("a").alias("m"), F.col("label").alias("label_m"))
     met = asking.join(shown, ["b", "band", "edit"]).where("label != label_m").select("b", "a", "m").distinct()
-    return near.union(_linked(met, members))
+    return near.union(materialise(_linked(met, members), "late"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of undirected edges (a, b); the label is the component's least node.
 
-    Alternates large-star and small-star steps; each step shuffles the edges once and ends in a written table.
+    Alternates large-star and small-star steps; each step shuffles the edges once and ends in a written table, whose
+    number and hash of edges are observed while it is written.
     """
-    stars = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    mark = None
+    stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    written = mark = None
     while True:
         both = stars.union(stars.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -281,8 +437,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        stars = materialise(small, "stars")
-        now = stars.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        seen = Observation()
+        stars = materialise(small.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "stars")
+        discard(written)
+        written, now = stars, seen.get
         if now == mark:
             roots = stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             return materialise(stars.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots).groupBy("node").agg(F.min("label").alias("label")), "labels")
@@ -312,7 +470,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(compared(rest.withColumn("wide", F.lit(False)), texts).where("linked").select("a", "b"), "found")
     wide = left.where(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
-    met = by_edits(stars.join(wide.select("b").distinct(), "b", "left_semi").where(F.col("edits").isNotNull()), known)
+    met = by_edits(stars.join(wide.select("b").distinct(), "b", "left_semi").where(F.col("edits").isNotNull()), known, labels)
     return rows.select("doc_id", "node"), components(known.union(met))
 
 
