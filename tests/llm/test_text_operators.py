@@ -404,3 +404,146 @@ def test_frequent_id_keeps_the_sample_small(spark):
     labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
     rows = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()
     assert sorted((r.doc_id, r.text, r.label) for r in rows) == [(7, "text 0", 1), (8, "other", 0)]
+
+
+def plain_score(text, lexicon, clean, exact_only, weights):
+    """The score word by word: every form of a word against every term by edit distance."""
+
+    def best(form):
+        exact = [t for t in lexicon if (form.startswith(t[:-1]) if t.endswith("*") else form == t)]
+        top = max(exact, key=lexicon.get, default=None)
+        if form in clean or (top and not top.endswith("*")):
+            return top and (False, top)
+        near = []
+        for t in lexicon:
+            body = t.rstrip("*")
+            most = 0 if t in exact_only else 2 if len(body) >= 8 else 1 if len(body) >= 5 or (len(body) == 4 and t == body) else 0
+            ends = [form[:k] for k in range(len(form) + 1)] if t.endswith("*") else [form]
+            if most and any(close(e, body, most) for e in ends if len(body) > 4 or len(e) == 4):
+                near.append(t)
+        if near and (top is None or 0.75 * max(map(lexicon.get, near)) > lexicon[top]):
+            return True, max(near, key=lexicon.get)
+        return top and (False, top)
+
+    words = text.split()
+    plain = quoted = close_ = strongest = 0.0
+    for i, w in enumerate(words):
+        found = [f for f in map(best, toxicity.forms(w)) if f]
+        if not found:
+            continue
+        near, term = max(found, key=lambda f: (not f[0], lexicon[f[1]]))
+        odds = lexicon[term]
+        if toxicity.is_quoted(words, i):
+            quoted += odds
+            continue
+        close_ += odds if near else 0.0
+        odds *= 0.75 if near else 1.0
+        plain, strongest = plain + odds, max(strongest, odds)
+    x = [1.0, strongest, math.log1p(plain), math.log1p(quoted), math.log1p(close_), plain / math.sqrt(len(words)) if words else 0.0]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights))))
+
+
+def test_scores_against_plain_distances(spark):
+    lexicon = {"idiot": 4.0, "worthless": 5.0, "scum": 3.0, "pathet*": 2.5, "clown": 3.5, "loser": 3.2}
+    clean, exact_only, weights = frozenset({"crown", "lower"}), frozenset({"loser"}), np.array([-4.0, 0.8, 0.9, 0.1, 0.3, 0.5])
+    rng = np.random.default_rng(9)
+    pool = "idiot idoit 1diot idiooot worthless wrothless wprthlss scum scvm $cum pathetic pathtic clown crown loser looser lower the a man said \"idiot\" 'clown' and so it is".split()
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 9))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.score(df, pickle.dumps((lexicon, clean, exact_only, weights))).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == pytest.approx(plain_score(t, lexicon, clean, exact_only, weights), abs=1e-9), t
+
+
+def test_ftrl_against_a_scalar_loop():
+    rng = np.random.default_rng(1)
+    hasher = quality_classifier.Hasher()
+    vectors = [hasher.vector(" ".join(rng.choice(["good", "Bad!!", "calm", "word", "x1"], rng.integers(0, 8)))) for _ in range(60)]
+    labels = rng.integers(0, 2, 60).astype(float)
+    a, b, l1, l2, bias = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1, quality_classifier.L2, 1 << quality_classifier.BITS
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(3):
+        for (places, values), y in zip(vectors, labels):
+            x = [*zip(places.tolist(), values.tolist()), (bias, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            gap = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x))) - y
+            for i, v in x:
+                g = gap * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * w[i]
+                n[i] += g * g
+    found = quality_classifier.ftrl(vectors, labels, 3)
+    assert all(found[i] == pytest.approx(weight(i), abs=1e-6) for i in z) and np.count_nonzero(found) == sum(weight(i) != 0 for i in z)
+
+
+def test_scores_are_sparse_dot_products(spark):
+    weights = np.random.default_rng(0).standard_normal((1 << quality_classifier.BITS) + 1).astype(np.float32)
+    texts = ["Good WORDS here. and good good", "", "one", "a b\nc D!!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_classifier.score(df, weights.tobytes()).collect():
+        places, values = quality_classifier.Hasher().vector(texts[r.doc_id])
+        total = float(weights[-1]) + sum(float(weights[i]) * v for i, v in zip(places.tolist(), values.tolist()))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+        assert not len(values) or sum(v * v for v in values) == pytest.approx(1)
+
+
+def test_fit_samples_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * (10_000 if i % 2 else 100), i % 2) for i in range(100)], "doc_id long, text string, label int")
+    held = pickle.loads(toxicity.fit_in_one_task(rows, lambda r: pickle.dumps(r), 60_000))
+    assert sum(len(t) for _, t, _ in held) <= 60_000 and sum(y for _, _, y in held) >= 5 and len(held) > 45
+    labels = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "t") for i in range(0, 1000, 100)], "doc_id long, text string")
+    assert toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 10).count() == 10
+
+
+@pytest.mark.parametrize("text", ["ab the cat=" * 9, "中文字" * 30, "The/quick-brown/fox" * 4, "=" * 60, "x中y" * 20, "nothing long"])
+def test_cut_units_keep_all_paths(text):
+    """A path's log probability against a plain forward sum over the whole lattice."""
+    vocabulary = segment_sampling.vocabulary(PIECES, 0.5)
+    own = vocabulary.processor
+    pieces = {own.id_to_piece(i): i for i in range(own.vocab_size()) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i))}
+    whole = "▁" + text.replace(" ", "▁")
+    longest = max(map(len, pieces))
+    edges = lambda i: [(k, vocabulary.log_weight[pieces[whole[i:k]]]) for k in range(i + 1, min(len(whole), i + longest) + 1) if whole[i:k] in pieces]
+    single = lambda c: len(c.encode()) * vocabulary.log_weight[vocabulary.byte_ids[0]]
+    total = [0.0] + [-np.inf] * len(whole)
+    for i in range(len(whole)):
+        found = edges(i)
+        if whole[i] not in pieces:
+            found.append((i + 1, single(whole[i])))
+        for k, w in found:
+            total[k] = np.logaddexp(total[k], total[i] + w)
+    for ids, logp, _, _ in segment_sampling.sample_texts([text], np.array([5], np.uint64), PIECES, 0.5, 2)[0]:
+        at, weight = 0, 0.0
+        held = b""
+        for i in np.frombuffer(ids, "<u4").tolist():
+            if i in vocabulary.byte_ids:
+                held += bytes([vocabulary.byte_ids.index(i)])
+                weight += vocabulary.log_weight[vocabulary.byte_ids[0]]
+                continue
+            weight += vocabulary.log_weight[i]
+        assert logp == pytest.approx(weight - total[-1], abs=1e-6)
+        assert segment_sampling.decode(np.frombuffer(ids, "<u4"), PIECES) == text
+
+
+def test_worker_caches_are_bounded_by_characters(monkeypatch):
+    rng = np.random.default_rng(0)
+    lines = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 300))) for _ in range(400)]
+    for module in (packing, token_counts, quality_classifier, toxicity):
+        monkeypatch.setattr(module, "CACHE_CHARS", 20_000)
+    encoder, spans, hasher, matcher = packing.WordEncoder(WORDS), token_counts.SpanEncoder(BYTES, public_tokenizers.PATTERN), quality_classifier.Hasher(), toxicity.Matcher({"idiot": 1.0})
+    monkeypatch.setattr(segment_sampling, "CACHE_EDGES", 5_000)
+    bank = segment_sampling._banks.setdefault((PIECES, 0.7), segment_sampling.Bank(segment_sampling.vocabulary(PIECES, 0.7)))
+    held = lambda *kept: sum(len(w) for k in kept for w in k)
+    whole = Tokenizer.from_file(WORDS)
+    for line in lines:
+        assert np.frombuffer(encoder.encode([line])[0], "<u4").tolist() == whole.encode(line, add_special_tokens=False).ids
+        list(spans.spans([line]))
+        hasher.vector(line)
+        matcher.features(line)
+        segment_sampling.sample_texts([line], np.array([1], np.uint64), PIECES, 0.7, 1)
+        assert held(encoder.words, encoder.words.older) < 42_000 and held(spans.known, spans.older) < 42_000
+        assert held(hasher.words) < 21_000 and held(matcher.plain) < 21_000 and bank.edges < 8_000
