@@ -2,18 +2,24 @@
 
 Quality rules and the toxicity score drop documents, near-duplicate classes keep one document each, and the rest is
 packed into windows of token ids.
+
+Defined results, for the pipeline and for each stage on its own: a null text counts as empty and fails the quality rules;
+rows with a null id pass through the stages like any others, as a class without a name; repeated rows are copies, of
+which one stays; of a class that holds several ids the row with the least id stays; ties of texts and lengths change
+nothing; very long texts are read whole; an empty table gives an empty table; extra columns, whatever their names, are
+kept by all stages but the last, which returns pieces alone.  Documents without labels are scored like any others, and
+labels of absent documents are left out.  Every stage ends in a written table in the folder of spark.checkpoint.dir, and
+the table of a stage is deleted once the next one is written.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bag_minhash, packing, quality_rules, toxicity
-from rasterloom.llm.common import id_bucket, shared_folder
+from rasterloom.llm.common import discard, id_bucket, materialise
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # the next stage reads this one's table alone
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
