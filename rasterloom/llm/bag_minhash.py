@@ -470,7 +470,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(compared(rest.withColumn("wide", F.lit(False)), texts).where("linked").select("a", "b"), "found")
     wide = left.where(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
-    met = by_edits(stars.join(wide.select("b").distinct(), "b", "left_semi").where(F.col("edits").isNotNull()), known, labels)
+    met = by_edits(_with_star(stars.where(F.col("edits").isNotNull()), wide.select("b").distinct()), known, labels)
     return rows.select("doc_id", "node"), components(known.union(met))
 
 
