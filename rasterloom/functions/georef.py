@@ -39,6 +39,12 @@ class Grid:
     driver: str = "parquet"
     path: str = ""
 
+    @property
+    def epsg(self) -> int | None:
+        """The number of the coordinate system, if it has one."""
+        kind, _, number = self.crs.partition(":")
+        return int(number) if kind == "EPSG" and number.isdigit() else None
+
     @property
     def bounds(self) -> tuple[float, float, float, float]:
         """left, bottom, right, top"""

@@ -42,8 +42,9 @@ def required_patch_size(model_name: Column) -> Column:
     return F.coalesce(patch_size(model_name), F.raise_error(F.concat(F.lit("no patch size in the model name "), model_name)).cast("int"))
 
 
-def checkpoint_name(epoch: Column, loss: Column) -> Column:
-    return F.format_string("model_%02d_%.2f.h5", epoch, loss)
+def checkpoint_name(epoch: Column, loss: Column, template: str = "model_epoch_%02d_valloss_%.2f.h5") -> Column:
+    """A name by a template in printf's form, with the epoch first and the validation loss second."""
+    return F.format_string(template, epoch, loss)
 
 
 def rgba(mask: Column, colour: str = "red") -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,15 +45,20 @@ def above(value: Column, threshold: float = 0.5) -> Column:
 
 
 def score(probability: Column, scale: float = 100.0) -> Column:
-    """Probability times 100, truncated to a short; a float column is scaled in single precision."""
+    """Probability times 100 in double precision, truncated to a short."""
     return (probability * F.lit(scale)).cast("smallint")
 
 
 def score_float(probability: Column, scale: float = 100.0) -> Column:
-    """score() in single precision throughout."""
+    """score() in single precision throughout, as networks give their probabilities."""
     return (probability.cast("float") * F.lit(scale).cast("float")).cast("smallint")
 
 
+def score_of(rows: DataFrame, name: str, scale: float = 100.0) -> Column:
+    """The score of a column in the precision that the column has."""
+    return (score_float if rows.schema[name].dataType.typeName() == "float" else score)(F.col(name), scale)
+
+
 def suppress(value: Column, threshold: int = 10) -> Column:
     """Scores up to the threshold become 0."""
     return F.when(value > threshold, value).otherwise(F.lit(0)).cast("smallint")

@@ -87,16 +87,24 @@ def drawn_turn(key: Column, draw: int = 0, seed: int = 42) -> tuple[Column, Colu
     return digit(1) < 8, digit(2) % 4
 
 
-def affine_sampled(images: DataFrame, height: int, width: int, degrees: float, shear: float, shift: float, flip: bool, fill: float = 0.0) -> DataFrame:
-    """Images under a rotation, shear, vertical shift and flip about the centre; the nearest source pixel, else `fill`."""
-    import math
+def drawn(key: Column, name: str, low: float, high: float, draw: int = 0, seed: int = 42) -> Column:
+    """A number from [low, high), uniform over keys, from a hash of the row's key and the name of what is drawn."""
+    digest = key_hash(F.lit(seed), F.lit(draw), F.lit(name), key)
+    return F.lit(low) + F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.lit(high - low)
 
-    a, s = math.radians(degrees), math.radians(shear)
+
+def affine_sampled(images: DataFrame, height: int, width: int, degrees: float | Column, shear: float | Column, shift: float | Column, flip: bool | Column, fill: float = 0.0) -> DataFrame:
+    """Images under a rotation, shear, vertical shift and flip about the centre; the nearest source pixel, else `fill`.
+
+    The amounts may be columns made from image_id, so that every image has its own.
+    """
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    a, s, shift, flip = F.radians(lit(degrees)), F.radians(lit(shear)), lit(shift), lit(flip)
     cy, cx = (height - 1) / 2, (width - 1) / 2
     line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     spine = images.select("image_id").distinct().withColumn("row", line(height)).withColumn("col", line(width))
-    y, x = F.col("row") - cy - shift * height, ((width - 1 - F.col("col")) if flip else F.col("col")) - cx
-    sr = F.floor(math.cos(a) * y + math.sin(a) * x + cy + 0.5).cast("int")
-    sc = F.floor((-math.sin(a) + math.tan(s) * math.cos(a)) * y + (math.cos(a) + math.tan(s) * math.sin(a)) * x + cx + 0.5).cast("int")
+    y, x = F.col("row") - cy - shift * height, F.when(flip, width - 1 - F.col("col")).otherwise(F.col("col")) - cx
+    sr = F.floor(F.cos(a) * y + F.sin(a) * x + cy + 0.5).cast("int")
+    sc = F.floor((-F.sin(a) + F.tan(s) * F.cos(a)) * y + (F.cos(a) + F.tan(s) * F.sin(a)) * x + cx + 0.5).cast("int")
     source = images.select("image_id", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
     return spine.withColumns({"sr": sr, "sc": sc}).join(source, ["image_id", "sr", "sc"], "left").select("image_id", "row", "col", F.coalesce("value", F.lit(fill)).alias("value"))

@@ -86,9 +86,26 @@ class Network:
             out.append(own)
         return out
 
-    def forward(self, x: np.ndarray, weights: list[dict[str, np.ndarray]]) -> np.ndarray:
+    def rule_weights(self) -> list[dict[str, np.ndarray]]:
+        """Weights in double precision by a rule that any engine can repeat, from a step's number and an entry's place.
+
+        Kernels are spread over [-u, u) with u = sqrt(6 / fan in), by a congruence; the others take a few small values.
+        """
+        out = []
+        for s, step in enumerate(self.steps):
+            own = {}
+            for name, shape in step.shapes.items():
+                i = np.arange(math.prod(shape))
+                if name == "kernel":
+                    own[name] = ((((i * 7919 + s * 104729 + 12345) % 10007) / 5003.5 - 1.0) * math.sqrt(6 / math.prod(shape[:-1]))).reshape(shape)
+                else:
+                    own[name] = {"bias": (i * 17 + s * 31) % 7 / 50 - 0.06, "gamma": 1 + (i + s) % 3 / 10, "beta": (i + s) % 5 / 20 - 0.1, "mean": (i * 3 + s) % 4 / 10, "variance": 1 + (i + s) % 2 / 2}[name]
+            out.append(own)
+        return out
+
+    def forward(self, x: np.ndarray, weights: list[dict[str, np.ndarray]], dtype=np.float32) -> np.ndarray:
         last = {r: i for i, step in enumerate(self.steps) for r in step.reads}
-        values: dict[int, np.ndarray] = {0: x.astype(np.float32)}
+        values: dict[int, np.ndarray] = {0: x.astype(dtype)}
         for i, (step, own) in enumerate(zip(self.steps, weights, strict=True)):
             if i:
                 values[i] = _OPS[step.op](*[values[r] for r in step.reads], **step.options, **own)
@@ -118,7 +135,7 @@ def _conv(x, kernel, bias=None, activation=None, padding="same"):
     if padding == "same":
         x = np.pad(x, [(0, 0), *[((k - 1) // 2, k // 2) for k in size], (0, 0)])
     out_space = [n - k + 1 for n, k in zip(_space(x), size, strict=True)]
-    out = np.zeros((x.shape[0], *out_space, kernel.shape[-1]), np.float32)
+    out = np.zeros((x.shape[0], *out_space, kernel.shape[-1]), x.dtype)
     for at in itertools.product(*map(range, size)):
         part = x[(slice(None), *[slice(a, a + n) for a, n in zip(at, out_space, strict=True)])]
         out += part @ kernel[at]
@@ -128,7 +145,7 @@ def _conv(x, kernel, bias=None, activation=None, padding="same"):
 def _deconv(x, kernel, bias, activation=None):
     """Stride two; the output has twice the input's extent, what reaches past it is cut off at the end."""
     size = kernel.shape[:-2]
-    out = np.zeros((x.shape[0], *[2 * n + k for n, k in zip(_space(x), size, strict=True)], kernel.shape[-1]), np.float32)
+    out = np.zeros((x.shape[0], *[2 * n + k for n, k in zip(_space(x), size, strict=True)], kernel.shape[-1]), x.dtype)
     for at in itertools.product(*map(range, size)):
         out[(slice(None), *[slice(a, a + 2 * n, 2) for a, n in zip(at, _space(x), strict=True)])] += x @ kernel[at]
     return _activate(out[(slice(None), *[slice(0, 2 * n) for n in _space(x)])] + bias, activation)
@@ -225,11 +242,12 @@ def satellite_unet(channels: int = 1, classes: int = 1, layers: int = 4, head: s
     return net
 
 
-def predict_tiles(tiles: DataFrame, net: Network, weights: list[dict[str, np.ndarray]], size: int, at_once: int = 32) -> DataFrame:
+def predict_tiles(tiles: DataFrame, net: Network, weights: list[dict[str, np.ndarray]], size: int, at_once: int = 32, precision: str = "float") -> DataFrame:
     """Probabilities of whole tiles: rows (tile_id, data) with data row-major, `size` along every axis of the network.
 
-    Weights are broadcast.  A network without padding returns fewer cells than it got.
+    Weights are broadcast.  A network without padding returns fewer cells than it got.  Layers compute in `precision`.
     """
+    dtype = {"float": np.float32, "double": np.float64}[precision]
     shared = tiles.sparkSession.sparkContext.broadcast((net, weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,11 +255,11 @@ def predict_tiles(tiles: DataFrame, net: Network, weights: list[dict[str, np.nda
         for pdf in batches:
             for k in range(0, len(pdf), at_once):
                 part = pdf.iloc[k : k + at_once]
-                x = np.stack([np.asarray(d, np.float32) for d in part["data"]]).reshape(-1, *(size,) * own.space, 1)
-                y = own.forward(x, w)[..., 0]
+                x = np.stack([np.asarray(d, dtype) for d in part["data"]]).reshape(-1, *(size,) * own.space, 1)
+                y = own.forward(x, w, dtype)[..., 0]
                 yield pd.DataFrame({"tile_id": part["tile_id"].to_numpy(), "data": list(y.reshape(len(part), -1))})
 
-    return tiles.select("tile_id", "data").mapInPandas(run, "tile_id long, data array<float>")
+    return tiles.select("tile_id", "data").mapInPandas(run, f"tile_id long, data array<{precision}>")
 
 
 def early_stop(history: list[float], patience: int = 10) -> int | None:

@@ -13,10 +13,15 @@ def band_stats(pixels: DataFrame, value: str = "value", nodata: float | None = N
     if nodata is not None:
         ok = ok & (v != nodata)
     v, w_ok = F.when(ok, v), F.when(ok, w)
-    moments = pixels.agg(F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.sum(w_ok).alias("n"), F.sum(v * w_ok).alias("s"), F.sum(v * v * w_ok).alias("q"), F.sum(w).alias("all"))
-    mean = F.try_divide("s", "n")
-    spread = F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0)))
-    return moments.select("minimum", "maximum", mean.alias("mean"), spread.alias("stddev"), (F.try_divide(F.coalesce("n", F.lit(0.0)), "all") * 100).alias("valid_percent"))
+    share = (F.try_divide(F.coalesce("n", F.lit(0.0)), "all") * 100).alias("valid_percent")
+    extremes = [F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.sum(w_ok).alias("n"), F.sum(w).alias("all")]
+    if weight is None:
+        return pixels.agg(*extremes, F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev")).select("minimum", "maximum", "mean", "stddev", share)
+    # squares are summed around the mean, which a first aggregate gives as one row
+    first = pixels.agg(*extremes, F.sum(v * w_ok).alias("s")).withColumn("mean", F.try_divide("s", "n"))
+    around = pixels.select(v.alias("v"), w_ok.alias("w")).crossJoin(F.broadcast(first.select(F.col("mean").alias("m"))))
+    spread = around.agg(F.sqrt(F.try_divide(F.sum(F.col("w") * (F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))), F.sum("w"))).alias("stddev"))
+    return first.crossJoin(F.broadcast(spread)).select("minimum", "maximum", "mean", "stddev", share)
 
 
 def histogram(pixels: DataFrame, low: float, high: float, buckets: int, value: str = "value") -> DataFrame:

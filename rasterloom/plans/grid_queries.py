@@ -194,10 +194,11 @@ def batches(spark, sf_dir):
 
 
 @query("""WITH kept AS (SELECT s_suppkey, row_number() OVER (ORDER BY md5('42-0-' || s_suppkey)) - 1 AS p, count(*) OVER () AS n FROM supplier WHERE s_acctbal > 0)
-SELECT CAST(k // 16 AS INT) AS batch_id, CAST(k % 16 AS INT) AS slot, s_suppkey FROM (SELECT unnest(range(0, 160)) AS k), kept WHERE p = k % n""")
+SELECT CAST(k // 16 AS INT) AS batch_id, CAST(k % 16 AS INT) AS slot, s_suppkey FROM (SELECT unnest(range(0, CAST((SELECT (count(*) + 15) // 16 * 16 FROM kept) AS BIGINT))) AS k), kept WHERE p = k % n""")
 def refill(spark, sf_dir):
+    """As many batches as the survivors need; the last one is filled up from the start."""
     survivors = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0").select("s_suppkey")
-    return dataset.refilled(survivors, "s_suppkey", 16, 10)
+    return dataset.refilled(survivors, "s_suppkey", 16, -(-survivors.count() // 16))
 
 
 @query(f"{_P} SELECT count(*) AS located, CAST(count_if(px_min >= 0 AND px_max <= w AND py_min >= 0 AND py_max <= h) AS BIGINT) AS saved FROM located, dims")

@@ -272,7 +272,7 @@ def output_name(spark, sf_dir):
     return _models(spark, sf_dir).select("p_partkey", naming.output_name(source, F.col("model"), "predictions").alias("path"))
 
 
-@query("SELECT s_suppkey, 'model_' || lpad(CAST(s_suppkey % 40 AS VARCHAR), 2, '0') || '_' || format('{:.2f}', (s_suppkey % 7) / 9.0E0 + 0.1E0) || '.h5' AS name FROM supplier")
+@query("SELECT s_suppkey, 'model_epoch_' || lpad(CAST(s_suppkey % 40 AS VARCHAR), 2, '0') || '_valloss_' || format('{:.2f}', (s_suppkey % 7) / 9.0E0 + 0.1E0) || '.h5' AS name FROM supplier")
 def checkpoint_name(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return s.select("s_suppkey", naming.checkpoint_name((F.col("s_suppkey") % 40).cast("int"), (F.col("s_suppkey") % 7) / 9.0 + 0.1).alias("name"))

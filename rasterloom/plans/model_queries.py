@@ -10,6 +10,7 @@ from rasterloom.operators import dataset, nn, tiling
 from rasterloom.plans import training
 from rasterloom.plans.grid_queries import NORM_SQL, PADDED_SQL, TILE_PIXELS_SQL, TILES_SQL
 from rasterloom.plans.image_queries import _J, _S, _judged, _placed
+from rasterloom.plans.network_sql import network_sql
 from rasterloom.plans.prediction import predict_mosaic as predict_plan
 from rasterloom.plans.registry import query
 from rasterloom.sources import grids, tiff, vector
@@ -25,56 +26,86 @@ def _shared(spark) -> str:
 def _chip_tiles(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     low, high = F.array_min("embedding").cast("double"), F.array_max("embedding").cast("double")
-    return e.select(F.col("vec_id").alias("tile_id"), F.transform("embedding", lambda x: radiometry.min_max(x, low, high).cast("float")).alias("data"))
+    return e.select(F.col("vec_id").alias("tile_id"), F.transform("embedding", lambda x: radiometry.min_max(x, low, high)).alias("data"))
 
 
 def _forward(net):
     def run(spark, sf_dir):
-        out = nn.predict_tiles(_chip_tiles(spark, sf_dir), net, net.weights(1), 8)
+        out = nn.predict_tiles(_chip_tiles(spark, sf_dir), net, net.rule_weights(), 8, precision="double")
         cell = out.select("tile_id", F.posexplode("data").alias("k", "p"))
-        score = radiometry.suppress(radiometry.score(F.col("p")))
+        score = radiometry.suppress(radiometry.score_of(cell, "p"))
         return cell.select("tile_id", F.floor(F.col("k") / 8).cast("int").alias("row"), (F.col("k") % 8).cast("int").alias("col"), score.alias("pred"))
 
     return run
 
 
-@query()
+def _pred_sql(p: str) -> str:
+    return f"CAST(CASE WHEN trunc({p} * 100) > 10 THEN trunc({p} * 100) ELSE 0 END AS SMALLINT) AS pred"
+
+
+def _forward_sql(net) -> str:
+    layers, last = network_sql(net, 8, "a0")
+    return f"""{_S}, a0 AS (SELECT image_id AS t, "row" AS y, col AS x, 0 AS c, p AS v FROM scaled), {layers}
+SELECT t AS tile_id, CAST(y AS INT) AS "row", CAST(x AS INT) AS col, {_pred_sql("v")} FROM {last}"""
+
+
+_UNET, _SATELLITE, _VNET, _UNPADDED = nn.unet(filters=4, layers=2), nn.satellite_unet(layers=1, filters=4, wide=6), nn.vnet(filters=2, layers=2), nn.unpadded_unet(filters=2, layers=2)
+
+
+@query(_forward_sql(_UNET))
 def unet_forward(spark, sf_dir):
-    """Scores of all chips by a seeded attention network."""
-    return _forward(nn.unet(filters=4, layers=2))(spark, sf_dir)
+    """Scores of all chips by an attention network."""
+    return _forward(_UNET)(spark, sf_dir)
 
 
-@query()
+@query(_forward_sql(_SATELLITE))
 def satellite_forward(spark, sf_dir):
-    return _forward(nn.satellite_unet(layers=1, filters=4, wide=6))(spark, sf_dir)
+    return _forward(_SATELLITE)(spark, sf_dir)
+
+
+def _vnet_sql() -> str:
+    layers, last = network_sql(_VNET, 8, "a0")
+    volumes = "SELECT DISTINCT vec_id // 8 AS t FROM embeddings"
+    return f"""{_S}, a0 AS (SELECT t, z, y, x, 0 AS c, coalesce(p, 0) AS v FROM ({volumes}), (SELECT unnest(range(8)) AS z), (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x)
+  LEFT JOIN scaled ON image_id = t * 8 + z AND "row" = y AND col = x), {layers}
+SELECT CAST(t AS BIGINT) AS tile_id, CAST(z * 64 + y * 8 + x AS INT) AS k, {_pred_sql("v")} FROM {last} WHERE t * 8 + z IN (SELECT vec_id FROM embeddings)"""
 
 
-@query()
+@query(_vnet_sql())
 def vnet_forward(spark, sf_dir):
-    """Scores of volumes of eight successive chips by a seeded three-dimensional network.
+    """Scores of volumes of eight successive chips by a three-dimensional network.
 
     Chips that a volume lacks count as zeros; only the cells of chips that exist are returned.
     """
-    net = nn.vnet(filters=2, layers=2)
     tiles = _chip_tiles(spark, sf_dir)
     volumes = tiles.groupBy(F.floor(F.col("tile_id") / 8).alias("volume")).agg(F.array_sort(F.collect_list(F.struct("tile_id", "data"))).alias("slices"))
-    empty = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    empty = F.array_repeat(F.lit(0.0), 64)
     at = lambda k: F.get(F.filter("slices", lambda s: s["tile_id"] == F.col("volume") * 8 + k), F.lit(0))["data"]
     whole = volumes.select(F.col("volume").alias("tile_id"), F.flatten(F.array(*[F.coalesce(at(k), empty) for k in range(8)])).alias("data"))
-    out = nn.predict_tiles(whole, net, net.weights(1), 8, 4)
+    out = nn.predict_tiles(whole, _VNET, _VNET.rule_weights(), 8, 4, precision="double")
     cell = out.select("tile_id", F.posexplode("data").alias("k", "p")).withColumn("chip", F.col("tile_id") * 8 + F.floor(F.col("k") / 64))
     real = cell.join(tiles.select(F.col("tile_id").alias("chip")), "chip", "left_semi")
-    return real.select("tile_id", "k", radiometry.suppress(radiometry.score(F.col("p"))).alias("pred"))
+    return real.select("tile_id", "k", radiometry.suppress(radiometry.score_of(real, "p")).alias("pred"))
 
 
-@query()
+def _unpadded_sql() -> str:
+    layers, last = network_sql(_UNPADDED, 48, "a0")
+    cells = "SELECT row_off, col_off, y, x, coalesce(CASE WHEN isnan(value) THEN 0 ELSE value END, 0) AS v FROM"
+    return f"""WITH {DTM_SQL}, tiles AS (SELECT r * 8 AS row_off, q * 8 AS col_off FROM dims, (SELECT unnest(range(0, CAST((SELECT (h + 7) // 8 FROM dims) AS BIGINT))) AS r), (SELECT unnest(range(16)) AS q)),
+cells AS ({cells} (SELECT * FROM tiles, (SELECT unnest(range(48)) AS y), (SELECT unnest(range(48)) AS x)) LEFT JOIN dtm ON "row" = row_off + y - 20 AND col = col_off + x - 20),
+a0 AS MATERIALIZED (SELECT row_off * 1000000 + col_off AS t, y, x, 0 AS c, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE v END AS v
+  FROM cells JOIN (SELECT row_off, col_off, min(v) AS lo, max(v) AS hi FROM cells GROUP BY ALL) USING (row_off, col_off)), {layers}
+SELECT CAST(t AS BIGINT) AS tile_id, CAST(y * 8 + x AS INT) AS k, round(v, 6) AS p FROM {last}, dims WHERE t // 1000000 + y < h AND t % 1000000 + x < w"""
+
+
+@query(_unpadded_sql())
 def unpadded_forward(spark, sf_dir):
     """Scores of the whole terrain by a network without padding: 8 x 8 cells of each 48 x 48 tile.
 
     The raster gets a margin of zeros on all sides and tiles lie a stride of 8 apart, so that their inner cells meet; tile
     and cell k give the place in the terrain, and cells of tiles beyond its far edges are left out.
     """
-    net, patch, inner = nn.unpadded_unet(filters=2, layers=2), 48, 8
+    patch, inner = 48, 8
     margin = (patch - inner) // 2
     grid = grids.terrain_grid(spark, sf_dir)
     up = lambda n: -(-n // inner) * inner + 2 * margin
@@ -82,12 +113,12 @@ def unpadded_forward(spark, sf_dir):
     moved = grids.terrain(spark, sf_dir).withColumns({"row": F.col("row") + margin, "col": F.col("col") + margin})
     tiles = tiling.tile_grid(spark, wide, patch, patch - inner)
     padded = tiling.pad(tiling.to_tiles(moved, wide, patch, patch - inner), tiles, patch)
-    value = radiometry.min_max_over(radiometry.fill_nan(F.col("value")), "row_off", "col_off").cast("float")
+    value = radiometry.min_max_over(radiometry.fill_nan(F.col("value")), "row_off", "col_off")
     cells = padded.withColumn("value", value).groupBy("row_off", "col_off").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * patch + F.col("c")).alias("k"), F.col("value").alias("v")))).alias("cells"))
     rows = cells.select((F.col("row_off").cast("long") * 1_000_000 + F.col("col_off")).alias("tile_id"), F.transform("cells", lambda x: x["v"]).alias("data"))
-    scored = nn.predict_tiles(rows, net, net.weights(1), patch).select("tile_id", F.posexplode("data").alias("k", "p"))
+    scored = nn.predict_tiles(rows, _UNPADDED, _UNPADDED.rule_weights(), patch, precision="double").select("tile_id", F.posexplode("data").alias("k", "p"))
     row, col = F.floor(F.col("tile_id") / 1_000_000) + F.floor(F.col("k") / inner), F.col("tile_id") % 1_000_000 + F.col("k") % inner
-    return scored.where((row < grid.height) & (col < grid.width))
+    return scored.where((row < grid.height) & (col < grid.width)).withColumn("p", F.round("p", 6))
 
 
 @query("SELECT * FROM (VALUES ('unet', CAST(1989477 AS BIGINT)), ('unet without attention', 1945233), ('vnet', 5649329), ('unpadded', 31030593), ('satellite', 1616289)) AS t(model, parameters)")
@@ -155,18 +186,43 @@ def mosaic_stream(spark, sf_dir):
     return stream.current(spark, f"{folder}/out")
 
 
-@query()
-def model_mosaic(spark, sf_dir):
-    """The prediction plan over the terrain with a seeded network as its model, tile by tile."""
-    net = nn.unet(filters=2, layers=2)
-    grid, patch = grids.terrain_grid(spark, sf_dir), 32
+_MOSAIC = nn.unet(filters=2, layers=2)
+_MOSAIC_LAYERS, _MOSAIC_LAST = network_sql(_MOSAIC, 32, "a0")
+
+
+def _tile_model(patch, predict):
+    """A model for the prediction plan: tiles as arrays, `predict` over them, cells again."""
 
     def model(scaled):
-        tile = scaled.groupBy("row_off", "col_off").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * patch + F.col("c")).alias("k"), F.col("value").cast("float").alias("v")))).alias("cells"))
+        tile = scaled.groupBy("row_off", "col_off").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * patch + F.col("c")).alias("k"), F.col("value").alias("v")))).alias("cells"))
         rows = tile.select((F.col("row_off").cast("long") * (1 << 31) + F.col("col_off")).alias("tile_id"), F.transform("cells", lambda x: x["v"]).alias("data"))
-        out = nn.predict_tiles(rows, net, net.weights(1), patch).select("tile_id", F.posexplode("data").alias("k", "value"))
+        out = predict(rows).select("tile_id", F.posexplode("data").alias("k", "value"))
         return out.select(F.shiftright("tile_id", 31).cast("int").alias("row_off"), (F.col("tile_id") % (1 << 31)).cast("int").alias("col_off"), F.floor(F.col("k") / patch).cast("int").alias("r"), (F.col("k") % patch).cast("int").alias("c"), "value")
 
+    return model
+
+
+@query(f"""WITH {DTM_SQL}, {TILES_SQL}, {TILE_PIXELS_SQL}, {PADDED_SQL}, {NORM_SQL}, a0 AS MATERIALIZED (SELECT row_off * 1000000 + col_off AS t, r AS y, c AS x, 0 AS c, value AS v FROM norm), {_MOSAIC_LAYERS}
+SELECT CAST(t // 1000000 + y AS INT) AS "row", CAST(t % 1000000 + x AS INT) AS col, CAST(greatest(max(CASE WHEN trunc(v * 100) > 10 THEN trunc(v * 100) ELSE 0 END), 0) AS SMALLINT) AS pred
+FROM {_MOSAIC_LAST}, dims WHERE t // 1000000 + y < h AND t % 1000000 + x < w GROUP BY 1, 2""")
+def model_mosaic(spark, sf_dir):
+    """The prediction plan over the terrain with a network as its model, tile by tile."""
+    grid, patch = grids.terrain_grid(spark, sf_dir), 32
+    model = _tile_model(patch, lambda rows: nn.predict_tiles(rows, _MOSAIC, _MOSAIC.rule_weights(), patch, precision="double"))
+    return predict_plan(spark, grids.terrain(spark, sf_dir), grid, patch, 8, model)
+
+
+@query("""WITH cells AS (SELECT CAST(floor(o_orderkey / 128) AS INT) AS "row", CAST(o_orderkey % 128 AS INT) AS col FROM orders), dims AS (SELECT CAST(max(floor(o_orderkey / 128)) AS INT) + 1 AS h FROM orders),
+scored AS (SELECT r AS "row", c AS col, CAST(trunc(CAST((r * 7 + c) % 101 / 100.0E0 AS FLOAT) * CAST(100 AS FLOAT)) AS SMALLINT) AS s FROM (SELECT unnest(range(0, CAST((SELECT h FROM dims) AS BIGINT))) AS r), (SELECT unnest(range(128)) AS c))
+SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, CAST(CASE WHEN s > 10 THEN s ELSE 0 END AS SMALLINT) AS pred FROM scored""")
+def single_precision_scores(spark, sf_dir):
+    """The prediction plan with a model that gives hundredths in single precision: 0.11 must score 11."""
+    grid, patch = grids.terrain_grid(spark, sf_dir), 32
+
+    def model(scaled):
+        place = (F.col("row_off") + F.col("r")) * 7 + F.col("col_off") + F.col("c")
+        return scaled.withColumn("value", (place % 101 / 100.0).cast("float"))
+
     return predict_plan(spark, grids.terrain(spark, sf_dir), grid, patch, 8, model)
 
 
@@ -174,25 +230,25 @@ def model_mosaic(spark, sf_dir):
   CAST(greatest(max(CASE WHEN trunc(value * 100.0E0) > 10 THEN trunc(value * 100.0E0) ELSE 0 END), 0) AS SMALLINT) AS pred
 FROM norm, dims WHERE row_off + r < h AND col_off + c < w GROUP BY 1, 2""")
 def prediction_files(spark, sf_dir):
-    """The mosaic written as byte TIFF files of 64 rows each, LZW-packed with nodata 0, and read back."""
+    """The mosaic written as byte TIFF files of 64 x 64 cells, LZW-packed with nodata 0, and read back.
+
+    Every file has its own origin, by which it is put in its place, and the source's coordinate system.
+    """
     grid = grids.terrain_grid(spark, sf_dir)
     mosaic = predict_plan(spark, grids.terrain(spark, sf_dir), grid, 32, 8)
-    bands = mosaic.groupBy(F.floor(F.col("row") / 64).cast("int").alias("k")).agg(F.array_sort(F.collect_list(F.struct("row", "col", "pred"))).alias("cells"))
-    tiles = bands.select(
-        F.format_string("map_pred_%d.tif", "k").alias("name"), F.least(F.lit(64), grid.height - F.col("k") * 64).alias("height"), F.lit(grid.width).alias("width"), F.transform("cells", lambda x: x["pred"].cast("float")).alias("data"),
-        F.lit(grid.transform.c).alias("origin_x"), (F.lit(grid.transform.f) + grid.transform.e * 64 * F.col("k")).alias("origin_y"), F.lit(grid.transform.a).alias("resolution"),
-    )
-    tiff.save(tiff.to_files(tiles, "u1", nodata=0), folder := _shared(spark))
-    read = tiff.blocks(tiff.files(spark, folder), block=64)
-    cell = read.select(F.regexp_extract("path", r"_(\d+)\.tif$", 1).cast("int").alias("k"), "row_off", "col_off", "width", F.posexplode("data").alias("i", "v"))
-    row = F.col("k") * 64 + F.col("row_off") + F.floor(F.col("i") / F.col("width")).cast("int")
-    return cell.select(row.alias("row"), (F.col("col_off") + F.col("i") % F.col("width")).cast("int").alias("col"), F.col("v").cast("smallint").alias("pred"))
+    tiff.save(tiff.to_files(tiff.square_tiles(mosaic, "pred", grid, 64, "map_pred"), "u1", nodata=0), folder := _shared(spark))
+    found = tiff.files(spark, folder)
+    t = grid.transform
+    heads = tiff.headers(found).where((F.col("crs") == grid.crs) & (F.col("nodata") == 0)).select("path", F.round((F.col("f") - t.f) / t.e).cast("int").alias("top"), F.round((F.col("c") - t.c) / t.a).cast("int").alias("left"))
+    cell = tiff.blocks(found, block=64).select("path", "row_off", "col_off", "width", F.posexplode("data").alias("i", "v")).join(heads, "path")
+    row, col = F.col("top") + F.col("row_off") + F.floor(F.col("i") / F.col("width")).cast("int"), F.col("left") + F.col("col_off") + F.col("i") % F.col("width")
+    return cell.select(row.alias("row"), col.cast("int").alias("col"), F.col("v").cast("smallint").alias("pred"))
 
 
 def _pairs(spark, sf_dir):
     grid = grids.terrain_grid(spark, sf_dir)
     label = Grid("mask", grid.width, grid.height, grid.transform.shifted(2, 4))
-    return grid, training.patch_pairs(grids.terrain(spark, sf_dir), grid, grids.mask(spark, sf_dir), label, grids.points(spark, sf_dir, grid), 16)
+    return grid, label, training.patch_pairs(grids.terrain(spark, sf_dir), grid, grids.mask(spark, sf_dir), label, grids.points(spark, sf_dir, grid), 16)
 
 
 _PAIRS_SQL = f"""WITH {DTM_SQL}, {MASK_SQL}, {POINTS_SQL}, both_ AS (SELECT d."row" - 2 AS "row", d.col - 4 AS col, d.value AS first, m.value AS second FROM dtm d JOIN mask m ON m."row" = d."row" - 2 AND m.col = d.col - 4),
@@ -202,10 +258,22 @@ numbered AS (SELECT row_number() OVER (ORDER BY point_id) - 1 AS patch_id, * FRO
 pairs AS (SELECT patch_id, CAST("row" - y0 AS INT) AS r, CAST(col - x0 AS INT) AS c, first, second FROM numbered JOIN both_ ON "row" >= y0 AND "row" < y1 AND col >= x0 AND col < x1)"""
 
 
+@query(f"""{_PAIRS_SQL} SELECT patch_id || kind AS name, 16 AS width, 16 AS height, CASE WHEN kind = '_pair.tif' THEN 2 ELSE 1 END AS band_count, 'float32' AS dtype, 'EPSG:32633' AS crs,
+  500002 + 0.5E0 * x0 AS c, 6199999 - 0.5E0 * y0 AS f FROM numbered, (SELECT unnest(['_img.tif', '_lab.tif', '_pair.tif']) AS kind) WHERE patch_id IN (SELECT patch_id FROM pairs)""")
+def patch_files(spark, sf_dir):
+    """All patches written as image, label and two-band files, and their headers read back."""
+    image, label, pairs = _pairs(spark, sf_dir)
+    places, folder = training.located(image, label, grids.points(spark, sf_dir, image), 16), _shared(spark)
+    for stacked in (False, True):
+        tiff.save(tiff.to_files(training.patch_tiles(pairs, places, 16, image, stacked)), folder)
+    found = tiff.headers(tiff.files(spark, folder))
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "width", "height", "band_count", "dtype", "crs", "c", "f")
+
+
 @query(f"{_PAIRS_SQL} SELECT * REPLACE (CASE WHEN isnan(first) THEN NULL ELSE first END AS first) FROM pairs")
 def patch_pairs(spark, sf_dir):
     """Image and label patches where the label raster starts two rows and four columns into the image."""
-    _, pairs = _pairs(spark, sf_dir)
+    _, _, pairs = _pairs(spark, sf_dir)
     return pairs.withColumn("first", F.when(~F.isnan("first"), F.col("first")))
 
 
@@ -213,7 +281,7 @@ def patch_pairs(spark, sf_dir):
 placed AS (SELECT patch_id, row_number() OVER (ORDER BY md5('42-0-' || patch_id)) - 1 AS p, count(*) OVER () AS n FROM usable)
 SELECT CAST(k // 8 AS INT) AS batch_id, CAST(k % 8 AS INT) AS slot, patch_id FROM placed, (SELECT unnest(range(0, CAST((SELECT (count(*) + 7) // 8 * 8 FROM usable) AS BIGINT))) AS k) WHERE p = k % n""")
 def training_batches(spark, sf_dir):
-    _, pairs = _pairs(spark, sf_dir)
+    _, _, pairs = _pairs(spark, sf_dir)
     try:
         return training.training_batches(pairs, 16, 8, 200)
     except ValueError:  # the smallest tables have no whole patch

@@ -16,11 +16,12 @@ def predict_mosaic(spark: SparkSession, pixels: DataFrame, grid: Grid, patch: in
     """(row, col, pred) of a whole raster.
 
     `model` maps normalised tile pixels (row_off, col_off, r, c, value) to probabilities of the same shape; without one
-    the value itself is the probability.  Padding and filled cells take part in a tile's extremes as zeros.
+    the value itself is the probability.  Single-precision probabilities are scored in single precision.  Padding and filled cells take part in a tile's extremes as zeros.
     """
     tiles = tiling.tile_grid(spark, grid, patch, overlap)
     padded = tiling.pad(tiling.to_tiles(pixels, grid, patch, overlap), tiles, patch)
     filled = padded.withColumn("value", radiometry.fill_nan(F.col("value"), nodata=nodata))
     scaled = filled.withColumn("value", radiometry.min_max_over(F.col("value"), "row_off", "col_off"))
-    scored = (model(scaled) if model else scaled).withColumn("pred", radiometry.suppress(radiometry.score(F.col("value"))))
+    judged = model(scaled) if model else scaled
+    scored = judged.withColumn("pred", radiometry.suppress(radiometry.score_of(judged, "value")))
     return tiling.merge_max(tiling.crop(scored, grid))

@@ -5,34 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.georef import Grid
+from rasterloom.functions.georef import Affine, Grid, intersect
 from rasterloom.operators import dataset, patches, tiling
 
 
-def patch_pairs(image: DataFrame, image_grid: Grid, label: DataFrame, label_grid: Grid, points: DataFrame, size: int, start_id: int = 0) -> DataFrame:
-    """(patch_id, r, c, first, second): image and label pixels of every patch that lies in the common area.
+def located(image_grid: Grid, label_grid: Grid, points: DataFrame, size: int, start_id: int = 0) -> DataFrame:
+    """The patches of patch_pairs with their pixel bounds and world origins.
 
-    Patch bounds are counted from the corner of the common area, as its pixels are.
+    Bounds are counted from the corner of the common area, as its pixels are.
     """
-    from rasterloom.functions.georef import Affine, intersect
-
     left, bottom, right, top = intersect(image_grid, label_grid)
     t = image_grid.transform
     common = Grid(image_grid.raster_id, round((right - left) / t.a), round((bottom - top) / t.e), Affine(t.a, 0.0, left, 0.0, t.e, top), image_grid.crs)
-    both = patches.align(image, image_grid, label, label_grid)
     found = patches.dense_ids(patches.inside(patches.locate(points, common, size), common), "point_id", start=start_id)
+    return patches.origins(found, common.transform)
+
+
+def patch_pairs(image: DataFrame, image_grid: Grid, label: DataFrame, label_grid: Grid, points: DataFrame, size: int, start_id: int = 0) -> DataFrame:
+    """(patch_id, r, c, first, second): image and label pixels of every patch that lies in the common area."""
+    both = patches.align(image, image_grid, label, label_grid)
+    found = located(image_grid, label_grid, points, size, start_id)
     pixels = both.select("row", "col", F.struct("first", "second").alias("value"))
     return tiling.window_pixels(found, pixels, size).select("patch_id", "r", "c", "value.first", "value.second")
 
 
-def patch_tiles(pairs: DataFrame, size: int, grid: Grid) -> DataFrame:
-    """Patches as tiles to be written: {id}_img.tif and {id}_lab.tif, missing pixels 0."""
-    cells = pairs.select("patch_id", (F.col("r") * size + F.col("c")).alias("k"), F.explode(F.array(F.struct(F.lit("img").alias("kind"), F.col("first").cast("double").alias("v")), F.struct(F.lit("lab").alias("kind"), F.col("second").cast("double").alias("v")))).alias("x"))
-    tiles = cells.groupBy("patch_id", "x.kind").agg(F.map_from_entries(F.collect_list(F.struct("k", "x.v"))).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)).cast("float"))
-    return tiles.select(
-        F.format_string("%d_%s.tif", "patch_id", "kind").alias("name"), F.lit(size).alias("height"), F.lit(size).alias("width"), data.alias("data"),
-        F.lit(grid.transform.c).alias("origin_x"), F.lit(grid.transform.f).alias("origin_y"), F.lit(grid.transform.a).alias("resolution"),
+def patch_tiles(pairs: DataFrame, places: DataFrame, size: int, grid: Grid, stacked: bool = False) -> DataFrame:
+    """Patches as tiles to be written, each with its own origin (`places`) and the grid's coordinate system.
+
+    Files are {id}_img.tif and {id}_lab.tif, or with `stacked` {id}_pair.tif with both bands; missing pixels are 0.
+    """
+    values = F.struct(F.col("first").cast("double").alias("first"), F.col("second").cast("double").alias("second"))
+    cells = pairs.groupBy("patch_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * size + F.col("c")).alias("k"), values.alias("v")))).alias("m"))
+    band = lambda name: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.coalesce(F.try_element_at("m", k)[name], F.lit(0.0)).cast("float"))
+    if stacked:
+        files = F.array(F.struct(F.lit("pair").alias("kind"), F.lit(2).alias("bands"), F.concat(band("first"), band("second")).alias("data")))
+    else:
+        files = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("bands"), band(name).alias("data")) for kind, name in (("img", "first"), ("lab", "second"))])
+    placed = cells.join(places.select("patch_id", "origin_x", "origin_y"), "patch_id").withColumn("file", F.explode(files))
+    return placed.select(
+        F.format_string("%d_%s.tif", "patch_id", "file.kind").alias("name"), F.lit(size).alias("height"), F.lit(size).alias("width"), "file.data", "file.bands",
+        "origin_x", "origin_y", F.lit(grid.transform.a).alias("resolution"), F.lit(grid.epsg).cast("int").alias("crs"),
     )
 
 

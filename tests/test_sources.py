@@ -92,9 +92,15 @@ def test_patch_files(spark, tmp_path):
     points = spark.createDataFrame([(5, 102.1, 197.9), (9, 103.1, 197.4), (11, 100.1, 199.9)], "point_id long, x double, y double")
     pairs = training.patch_pairs(image, grid, label, grid, points, 4, start_id=7)
     assert {r.patch_id for r in pairs.collect()} == {7, 8} and pairs.count() == 32
-    tiff.save(tiff.to_files(training.patch_tiles(pairs, 4, grid)), f"file://{tmp_path}/out")
+    places = training.located(grid, grid, points, 4, start_id=7)
+    for stacked in (False, True):
+        tiff.save(tiff.to_files(training.patch_tiles(pairs, places, 4, grid, stacked)), f"file://{tmp_path}/out")
     names = sorted(p.name for p in (tmp_path / "out").iterdir())
-    assert names == ["7_img.tif", "7_lab.tif", "8_img.tif", "8_lab.tif"]
+    assert names == ["7_img.tif", "7_lab.tif", "7_pair.tif", "8_img.tif", "8_lab.tif", "8_pair.tif"]
+    both = tiff.Tiff((tmp_path / "out" / "8_pair.tif").read_bytes())
+    head, at = both.grid("x"), {r.patch_id: r for r in places.collect()}[8]
+    assert head.crs == grid.crs and head.band_count == 2 and (head.transform.c, head.transform.f) == (at.origin_x, at.origin_y) == (T.c + T.a * at.px_min, T.f + T.e * at.py_min)
+    assert (both.read()[1] == both.read()[0] % 2).all()
     first = tiff.Tiff((tmp_path / "out" / "7_img.tif").read_bytes()).read()[0]
     assert (first == np.arange(120).reshape(10, 12)[2:6, 2:6]).all()
 
