@@ -70,16 +70,71 @@ def pixel_bounds(row: Column, col: Column, half: int) -> list[Column]:
     return [(row - half).alias("px_min"), (col - half).alias("py_min"), (row + half).alias("px_max"), (col + half).alias("py_max")]
 
 
+RADIUS = 6378137.0
+FLATTENING = 1 / 298.257223563
+_N = FLATTENING / (2 - FLATTENING)
+#: Krueger's series for the transverse Mercator projection, to the fourth power of the third flattening.
+TO_PLANE = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280,
+)
+FROM_PLANE = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280,
+)
+TO_LATITUDE = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630,
+)
+#: Metres for one radian along the central meridian, with the scale of UTM.
+UTM_SCALE = 0.9996 * RADIUS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
+
+
+def utm_zone(crs: str) -> tuple[int, float] | None:
+    """Central meridian in degrees and false northing of a UTM system (WGS 84, north or south, or ETRS89), else None."""
+    kind, _, code = crs.partition(":")
+    if kind != "EPSG" or not code.isdigit() or int(code) // 100 not in (326, 327, 258) or not 1 <= int(code) % 100 <= 60:
+        return None
+    return int(code) % 100 * 6 - 183, 1e7 if int(code) // 100 == 327 else 0.0
+
+
+def _to_utm(lon: Column, lat: Column, meridian: int, northing: float) -> tuple[Column, Column]:
+    s, turn, e = F.sin(F.radians(lat)), F.radians(lon - meridian), ECCENTRICITY
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    up, right = xi, eta
+    for j, c in enumerate(TO_PLANE, 1):
+        up, right = up + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta), right + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return 500000.0 + UTM_SCALE * right, northing + UTM_SCALE * up
+
+
+def _from_utm(x: Column, y: Column, meridian: int, northing: float) -> tuple[Column, Column]:
+    xi, eta = (y - northing) / UTM_SCALE, (x - 500000.0) / UTM_SCALE
+    up, right = xi, eta
+    for j, c in enumerate(FROM_PLANE, 1):
+        up, right = up - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta), right - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(up) / F.cosh(right))
+    lat = chi
+    for j, c in enumerate(TO_LATITUDE, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return meridian + F.degrees(F.atan2(F.sinh(right), F.cos(up))), F.degrees(lat)
+
+
 def reproject(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """Identity for equal systems, spherical Mercator from degrees, and its inverse; anything else is refused."""
+    """Coordinates in another system: degrees (EPSG:4326), spherical Mercator (EPSG:3857) or UTM; others are refused."""
     if source == target:
         return x, y
-    radius = 6378137.0
-    if (source, target) == ("EPSG:4326", "EPSG:3857"):
-        return F.radians(x) * radius, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * radius
-    if (source, target) == ("EPSG:3857", "EPSG:4326"):
-        return F.degrees(x / radius), F.degrees(2 * F.atan(F.exp(y / radius)) - math.pi / 2)
-    raise ValueError(f"no transformation from {source} to {target}")
+    known = lambda crs: crs in ("EPSG:4326", "EPSG:3857") or utm_zone(crs) is not None
+    if not known(source) or not known(target):
+        raise ValueError(f"no transformation from {source} to {target}")
+    if zone := utm_zone(source):
+        x, y = _from_utm(x, y, *zone)
+    elif source == "EPSG:3857":
+        x, y = F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
+    if zone := utm_zone(target):
+        return _to_utm(x, y, *zone)
+    if target == "EPSG:3857":
+        return F.radians(x) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * RADIUS
+    return x, y
 
 
 def intersect(*grids: Grid) -> tuple[float, float, float, float]:

@@ -80,6 +80,15 @@ def turned(row: Column, col: Column, height: int, width: int, flip: Column, quar
     return rows, cols
 
 
+def place_before(k: Column, size: int, flip: Column, quarter: Column) -> Column:
+    """The row-major place in a square image from which the pixel comes that `turned` brings to place k."""
+    row, col = F.floor(k / size).cast("int"), (k % size).cast("int")
+    last = size - 1
+    r = F.when(quarter == 0, row).when(quarter == 1, col).when(quarter == 2, last - row).otherwise(last - col)
+    c = F.when(quarter == 0, col).when(quarter == 1, last - row).when(quarter == 2, last - col).otherwise(row)
+    return (r * size + F.when(flip, last - c).otherwise(c)).cast("int")
+
+
 def drawn_turn(key: Column, draw: int = 0, seed: int = 42) -> tuple[Column, Column]:
     """A flip with probability one half and a quarter turn, from a hash of the row's key."""
     digest = key_hash(F.lit(seed), F.lit(draw), key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import metrics, naming, radiometry
@@ -206,13 +207,37 @@ def _chip_masks(spark, sf_dir):
     return grids.chips(spark, sf_dir).select("image_id", "row", "col", radiometry.binarise_label(F.col("value"), 0.0).alias("value"))
 
 
-@query()
+#: Neighbours of a cell, clockwise from north, in images of 8 x 8 cells with a margin of one, as lists of 100.
+_AROUND = (-10, -9, 1, 11, 10, 9, -1, -11)
+
+
+def _thin_sql(base: str, steps: int = 24) -> str:
+    """Recursive table thin(image_id, k, img), a sub-iteration a row, from `base` (image_id, img); and grown, its end dilated."""
+    n = [f"img[k + {1 + o}]" for o in _AROUND]
+    turns = " + ".join(f"CAST({n[i]} = 0 AND {n[(i + 1) % 8]} = 1 AS INT)" for i in range(8))
+    north, east, south, west = n[0], n[2], n[4], n[6]
+    first = f"{north} * {east} * {south} = 0 AND {east} * {south} * {west} = 0"
+    second = f"{north} * {east} * {west} = 0 AND {north} * {south} * {west} = 0"
+    peel = f"img[k + 1] = 1 AND {' + '.join(n)} BETWEEN 2 AND 6 AND {turns} = 1 AND (CASE WHEN step % 2 = 0 THEN {first} ELSE {second} END)"
+    return f"""thin(image_id, step, img) AS (SELECT image_id, 0, img FROM {base} UNION ALL
+  SELECT image_id, step + 1, [CASE WHEN {peel} THEN 0 ELSE img[k + 1] END for k in range(100)] FROM thin WHERE step < {steps}),
+grown AS (SELECT DISTINCT image_id, k // 10 - 1 + dr AS r, k % 10 - 1 + dc AS c FROM (SELECT image_id, unnest(range(100)) AS k, unnest(img) AS set FROM thin WHERE step = {steps}),
+  (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc) WHERE set = 1 AND k // 10 - 1 + dr BETWEEN 0 AND 7 AND k % 10 - 1 + dc BETWEEN 0 AND 7)"""
+
+
+_BASE_SQL = """base AS (SELECT vec_id AS image_id, [CASE WHEN k // 10 BETWEEN 1 AND 8 AND k % 10 BETWEEN 1 AND 8 AND embedding[(k // 10 - 1) * 8 + k % 10] > 0 THEN 1 ELSE 0 END for k in range(100)] AS img FROM embeddings)"""
+_LARGE_SQL = f"""spread(image_id, step, lab) AS (SELECT image_id, 0, [CASE WHEN img[k + 1] = 1 THEN k + 1 ELSE 0 END for k in range(100)] FROM base UNION ALL
+  SELECT image_id, step + 1, [CASE WHEN lab[k + 1] = 0 THEN 0 ELSE greatest(lab[k + 1], {", ".join(f"lab[k + {1 + o}]" for o in (-10, 1, 10, -1))}) END for k in range(100)] FROM spread WHERE step < 40),
+large AS (SELECT image_id, [CASE WHEN lab[k + 1] > 0 AND len([x for x in lab if x = lab[k + 1]]) >= 6 THEN 1 ELSE 0 END for k in range(100)] AS img FROM spread WHERE step = 40)"""
+
+
+@query(f"""WITH RECURSIVE {_BASE_SQL}, {_thin_sql("base")} SELECT image_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM grown""")
 def skeleton_buffer(spark, sf_dir):
-    """Thinning has no SQL form; the tests hold it against properties and hand-made images."""
     return morphology.skeleton_buffer(_chip_masks(spark, sf_dir), 8, 8)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BASE_SQL}, {_LARGE_SQL}, {_thin_sql("large")} SELECT image_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, area
+FROM grown JOIN (SELECT image_id, CAST(count(*) AS BIGINT) AS area FROM grown GROUP BY 1 HAVING count(*) >= 24) USING (image_id)""")
 def label_pipeline(spark, sf_dir):
     """Labels as training sees them: binarised, small objects out, thinned and grown, images with enough area."""
     masks = _chip_masks(spark, sf_dir)
@@ -221,6 +246,30 @@ def label_pipeline(spark, sf_dir):
     return grown.join(morphology.enough_area(grown, 24), "image_id").select("image_id", "row", "col", "area")
 
 
+@query(f"""{_C}, amounts AS (SELECT image_id, radians(-20 + d1 * 40) AS a, radians(-5 + d2 * 10) AS s, -0.1E0 + d3 * 0.2E0 AS shift, flip FROM (
+  SELECT vec_id AS image_id, {", ".join(f"CAST('0x' || substr(md5('42-0-{name}-' || vec_id), 1, 8) AS BIGINT) / 4294967296.0E0 AS d{k}" for k, name in enumerate(("rotation", "shear", "shift"), 1))},
+  CAST('0x' || substr(md5('42-0-' || vec_id), 1, 1) AS INT) < 8 AS flip FROM embeddings)),
+spine AS (SELECT image_id, r, c, r - 3.5E0 - shift * 8 AS y, (CASE WHEN flip THEN 7 - c ELSE c END) - 3.5E0 AS x, a, s FROM amounts, (SELECT unnest(range(8)) AS r), (SELECT unnest(range(8)) AS c)),
+placed AS (SELECT image_id, r, c, floor(cos(a) * y + sin(a) * x + 4.0E0) AS sr, floor((-sin(a) + tan(s) * cos(a)) * y + (cos(a) + tan(s) * sin(a)) * x + 4.0E0) AS sc FROM spine)
+SELECT p.image_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, coalesce(CAST(value AS DOUBLE), 0) AS value FROM placed p LEFT JOIN chips h ON h.image_id = p.image_id AND h."row" = sr AND h.col = sc""")
+def augment_drawn(spark, sf_dir):
+    """Every image under a rotation, shear, vertical shift and flip of its own."""
+    key = F.col("image_id")
+    amounts = [dataset.drawn(key, name, low, -low) for name, low in (("rotation", -20.0), ("shear", -5.0), ("shift", -0.1))]
+    return dataset.affine_sampled(grids.chips(spark, sf_dir), 8, 8, *amounts, dataset.drawn_turn(key)[0])
+
+
+@query(f"""{_S}, lit AS (SELECT image_id, "row", col, p + (-0.1E0 + CAST('0x' || substr(md5('42-0-brightness-' || image_id), 1, 8) AS BIGINT) / 4294967296.0E0 * 0.2E0) AS v,
+  0.9E0 + CAST('0x' || substr(md5('42-0-contrast-' || image_id), 1, 8) AS BIGINT) / 4294967296.0E0 * 0.2E0 AS f FROM scaled)
+SELECT image_id, "row", col, round((v - m) * f + m, 6) AS value FROM lit JOIN (SELECT image_id, avg(v) AS m FROM lit GROUP BY 1) USING (image_id)""")
+def light_drawn(spark, sf_dir):
+    """Every image with a brightness and a contrast of its own."""
+    key = F.col("image_id")
+    lit = _scaled(spark, sf_dir).withColumn("v", F.col("p") + dataset.drawn(key, "brightness", -0.1, 0.1))
+    mean = F.avg("v").over(Window.partitionBy("image_id"))
+    return lit.select("image_id", "row", "col", F.round((F.col("v") - mean) * dataset.drawn(key, "contrast", 0.9, 1.1) + mean, 6).alias("value"))
+
+
 @query(f'{_C} SELECT image_id, count(*) AS area FROM chips WHERE value > 0 GROUP BY 1 HAVING count(*) >= 34')
 def min_area(spark, sf_dir):
     return morphology.enough_area(_chip_masks(spark, sf_dir), 34)

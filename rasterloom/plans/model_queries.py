@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import radiometry
 from rasterloom.functions.georef import Grid
-from rasterloom.operators import dataset, nn, tiling
+from rasterloom.operators import dataset, learning, nn, tiling
 from rasterloom.plans import training
 from rasterloom.plans.grid_queries import NORM_SQL, PADDED_SQL, TILE_PIXELS_SQL, TILES_SQL
 from rasterloom.plans.image_queries import _J, _S, _judged, _placed
@@ -127,6 +127,28 @@ def parameter_counts(spark, sf_dir):
     return spark.createDataFrame([(k, n.n_parameters()) for k, n in nets.items()], "model string, parameters long")
 
 
+@query()
+def trained_network(spark, sf_dir):
+    """The history of three epochs over all chips but a tenth, with the place of values above 0.05 as truth.
+
+    Images and masks are turned alike, by a draw for each.  Training has no SQL form; the tests hold every gradient
+    against finite differences.
+    """
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    truth = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.when(x > F.lit(0.05), 1.0).otherwise(0.0)).alias("y"))
+    pairs = dataset.split(_chip_tiles(spark, sf_dir).withColumnRenamed("tile_id", "id").withColumnRenamed("data", "x").join(truth, "id"), "id")
+    rows = dataset.shuffled(pairs.where(~F.col("is_val")), "id").withColumn("batch_id", F.floor(F.col("position") / 64))
+    flip, turns = dataset.drawn_turn(F.col("id"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: dataset.place_before(k, 8, flip, turns))
+    rows = rows.withColumn("at", places).select("id", "batch_id", *[F.transform("at", lambda k, a=a: F.get(a, k)).alias(a) for a in ("x", "y")])
+    folder = _shared(spark)
+    rows.write.partitionBy("batch_id").parquet(f"{folder}/samples")
+    pairs.where("is_val").select("id", "x", "y").write.parquet(f"{folder}/validation")
+    net = nn.unet(filters=2, layers=1)
+    _, history = learning.train(spark.read.parquet(f"{folder}/samples"), spark.read.parquet(f"{folder}/validation"), net, net.weights(1), 8, 3, per_update=4, rate=0.01)
+    return spark.createDataFrame([(h["epoch"], h["loss"], h["val_loss"], h["rate"], h["kept"]) for h in history], "epoch int, loss double, val_loss double, rate double, kept boolean")
+
+
 def _saved_chips(spark, sf_dir) -> str:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     tiles = e.select(

@@ -1,4 +1,4 @@
-"""Point shapefiles and statistics sidecars."""
+"""Point shapefiles with their attributes and coordinate systems, GeoJSON points, and statistics sidecars."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,82 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return content.select("path", "content").mapInPandas(run, "path string, point_id long, x double, y double")
 
 
+def parse_attributes(content: bytes) -> list[dict[str, str]]:
+    """The rows of a .dbf file as text by column; the n-th row belongs to the n-th shape.  Deleted rows stay, as None."""
+    count, head, size = struct.unpack("<IHH", content[4:12])
+    columns, at = [], 32
+    while content[at] != 0x0D:
+        columns.append((content[at : at + 11].split(b"\0")[0].decode(), content[at + 16]))
+        at += 32
+    rows = []
+    for k in range(count):
+        row, at = content[head + k * size : head + (k + 1) * size], 1
+        values = {}
+        for name, width in columns:
+            values[name] = row[at : at + width].decode("utf-8", "replace").strip()
+            at += width
+        rows.append(values if row[:1] != b"*" else {name: None for name, _ in columns})
+    return rows
+
+
+def encode_attributes(rows: list[dict[str, str]]) -> bytes:
+    """A .dbf file of text columns."""
+    names = list(rows[0]) if rows else []
+    widths = [max(1, *(len(str(r[n]).encode()) for r in rows)) for n in names]
+    size = 1 + sum(widths)
+    head = struct.pack("<B3BIHH20x", 3, 100, 1, 1, len(rows), 32 + 32 * len(names) + 1, size)
+    fields = b"".join(struct.pack("<11sc4xBB14x", n.encode()[:10], b"C", w, 0) for n, w in zip(names, widths, strict=True))
+    body = b"".join(b" " + b"".join(str(r[n]).encode().ljust(w) for n, w in zip(names, widths, strict=True)) for r in rows)
+    return head + fields + b"\r" + body + b"\x1a"
+
+
+def read_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, point_id, attributes map<string,string>) of the .dbf files at `path`; path ends in .shp, as in read_points."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = parse_attributes(content)
+                yield pd.DataFrame({"path": [name[:-4] + ".shp"] * len(rows), "point_id": range(len(rows)), "attributes": rows})
+
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.dbf").load(path)
+    return content.select("path", "content").mapInPandas(run, "path string, point_id long, attributes map<string,string>")
+
+
+def crs_of_prj(text: Column) -> Column:
+    """The system that a .prj text names: by its authority's number, or by the name of a UTM zone, Mercator or WGS 84."""
+    numbers = F.regexp_extract_all(text, F.lit(r'(?i)AUTHORITY\["EPSG",\s*"?(\d+)"?\]'), F.lit(1))
+    zone, half = F.regexp_extract(text, r"(?i)UTM[ _]zone[ _](\d+)([NS])", 1), F.upper(F.regexp_extract(text, r"(?i)UTM[ _]zone[ _](\d+)([NS])", 2))
+    base = F.when(text.rlike("(?i)ETRS"), 25800).when(half == "S", 32700).otherwise(32600)
+    named = F.when(zone != "", F.concat(F.lit("EPSG:"), (base + zone.try_cast("int")).cast("string"))).when(text.rlike("(?i)^\\s*PROJCS.*Web_Mercator"), "EPSG:3857").when(text.rlike("(?i)^\\s*GEOGCS.*WGS_(19)?84"), "EPSG:4326")
+    return F.when(F.size(numbers) > 0, F.concat(F.lit("EPSG:"), F.element_at(numbers, -1))).otherwise(named)
+
+
+def read_crs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, crs) of the .prj files at `path`; path ends in .shp, crs is null where the text is not understood."""
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.prj").load(path)
+    return content.select(F.regexp_replace("path", r"\.prj$", ".shp").alias("path"), crs_of_prj(F.col("content").cast("string")).alias("crs"))
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """(path, point_id, x, y, properties as JSON) of the point features of GeoJSON files; other geometries are left out.
+
+    A file is one JSON value, so it is read by one task; newline-delimited features (.geojsonl) are split among tasks.
+    """
+    schema = "type string, geometry struct<type: string, coordinates: string>, properties string, features array<struct<type: string, geometry: struct<type: string, coordinates: string>, properties: string>>"
+    place = F.col("_metadata.file_path").alias("path")
+    whole = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.geojson").json(path).select(place, F.posexplode("features").alias("point_id", "f"))
+    xy = F.from_json("f.geometry.coordinates", "array<double>")
+    return whole.where("f.geometry.type = 'Point'").select("path", F.col("point_id").cast("long").alias("point_id"), F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"), F.col("f.properties").alias("properties"))
+
+
+def sidecar_xml(stats: dict[str, float], low: float, high: float, counts: list[int]) -> bytes:
+    """An .aux.xml sidecar of one band: statistics by their names and a histogram of equal buckets."""
+    items = "".join(f'<MDI key="STATISTICS_{name}">{value!r}</MDI>' for name, value in stats.items())
+    bars = f"<HistItem><HistMin>{low!r}</HistMin><HistMax>{high!r}</HistMax><BucketCount>{len(counts)}</BucketCount><IncludeOutOfRange>0</IncludeOutOfRange><Approximate>0</Approximate><HistCounts>{'|'.join(map(str, counts))}</HistCounts></HistItem>"
+    return f'<PAMDataset><PAMRasterBand band="1"><Histograms>{bars}</Histograms><Metadata>{items}</Metadata></PAMRasterBand></PAMDataset>'.encode()
+
+
 def sidecar_stats(spark: SparkSession, path: str) -> DataFrame:
     """(band, key, value) of the statistics in .aux.xml sidecars."""
     schema = "_band int, Metadata array<struct<_domain: string, MDI: array<struct<_VALUE: string, _key: string>>>>"

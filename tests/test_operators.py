@@ -294,3 +294,107 @@ def test_tile_grid(spark, h, w, patch, overlap):
         found = tiling.tile_grid(spark, Grid("g", w, h, T), patch, overlap).collect()
         want = [(r, c, min(patch, h - r), min(patch, w - c)) for r in plain_starts(h, patch, patch - overlap) for c in plain_starts(w, patch, patch - overlap)]
         assert sorted(map(tuple, found)) == want
+
+
+@pytest.mark.parametrize("shape", [(40, 50), (16, 16), (33, 16)])
+def test_thinning_in_blocks_equals_thinning_whole(spark, shape):
+    rng = np.random.default_rng(sum(shape))
+    image = np.zeros(shape, bool)
+    for _ in range(12):
+        r, c = rng.integers(0, shape[0] - 6), rng.integers(0, shape[1] - 6)
+        image[r : r + rng.integers(2, 25), c : c + rng.integers(2, 25)] = True
+    df = spark.createDataFrame([(3, int(r), int(c), 1) for r, c in zip(*np.nonzero(image))], "image_id long, row int, col int, value int")
+    found = morphology.thinned(df, *shape, block=16, halo=4).collect()
+    assert sorted((r.row, r.col) for r in found) == sorted(zip(*(x.tolist() for x in np.nonzero(morphology.thin(image)))))
+    assert morphology.thinned(df.limit(0), *shape, block=16, halo=4).count() == 0
+
+
+def test_utm_coordinates(spark):
+    from rasterloom.functions import georef
+
+    # the meridian's arc from the equator to 45 degrees north is 4,984,944.378 m on this ellipsoid
+    rows = [("a", 15.0, 0.0, 500000.0, 0.0), ("b", 15.0, 45.0, 500000.0, 4984944.378 * 0.9996)]
+    df = spark.createDataFrame(rows, "name string, lon double, lat double, x double, y double")
+    x, y = georef.reproject(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:32633")
+    for r in df.select("x", "y", x.alias("u"), y.alias("v")).collect():
+        assert r.u == pytest.approx(r.x, abs=1e-3) and r.v == pytest.approx(r.y, abs=1e-3)
+    grid = [(float(a), float(b)) for a in range(-3, 4) for b in range(-80, 85, 7)]
+    points = spark.createDataFrame(grid, "a double, b double")
+    for zone, meridian in (("EPSG:32633", 15), ("EPSG:32701", -177), ("EPSG:25832", 9)):
+        x, y = georef.reproject(F.col("a") + meridian, F.col("b"), "EPSG:4326", zone)
+        lon, lat = georef.reproject(x, y, zone, "EPSG:4326")
+        assert all(abs(r.p) < 1e-8 and abs(r.q) < 1e-8 for r in points.select((lon - meridian - F.col("a")).alias("p"), (lat - F.col("b")).alias("q")).collect())
+    # lengths: a hundredth of a degree on the central meridian is about 1,105.7 m times 0.9996 at the equator
+    one = points.limit(1).select((georef.reproject(F.lit(15.0), F.lit(0.01), "EPSG:4326", "EPSG:32633")[1]).alias("y")).first().y
+    assert one == pytest.approx(1105.743 * 0.9996, abs=0.01)
+
+
+def test_weighted_statistics_far_from_zero(spark):
+    from rasterloom.operators import stats
+
+    values = [1e9 + k / 10 for k in range(50)]
+    df = spark.createDataFrame([(v, 1 + k % 3) for k, v in enumerate(values)], "value double, w int")
+    weights = [1 + k % 3 for k in range(50)]
+    want = np.sqrt(np.cov([v - 1e9 for v in values], fweights=weights, ddof=0))
+    assert stats.band_stats(df, weight=F.col("w")).first().stddev == pytest.approx(want, rel=1e-6)
+    assert stats.band_stats(df).first().stddev == pytest.approx(np.std([v - 1e9 for v in values]), rel=1e-6)
+
+
+def test_prj_and_attributes():
+    from rasterloom.sources import vector
+
+    rows = [{"id": "1", "name": "Ärger"}, {"id": "22", "name": ""}]
+    assert vector.parse_attributes(vector.encode_attributes(rows)) == rows and vector.parse_attributes(vector.encode_attributes([])) == []
+
+
+@pytest.mark.parametrize("kind", ["unet", "plain", "simple", "satellite", "unpadded", "vnet"])
+def test_gradients_against_finite_differences(kind):
+    from rasterloom.operators import learning, nn
+
+    net, size = {
+        "unet": (nn.unet(filters=2, layers=1), 4), "plain": (nn.unet(filters=2, layers=1, attention=False, normed=False), 4), "simple": (nn.unet(filters=2, layers=1, upsample="simple"), 4),
+        "satellite": (nn.satellite_unet(layers=1, filters=2, wide=3), 8), "unpadded": (nn.unpadded_unet(filters=2, layers=1), 20), "vnet": (nn.vnet(filters=1, layers=1), 4),
+    }[kind]
+    rng = np.random.default_rng(4)
+    x = rng.random((2, *(size,) * net.space, 1))
+    weights = net.rule_weights()
+    y = (rng.random(net.forward(x, weights, np.float64).shape[:-1]) > 0.5).astype(float)
+    loss, found, _ = learning.gradients(net, x, y, weights)
+    flat, got = learning.packed(net, weights), learning.packed(net, found)
+    fixed = np.concatenate([np.full(int(np.prod(net.steps[i].shapes[n])), n in learning.FIXED) for i, n in learning._names(net)])
+    assert (got[fixed] == 0).all()
+    for k in rng.choice(np.flatnonzero(~fixed), 40):
+        up, down = flat.copy(), flat.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        slope = (learning.gradients(net, x, y, learning.unpacked(net, up))[0] - learning.gradients(net, x, y, learning.unpacked(net, down))[0]) / 2e-6
+        assert got[k] == pytest.approx(slope, rel=1e-3, abs=1e-4), (k, loss)
+
+
+def test_training_lowers_the_loss(spark, tmp_path):
+    from rasterloom.operators import learning, nn
+
+    rng = np.random.default_rng(0)
+    x = rng.random((48, 16))
+    rows = [(i, i // 16, a.tolist(), (a > 0.5).astype(float).tolist()) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, batch_id long, x array<double>, y array<double>").repartition(3)
+    net = nn.unet(filters=2, layers=1)
+    weights, history = learning.train(df, df, net, net.weights(3), 4, 6, rate=0.03)
+    assert history[-1]["loss"] < 0.8 * history[0]["loss"] and any(h["kept"] for h in history)
+    best = min(h["val_loss"] for h in history)
+    assert learning.mean_loss(df, net, weights, 4) == pytest.approx(best, rel=1e-6)
+    whole = learning.gradient_sums(df, net, net.weights(3), 4, at_once=100)
+    parts = learning.gradient_sums(df.coalesce(1), net, net.weights(3), 4, at_once=100)
+    assert whole[1] == parts[1] == 48 * 16
+    assert learning.train(df.limit(0), df, net, net.weights(3), 4, 2)[1] == []
+
+
+def test_places_before_a_turn(spark):
+    image = [(7, r, c, float(r * 4 + c)) for r in range(4) for c in range(4)]
+    df = spark.createDataFrame(image, "image_id long, row int, col int, value double")
+    for flip in (False, True):
+        for quarter in range(4):
+            row, col = dataset.turned(F.col("row"), F.col("col"), 4, 4, F.lit(flip), F.lit(quarter))
+            moved = {(r.r, r.c): r.value for r in df.select(row.alias("r"), col.alias("c"), "value").collect()}
+            back = spark.range(16).select("id", dataset.place_before(F.col("id"), 4, F.lit(flip), F.lit(quarter)).alias("k")).collect()
+            assert {(r.id // 4, r.id % 4): float(r.k) for r in back} == moved
