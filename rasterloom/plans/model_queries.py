@@ -140,7 +140,8 @@ def trained_network(spark, sf_dir):
     rows = dataset.shuffled(pairs.where(~F.col("is_val")), "id").withColumn("batch_id", F.floor(F.col("position") / 64))
     flip, turns = dataset.drawn_turn(F.col("id"))
     places = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: dataset.place_before(k, 8, flip, turns))
-    rows = rows.withColumn("at", places).select("id", "batch_id", *[F.transform("at", lambda k, a=a: F.get(a, k)).alias(a) for a in ("x", "y")])
+    moved = lambda name: F.transform("at", lambda k: F.get(name, k)).alias(name)
+    rows = rows.withColumn("at", places).select("id", "batch_id", moved("x"), moved("y"))
     folder = _shared(spark)
     rows.write.partitionBy("batch_id").parquet(f"{folder}/samples")
     pairs.where("is_val").select("id", "x", "y").write.parquet(f"{folder}/validation")

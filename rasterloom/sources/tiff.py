@@ -238,16 +238,22 @@ def blocks(content: DataFrame, block: int = 256, band: int | None = None) -> Dat
 
 
 def to_files(tiles: DataFrame, dtype: str = "f4", nodata: float | None = None, compression: str = "lzw") -> DataFrame:
-    """(name, content) for tiles (name, height, width, data, origin_x, origin_y, resolution, bands?, crs?).
+    """(name, content) for tiles (name, height, width, data, origin_x, origin_y, resolution, at?, bands?, crs?).
 
-    data holds one band after the other, row by row; without a column `bands` there is one.  crs is an EPSG number.
+    data holds one band after the other, row by row; without a column `bands` there is one.  With `at`, data holds only
+    the cells at those places and the others are 0.  crs is an EPSG number.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for t in pdf.itertuples():
-                data = np.asarray(t.data).reshape(getattr(t, "bands", 1), t.height, t.width).astype(dtype)
+                data, bands = np.asarray(t.data), getattr(t, "bands", 1)
+                if hasattr(t, "at"):
+                    whole = np.zeros(bands * t.height * t.width)
+                    whole[np.asarray(t.at, np.int64)] = data
+                    data = whole
+                data = data.reshape(bands, t.height, t.width).astype(dtype)
                 out.append(encode(data, Affine(t.resolution, 0.0, t.origin_x, 0.0, -t.resolution, t.origin_y), nodata, compression, getattr(t, "crs", None)))
             yield pd.DataFrame({"name": pdf["name"], "content": out})
 
@@ -257,11 +263,10 @@ def to_files(tiles: DataFrame, dtype: str = "f4", nodata: float | None = None, c
 def square_tiles(pixels: DataFrame, value: str, grid: Grid, side: int, prefix: str) -> DataFrame:
     """Tiles for to_files from pixels (row, col, value): squares of `side` cells, missing cells 0, with origins and system."""
     at = lambda axis: F.floor(F.col(axis) / side).cast("int")
-    squares = pixels.groupBy(at("row").alias("i"), at("col").alias("j")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") % side * side + F.col("col") % side).cast("int"), F.col(value).cast("float")))).alias("m"))
+    squares = pixels.groupBy(at("row").alias("i"), at("col").alias("j")).agg(F.collect_list(F.struct((F.col("row") % side).alias("r"), (F.col("col") % side).alias("c"), F.col(value).cast("float").alias("v"))).alias("m"))
     high, wide, t = F.least(F.lit(side), grid.height - F.col("i") * side), F.least(F.lit(side), grid.width - F.col("j") * side), grid.transform
-    places = F.transform(F.sequence(F.lit(0), high * wide - 1), lambda k: (F.floor(k / wide) * side + k % wide).cast("int"))
     return squares.select(
-        F.format_string(prefix + "_%d_%d.tif", "i", "j").alias("name"), high.alias("height"), wide.alias("width"), F.transform(places, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0).cast("float"))).alias("data"),
+        F.format_string(prefix + "_%d_%d.tif", "i", "j").alias("name"), high.alias("height"), wide.alias("width"), F.transform("m", lambda z: (z["r"] * wide + z["c"]).cast("int")).alias("at"), F.transform("m", lambda z: z["v"]).alias("data"),
         (F.lit(t.c) + t.a * side * F.col("j")).alias("origin_x"), (F.lit(t.f) + t.e * side * F.col("i")).alias("origin_y"), F.lit(t.a).alias("resolution"), F.lit(grid.epsg).cast("int").alias("crs"),
     )
 
