@@ -39,7 +39,7 @@ BLANK = "▁"
 #: Units and edges that a bank keeps between batches.
 CACHE_UNITS, CACHE_EDGES = 300_000, 6_000_000
 #: Units of more characters than this are cut where no piece reaches across.
-LONG = 24
+LONG = 64
 _STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 _units = re.compile(f"{BLANK}+[^{BLANK}]*").findall
 
@@ -111,8 +111,6 @@ class Bank:
 
     def cut(self, unit: str) -> list[str]:
         """A unit in parts between which no piece reaches, so that its paths are those of the parts one after another."""
-        if len(unit) <= LONG:
-            return [unit]
         n = len(unit)
         codes = mix(np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64) + _STEP)
         inside = np.zeros(n + 1, np.int64)  # pieces that begin to reach across a place, less those that no longer do
@@ -346,7 +344,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, model: str, theta: float, k
     split = [_units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
     for units_of in split:
         if units_of and max(map(len, units_of)) > LONG:
-            units_of[:] = chain.from_iterable(map(bank.cut, units_of))
+            units_of[:] = chain.from_iterable(bank.cut(u) if len(u) > LONG else (u,) for u in units_of)
     bank.add([u for u in dict.fromkeys(chain.from_iterable(split)) if u not in bank.index])
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     units = np.fromiter(map(bank.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
