@@ -5,11 +5,11 @@ its words (case, trailing symbols, a mark for a repeated word), hashed to 2**BIT
 the counts, scaled to length one.  The fit passes over the sample in a fixed order with FTRL-proximal updates (per-place
 learning rates, L1 and L2).  A score is the logistic function of a sparse dot product.
 
-The fit uses at most `max_rows` labelled rows (those with the smallest hash of their id) and `max_bytes` of their text, in
+The fit uses at most `max_rows` labelled rows (of each label those with the smallest hash of their id) and `max_bytes` of their text, in
 one task; all rows are scored where they lie.
 
 Defined results: a null text counts as empty, and an empty text gets the score of the constant alone; rows with a null
-id are scored but never learned from; null labels are left out, repeated labels of an id count once, with the larger
+id are scored but never learned from; labels other than 0 and 1 are left out, repeated labels of an id count once, with the larger
 one; without labels the score is 0.5; repeated rows get equal scores; an empty table gives an empty table; other columns
 are ignored, whatever their names.
 """
@@ -82,8 +82,9 @@ def _mix(x: np.ndarray, kind: int) -> np.ndarray:
     return (x >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Weights of 2**BITS places and, last, of the constant."""
+def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, passes: int = PASSES, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of 2**BITS places and, last, of the constant; a row's gradient counts by its own weight."""
+    weight = np.ones(len(labels)) if weight is None else weight
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
 
@@ -93,20 +94,20 @@ def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, passe
 
     full = [(np.append(i, size - 1), np.append(v, 1.0)) for i, v in vectors]
     for _ in range(passes):
-        for (i, v), y in zip(full, labels, strict=True):
+        for (i, v), y, share in zip(full, labels, weight, strict=True):
             w = weights(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ v, -30, 30))) - y) * v
+            g = share * (1 / (1 + np.exp(-np.clip(w @ v, -30, 30))) - y) * v
             ni = n[i]
             z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[i] = ni + g * g
     return weights(np.arange(size)).astype(np.float32)
 
 
-def fit(rows: list[tuple[int, str, int]]) -> bytes:
-    """The weights as float32 bytes, from rows (doc_id, text, label) in any order."""
+def fit(rows: list[tuple[int, str, int, float]]) -> bytes:
+    """The weights as float32 bytes, from rows (doc_id, text, label, weight) in any order."""
     hasher = Hasher()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    return ftrl([hasher.vector(t) for _, t, _ in rows], np.array([r[2] for r in rows], float)).tobytes()
+    return ftrl([hasher.vector(r[1]) for r in rows], np.array([r[2] for r in rows], float), weight=np.array([r[3] for r in rows])).tobytes()
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 12_000, max_bytes: int = 1 << 26) -> bytes:

@@ -10,12 +10,12 @@ hardly have, allow edits, and words that clean training texts use are never near
 its term, a near hit NEAR_SHARE of it; hits between quotation marks or after a reporting word are summed apart from the
 rest, and a small logistic regression over those sums gives the score.
 
-The fit uses at most `max_rows` labelled rows (those with the smallest hash of their id) and `max_bytes` of their text, in
+The fit uses at most `max_rows` labelled rows (of each label those with the smallest hash of their id) and `max_bytes` of their text, in
 one task, and keeps at most `most_terms` terms (2,000), the weightiest; everything else runs on every row where it lies.
 
 Defined results: a null text counts as empty, and an empty text gets the score of a text without hits; rows with a null
 id are scored but never learned from; labels that are null are left out; repeated labels of an id count once, with the
-larger label; without labels of both kinds a fixed lexicon and fixed coefficients serve; repeated rows get equal scores;
+larger label; labels other than 0 and 1 are left out; without labels of both kinds a fixed lexicon and fixed coefficients serve; repeated rows get equal scores;
 an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
@@ -25,6 +25,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -317,23 +318,25 @@ def loose_terms(matcher: Matcher, clean_texts: list[str]) -> frozenset[str]:
     return frozenset(t for t, count in found.items() if count > max(1, NEAR_CLEAN * len(clean_texts)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton steps for ridge logistic regression."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Newton steps for ridge logistic regression over weighted rows."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        move = np.linalg.solve(hessian, x.T @ (p - y) + penalty * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        move = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty * w)
         w -= np.clip(move, -5, 5)
         if np.abs(move).max() < 1e-8:
             break
     return w
 
 
-def fit(rows: list[tuple[int, str, int]]) -> bytes:
-    """A pickled (lexicon, clean words, terms without edits, coefficients) from rows (doc_id, text, label), in any order."""
+def fit(rows: list[tuple[int, str, int, float]]) -> bytes:
+    """A pickled (lexicon, clean words, terms without edits, coefficients) from rows (doc_id, text, label, weight), in any order."""
     rows = sorted(rows)
+    weight = np.array([r[3] for r in rows])
+    rows = [r[:3] for r in rows]
     toxic = np.array([r[2] for r in rows], np.int64)
     held = np.arange(len(rows)) % 10 >= 7  # the coefficients come from rows that the lexicon has not seen
     if min(toxic[~held].sum(), (1 - toxic[~held]).sum()) < 5:
@@ -355,7 +358,7 @@ def fit(rows: list[tuple[int, str, int]]) -> bytes:
         used = np.ones(len(DEFAULT), bool)
         while True:  # no hit may speak against toxicity: a negative coefficient is taken out
             coefficients = np.zeros(len(DEFAULT))
-            coefficients[used] = logistic(x[:, used], y)
+            coefficients[used] = logistic(x[:, used], y, weight[held])
             worst = 1 + int(np.argmin(coefficients[1:]))
             if coefficients[worst] >= 0:
                 break
@@ -363,17 +366,37 @@ def fit(rows: list[tuple[int, str, int]]) -> bytes:
     return pickle.dumps((lexicon, clean, exact_only, coefficients))
 
 
+def takes(counts: dict[int, int], max_rows: int) -> dict[int, tuple[int, float]]:
+    """How many rows of each label a sample takes, and what each of them weighs.
+
+    Labels are taken by their shares; a rarer label gets a twentieth of the rows if it has so many, and then weighs less,
+    so that the weights keep the shares.
+    """
+    total = sum(counts.values())
+    if total <= max_rows:
+        return {y: (n, 1.0) for y, n in counts.items()}
+    found = {y: max(round(max_rows * n / total), min(n, max_rows // 20)) for y, n in counts.items()}
+    most = max(found, key=found.get)
+    found[most] -= sum(found.values()) - max_rows
+    natural = all(min(n, max_rows // 20) <= round(max_rows * n / total) for n in counts.values())
+    return {y: (k, 1.0 if natural else counts[y] / total * max_rows / k) for y, k in found.items() if k}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int) -> DataFrame:
-    """At most max_rows rows (doc_id, text, label) with `learn` true, by the smallest hash of the id.
+    """At most max_rows rows (doc_id, text, label, weight) with `learn` true and a label of 0 or 1.
 
-    Labels of documents that are not there take up no place.  Of rows that repeat an id the least text counts, so a
-    frequent id cannot make the sample grow.
+    Of each label the rows with the smallest hash of their id are taken, as many as `takes` says.  Labels of documents
+    that are not there take up no place.  Of rows that repeat an id the least text counts, so a frequent id cannot make the
+    sample grow.
     """
     there = docs.select(F.col("doc_id").cast(labels.schema["doc_id"].dataType).alias("doc_id"))
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(learn).join(there, "doc_id", "left_semi")
-    chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(learn).join(there, "doc_id", "left_semi")
+    single = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    counts = {r.label: r["count"] for r in single.groupBy("label").count().collect()}
+    parts = [single.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k).withColumn("weight", F.lit(w)) for y, (k, w) in sorted(takes(counts, max_rows).items())]
+    chosen = reduce(DataFrame.union, parts) if parts else single.limit(0).withColumn("weight", F.lit(1.0))
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.max("weight").alias("weight"))
 
 
 def fit_in_one_task(sample: DataFrame, fitter, max_bytes: int) -> bytes:
@@ -393,7 +416,7 @@ def fit_in_one_task(sample: DataFrame, fitter, max_bytes: int) -> bytes:
                         rows.append(tuple(c[k].as_py() for c in part.columns))
         yield pa.RecordBatch.from_arrays([pa.array([fitter(rows)], pa.binary())], ["model"])
 
-    found = sample.select("doc_id", "text", "label").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model binary").first()
+    found = sample.select("doc_id", "text", "label", "weight").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model binary").first()
     return bytes(found.model) if found else fitter([])
 
 

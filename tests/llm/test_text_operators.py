@@ -238,7 +238,7 @@ def toxic_scorer():
         words = prose()
         if k % 4 == 0:
             words.insert(int(rng.integers(0, 12)), str(rng.choice(toxicity.SEED_TERMS)))
-        rows.append((k, " ".join(words), int(k % 4 == 0)))
+        rows.append((k, " ".join(words), int(k % 4 == 0), 1.0))
     lexicon, clean, exact_only, weights = pickle.loads(toxicity.fit(rows))
     matcher = toxicity.Matcher(lexicon, clean, exact_only, toxicity.WIDE)
     return lambda text: 1 / (1 + np.exp(-np.dot(matcher.features(text), weights))), prose
@@ -332,7 +332,7 @@ def test_classifiers_odd_rows(spark, odd):
 
 
 def test_ftrl_separates():
-    rows = [(i, ("good calm words " if i % 2 else "BAD!! LOUD!! ") * 5 + str(i), i % 2) for i in range(200)]
+    rows = [(i, ("good calm words " if i % 2 else "BAD!! LOUD!! ") * 5 + str(i), i % 2, 1.0) for i in range(200)]
     weights = np.frombuffer(quality_classifier.fit(rows), np.float32)
     assert quality_classifier.fit(rows[::-1]) == quality_classifier.fit(rows)
     hasher = quality_classifier.Hasher()
@@ -491,9 +491,9 @@ def test_scores_are_sparse_dot_products(spark):
 
 
 def test_fit_samples_are_bounded_in_bytes(spark):
-    rows = spark.createDataFrame([(i, "x" * (10_000 if i % 2 else 100), i % 2) for i in range(100)], "doc_id long, text string, label int")
+    rows = spark.createDataFrame([(i, "x" * (10_000 if i % 2 else 100), i % 2, 1.0) for i in range(100)], "doc_id long, text string, label int, weight double")
     held = pickle.loads(toxicity.fit_in_one_task(rows, lambda r: pickle.dumps(r), 60_000))
-    assert sum(len(t) for _, t, _ in held) <= 60_000 and sum(y for _, _, y in held) >= 5 and len(held) > 45
+    assert sum(len(r[1]) for r in held) <= 60_000 and sum(r[2] for r in held) >= 5 and len(held) > 45
     labels = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(i, "t") for i in range(0, 1000, 100)], "doc_id long, text string")
     assert toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 10).count() == 10
@@ -547,3 +547,20 @@ def test_worker_caches_are_bounded_by_characters(monkeypatch):
         segment_sampling.sample_texts([line], np.array([1], np.uint64), PIECES, 0.7, 1)
         assert held(encoder.words, encoder.words.older) < 42_000 and held(spans.known, spans.older) < 42_000
         assert held(hasher.words) < 21_000 and held(matcher.plain) < 21_000 and bank.edges < 8_000
+
+
+def test_rare_labels_are_not_lost(spark):
+    assert toxicity.takes({0: 50, 1: 3}, 100) == {0: (50, 1.0), 1: (3, 1.0)}
+    assert toxicity.takes({0: 6000, 1: 4000}, 100) == {0: (60, 1.0), 1: (40, 1.0)}
+    for counts in ({0: 100_000, 1: 100}, {0: 10, 1: 5000}, {1: 500}, {0: 99_999, 1: 1}):
+        found = toxicity.takes(counts, 100)
+        assert sum(k for k, _ in found.values()) == 100 and found[1][0] >= min(counts[1], 5)
+        shares = {y: k * w for y, (k, w) in found.items()}
+        assert all(shares[y] / sum(shares.values()) == pytest.approx(counts[y] / sum(counts.values()), abs=0.006) for y in shares)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 500 == 0).cast("int").alias("toxic"))
+    rows = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 100).collect()
+    assert len(rows) == 100 and sum(r.label for r in rows) == 5 and {r.weight for r in rows if not r.label} != {1.0}
+    x, y = np.array([[1.0, 0.0]] * 30 + [[1.0, 1.0]] * 10), np.array([0, 1] * 20)
+    whole = toxicity.logistic(np.concatenate([x, x[:20]]), np.concatenate([y, y[:20]]), np.ones(60))
+    assert toxicity.logistic(x, y, np.array([2.0] * 20 + [1.0] * 20)) == pytest.approx(whole, abs=1e-6)
