@@ -50,8 +50,13 @@ def patch_tiles(pairs: DataFrame, places: DataFrame, size: int, grid: Grid, stac
 
 
 def training_batches(pairs: DataFrame, size: int, batch: int, min_area: int, threshold: float = 30, epoch: int = 0) -> DataFrame:
-    """(batch_id, slot, patch_id): shuffled whole batches of patches with enough label area, filled up from the start."""
+    """(batch_id, slot, patch_id): shuffled whole batches of patches with enough label area, filled up from the start.
+
+    No batch at all if no patch has enough of it.
+    """
     area = pairs.groupBy("patch_id").agg(F.sum(F.when(F.col("second") > threshold, 1).otherwise(0)).alias("area"), F.count("*").alias("n"))
     usable = area.where((F.col("area") >= min_area) & (F.col("n") == size * size)).select("patch_id")
     n_batches = -(-usable.count() // batch)
+    if not n_batches:
+        return pairs.sparkSession.createDataFrame([], "batch_id int, slot int, patch_id long")
     return dataset.refilled(usable, "patch_id", batch, n_batches, epoch)

@@ -41,6 +41,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """Makes a folder, so that it can be read even if nothing is written to it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through the file system that Spark uses for it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

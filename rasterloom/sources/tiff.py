@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.georef import Affine, Grid
+from rasterloom.sources import scratch
 
 #: TIFF tags and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, BANDS, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -292,4 +293,5 @@ def save(named: DataFrame, folder: str) -> int:
                 system.move(part, f"{root}/{name}")
             yield pd.DataFrame({"n": [len(pdf)]})
 
+    scratch.make(named.sparkSession, folder)
     return named.select("name", "content").mapInPandas(run, "n long").agg({"n": "sum"}).first()[0] or 0
