@@ -52,7 +52,7 @@ SMALL = 12
 #: Edits that a lot of a star holds on average, rows of a lot that one task looks up, entries folded at once.
 LOT, SPREAD, FOLD = 8192, 2048, 1 << 20
 #: Rows of a star's own columns, to be met by its members.
-SALTS = 16
+SALTS = 8
 #: Champions that a text outside the main component is compared with first.
 CHAMPIONS = 2
 CACHE_WORDS = 150_000
@@ -342,10 +342,10 @@ def looked_up(members: DataFrame, lots: DataFrame, value: str, keep) -> DataFram
     return hits.groupBy("b", "a").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("value", "edit")))).alias("found"))
 
 
-def _with_star(members: DataFrame, stars: DataFrame, how: str = "inner") -> DataFrame:
-    """Members with the columns of their star: a row for each b, laid out SALTS times so that no task gets a whole star."""
+def _with_star(members: DataFrame, stars: DataFrame, how: str = "inner", key: str = "b", member: str = "a") -> DataFrame:
+    """Members with the columns of their star: a row for each key, laid out SALTS times so that no task gets a whole star."""
     salted = stars.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return members.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS))).join(salted, ["b", "salt"], how).drop("salt")
+    return members.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS))).join(salted, [key, "salt"], how).drop("salt")
 
 
 def centred(stars: DataFrame) -> DataFrame:
@@ -463,7 +463,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = components(stars.where("linked").select("a", "b"))
     left = led.where("node != lead").join(labels, "node", "left").select("key", "node", "n", "lead", F.coalesce("label", "node").alias("label"))
     unsettled = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    left = materialise(left.join(unsettled, "key"), "unsettled")
+    left = materialise(_with_star(left, unsettled, key="key", member="node"), "unsettled")
     small = left.where(F.col("n") <= SMALL).select("key", "node", "label")
     other = small.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
     rest = small.join(other, "key").where("node < b AND label != label_b").select(F.col("node").alias("a"), "b").distinct()

@@ -135,7 +135,10 @@ def quality_filter(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     # the counts live in one struct under a reserved name, so that columns of docs may have any name
     inner = measures(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text")))
-    return inner.where(~base_failed() & compile_rules(rules)).select("__row.*")
+    # a row is kept as often as its verdict is true; a plain filter would be pushed below the counts, which its many
+    # mentions of them would then compute again
+    verdict = F.filter(F.array(~base_failed() & compile_rules(rules)), lambda kept: kept)
+    return inner.select("__row", F.explode(verdict).alias("__kept")).select("__row.*")
 
 
 def rules_sql(rules=RULES) -> str:
