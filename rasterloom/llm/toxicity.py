@@ -254,6 +254,10 @@ def is_quoted(words: list[str], at: int) -> bool:
     return (opened and closed) or any(w.lower().strip(STRIP) in REPORTING for w in before[-3:])
 
 
+def bare_word(word: str) -> str:
+    return word.strip(STRIP)
+
+
 def terms_of(words: set[str]) -> set[str]:
     """The words and their stems."""
     found = set(words)
@@ -343,7 +347,9 @@ def fit(rows: list[tuple[int, str, int, float]]) -> bytes:
         lexicon = {t: 4.0 for t in SEED_TERMS}
         clean = near_words(Matcher(lexicon, wide=WIDE), (t for _, t, y in rows if not y))
         return pickle.dumps((lexicon, clean | ORDINARY, frozenset(), DEFAULT))
-    words = [{w.strip(STRIP) for w in t.lower().split()} - {""} for _, t, _ in rows]
+    one: dict[str, str] = {}  # a word of many texts is held once
+    words = [{one.setdefault(w, w) for w in map(bare_word, t.lower().split()) if w} for _, t, _ in rows]
+    del one
     lexicon = learn_lexicon([w for w, h in zip(words, held, strict=True) if not h], toxic[~held])
     exact_only = rarely_held(lexicon, (w for w, y, h in zip(words, toxic, held, strict=True) if y and not h), int(toxic[~held].sum()))
     matcher = Matcher(lexicon, frozenset(), exact_only, WIDE)
