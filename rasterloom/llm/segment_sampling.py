@@ -20,10 +20,11 @@ sampled whole; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,29 @@ CACHE_UNITS, CACHE_EDGES = 300_000, 6_000_000
 #: Units of more characters than this are cut where no piece reaches across.
 LONG = 64
 _STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
-_units = re.compile(f"{BLANK}+[^{BLANK}]*").findall
+_runs = re.compile(f"{BLANK}+[^{BLANK}]*").findall
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
     return ((mix(key) >> np.uint64(11)).astype(float) + 0.5) / 9007199254740992.0
 
 
+def _mixed(x: int) -> int:
+    """`mix` of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
+def _units(text: str) -> list[str]:
+    """Blanks and the characters after them; a text begins with a blank of its own."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or BLANK in text:
+        return _runs(BLANK + text.replace(" ", BLANK))
+    return (BLANK + text.replace(" ", " " + BLANK)).split(" ")
+
+
 class Vocabulary:
     """The pieces of a model, hashed by length, with their log weights."""
 
@@ -77,19 +94,27 @@ class Vocabulary:
             self.screen[(self.tables[length][0] >> np.uint64(44)).astype(np.int64)] = True
 
 
+class Numbers(dict):
+    """Numbers units in the order in which they are first looked up."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
+
+
 class Bank:
     """Lattices of units as flat arrays: nodes are character positions, and the edges of a node lie together."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.index = vocabulary, {}
-        self.nodes = self.edges = 0
+        self.vocabulary, self.index = vocabulary, Numbers()
+        self.units = self.nodes = self.edges = 0
         self.first_node, self.size, self.first_edge = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 19, np.int32)
         self.cum, self.logp = np.zeros(1 << 20), np.zeros(1 << 20)
         self.length, self.piece = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int32)
 
     def clear(self) -> None:
         """Forgets all units; the arrays keep their room."""
-        self.index, self.nodes, self.edges = {}, 0, 0
+        self.index, self.units, self.nodes, self.edges = Numbers(), 0, 0, 0
 
     def _matches(self, codes: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, starts, ids) of the pieces found in hashed characters, by length; left: characters to a unit's end."""
@@ -127,10 +152,15 @@ class Bank:
             setattr(self, name, old := np.concatenate([old, np.zeros(max(len(old) // 2, at + len(new) - len(old)), old.dtype)]))
         old[at : at + len(new)] = new
 
-    def add(self, units: list[str]) -> None:
-        """Adds units that are not in the bank yet."""
-        if not units:
-            return
+    def numbers(self, units: Iterable[str], count: int) -> np.ndarray:
+        """The numbers of `count` units; those that the bank lacks are added."""
+        found = np.fromiter(map(self.index.__getitem__, units), np.int64, count)
+        if len(self.index) > self.units:
+            self._add(list(islice(self.index, self.units, None)))
+        return found
+
+    def _add(self, units: list[str]) -> None:
+        """Adds the lattices of the units that were numbered last."""
         v = self.vocabulary
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         raw = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
@@ -179,35 +209,36 @@ class Bank:
         cum -= np.repeat(cum[heads] - p[heads], np.diff(np.append(heads, len(start))))
         cum[np.append(heads[1:], len(start)) - 1] = 2.0  # the last edge of a node takes what rounding leaves
         for name, at, new in (
-            ("first_node", len(self.index), np.cumsum(sizes) - sizes + self.nodes), ("size", len(self.index), sizes), ("first_edge", self.nodes, np.append(heads, len(start)) + self.edges),
+            ("first_node", self.units, np.cumsum(sizes) - sizes + self.nodes), ("size", self.units, sizes), ("first_edge", self.nodes, np.append(heads, len(start)) + self.edges),
             ("cum", self.edges, cum), ("logp", self.edges, logp), ("length", self.edges, length), ("piece", self.edges, piece),
         ):
             self._put(name, at, new)
-        self.nodes, self.edges = self.nodes + n, self.edges + len(start)
-        for i, u in enumerate(units, len(self.index)):
-            self.index[u] = i
+        self.units, self.nodes, self.edges = self.units + len(units), self.nodes + n, self.edges + len(start)
 
     def draw(self, units: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A sampled path for each unit: edges in order, the number of edges of each unit, and log probabilities."""
-        place, edges, owners = np.zeros(len(units), np.int64), [], []
-        alive, number = np.arange(len(units)), 0
-        logp = np.zeros(len(units))
+        node = self.first_node[units]
+        end = node + self.size[units]
+        alive, steps = np.arange(len(units)), []
+        counts, logp = np.zeros(len(units), np.int64), np.zeros(len(units))
         while len(alive):
-            u = _uniform(keys[alive] + np.array([number + 1], np.uint64) * _STEP)
-            e = self.first_edge[self.first_node[units[alive]] + place[alive]]
+            u = _uniform(keys + np.array([len(steps) + 1], np.uint64) * _STEP)
+            e = self.first_edge[node]
             late = np.flatnonzero(u > self.cum[e])
             while len(late):
                 e[late] += 1
                 late = late[u[late] > self.cum[e[late]]]
-            edges.append(e)
-            owners.append(alive)
+            steps.append((alive, e))
             logp[alive] += self.logp[e]
-            place[alive] += self.length[e]
-            alive = alive[place[alive] < self.size[units[alive]]]
-            number += 1
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        return (np.concatenate(edges) if edges else owner)[order], np.bincount(owner, minlength=len(units)), logp
+            counts[alive] += 1
+            node = node + self.length[e]
+            on = np.flatnonzero(node < end)
+            alive, keys, node, end = alive[on], keys[on], node[on], end[on]
+        first = np.cumsum(counts) - counts
+        edges = np.empty(int(counts.sum()), np.int64)
+        for number, (owner, e) in enumerate(steps):
+            edges[first[owner] + number] = e
+        return edges, counts, logp
 
     def other_path(self, unit: int, excluded: set[tuple[int, ...]], key: int) -> tuple[tuple[int, ...], float]:
         """A path of the unit sampled from those that are not excluded; at least one is not.
@@ -216,22 +247,22 @@ class Bank:
         """
         base, size = int(self.first_node[unit]), int(self.size[unit])
         path, place, total = [], 0, 0.0
-        taboo = [(x, float(np.exp(self.logp[list(x)].sum()))) for x in excluded]  # with the probability from here on
+        taboo = [(x, math.exp(self.logp[list(x)].sum())) for x in excluded]  # with the probability from here on
         while place < size:
             a, b = int(self.first_edge[base + place]), int(self.first_edge[base + place + 1])
             logp = self.logp[a:b].tolist()
             depth = len(path)
-            free = [max(0.0, float(np.exp(x)) - sum(m for t, m in taboo if t[depth] == e)) for e, x in enumerate(logp, a)]
+            free = [max(0.0, math.exp(x) - sum(m for t, m in taboo if t[depth] == e)) for e, x in enumerate(logp, a)]
             # where rounding leaves nothing, the edges off the excluded paths remain
             if sum(free) <= 0.0:
                 free = [0.0 if any(t[depth] == e for t, _ in taboo) else 1.0 for e in range(a, b)] if taboo else [1.0] * (b - a)
                 free = free if sum(free) else [1.0] * (b - a)
-            mark = float(_uniform(np.array([(key + depth * 0x51ED2701) % (1 << 64)], np.uint64))[0]) * sum(free)
+            mark = ((_mixed((key + depth * 0x51ED2701) % (1 << 64)) >> 11) + 0.5) / 9007199254740992.0 * sum(free)
             e = a
             while mark > free[e - a] and e < b - 1:
                 mark -= free[e - a]
                 e += 1
-            p = float(np.exp(logp[e - a]))
+            p = math.exp(logp[e - a])
             taboo = [(t, m / p) for t, m in taboo if t[depth] == e]
             path.append(e)
             total += logp[e - a]
@@ -253,38 +284,11 @@ class Search:
         self.regions: list[dict] = []
         self.popped = 0
 
-    def _u(self, salt: int, n: int = 1) -> np.ndarray:
-        return _uniform(mix(np.array([(self.key + salt * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64)) + np.arange(n, dtype=np.uint64) * _STEP)
-
-    def root(self, edges: np.ndarray, counts: np.ndarray, logp: np.ndarray) -> dict:
-        value = float(-np.log(-np.log(self._u(1)[0])))
+    def root(self, value: float, edges: np.ndarray, counts: np.ndarray, logp: np.ndarray) -> dict:
         return {"value": value, "edges": edges, "counts": counts, "logp": logp, "at": -1, "excluded": set(), "gone": 0.0}
 
-    def split(self, leaf: dict) -> None:
-        """Adds what is left of the leaf's region once the leaf is out."""
-        self.popped += 1
-        logp, at = leaf["logp"], leaf["at"]
-        ahead = np.concatenate([[0.0], np.cumsum(logp)[:-1]])
-        with np.errstate(divide="ignore"):
-            mass = ahead + np.log(-np.expm1(np.minimum(logp, 0.0)))
-            u = self._u(1000 * self.popped + 2, len(logp))
-            values = _truncated(mass, u, leaf["value"])
-        ok = (logp < -1e-13) & (np.arange(len(logp)) > at)
-        excluded, gone = set(leaf["excluded"]), leaf["gone"]
-        if at >= 0:  # the same unit, with one path less
-            bounds = np.cumsum(leaf["counts"])
-            excluded.add(tuple(leaf["edges"][bounds[at] - leaf["counts"][at] : bounds[at]].tolist()))
-            gone += float(np.exp(logp[at]))
-            ok[at] = gone < 1 - 1e-12
-            if ok[at]:
-                values[at] = float(_truncated(ahead[at] + np.log1p(-gone), u[at], leaf["value"]))
-        values[~ok] = -np.inf
-        self.regions.append({"values": values, "leaf": leaf, "excluded": excluded, "gone": gone})
-
     def best(self) -> tuple[float, int, int]:
-        found = [(float(r["values"].max()), i) for i, r in enumerate(self.regions) if len(r["values"])]
-        value, i = max(found, default=(-np.inf, -1))
-        return value, i, int(self.regions[i]["values"].argmax()) if i >= 0 else -1
+        return max((float(r["values"][at := int(r["values"].argmax())]), i, at) for i, r in enumerate(self.regions))
 
     def pop(self, fresh: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict | None:
         """The next leaf; `fresh` are independent samples of all units, for the units behind the one that differs."""
@@ -299,7 +303,7 @@ class Search:
         same = at == leaf["at"]
         excluded = set(region["excluded"]) if same else {own}
         gone = region["gone"] if same else float(np.exp(leaf["logp"][at]))
-        path, path_logp = self.bank.other_path(int(self.units[at]), excluded, int(mix(np.array([(self.key + 7919 * (self.popped + 3)) % (1 << 64)], np.uint64))[0]))
+        path, path_logp = self.bank.other_path(int(self.units[at]), excluded, _mixed((self.key + 7919 * (self.popped + 3)) % (1 << 64)))
         new_edges, new_counts, new_logp = fresh
         tail = int(new_counts[: at + 1].sum())
         return {
@@ -311,6 +315,34 @@ class Search:
         }
 
 
+def split(searches: list[Search], leaves: list[dict]) -> None:
+    """Adds to every search what is left of its leaf's region once the leaf is out."""
+    sizes = np.array([len(x["logp"]) for x in leaves])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    logp, ahead = np.concatenate([x["logp"] for x in leaves]), np.zeros(int(ends[-1]))
+    for leaf, a, b in zip(leaves, starts.tolist(), ends.tolist(), strict=True):
+        np.cumsum(leaf["logp"][:-1], out=ahead[a + 1 : b])
+    place = np.arange(len(logp)) - np.repeat(starts, sizes)
+    for search in searches:
+        search.popped += 1
+    key = mix(np.array([(s.key + (1000 * s.popped + 2) * 0x9E3779B97F4A7C15) % (1 << 64) for s in searches], np.uint64))
+    u = _uniform(np.repeat(key, sizes) + place.astype(np.uint64) * _STEP)
+    ok = np.flatnonzero((logp < -1e-13) & (place > np.repeat([x["at"] for x in leaves], sizes)))
+    values = np.full(len(logp), -np.inf)
+    with np.errstate(divide="ignore"):
+        values[ok] = _truncated(ahead[ok] + np.log(-np.expm1(logp[ok])), u[ok], np.repeat([x["value"] for x in leaves], sizes)[ok])
+    for search, leaf, a, b in zip(searches, leaves, starts.tolist(), ends.tolist(), strict=True):
+        at, excluded, gone = leaf["at"], leaf["excluded"], leaf["gone"]
+        if at >= 0:  # the same unit, with one path less
+            first = int(leaf["counts"][:at].sum())
+            excluded = excluded | {tuple(leaf["edges"][first : first + leaf["counts"][at]].tolist())}
+            gone += math.exp(logp[a + at])
+            if gone < 1 - 1e-12:
+                values[a + at] = _truncated(ahead[a + at] + np.log1p(-gone), u[a + at], leaf["value"])
+        search.regions.append({"values": values[a:b], "leaf": leaf, "excluded": excluded, "gone": gone})
+
+
 def piece_ids(bank: Bank, edges: np.ndarray) -> np.ndarray:
     """Vocabulary ids of edges, with byte pieces for characters outside the vocabulary."""
     ids = bank.piece[edges]
@@ -341,13 +373,12 @@ def sample_texts(texts: list[str], keys: np.ndarray, model: str, theta: float, k
         _banks[model, theta] = bank = Bank(vocabulary(model, theta))
     if len(bank.index) > CACHE_UNITS or bank.edges > CACHE_EDGES:
         bank.clear()
-    split = [_units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-    for units_of in split:
+    parts = [_units(t) if t else [] for t in texts]
+    for units_of in parts:
         if units_of and max(map(len, units_of)) > LONG:
             units_of[:] = chain.from_iterable(bank.cut(u) if len(u) > LONG else (u,) for u in units_of)
-    bank.add([u for u in dict.fromkeys(chain.from_iterable(split)) if u not in bank.index])
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    units = np.fromiter(map(bank.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    units = bank.numbers(chain.from_iterable(parts), int(sizes.sum()))
     ends = np.cumsum(sizes)
     place = np.arange(len(units)) - np.repeat(ends - sizes, sizes)
     own = mix(np.repeat(keys, sizes) + place.astype(np.uint64) * _STEP)
@@ -355,21 +386,25 @@ def sample_texts(texts: list[str], keys: np.ndarray, model: str, theta: float, k
     for r in range(k):
         edges, counts, logp = bank.draw(units, mix(own + np.uint64(r)))
         fresh.append((edges, np.concatenate([[0], np.cumsum(counts)]), counts, logp))
+    spans = {d: (int(end - size), int(end)) for d, (size, end) in enumerate(zip(sizes, ends, strict=True)) if size}
+    drawn = lambda d, r: (fresh[r][0][fresh[r][1][spans[d][0]] : fresh[r][1][spans[d][1]]], *(x[slice(*spans[d])] for x in fresh[r][2:]))
+    roots = -np.log(-np.log(_uniform(mix(keys + _STEP))))
+    searches = {d: Search(bank, units[a:b], int(keys[d])) for d, (a, b) in spans.items()}
+    leaves = {d: search.root(float(roots[d]), *drawn(d, 0)) for d, search in searches.items()}
+    found: list[list[dict]] = [[] for _ in texts]
+    for number in range(1, k + 1):
+        if not leaves:
+            break
+        split([searches[d] for d in leaves], list(leaves.values()))
+        for d, leaf in leaves.items():
+            found[d].append(leaf)
+        if number < k:
+            leaves = {d: leaf for d in leaves if (leaf := searches[d].pop(drawn(d, number))) is not None}
     out = []
-    for d, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-        found: list[dict] = []
-        if size:
-            a = end - size
-            draws = [(edges[at[a] : at[end]], counts[a:end], logp[a:end]) for edges, at, counts, logp in fresh]
-            search = Search(bank, units[a:end], int(keys[d]))
-            leaf: dict | None = search.root(*draws[0])
-            while leaf is not None:
-                found.append(leaf)
-                search.split(leaf)
-                leaf = search.pop(draws[len(found)]) if len(found) < k else None
-            kappa = search.best()[0] if len(found) == k else -np.inf
+    for d, leaves_of in enumerate(found):
+        kappa = searches[d].best()[0] if len(leaves_of) == k else -np.inf
         rows = []
-        for leaf in found:
+        for leaf in leaves_of:
             logp = float(leaf["logp"].sum())
             rows.append((piece_ids(bank, leaf["edges"]).tobytes(), logp, leaf["value"], 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(logp - kappa, 50.0))))))
         out.append(rows)
