@@ -38,8 +38,9 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
-    return drawn.select("doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
+    drawn = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, decoded=True)
+    size, digests = (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), [F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32")]
+    return drawn.select("doc_id", "sample", size, *digests, "log_prob", "perturbed", "inclusion")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,23 +416,32 @@ def decode(ids, model: str) -> str:
     return vocabulary(model, 1.0).processor.decode([int(i) for i in ids])
 
 
+def _decoded(rows: Iterable[bytes | None], model: str) -> list[str | None]:
+    processor = vocabulary(model, 1.0).processor
+    return [None if x is None else processor.decode(np.frombuffer(x, "<u4").tolist()) if x else "" for x in rows]
+
+
 def decode_rows(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """Rows with their ids (little-endian unsigned 32-bit integers) replaced by `text`; null ids give a null text."""
     at, kept = rows.columns.index(ids), [f for f in rows.schema.fields if f.name not in (ids, "text")]
     places, names = [rows.columns.index(f.name) for f in kept], [*(f.name for f in kept), "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = vocabulary(model, 1.0).processor
         for batch in batches:
-            parts = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in batch.column(at).to_pylist()]
-            texts = [None if x is None else processor.decode(x) if x else "" for x in parts]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, places), pa.array(texts, pa.string())], names)
+            for part in slices(batch, at, 256):
+                yield pa.RecordBatch.from_arrays([*map(part.column, places), pa.array(_decoded(part.column(at).to_pylist(), model), pa.string())], names)
 
     return rows.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 
 
-def sample_segmentations(docs: DataFrame, model: str, k: int = 2, theta: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Up to k distinct sampled segmentations (SCHEMA) of every text; ids are little-endian unsigned 32-bit integers."""
+def sample_segmentations(docs: DataFrame, model: str, k: int = 2, theta: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """Up to k distinct sampled segmentations (SCHEMA) of every text; ids are little-endian unsigned 32-bit integers.
+
+    With `decoded`, a column `text` holds what the ids of a row decode to.
+    """
+    fields = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.binary()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
+    if decoded:
+        fields = fields.append(pa.field("text", pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,8 +452,10 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, theta: float =
                 for doc_id, found in zip(ids, sample_texts(part.column(1).to_pylist(), keys, model, theta, k), strict=True):
                     rows += [(doc_id, number, *f) for number, f in enumerate(found, 1)]
                 if rows:
-                    types = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                    columns = list(zip(*rows, strict=True))
+                    if decoded:
+                        columns.append(_decoded(columns[2], model))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.types, strict=True)], schema=fields)
 
     keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.col(key)).alias("key"))
-    return keyed.mapInArrow(run, SCHEMA)
+    return keyed.mapInArrow(run, f"{SCHEMA}, text string" if decoded else SCHEMA)

@@ -399,6 +399,14 @@ def test_decoding_rows(spark, docs, texts):
     assert {r.doc_id: r.text for r in segment_sampling.decode_rows(odd, PIECES).collect()} == {1: None, 2: ""}
 
 
+def test_query_decodes_what_it_draws(spark, docs, texts):
+    rows = queries.op5_segment_sampling(spark, SF).collect()
+    assert Counter(r.doc_id for r in rows) == {i: 2 for i in texts}
+    assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+    both = segment_sampling.sample_segmentations(docs, PIECES, k=2, decoded=True).select("ids", "text")
+    assert all(r.text == segment_sampling.decode(np.frombuffer(r.ids, "<u4"), PIECES) for r in both.limit(200).collect())
+
+
 def test_frequent_id_keeps_the_sample_small(spark):
     docs = spark.createDataFrame([(7, f"text {k}") for k in range(500)] + [(8, "other")], "doc_id long, text string")
     labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
