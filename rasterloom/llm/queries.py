@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_quant, bag_minhash, html_extract, packing, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
+from rasterloom.llm import additive_quant, bag_minhash, html_extract, merkle_manifest, packing, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
 from rasterloom.llm.common import id_bucket, table
 
 #: Bytes of text that one shard may hold.
@@ -66,6 +66,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op7_html_extraction, op8_quality_classifier, op9_additive_quantisation, op10_sharding)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify(table(spark, sf_dir, "documents"), merkle_manifest.lower_cased(F.col("doc_id")))
 
-SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT)}
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op7_html_extraction, op8_quality_classifier, op9_additive_quantisation, op10_sharding, op11_merkle_manifest)}
+
+SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT), "op11_merkle_manifest": merkle_manifest.manifest_sql()}
