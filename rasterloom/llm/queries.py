@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_quant, bag_minhash, html_extract, merkle_manifest, packing, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
+from rasterloom.llm import additive_quant, bag_minhash, html_extract, merkle_manifest, packing, period_runs, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
 from rasterloom.llm.common import id_bucket, table
 
 #: Bytes of text that one shard may hold.
@@ -70,6 +70,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify(table(spark, sf_dir, "documents"), merkle_manifest.lower_cased(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op7_html_extraction, op8_quality_classifier, op9_additive_quantisation, op10_sharding, op11_merkle_manifest)}
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.periodic_runs(table(spark, sf_dir, "documents"), loop=True)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat_ws("", F.transform(lines, lambda s: F.concat(s, F.lit("\n"))))
+    digests = [F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op7_html_extraction, op8_quality_classifier, op9_additive_quantisation, op10_sharding, op11_merkle_manifest, op12_period_runs)}
 
 SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT), "op11_merkle_manifest": merkle_manifest.manifest_sql()}
