@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_quant, bag_minhash, html_extract, merkle_manifest, packing, period_runs, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
+from rasterloom.llm import additive_quant, bag_minhash, html_extract, language_mixture, merkle_manifest, packing, period_runs, quality_classifier, quality_rules, segment_sampling, sharding, token_counts, toxicity
 from rasterloom.llm.common import id_bucket, table
 
 #: Bytes of text that one shard may hold.
@@ -78,6 +78,12 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op7_html_extraction, op8_quality_classifier, op9_additive_quantisation, op10_sharding, op11_merkle_manifest, op12_period_runs)}
+def op13_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(id_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    found = language_mixture.identify(docs, language_mixture.language_model(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_toxicity, op4_bag_minhash, op5_segment_sampling, op6_quality_rules, op7_html_extraction, op8_quality_classifier, op9_additive_quantisation, op10_sharding, op11_merkle_manifest, op12_period_runs, op13_language_mixture)}
 
 SQL = {"op6_quality_rules": quality_rules.rules_sql(), "op10_sharding": sharding.shard_sql(SHARD_LIMIT), "op11_merkle_manifest": merkle_manifest.manifest_sql()}
