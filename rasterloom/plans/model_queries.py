@@ -15,6 +15,7 @@ from rasterloom.plans.prediction import predict_mosaic as predict_plan
 from rasterloom.plans.registry import query
 from rasterloom.sources import grids, tiff, vector
 from rasterloom.sources.grids import DTM_SQL, MASK_SQL, POINTS_SQL
+from rasterloom.sources.raster_source import read_rasters
 from rasterloom.sources.scratch import work_folder
 from rasterloom.streaming import mosaic as stream
 
@@ -162,18 +163,35 @@ def _saved_chips(spark, sf_dir) -> str:
 
 @query("SELECT vec_id || '_img.tif' AS name, 8 AS width, 8 AS height, 1 AS band_count, 'float32' AS dtype, 500000.0E0 + vec_id * 4 AS c, 6200000.0E0 AS f FROM embeddings")
 def raster_headers(spark, sf_dir):
-    """All chips written as TIFF files, and their headers read back."""
-    found = tiff.headers(tiff.files(spark, _saved_chips(spark, sf_dir)))
+    """All chips written as TIFF files, and their headers read back by ranges."""
+    found = read_rasters(spark, _saved_chips(spark, sf_dir), "headers")
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "width", "height", "band_count", "dtype", "c", "f")
 
 
 @query("SELECT vec_id || '_img.tif' AS name, CAST((k - 1) // 8 AS INT) AS \"row\", CAST((k - 1) % 8 AS INT) AS col, embedding[k] AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS k FROM embeddings)")
 def raster_pixels(spark, sf_dir):
-    """All chips written as TIFF files, and their pixels read back in blocks of five."""
-    read = tiff.blocks(tiff.files(spark, _saved_chips(spark, sf_dir)), block=5, band=1)
-    cell = read.select("path", "row_off", "col_off", "width", F.posexplode("data").alias("k", "value"))
-    row, col = F.col("row_off") + F.floor(F.col("k") / F.col("width")).cast("int"), F.col("col_off") + (F.col("k") % F.col("width")).cast("int")
-    return cell.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), row.alias("row"), col.alias("col"), "value")
+    """All chips written as TIFF files, and their pixels read back."""
+    read = read_rasters(spark, _saved_chips(spark, sf_dir), "pixels", bands=[1])
+    return read.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "row", "col", F.col("value").cast("float").alias("value"))
+
+
+_SHEET = 256
+
+
+@query(f"""WITH {DTM_SQL} SELECT 'sheet_' || "row" // {_SHEET} || '.tif' AS name, 1 AS band, CAST("row" % {_SHEET} AS INT) AS "row", CAST(col AS INT) AS col, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value
+FROM dtm WHERE NOT isnan(value) AND "row" % {_SHEET} BETWEEN 10 AND 49 AND col BETWEEN 100 AND 119""")
+def ranged_window(spark, sf_dir):
+    """The terrain in big, tiled files of 256 rows, and one window of each read by ranges of its tiles."""
+    row = F.col("row") % _SHEET
+    cell = F.struct((row * grids.WIDTH + F.col("col")).cast("int").alias("at"), F.col("value").cast("float").alias("v"))
+    sheets = grids.terrain(spark, sf_dir).where(~F.isnan("value")).groupBy(F.floor(F.col("row") / _SHEET).alias("k")).agg((F.max(row) + 1).cast("int").alias("height"), F.collect_list(cell).alias("m"))
+    tiles = sheets.select(
+        F.format_string("sheet_%d.tif", "k").alias("name"), "height", F.lit(grids.WIDTH).alias("width"), F.transform("m", lambda z: z["at"]).alias("at"), F.transform("m", lambda z: z["v"]).alias("data"),
+        F.lit(500000.0).alias("origin_x"), F.lit(6200000.0).alias("origin_y"), F.lit(0.5).alias("resolution"),
+    )
+    tiff.save(tiff.to_files(tiles, tile=16, big=True, missing=float("nan")), folder := _shared(spark))
+    read = read_rasters(spark, folder, "pixels", rows=(10, 50), cols=(100, 120), partition_bytes=1 << 16)
+    return read.where(~F.isnan("value")).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "band", "row", "col", "value")
 
 
 @query("SELECT vec_id || '_img.tif' AS name FROM embeddings")

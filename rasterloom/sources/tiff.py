@@ -17,186 +17,163 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.georef import Affine, Grid
-from rasterloom.sources import scratch
+from rasterloom.sources import lzw, scratch
+from rasterloom.sources.ranges import Held, RangeFile
 
 #: TIFF tags and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, BANDS, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 _DTYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
 
-def lzw_decode(data: bytes) -> bytes:
-    out, table, width, prev = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-    buffer = held = 0
-    for byte in data:
-        buffer, held = buffer << 8 | byte, held + 8
-        while held >= width:
-            held -= width
-            code = buffer >> held & (1 << width) - 1
-            buffer &= (1 << held) - 1
-            if code == 257:
-                return bytes(out)
-            if code == 256:
-                del table[258:]
-                width, prev = 9, b""
-                continue
-            entry = table[code] if code < len(table) else prev + prev[:1]
-            out += entry
-            if prev:
-                table.append(prev + entry[:1])
-            prev = entry
-            width = min(12, max(9, (len(table) + 1).bit_length()))
-    return bytes(out)
-
-
-def lzw_encode(data: bytes) -> bytes:
-    out, buffer, held, width = bytearray(), 256, 9, 9
-    table = {bytes([i]): i for i in range(256)}
-
-    def put(code: int) -> None:
-        nonlocal buffer, held
-        buffer, held = buffer << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(buffer >> held)
-            buffer &= (1 << held) - 1
-
-    while held >= 8:
-        held -= 8
-        out.append(buffer >> held)
-        buffer &= (1 << held) - 1
-    size, word = 258, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
-            continue
-        put(table[word])
-        table[longer] = size
-        size += 1
-        if size == 4095:
-            put(256)
-            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
-        else:
-            width = min(12, max(9, size.bit_length()))
-        word = data[i : i + 1]
-    if word:
-        put(table[word])
-        size += 1
-        width = min(12, max(9, size.bit_length()))
-    put(257)
-    if held:
-        out.append(buffer << 8 - held & 0xFF)
-    return bytes(out)
+class Tiff:
+    """The first image of a classic or big TIFF file, held in memory or read by ranges.
 
+    Only the tags that are asked for are fetched, and of the offsets of strips or tiles only those of a window's blocks.
+    """
 
-class Tiff:
-    """The first image of a file held in memory; windows decode only the strips or tiles they touch."""
-
-    def __init__(self, content: bytes):
-        self.content = content
-        self.order = {b"II": "<", b"MM": ">"}.get(content[:2])
-        if self.order is None or struct.unpack(self.order + "H", content[2:4])[0] != 42:
-            raise ValueError("not a classic TIFF file")
-        at = struct.unpack(self.order + "I", content[4:8])[0]
-        self.tags = {}
-        for k in range(struct.unpack(self.order + "H", content[at : at + 2])[0]):
-            tag, kind, count, raw = struct.unpack(self.order + "HHI4s", content[at + 2 + 12 * k : at + 14 + 12 * k])
-            code = _TYPES.get(kind)
-            if code is None:
-                continue
-            size = struct.calcsize(self.order + code) * count
-            place = content[struct.unpack(self.order + "I", raw)[0] :][:size] if size > 4 else raw[:size]
-            self.tags[tag] = place if code == "s" else struct.unpack(self.order + code * count, place)
-        self.width, self.height = self.tags[WIDTH][0], self.tags[HEIGHT][0]
-        self.bands = self.tags.get(BANDS, (1,))[0]
-        key = self.tags.get(SAMPLE_FORMAT, (1,))[0], self.tags.get(BITS, (8,))[0]
+    def __init__(self, source: bytes | RangeFile):
+        self.file = source if isinstance(source, RangeFile) else Held(source)
+        head = self.file.read_at(0, 16)
+        self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
+        kind = struct.unpack(self.order + "H", head[2:4])[0] if self.order and len(head) >= 8 else 0
+        if kind not in (42, 43) or kind == 43 and (len(head) < 16 or struct.unpack(self.order + "HH", head[4:8]) != (8, 0)):
+            raise ValueError("not a TIFF file")
+        # a directory: the number of entries, then (tag, type, number of values, the values or their offset) for each
+        number, entry, place = ("H", "HHI4s", "I") if kind == 42 else ("Q", "HHQ8s", "Q")
+        at = struct.unpack(self.order + place, head[4:8] if kind == 42 else head[8:16])[0]
+        size, wide = struct.calcsize(self.order + number), struct.calcsize(self.order + entry)
+        count = struct.unpack(self.order + number, self.file.read_at(at, size))[0]
+        entries = self.file.read_at(at + size, count * wide)
+        self._entries, self._place = {}, place
+        for k in range(count):
+            tag, code, n, raw = struct.unpack(self.order + entry, entries[k * wide : (k + 1) * wide])
+            if code in _TYPES:
+                self._entries[tag] = _TYPES[code], n, raw
+        self.width, self.height = self.tag(WIDTH)[0], self.tag(HEIGHT)[0]
+        self.bands = self.tag(BANDS, (1,))[0]
+        key = self.tag(SAMPLE_FORMAT, (1,))[0], self.tag(BITS, (8,))[0]
         if key not in _DTYPES:
             raise ValueError(f"samples of format and bits {key} are not read")
         self.dtype = np.dtype(self.order + _DTYPES[key])
-        self.planar = self.tags.get(PLANAR, (1,))[0] == 2
+        self.planar = self.tag(PLANAR, (1,))[0] == 2
+        self.tiled = TILE_WIDTH in self._entries
+        self.block_width = self.tag(TILE_WIDTH)[0] if self.tiled else self.width
+        self.block_height = self.tag(TILE_HEIGHT)[0] if self.tiled else min(self.tag(ROWS_PER_STRIP, (self.height,))[0], self.height)
+        self.across, self.down = -(-self.width // self.block_width), -(-self.height // self.block_height)
+
+    def tag(self, tag: int, default=None, first: int = 0, number: int | None = None):
+        """The values of a tag from `first` on, all or `number` of them; text comes as bytes."""
+        if tag not in self._entries:
+            return default
+        code, n, raw = self._entries[tag]
+        number = n - first if number is None else max(0, min(number, n - first))
+        each = struct.calcsize(self.order + code)
+        if each * n <= len(raw):
+            data = raw[first * each : (first + number) * each]
+        else:
+            data = self.file.read_at(struct.unpack(self.order + self._place, raw)[0] + first * each, number * each)
+        return data if code == "s" else struct.unpack(self.order + code * number, data)
 
     def grid(self, raster_id: str, path: str = "") -> Grid:
-        sx, sy = self.tags.get(PIXEL_SCALE, (1.0, 1.0))[:2]
-        i, j, _, x, y, _ = self.tags.get(TIE_POINT, (0.0,) * 6)[:6]
-        keys = self.tags.get(GEO_KEYS, ())
+        sx, sy = self.tag(PIXEL_SCALE, (1.0, 1.0))[:2]
+        i, j, _, x, y, _ = self.tag(TIE_POINT, (0.0,) * 6)[:6]
+        keys = self.tag(GEO_KEYS, ())
         codes = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
         crs = next((f"EPSG:{codes[k]}" for k in (3072, 2048) if k in codes), "")
-        nodata = self.tags.get(NODATA, b"").rstrip(b"\0 ").decode() or None
+        nodata = self.tag(NODATA, b"").rstrip(b"\0 ").decode() or None
         return Grid(raster_id, self.width, self.height, Affine(sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy), crs, self.bands, self.dtype.name, float(nodata) if nodata else None, "GTiff", path)
 
-    def read(self, row: int = 0, col: int = 0, height: int | None = None, width: int | None = None) -> np.ndarray:
-        """Bands x rows x columns of a window clipped to the raster."""
+    def touched(self, row: int, col: int, height: int, width: int) -> tuple[range, range]:
+        """Rows and columns of the blocks that a window meets."""
+        return range(row // self.block_height, -(-(row + height) // self.block_height)), range(col // self.block_width, -(-(col + width) // self.block_width))
+
+    def read(self, row: int = 0, col: int = 0, height: int | None = None, width: int | None = None, bands: list[int] | None = None) -> np.ndarray:
+        """Bands x rows x columns of a window clipped to the raster; all bands or those listed, from 0 on."""
         height, width = min(height or self.height, self.height - row), min(width or self.width, self.width - col)
-        tiled = TILE_WIDTH in self.tags
-        bw = self.tags[TILE_WIDTH][0] if tiled else self.width
-        bh = self.tags[TILE_HEIGHT][0] if tiled else min(self.tags.get(ROWS_PER_STRIP, (self.height,))[0], self.height)
-        across, down = -(-self.width // bw), -(-self.height // bh)
-        offsets, counts = self.tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], self.tags[TILE_COUNTS if tiled else STRIP_COUNTS]
-        out = np.zeros((self.bands, height, width), self.dtype.newbyteorder("="))
-        layers = range(self.bands) if self.planar else (slice(None),)
-        for p, layer in enumerate(layers):
-            for i in range(row // bh, -(-(row + height) // bh)):
-                for j in range(col // bw, -(-(col + width) // bw)):
-                    k = (p * down + i) * across + j
-                    rows = bh if tiled else min(bh, self.height - i * bh)
-                    block = self._block(self.content[offsets[k] : offsets[k] + counts[k]], rows, bw)
-                    r0, r1, c0, c1 = max(row, i * bh), min(row + height, i * bh + rows), max(col, j * bw), min(col + width, j * bw + bw)
-                    part = block[:, r0 - i * bh : r1 - i * bh, c0 - j * bw : c1 - j * bw]
-                    out[layer, r0 - row : r1 - row, c0 - col : c1 - col] = part[0] if self.planar else part
+        bands = list(range(self.bands)) if bands is None else bands
+        bw, bh = self.block_width, self.block_height
+        down, across = self.touched(row, col, height, width)
+        out = np.zeros((len(bands), height, width), self.dtype.newbyteorder("="))
+        offset_tag, count_tag = (TILE_OFFSETS, TILE_COUNTS) if self.tiled else (STRIP_OFFSETS, STRIP_COUNTS)
+        planes = [(b, slice(n, n + 1)) for n, b in enumerate(bands)] if self.planar else [(0, slice(None))]
+        wanted, spans = [], []
+        for p, layer in planes:
+            for i in down:
+                first = (p * self.down + i) * self.across + across.start
+                offsets, counts = (self.tag(t, None, first, len(across)) for t in (offset_tag, count_tag))
+                wanted += [(layer, i, j) for j in across]
+                spans += list(zip(offsets, counts, strict=True))
+        for (layer, i, j), (_, size), data in zip(wanted, spans, self.file.read_many(spans), strict=True):
+            if not size:
+                continue  # a block that was never written holds zeros
+            rows = bh if self.tiled else min(bh, self.height - i * bh)
+            block = self._block(data, rows, bw)
+            r0, r1, c0, c1 = max(row, i * bh), min(row + height, i * bh + rows), max(col, j * bw), min(col + width, j * bw + bw)
+            part = block[:, r0 - i * bh : r1 - i * bh, c0 - j * bw : c1 - j * bw]
+            out[layer, r0 - row : r1 - row, c0 - col : c1 - col] = part if self.planar else part[bands]
         return out
 
     def _block(self, data: bytes, rows: int, cols: int) -> np.ndarray:
-        packing, samples = self.tags.get(COMPRESSION, (1,))[0], 1 if self.planar else self.bands
+        packing, samples = self.tag(COMPRESSION, (1,))[0], 1 if self.planar else self.bands
         if packing == 5:
-            data = lzw_decode(data)
+            data = lzw.decode(data)
         elif packing in (8, 32946):
             data = zlib.decompress(data)
         elif packing != 1:
             raise ValueError(f"compression {packing} is not read")
         values = np.frombuffer(data, self.dtype, rows * cols * samples).reshape(rows, cols, samples).astype(self.dtype.newbyteorder("="))
-        if self.tags.get(PREDICTOR, (1,))[0] == 2:
+        if self.tag(PREDICTOR, (1,))[0] == 2:
             values = np.cumsum(values, axis=1, dtype=values.dtype)
         return values.transpose(2, 0, 1)
 
 
-def encode(data: np.ndarray, transform: Affine, nodata: float | None = None, compression: str = "lzw", crs: int | None = None, rows_per_strip: int = 64) -> bytes:
-    """A file with all bands of data (bands x rows x columns)."""
+def encode(data: np.ndarray, transform: Affine, nodata: float | None = None, compression: str = "lzw", crs: int | None = None, rows_per_strip: int = 64, tile: int | None = None, planar: bool = False, big: bool = False) -> bytes:
+    """A file with all bands of data (bands x rows x columns), in strips or square tiles; `big` has offsets of 64 bits."""
     if data.ndim != 3:
         raise ValueError("data must have three dimensions: bands, rows, columns")
-    packers = {"none": (1, bytes), "lzw": (5, lzw_encode), "deflate": (8, zlib.compress)}
+    packers = {"none": (1, bytes), "lzw": (5, lzw.encode), "deflate": (8, zlib.compress)}
     code, packer = packers[compression]
     bands, height, width = data.shape
     data = np.ascontiguousarray(data, data.dtype.newbyteorder("<"))
-    strips = [packer(data[:, r : r + rows_per_strip].transpose(1, 2, 0).tobytes()) for r in range(0, height, rows_per_strip)]
-    kind = {"u": 1, "i": 2, "f": 3}[data.dtype.kind]
+    high, wide = (tile, tile) if tile else (rows_per_strip, width)
+    blocks = []
+    for plane in data[:, None] if planar else [data]:
+        for r in range(0, height, high):
+            for c in range(0, width, wide):
+                block = plane[:, r : r + high, c : c + wide]
+                if tile:
+                    block = np.pad(block, ((0, 0), (0, high - block.shape[1]), (0, wide - block.shape[2])))
+                blocks.append(packer(block.transpose(1, 2, 0).tobytes()))
+    kind, place = {"u": 1, "i": 2, "f": 3}[data.dtype.kind], 16 if big else 4
+    offset_tag, count_tag = (TILE_OFFSETS, TILE_COUNTS) if tile else (STRIP_OFFSETS, STRIP_COUNTS)
     tags: list[tuple[int, int, tuple | bytes]] = [
         (WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (data.dtype.itemsize * 8,) * bands), (COMPRESSION, 3, (code,)), (PHOTOMETRIC, 3, (1,)),
-        (STRIP_OFFSETS, 4, tuple(0 for _ in strips)), (BANDS, 3, (bands,)), (ROWS_PER_STRIP, 4, (rows_per_strip,)), (STRIP_COUNTS, 4, tuple(map(len, strips))),
-        (PLANAR, 3, (1,)), (SAMPLE_FORMAT, 3, (kind,) * bands), (PIXEL_SCALE, 12, (transform.a, -transform.e, 0.0)), (TIE_POINT, 12, (0.0, 0.0, 0.0, transform.c, transform.f, 0.0)),
+        (offset_tag, place, (0,) * len(blocks)), (BANDS, 3, (bands,)), (count_tag, place, tuple(map(len, blocks))), *([(TILE_WIDTH, 4, (tile,)), (TILE_HEIGHT, 4, (tile,))] if tile else [(ROWS_PER_STRIP, 4, (rows_per_strip,))]),
+        (PLANAR, 3, (2 if planar else 1,)), (SAMPLE_FORMAT, 3, (kind,) * bands), (PIXEL_SCALE, 12, (transform.a, -transform.e, 0.0)), (TIE_POINT, 12, (0.0, 0.0, 0.0, transform.c, transform.f, 0.0)),
     ]
     if crs:
         tags.append((GEO_KEYS, 3, (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, crs)))
     if nodata is not None:
         tags.append((NODATA, 2, f"{nodata:g}".encode() + b"\0"))
+    tags.sort(key=lambda t: t[0])
+    head, number, entry, end, inline = (struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16), "<Q", "<HHQ", "<Q", 8) if big else (struct.pack("<2sHI", b"II", 42, 8), "<H", "<HHI", "<I", 4)
     pack = lambda kind, v: v if isinstance(v, bytes) else struct.pack("<" + _TYPES[kind] * len(v), *v)
-    after = 8 + 2 + 12 * len(tags) + 4
-    extra = sum(len(pack(k, v)) + len(pack(k, v)) % 2 for _, k, v in tags if len(pack(k, v)) > 4)
-    first = after + extra
-    offsets = tuple(first + sum(map(len, strips[:k])) for k in range(len(strips)))
-    tags = [(t, k, offsets if t == STRIP_OFFSETS else v) for t, k, v in tags]
-    head, tail = struct.pack("<2sHIH", b"II", 42, 8, len(tags)), b""
+    after = len(head) + struct.calcsize(number) + (struct.calcsize(entry) + inline) * len(tags) + struct.calcsize(end)
+    sizes = [len(pack(k, v)) for _, k, v in tags]
+    first = after + sum(n + n % 2 for n in sizes if n > inline)
+    offsets = tuple((np.cumsum([0, *map(len, blocks)])[:-1] + first).tolist())
+    entries, tail = b"", b""
     for tag, k, v in tags:
-        raw = pack(k, v)
-        count = len(v)
-        if len(raw) > 4:
-            head += struct.pack("<HHII", tag, k, count, after + len(tail))
-            tail += raw + b"\0" * (len(raw) % 2)
+        raw = pack(k, offsets if tag == offset_tag else v)
+        if len(raw) > inline:
+            where, tail = struct.pack(end, after + len(tail)), tail + raw + b"\0" * (len(raw) % 2)
         else:
-            head += struct.pack("<HHI4s", tag, k, count, raw.ljust(4, b"\0"))
-    return head + struct.pack("<I", 0) + tail + b"".join(strips)
+            where = raw.ljust(inline, b"\0")
+        entries += struct.pack(entry, tag, k, len(v)) + where
+    return head + struct.pack(number, len(tags)) + entries + struct.pack(end, 0) + tail + b"".join(blocks)
 
 
 def files(spark: SparkSession, folder: str, glob: str = "*.tif") -> DataFrame:
@@ -238,11 +215,11 @@ def blocks(content: DataFrame, block: int = 256, band: int | None = None) -> Dat
     return content.select("path", "content").mapInPandas(run, "path string, band int, row_off int, col_off int, height int, width int, data array<float>")
 
 
-def to_files(tiles: DataFrame, dtype: str = "f4", nodata: float | None = None, compression: str = "lzw") -> DataFrame:
+def to_files(tiles: DataFrame, dtype: str = "f4", nodata: float | None = None, compression: str = "lzw", tile: int | None = None, big: bool = False, missing: float = 0.0) -> DataFrame:
     """(name, content) for tiles (name, height, width, data, origin_x, origin_y, resolution, at?, bands?, crs?).
 
     data holds one band after the other, row by row; without a column `bands` there is one.  With `at`, data holds only
-    the cells at those places and the others are 0.  crs is an EPSG number.
+    the cells at those places and the others are `missing`.  crs is an EPSG number.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,11 +228,11 @@ def to_files(tiles: DataFrame, dtype: str = "f4", nodata: float | None = None, c
             for t in pdf.itertuples():
                 data, bands = np.asarray(t.data), getattr(t, "bands", 1)
                 if hasattr(t, "at"):
-                    whole = np.zeros(bands * t.height * t.width)
+                    whole = np.full(bands * t.height * t.width, missing)
                     whole[np.asarray(t.at, np.int64)] = data
                     data = whole
                 data = data.reshape(bands, t.height, t.width).astype(dtype)
-                out.append(encode(data, Affine(t.resolution, 0.0, t.origin_x, 0.0, -t.resolution, t.origin_y), nodata, compression, getattr(t, "crs", None)))
+                out.append(encode(data, Affine(t.resolution, 0.0, t.origin_x, 0.0, -t.resolution, t.origin_y), nodata, compression, getattr(t, "crs", None), tile=tile, big=big))
             yield pd.DataFrame({"name": pdf["name"], "content": out})
 
     return tiles.mapInPandas(run, "name string, content binary")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rasterloom.functions.georef import Affine
-from rasterloom.sources import tiff, vector
+from rasterloom.sources import lzw, tiff, vector
 from rasterloom.streaming import mosaic
 
 T = Affine(0.5, 0.0, 100.0, 0.0, -0.5, 200.0)
@@ -15,24 +15,145 @@ T = Affine(0.5, 0.0, 100.0, 0.0, -0.5, 200.0)
 @settings(max_examples=60, deadline=None)
 @given(data=st.binary(max_size=3000))
 def test_lzw_round_trip(data):
-    assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+    assert lzw.decode(lzw.encode(data)) == data
 
 
 def test_lzw_long_and_even():
     for data in (b"\0" * 200_000, np.random.default_rng(0).integers(0, 255, 50_000, "u1").tobytes(), bytes(range(256)) * 400):
-        assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+        assert lzw.decode(lzw.encode(data)) == data
+
+
+def test_lzw_is_the_greedy_code():
+    """Codes as a table of strings gives them: clear, the longest known strings, the end; and data cut short."""
+    rng = np.random.default_rng(3)
+    for data in (b"", b"a", b"aaaaaaa", bytes(rng.integers(97, 100, 5_000, "u1")), bytes(rng.integers(0, 256, 9_000, "u1"))):
+        codes, table, word = [(256, 9)], {bytes([k]): k for k in range(256)}, b""
+        size, width = 258, 9
+        for byte in data:
+            longer = word + bytes([byte])
+            if longer in table:
+                word = longer
+                continue
+            codes.append((table[word], width))
+            table[longer], size = size, size + 1
+            width = max(9, size.bit_length())
+            if size == 4095:
+                codes.append((256, 12))
+                table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+            word = bytes([byte])
+        if word:
+            codes.append((table[word], width))
+            width = max(9, (size + 1).bit_length())
+        codes.append((257, width))
+        bits = "".join(f"{c:0{w}b}" for c, w in codes)
+        assert lzw.encode(data) == bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+    packed = lzw.encode(b"abcabcabc" * 50)
+    assert (b"abcabcabc" * 50).startswith(lzw.decode(packed[: len(packed) // 2]))
+    with pytest.raises(ValueError):
+        lzw.decode(b"\x80\x3f\xff\xff\xff")
 
 
 @pytest.mark.parametrize("compression", ["none", "lzw", "deflate"])
 @pytest.mark.parametrize("dtype", ["u1", "i2", "u2", "f4", "f8"])
-def test_round_trip(compression, dtype):
+@pytest.mark.parametrize("form", [{}, {"tile": 16}, {"tile": 16, "planar": True, "big": True}, {"planar": True}, {"big": True}])
+def test_round_trip(compression, dtype, form):
     data = (np.random.default_rng(1).random((3, 70, 33)) * 100).astype(dtype)
-    read = tiff.Tiff(tiff.encode(data, T, nodata=0, compression=compression, crs=32633, rows_per_strip=16))
+    read = tiff.Tiff(tiff.encode(data, T, nodata=0, compression=compression, crs=32633, rows_per_strip=16, **form))
+    assert (read.read(10, 5, 20, 100, [2, 0]) == data[[2, 0], 10:30, 5:]).all()
     grid = read.grid("x")
     assert (read.read() == data).all() and (read.read(10, 5, 20, 100) == data[:, 10:30, 5:]).all()
     assert (grid.width, grid.height, grid.band_count, grid.nodata, grid.crs) == (33, 70, 3, 0.0, "EPSG:32633") and grid.transform == T
 
 
+@pytest.fixture(scope="module")
+def sheets(tmp_path_factory):
+    """A tiled big file of 7.2 MB, a file of strips, and two that are no part of it."""
+    folder = tmp_path_factory.mktemp("sheets")
+    data = (np.random.default_rng(5).random((2, 1000, 900)) * 100).astype("f4")
+    (folder / "a.tif").write_bytes(tiff.encode(data, T, nodata=-1, compression="none", crs=32633, tile=64, big=True))
+    (folder / "b.tif").write_bytes(tiff.encode(data[:, :100], T, compression="lzw"))
+    (folder / "_c.tif").write_bytes(b"hidden")
+    (folder / "d.txt").write_bytes(b"another kind")
+    return folder, data
+
+
+def test_ranges_read_little(sheets):
+    from rasterloom.sources.ranges import RangeFile
+
+    folder, data = sheets
+    with RangeFile(f"file:{folder}/a.tif") as file:
+        read = tiff.Tiff(file)
+        grid = read.grid("a")
+        assert (grid.width, grid.height, grid.nodata, grid.crs) == (900, 1000, -1.0, "EPSG:32633") and file.bytes_read < 65536
+        assert (read.read(100, 200, 70, 50) == data[:, 100:170, 200:250]).all()
+        assert file.bytes_read < 65536 + 4 * 3 * 64 * 64 * 2 * 4 < file.size  # at most 3 x 2 tiles, and what lies between two of a row
+
+
+def test_window_of_ranged_source(spark, sheets):
+    from rasterloom.sources import raster_source as source
+
+    folder, data = sheets
+    found = source.read_rasters(spark, f"file://{folder}", rows=(95, 105), cols=(880, 2000), bands=[2], partition_bytes=1 << 20)
+    rows = found.collect()
+    assert {(r.path[-5:], r.row, r.col) for r in rows} == {(f, i, j) for f, n in (("a.tif", 105), ("b.tif", 100)) for i in range(95, n) for j in range(880, 900)}
+    assert len(rows) == 300 and all(r.band == 2 and r.value == data[1, r.row, r.col] for r in rows)
+    # two windows of one folder in one query
+    other = source.read_rasters(spark, f"file://{folder}", rows=(0, 10), bands=[2], names=["a.tif"])
+    assert found.alias("f").join(other.alias("o"), (found.col == other.col) & (found.row == other.row + 95)).count() == 300
+
+
+def test_partitions_of_ranged_source(spark, sheets, monkeypatch):
+    from rasterloom.sources import raster_source as source
+
+    folder, data = sheets
+    fetched = []
+    reads = source.RangeFile
+    monkeypatch.setattr(source, "RangeFile", lambda uri: fetched.append(reads(uri)) or fetched[-1])
+    options = {"path": str(folder), "partition_bytes": str(1 << 20)}
+    parts = source.RasterReader(options).partitions()
+    assert len(parts) == 9 and all(f.bytes_read < 65536 for f in fetched)  # eight of two rows of tiles, one for the small file
+    fetched.clear()
+    reader = source.RasterReader(options | {"rows": "[95, 105]", "cols": "[880, 900]", "bands": "[1]"})
+    parts = reader.partitions()
+    assert sorted(p.path[-5:] for part in parts for p in part.pieces) == ["a.tif", "b.tif"]
+    assert sum(b.num_rows for part in parts for b in reader.read(part)) == 300
+    assert sum(f.bytes_read for f in fetched if f.size > 1 << 20) < 200_000  # of 7.7 MB
+    with pytest.raises(FileNotFoundError):
+        source.RasterReader({"path": f"{folder}/none"}).partitions()
+
+
+def test_views_of_ranged_source(spark, sheets, tmp_path):
+    from rasterloom.sources import raster_source as source
+
+    folder, data = sheets
+    heads = {r.path[-5:]: r for r in source.read_rasters(spark, [f"{folder}/a.tif", f"{folder}/b.tif"], "headers").collect()}
+    assert heads["a.tif"].height == 1000 and heads["b.tif"].height == 100 and heads["a.tif"].nodata == -1 and heads["b.tif"].nodata is None
+    blocks = source.read_rasters(spark, str(folder), "blocks", rows=(60, 70), cols=(60, 200), bands=[1], names=["a.tif"]).collect()
+    assert sorted((b.row_off, b.col_off, b.height, b.width) for b in blocks) == sorted((r, c, h, w) for r, h in ((60, 4), (64, 6)) for c, w in ((60, 4), (64, 64), (128, 64), (192, 8)))
+    for b in blocks:
+        assert (np.array(b.data).reshape(b.height, b.width) == data[0, b.row_off : b.row_off + b.height, b.col_off : b.col_off + b.width]).all()
+    (tmp_path / "e").mkdir()
+    assert source.read_rasters(spark, str(tmp_path / "e")).count() == 0
+    with pytest.raises(Exception, match="view"):
+        source.RasterReader({"path": str(folder), "view": "none"})
+
+
+def test_windows_of_many_files(spark, sheets):
+    from rasterloom.sources import raster_source as source
+
+    folder, data = sheets
+    places = [(k, f"{folder}/{'ab'[k % 2]}.tif", k * 31 - 20, k * 29 - 10, 40, 30) for k in range(30)]
+    rows = spark.createDataFrame(places, "id long, path string, row_off int, col_off int, height int, width int").repartition(3)
+    found = source.read_windows(rows, band=2).collect()
+    heights = {"a": 1000, "b": 100}
+    assert {r.id for r in found} == {k for k, p, r, c, h, w in places if r < heights[p[-5]] and c < 900}
+    for r in found:
+        assert (np.array(r.data).reshape(r.height, r.width) == data[1, r.row_off : r.row_off + r.height, r.col_off : r.col_off + r.width]).all()
+        _, path, row, col, h, w = places[r.id]
+        assert (r.row_off, r.height) == (max(row, 0), min(row + h, heights[path[-5]]) - max(row, 0))
+    assert source.read_windows(rows).count() == 2 * len(found)
+
+
 def test_refusals():
     with pytest.raises(ValueError):
         tiff.encode(np.zeros((3, 3)), T)
