@@ -6,9 +6,9 @@ digest of their digests.  What remains, a lone leaf itself, is the group's subro
 through the same steps to the root.
 
 Spark sorts the leaves once by ranges of (group, key) and numbers them within ranges; a position is that number plus the
-rows of the group in the ranges before.  Aligned blocks of FANOUT**STEP consecutive nodes are then reduced, each in one
+rows of the group in the ranges before.  Aligned blocks of FANOUT**step consecutive nodes are then reduced, each in one
 call: its digests are one contiguous matrix of 64 columns, a level reshapes it to rows of FANOUT digests and hashes these.
-Block roots are the nodes of the next round, so a table of n rows takes log(n) / log(FANOUT**STEP) rounds and no task
+Block roots are the nodes of the next round, so a table of n rows takes log(n) / log(FANOUT**step) rounds and no task
 holds more than one block.  On the way back every block gets the siblings along its own path and adds those inside the
 block by index arithmetic: node i of a level lies in the run from i - i % FANOUT on.
 
@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import id_bucket, materialise
+from rasterloom.llm.common import discard, id_bucket, materialise
 
-#: Children of a node; levels that one block goes up.
+#: Children of a node; levels that one block goes up, so that it has at most 512 nodes.
 FANOUT, STEP = 8, 3
-BLOCK = FANOUT**STEP
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 SCHEMA = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
@@ -68,10 +67,10 @@ def parents(nodes: np.ndarray) -> np.ndarray:
     return matrix([hashed(r) for r in rows])
 
 
-def levels(leaves: np.ndarray, alone: bool) -> list[np.ndarray]:
-    """Levels of a block from its leaves to its root: STEP steps up, or up to a single node where the block is `alone`."""
+def levels(leaves: np.ndarray, alone: bool, step: int) -> list[np.ndarray]:
+    """Levels of a block from its leaves to its root: `step` steps up, or up to a single node where the block is `alone`."""
     found = [leaves]
-    while len(found[-1]) > 1 if alone else len(found) <= STEP:
+    while len(found[-1]) > 1 if alone else len(found) <= step:
         found.append(parents(found[-1]))
     return found
 
@@ -92,35 +91,34 @@ def fold(node: bytes, path: list[tuple[bytes, bytes]]) -> bytes:
     return node
 
 
-def _in_order(block: pa.Table) -> tuple[pa.Table, np.ndarray, bool]:
+def _tree(block: pa.Table, step: int) -> tuple[pa.Table, list[np.ndarray]]:
+    """A block's nodes by position, and their levels."""
     block = block.sort_by("pos")
-    return block, matrix(block.column("digest").to_pylist()), block.column("n")[0].as_py() <= BLOCK
+    return block, levels(matrix(block.column("digest").to_pylist()), block.column("n")[0].as_py() <= FANOUT**step, step)
 
 
-def _root(block: pa.Table) -> pa.Table:
+def _root(block: pa.Table, step: int) -> pa.Table:
     """One row (g, pos, n, digest) for a block: a node of the next round."""
-    block, leaves, alone = _in_order(block)
-    pos, n = block.column("pos")[0].as_py() // BLOCK, block.column("n")[0].as_py()
-    return pa.table({"g": [block.column("g")[0].as_py()], "pos": [pos], "n": [-(-n // BLOCK)], "digest": [levels(leaves, alone)[-1].tobytes()]}, pa.schema([("g", pa.string()), ("pos", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]))
+    block, tree = _tree(block, step)
+    pos, n = block.column("pos")[0].as_py() // FANOUT**step, block.column("n")[0].as_py()
+    return pa.table({"g": [block.column("g")[0].as_py()], "pos": [pos], "n": [-(-n // FANOUT**step)], "digest": [tree[-1].tobytes()]}, pa.schema([("g", pa.string()), ("pos", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]))
 
 
 _STEPS = pa.list_(pa.struct([("l", pa.binary()), ("r", pa.binary())]))
 _PATHS = "g string, pos long, path array<struct<l: binary, r: binary>>, subroot binary, root binary"
 
 
-def _paths(block: pa.Table, above: pa.Table) -> pa.Table:
+def _paths(block: pa.Table, above: pa.Table, step: int) -> pa.Table:
     """The path of every node of a block: its siblings inside the block, then the block's own path."""
-    block, leaves, alone = _in_order(block)
-    tree, (upper,) = levels(leaves, alone), above.to_pylist()
+    (block, tree), (upper,) = _tree(block, step), above.to_pylist()
     rest = [(s["l"], s["r"]) for s in upper["path"]]
-    steps = [[{"l": a, "r": b} for a, b in siblings(tree, i) + rest] for i in range(len(leaves))]
-    return pa.table({"g": block.column("g"), "pos": block.column("pos"), "path": pa.array(steps, _STEPS), "subroot": [upper["subroot"]] * len(leaves), "root": [upper["root"]] * len(leaves)})
+    steps = [[{"l": a, "r": b} for a, b in siblings(tree, i) + rest] for i in range(len(block))]
+    return pa.table({"g": block.column("g"), "pos": block.column("pos"), "path": pa.array(steps, _STEPS), "subroot": [upper["subroot"]] * len(block), "root": [upper["root"]] * len(block)})
 
 
-def _verified(block: pa.Table, above: pa.Table) -> pa.Table:
+def _verified(block: pa.Table, above: pa.Table, step: int) -> pa.Table:
     """The result's rows of a block of leaves."""
-    block, leaves, alone = _in_order(block)
-    tree, (upper,) = levels(leaves, alone), above.to_pylist()
+    (block, tree), (upper,) = _tree(block, step), above.to_pylist()
     rest = [(s["l"], s["r"]) for s in upper["path"]]
     tail = b"".join(a + b for a, b in rest)
     roots: dict[bytes, bytes] = {}  # what a block's root folds to, by that root
@@ -137,8 +135,8 @@ def _verified(block: pa.Table, above: pa.Table) -> pa.Table:
     return pa.table({"doc_id": block.column("doc_id"), "leaf": block.column("digest").cast(pa.string()), "subroot": [subroot] * len(same), "root": [root] * len(same), "proof_sha256": proofs, "folded_root": folded, "verified": same})
 
 
-def ranked(nodes: DataFrame, name: str, *order: str) -> DataFrame:
-    """nodes with pos, its place within g by `order`, and n, the number of rows of g; ends in a written table.
+def ranked(nodes: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFrame]:
+    """nodes with pos, its place within g by `order`, and n, the number of rows of g; and the written table it reads.
 
     Rows that are alike in all of `order` are dealt by a number of their own, so that many copies of a row do not make
     one range.
@@ -146,40 +144,47 @@ def ranked(nodes: DataFrame, name: str, *order: str) -> DataFrame:
     tied = nodes.withColumn("__tie", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)))
     keys = ["g", *order, "__tie"]
     numbered = tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie").withColumn("__at", F.monotonically_increasing_id())
-    lying = materialise(numbered, name).withColumn("__range", F.shiftright("__at", 33))
+    written = materialise(numbered, name)
+    lying = written.withColumn("__range", F.shiftright("__at", 33))
     counts = lying.groupBy("g", "__range").agg(F.count("*").alias("__rows"), F.min("__at").alias("__first"))
     whole = Window.partitionBy("g")
     before = counts.withColumn("n", F.sum("__rows").over(whole)).withColumn("__before", F.sum("__rows").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__rows"))
-    return lying.join(before, ["g", "__range"]).withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__range", "__first", "__before", "__rows")
+    return lying.join(before, ["g", "__range"]).withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__range", "__first", "__before", "__rows"), written
 
 
-def _blocks(nodes: DataFrame):
-    return nodes.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).groupBy("g", "block")
+def _blocks(nodes: DataFrame, step: int):
+    return nodes.withColumn("block", F.floor(F.col("pos") / FANOUT**step).cast("long")).groupBy("g", "block")
 
 
-def _below(nodes: DataFrame, paths: DataFrame, function, schema: str) -> DataFrame:
-    return _blocks(nodes).cogroup(paths.withColumnRenamed("pos", "block").groupBy("g", "block")).applyInArrow(function, schema)
+def _below(nodes: DataFrame, paths: DataFrame, function, schema: str, step: int) -> DataFrame:
+    return _blocks(nodes, step).cogroup(paths.withColumnRenamed("pos", "block").groupBy("g", "block")).applyInArrow(_given(function, step, 2), schema)
 
 
-def climb(nodes: DataFrame, name: str) -> list[DataFrame]:
+def _given(function, step: int, tables: int):
+    """The function of `tables` arguments that Spark calls."""
+    return (lambda block: function(block, step)) if tables == 1 else (lambda block, above: function(block, above, step))
+
+
+def climb(nodes: DataFrame, name: str, step: int) -> list[DataFrame]:
     """Rounds (g, pos, n, digest) from ranked nodes up to the one in which every group has a single node, its root."""
     largest, rounds = nodes.agg(F.max("n")).first()[0] or 1, [nodes]
     while True:
-        above = _blocks(rounds[-1].select("g", "pos", "n", "digest")).applyInArrow(_root, "g string, pos long, n long, digest binary")
+        above = _blocks(rounds[-1].select("g", "pos", "n", "digest"), step).applyInArrow(_given(_root, step, 1), "g string, pos long, n long, digest binary")
         rounds.append(materialise(above, name))
-        largest = -(-largest // BLOCK)
+        largest = -(-largest // FANOUT**step)
         if largest == 1:
             return rounds
 
 
-def descend(rounds: list[DataFrame], paths: DataFrame, name: str) -> DataFrame:
-    """Paths of the blocks of the first round, from those of the roots."""
+def descend(rounds: list[DataFrame], paths: DataFrame, name: str, step: int) -> DataFrame:
+    """Paths of the blocks of the first round, from those of the roots; tables go as soon as the next one is written."""
     for nodes in rounds[-2:0:-1]:
-        paths = materialise(_below(nodes.select("g", "pos", "n", "digest"), paths, _paths, _PATHS), name)
+        before, paths = paths, materialise(_below(nodes.select("g", "pos", "n", "digest"), paths, _paths, _PATHS, step), name)
+        discard(before)
     return paths
 
 
-def verify(docs: DataFrame, tampered: Column, fields: tuple[str, ...] = FIELDS, key: str = "doc_id", group: str = "lang", text: str = "text") -> DataFrame:
+def verify(docs: DataFrame, tampered: Column, fields: tuple[str, ...] = FIELDS, key: str = "doc_id", group: str = "lang", text: str = "text", step: int = STEP) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) for every row of docs."""
     lower = F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)
     leaf = digest(*[field(F.col(c)) for c in fields])
@@ -187,13 +192,19 @@ def verify(docs: DataFrame, tampered: Column, fields: tuple[str, ...] = FIELDS,
     # a null group sorts before the others
     g = F.coalesce(F.concat(F.lit("1"), F.col(group).cast("string")), F.lit("0"))
     leaves = materialise(docs.select(g.alias("g"), F.col(key).cast("long").alias("doc_id"), leaf.cast("binary").alias("digest"), shown.cast("binary").alias("shown")), "leaves")
-    rounds = climb(ranked(leaves, "ranked", "doc_id", "digest"), "nodes")
-    subroots = rounds[-1].select(F.lit("").alias("g"), F.col("g").alias("of"), "digest")
-    upper = climb(ranked(subroots, "subroots", "of"), "nodes")
+    base, _ = ranked(leaves, "ranked", "doc_id", "digest")
+    discard(leaves)
+    rounds = climb(base, "nodes", step)
+    subroots, written = ranked(rounds[-1].select(F.lit("").alias("g"), F.col("g").alias("of"), "digest"), "subroots", "of")
+    upper = climb(subroots, "nodes", step)
     top = upper[-1].select("g", "pos", F.expr("cast(array() as array<struct<l: binary, r: binary>>)").alias("path"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
-    of_group = _below(upper[0].select("g", "pos", "n", "digest"), descend(upper, top, "paths"), _paths, _PATHS).join(upper[0].select("g", "pos", "of", "digest"), ["g", "pos"])
-    paths = of_group.select(F.col("of").alias("g"), F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"), "root")
-    return _below(rounds[0], descend(rounds, materialise(paths, "paths"), "paths"), _verified, SCHEMA)
+    below = descend(upper, top, "paths", step)
+    of_group = _below(subroots.select("g", "pos", "n", "digest"), below, _paths, _PATHS, step).join(subroots.select("g", "pos", "of", "digest"), ["g", "pos"])
+    paths = materialise(of_group.select(F.col("of").alias("g"), F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"), "root"), "paths")
+    discard(written, below, *upper[1:])
+    paths = descend(rounds, paths, "paths", step)
+    discard(*rounds[1:])
+    return _below(base, paths, _verified, SCHEMA, step)
 
 
 def lower_cased(doc_id: Column) -> Column:
