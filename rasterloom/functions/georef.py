@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,43 +98,53 @@ def utm_zone(crs: str) -> tuple[int, float] | None:
     return int(code) % 100 * 6 - 183, 1e7 if int(code) // 100 == 327 else 0.0
 
 
-def _to_utm(lon: Column, lat: Column, meridian: int, northing: float) -> tuple[Column, Column]:
-    s, turn, e = F.sin(F.radians(lat)), F.radians(lon - meridian), ECCENTRICITY
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+class Arrays:
+    """NumPy's functions under the names that Spark's have."""
+
+    sin, cos, tan, sinh, cosh, sqrt, exp, log, radians, degrees = np.sin, np.cos, np.tan, np.sinh, np.cosh, np.sqrt, np.exp, np.log, np.radians, np.degrees
+    asin, atan, atan2, atanh = np.arcsin, np.arctan, np.arctan2, np.arctanh
+
+
+def _to_utm(lon, lat, meridian: int, northing: float, m=F) -> tuple:
+    s, turn, e = m.sin(m.radians(lat)), m.radians(lon - meridian), ECCENTRICITY
+    t = m.sinh(m.atanh(s) - e * m.atanh(e * s))
+    xi, eta = m.atan2(t, m.cos(turn)), m.atanh(m.sin(turn) / m.sqrt(1 + t * t))
     up, right = xi, eta
     for j, c in enumerate(TO_PLANE, 1):
-        up, right = up + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta), right + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        up, right = up + c * m.sin(2 * j * xi) * m.cosh(2 * j * eta), right + c * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
     return 500000.0 + UTM_SCALE * right, northing + UTM_SCALE * up
 
 
-def _from_utm(x: Column, y: Column, meridian: int, northing: float) -> tuple[Column, Column]:
+def _from_utm(x, y, meridian: int, northing: float, m=F) -> tuple:
     xi, eta = (y - northing) / UTM_SCALE, (x - 500000.0) / UTM_SCALE
     up, right = xi, eta
     for j, c in enumerate(FROM_PLANE, 1):
-        up, right = up - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta), right - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(up) / F.cosh(right))
+        up, right = up - c * m.sin(2 * j * xi) * m.cosh(2 * j * eta), right - c * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+    chi = m.asin(m.sin(up) / m.cosh(right))
     lat = chi
     for j, c in enumerate(TO_LATITUDE, 1):
-        lat = lat + c * F.sin(2 * j * chi)
-    return meridian + F.degrees(F.atan2(F.sinh(right), F.cos(up))), F.degrees(lat)
+        lat = lat + c * m.sin(2 * j * chi)
+    return meridian + m.degrees(m.atan2(m.sinh(right), m.cos(up))), m.degrees(lat)
+
 
+def reproject(x, y, source: str, target: str, m=F) -> tuple:
+    """Coordinates in another system: degrees (EPSG:4326), spherical Mercator (EPSG:3857) or UTM; others are refused.
 
-def reproject(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """Coordinates in another system: degrees (EPSG:4326), spherical Mercator (EPSG:3857) or UTM; others are refused."""
+    Columns with Spark's functions, or arrays with `m=Arrays`.
+    """
     if source == target:
         return x, y
     known = lambda crs: crs in ("EPSG:4326", "EPSG:3857") or utm_zone(crs) is not None
     if not known(source) or not known(target):
         raise ValueError(f"no transformation from {source} to {target}")
     if zone := utm_zone(source):
-        x, y = _from_utm(x, y, *zone)
+        x, y = _from_utm(x, y, *zone, m)
     elif source == "EPSG:3857":
-        x, y = F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
+        x, y = m.degrees(x / RADIUS), m.degrees(2 * m.atan(m.exp(y / RADIUS)) - math.pi / 2)
     if zone := utm_zone(target):
-        return _to_utm(x, y, *zone)
+        return _to_utm(x, y, *zone, m)
     if target == "EPSG:3857":
-        return F.radians(x) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * RADIUS
+        return m.radians(x) * RADIUS, m.log(m.tan(math.pi / 4 + m.radians(y) / 2)) * RADIUS
     return x, y
 
 

@@ -6,8 +6,11 @@ equi join, never a range join.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rasterloom.functions.georef import Grid
 
@@ -93,17 +96,50 @@ def read_window(pixels: DataFrame, row_off: int, col_off: int, height: int, widt
     return pixels.where(inside)
 
 
-def window_pixels(patches: DataFrame, pixels: DataFrame, block: int) -> DataFrame:
-    """Pixels of each patch (patch_id, px_min, py_min, px_max, py_max), which are half open and may overlap.
+def window_pixels(patches: DataFrame, pixels: DataFrame, block: int = 128, lot: int = 1 << 20) -> DataFrame:
+    """Pixels of each patch (patch_id, px_min, py_min, px_max, py_max), which are half open and may overlap: (patch_id, r, c, value).
 
-    Patches are listed under every block of `block` x `block` pixels that they touch and join the pixels of that block.
+    Pixels, one a place, are packed into blocks of `block` x `block`, and patches listed under every block that they touch.
+    A block meets its patches once, as an array of places from which each patch takes its slice.  A block whose patches take
+    more than `lot` pixels is copied, and its patches are dealt over the copies, so no task gets all of a crowded block.
     """
+    key = ["block_row", "block_col"]
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block), F.floor((F.col(b) - 1) / block)))
-    listed = patches.withColumn("block_row", span("py_min", "py_max")).withColumn("block_col", span("px_min", "px_max"))
-    blocked = pixels.withColumns({"block_row": F.floor(F.col("row") / block), "block_col": F.floor(F.col("col") / block)})
-    inside = (F.col("row") >= F.col("py_min")) & (F.col("row") < F.col("py_max")) & (F.col("col") >= F.col("px_min")) & (F.col("col") < F.col("px_max"))
-    joined = listed.join(blocked, ["block_row", "block_col"]).where(inside)
-    return joined.select("patch_id", (F.col("row") - F.col("py_min")).cast("int").alias("r"), (F.col("col") - F.col("px_min")).cast("int").alias("c"), "value")
+    usable = patches.select("patch_id", "px_min", "py_min", "px_max", "py_max").where("px_min < px_max AND py_min < py_max")
+    listed = usable.withColumn("block_row", span("py_min", "py_max")).withColumn("block_col", span("px_min", "px_max"))
+    shared = lambda low, high, at: F.least(F.col(high), (F.col(at) + 1) * block) - F.greatest(F.col(low), F.col(at) * block)
+    taken = listed.groupBy(*key).agg(F.sum(shared("py_min", "py_max", "block_row") * shared("px_min", "px_max", "block_col")).alias("taken"))
+    crowded = taken.where(F.col("taken") > lot).select(*key, F.ceil(F.col("taken") / lot).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("patch_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = listed.join(crowded, key, "left").withColumn("part", part).drop("parts")
+    place = ((F.col("row") % block) * block + F.col("col") % block).cast("int").alias("k")
+    packed = pixels.withColumns({"block_row": F.floor(F.col("row") / block), "block_col": F.floor(F.col("col") / block)}).groupBy(*key).agg(F.collect_list(F.struct(place, "value")).alias("cells"))
+    copied = packed.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    names = [*key, "part"]
+    out = StructType([StructField("patch_id", patches.schema["patch_id"].dataType), StructField("r", IntegerType()), StructField("c", IntegerType()), StructField("value", pixels.schema["value"].dataType)])
+    return dealt.groupBy(*names).cogroup(copied.groupBy(*names)).applyInArrow(lambda a, b: _slices(a, b, block), out)
+
+
+def _slices(patches: pa.Table, blocks: pa.Table, block: int) -> pa.Table:
+    """The pixels that each patch takes from one block."""
+    cells = blocks.column("cells").combine_chunks()
+    cells = (cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells).flatten() if blocks.num_rows else pa.array([], cells.type.value_type)
+    at = np.full((block, block), -1)
+    at.ravel()[cells.field("k").to_numpy()] = np.arange(len(cells))
+    columns = {n: patches.column(n).to_numpy() for n in ("px_min", "py_min", "px_max", "py_max", "block_row", "block_col")} if patches.num_rows else {}
+    which, rows, cols, found = [], [], [], []
+    for k in range(patches.num_rows if blocks.num_rows else 0):
+        top, left = columns["py_min"][k] - columns["block_row"][k] * block, columns["px_min"][k] - columns["block_col"][k] * block
+        high, right = columns["py_max"][k] - columns["block_row"][k] * block, columns["px_max"][k] - columns["block_col"][k] * block
+        r0, c0 = max(top, 0), max(left, 0)
+        own = at[r0:high, c0:right]
+        r, c = np.nonzero(own >= 0)
+        which.append(np.full(len(r), k))
+        rows.append(r + (r0 - top))
+        cols.append(c + (c0 - left))
+        found.append(own[r, c])
+    joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.table({"patch_id": patches.column("patch_id").take(pa.array(joined(which), pa.int64())), "r": pa.array(joined(rows), pa.int32()), "c": pa.array(joined(cols), pa.int32()), "value": cells.field("value").take(pa.array(joined(found), pa.int64()))})
 
 
 def _patches_along(extent: int, size: int, stride: int) -> int:

@@ -100,7 +100,7 @@ def patch_origins(spark, sf_dir):
 @query(f'{_P} SELECT patch_id, CAST("row" - py_min AS INT) AS r, CAST(col - px_min AS INT) AS c, value FROM numbered JOIN dtm ON "row" >= py_min AND "row" < py_max AND col >= px_min AND col < px_max WHERE NOT isnan(value)')
 def patch_pixels(spark, sf_dir):
     _, found = _numbered(spark, sf_dir)
-    return tiling.window_pixels(found, grids.terrain(spark, sf_dir).where(~F.isnan("value")), SIZE)
+    return tiling.window_pixels(found, grids.terrain(spark, sf_dir).where(~F.isnan("value")))
 
 
 @query(f"{_P} SELECT point_id, py_min - 3 AS px_min, px_min - 3 AS py_min, py_min + 3 AS px_max, px_min + 3 AS py_max FROM located")

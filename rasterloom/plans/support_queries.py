@@ -22,15 +22,20 @@ def _series(terms: tuple[float, ...], outer: str, inner: str, x: str, y: str) ->
 _E = georef.ECCENTRICITY
 
 
-@query(f"""WITH {DTM_SQL}, {POINTS_SQL}, plane AS (SELECT point_id, x, y, y / {georef.UTM_SCALE!r}E0 AS xi, (x - 500000) / {georef.UTM_SCALE!r}E0 AS eta FROM points),
+#: The points in degrees and, not rounded, in UTM zone 32, as the last of some tables to be put before a query.
+ZONE32_SQL = f"""plane AS (SELECT point_id, x, y, y / {georef.UTM_SCALE!r}E0 AS xi, (x - 500000) / {georef.UTM_SCALE!r}E0 AS eta FROM points),
 ball AS (SELECT *, xi - ({_series(georef.FROM_PLANE, "sin", "cosh", "xi", "eta")}) AS u, eta - ({_series(georef.FROM_PLANE, "cos", "sinh", "xi", "eta")}) AS v FROM plane),
 conformal AS (SELECT *, asin(sin(u) / cosh(v)) AS chi FROM ball),
 degrees_ AS (SELECT point_id, 15 + degrees(atan2(sinh(v), cos(u))) AS lon, degrees(chi + {" + ".join(f"{c!r} * sin({2 * j} * chi)" for j, c in enumerate(georef.TO_LATITUDE, 1))}) AS lat FROM conformal),
 turned AS (SELECT *, sin(radians(lat)) AS s, radians(lon - 9) AS l FROM degrees_),
 tangent AS (SELECT *, sinh(atanh(s) - {_E!r} * atanh({_E!r} * s)) AS t FROM turned),
-zone32 AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM tangent)
-SELECT point_id, round(lon, 9) AS lon, round(lat, 9) AS lat, round(500000 + {georef.UTM_SCALE!r} * (eta + {_series(georef.TO_PLANE, "cos", "sinh", "xi", "eta")}), 3) AS x32,
-  round({georef.UTM_SCALE!r} * (xi + {_series(georef.TO_PLANE, "sin", "cosh", "xi", "eta")}), 3) AS y32, round(radians(lon) * 6378137, 3) AS x_web, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) AS y_web FROM zone32""".replace("E0E0", "E0"))
+sphere32 AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM tangent),
+zone32 AS (SELECT point_id, lon, lat, 500000 + {georef.UTM_SCALE!r} * (eta + {_series(georef.TO_PLANE, "cos", "sinh", "xi", "eta")}) AS x32,
+  {georef.UTM_SCALE!r} * (xi + {_series(georef.TO_PLANE, "sin", "cosh", "xi", "eta")}) AS y32 FROM sphere32)""".replace("E0E0", "E0")
+
+
+@query(f"""WITH {DTM_SQL}, {POINTS_SQL}, {ZONE32_SQL}
+SELECT point_id, round(lon, 9) AS lon, round(lat, 9) AS lat, round(x32, 3) AS x32, round(y32, 3) AS y32, round(radians(lon) * 6378137, 3) AS x_web, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) AS y_web FROM zone32""")
 def reprojected_points(spark, sf_dir):
     """The survey points, given in UTM zone 33, in degrees, in zone 32 and in spherical Mercator."""
     points = grids.points(spark, sf_dir, grids.terrain_grid(spark, sf_dir))

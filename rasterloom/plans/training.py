@@ -26,7 +26,7 @@ def patch_pairs(image: DataFrame, image_grid: Grid, label: DataFrame, label_grid
     both = patches.align(image, image_grid, label, label_grid)
     found = located(image_grid, label_grid, points, size, start_id)
     pixels = both.select("row", "col", F.struct("first", "second").alias("value"))
-    return tiling.window_pixels(found, pixels, size).select("patch_id", "r", "c", "value.first", "value.second")
+    return tiling.window_pixels(found, pixels).select("patch_id", "r", "c", "value.first", "value.second")
 
 
 def patch_tiles(pairs: DataFrame, places: DataFrame, size: int, grid: Grid, stacked: bool = False) -> DataFrame:

@@ -35,6 +35,8 @@ _SCHEMAS = {"headers": HEADERS, "blocks": BLOCKS, "pixels": PIXELS}
 _ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 #: Headers that one planning process reads at a time; pixels that one batch holds.
 THREADS, BATCH = 16, 1 << 18
+#: Bytes of decoded blocks that windows of one file share.
+KEEP = 1 << 25
 _FAR = 1 << 31
 
 
@@ -175,7 +177,7 @@ def read_windows(windows: DataFrame, band: int | None = None) -> DataFrame:
     """windows (path, row_off, col_off, height, width, ...) with band and data, the pixels row by row; one band or all.
 
     A window is clipped to its raster: height and width are those of the data, a window outside of it has no row.  Rows of
-    one batch that follow each other with the same path share the open file; sort or partition by path to make use of it.
+    one batch that follow each other with the same path share the open file and its last decoded blocks; sort or partition by path to make use of it.
     """
     fields = [f for f in windows.schema.fields if f.name not in ("band", "data")]
     names = [f.name for f in fields]
@@ -191,7 +193,7 @@ def read_windows(windows: DataFrame, band: int | None = None) -> DataFrame:
                     if file is not None:
                         file.close()
                     file = RangeFile(own)
-                    path, tiff = own, Tiff(file)
+                    path, tiff = own, Tiff(file, KEEP)
                 r0, r1, c0, c1 = max(row, 0), min(row + height, tiff.height), max(col, 0), min(col + width, tiff.width)
                 if r0 >= r1 or c0 >= c1:
                     continue

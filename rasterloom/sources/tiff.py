@@ -32,9 +32,11 @@ class Tiff:
     """The first image of a classic or big TIFF file, held in memory or read by ranges.
 
     Only the tags that are asked for are fetched, and of the offsets of strips or tiles only those of a window's blocks.
+    With `keep`, decoded blocks of up to so many bytes are kept for windows that share them.
     """
 
-    def __init__(self, source: bytes | RangeFile):
+    def __init__(self, source: bytes | RangeFile, keep: int = 0):
+        self.keep, self._kept, self._room = keep, {}, keep
         self.file = source if isinstance(source, RangeFile) else Held(source)
         head = self.file.read_at(0, 16)
         self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
@@ -99,23 +101,37 @@ class Tiff:
         out = np.zeros((len(bands), height, width), self.dtype.newbyteorder("="))
         offset_tag, count_tag = (TILE_OFFSETS, TILE_COUNTS) if self.tiled else (STRIP_OFFSETS, STRIP_COUNTS)
         planes = [(b, slice(n, n + 1)) for n, b in enumerate(bands)] if self.planar else [(0, slice(None))]
-        wanted, spans = [], []
-        for p, layer in planes:
-            for i in down:
-                first = (p * self.down + i) * self.across + across.start
-                offsets, counts = (self.tag(t, None, first, len(across)) for t in (offset_tag, count_tag))
-                wanted += [(layer, i, j) for j in across]
-                spans += list(zip(offsets, counts, strict=True))
-        for (layer, i, j), (_, size), data in zip(wanted, spans, self.file.read_many(spans), strict=True):
-            if not size:
+        wanted = [(layer, (p * self.down + i) * self.across + j, i, j) for p, layer in planes for i in down for j in across]
+        blocks = self._blocks(sorted({k for _, k, _, _ in wanted}), offset_tag, count_tag)
+        for layer, k, i, j in wanted:
+            block = blocks[k]
+            if block is None:
                 continue  # a block that was never written holds zeros
-            rows = bh if self.tiled else min(bh, self.height - i * bh)
-            block = self._block(data, rows, bw)
-            r0, r1, c0, c1 = max(row, i * bh), min(row + height, i * bh + rows), max(col, j * bw), min(col + width, j * bw + bw)
+            r0, r1, c0, c1 = max(row, i * bh), min(row + height, i * bh + block.shape[1]), max(col, j * bw), min(col + width, j * bw + bw)
             part = block[:, r0 - i * bh : r1 - i * bh, c0 - j * bw : c1 - j * bw]
             out[layer, r0 - row : r1 - row, c0 - col : c1 - col] = part if self.planar else part[bands]
         return out
 
+    def _blocks(self, numbers: list[int], offset_tag: int, count_tag: int) -> dict[int, np.ndarray | None]:
+        """Blocks by their numbers in the file; neighbours' offsets and bytes are fetched together."""
+        found = {k: self._kept[k] for k in numbers if k in self._kept}
+        missing = [k for k in numbers if k not in found]
+        if not missing:
+            return found
+        spans = []
+        starts = [n for n, k in enumerate(missing) if not n or missing[n - 1] != k - 1]
+        for n, stop in zip(starts, [*starts[1:], len(missing)], strict=True):
+            spans += list(zip(*(self.tag(t, None, missing[n], stop - n) for t in (offset_tag, count_tag)), strict=True))
+        for k, (_, size), data in zip(missing, spans, self.file.read_many(spans), strict=True):
+            i = k // self.across % self.down
+            found[k] = self._block(data, self.block_height if self.tiled else min(self.block_height, self.height - i * self.block_height), self.block_width) if size else None
+            if self.keep and found[k] is not None:
+                self._room -= found[k].nbytes
+                if self._room < 0:
+                    self._kept, self._room = {}, self.keep
+                self._kept[k] = found[k]
+        return found
+
     def _block(self, data: bytes, rows: int, cols: int) -> np.ndarray:
         packing, samples = self.tag(COMPRESSION, (1,))[0], 1 if self.planar else self.bands
         if packing == 5:

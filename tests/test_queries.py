@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from rasterloom.plans import grid_queries, image_queries, model_queries, registry, support_queries  # noqa: F401
+from rasterloom.plans import catalog_queries, grid_queries, image_queries, model_queries, registry, support_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
