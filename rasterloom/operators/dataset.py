@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators import arrays
+
 
 def key_hash(*parts: Column) -> Column:
     """A hash order that any engine can repeat: md5 over the parts joined by dashes."""
@@ -102,18 +105,26 @@ def drawn(key: Column, name: str, low: float, high: float, draw: int = 0, seed:
     return F.lit(low) + F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.lit(high - low)
 
 
-def affine_sampled(images: DataFrame, height: int, width: int, degrees: float | Column, shear: float | Column, shift: float | Column, flip: bool | Column, fill: float = 0.0) -> DataFrame:
-    """Images under a rotation, shear, vertical shift and flip about the centre; the nearest source pixel, else `fill`.
+def affine_sampled(
+    images: DataFrame, height: int, width: int, degrees: float | Column, shear: float | Column, shift: float | Column, flip: bool | Column, fill: float = 0.0, order: int = 0, mode: str = "constant",
+) -> DataFrame:
+    """Images under a rotation, shear, vertical shift and flip about the centre, by the nearest pixel or (order 1) bilinear.
 
-    The amounts may be columns made from image_id, so that every image has its own.
+    The amounts may be columns made from image_id, so that every image has its own.  Beyond the image lies `fill`, or by
+    mode its edge (`nearest`), its mirror image (`reflect`) or the image again (`wrap`).
     """
+    if order not in (0, 1) or mode not in ("constant", "nearest", "reflect", "wrap"):
+        raise ValueError(f"order {order} or fill mode {mode} is not known")
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    a, s, shift, flip = F.radians(lit(degrees)), F.radians(lit(shear)), lit(shift), lit(flip)
+    amounts = {"a": F.radians(lit(degrees)), "s": F.radians(lit(shear)), "shift": lit(shift), "flip": lit(flip).cast("int")}
     cy, cx = (height - 1) / 2, (width - 1) / 2
-    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spine = images.select("image_id").distinct().withColumn("row", line(height)).withColumn("col", line(width))
-    y, x = F.col("row") - cy - shift * height, F.when(flip, width - 1 - F.col("col")).otherwise(F.col("col")) - cx
-    sr = F.floor(F.cos(a) * y + F.sin(a) * x + cy + 0.5).cast("int")
-    sc = F.floor((-F.sin(a) + F.tan(s) * F.cos(a)) * y + (F.cos(a) + F.tan(s) * F.sin(a)) * x + cx + 0.5).cast("int")
-    source = images.select("image_id", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
-    return spine.withColumns({"sr": sr, "sc": sc}).join(source, ["image_id", "sr", "sc"], "left").select("image_id", "row", "col", F.coalesce("value", F.lit(fill)).alias("value"))
+
+    def turn(stack: np.ndarray, own: dict[str, np.ndarray]) -> np.ndarray:
+        a, s, shift, flip = (own[n][:, None] for n in ("a", "s", "shift", "flip"))
+        row, col = (v.ravel()[None] for v in np.meshgrid(np.arange(height), np.arange(width), indexing="ij"))
+        y, x = row - cy - shift * height, np.where(flip == 1, width - 1 - col, col) - cx
+        sr = np.cos(a) * y + np.sin(a) * x + cy
+        sc = (-np.sin(a) + np.tan(s) * np.cos(a)) * y + (np.cos(a) + np.tan(s) * np.sin(a)) * x + cx
+        return arrays.sampled(stack, sr, sc, order, mode, fill)
+
+    return arrays.map_images(images, F.col("row") * width + F.col("col"), None, (height, width), (height, width), turn, amounts)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rasterloom.functions.georef import Grid
+from rasterloom.operators.arrays import map_images, taps
 
 
 def stride_of(patch: int, overlap: int) -> int:
@@ -166,19 +167,15 @@ def reconstruct(patches: DataFrame, height: int, width: int, size: int, stride:
     across = width // stride + 1 - size // stride
     rows = F.floor(F.col("patch") / across).cast("int") * stride + F.col("r")
     cols = (F.col("patch") % across) * stride + F.col("c")
-    latest = patches.withColumns({"row": rows, "col": cols}).groupBy("image_id", "row", "col").agg(F.max_by("value", "patch").alias("value"))
-    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spine = patches.select("image_id").distinct().withColumn("row", side(height)).withColumn("col", side(width))
-    return spine.join(latest, ["image_id", "row", "col"], "left").select("image_id", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+    place = F.when((rows < height) & (cols < width), rows * width + cols)
+    return map_images(patches, place, F.col("patch"), (height, width), (height, width), lambda stack, _: stack)
 
 
 def centre_pad(mask: DataFrame, height: int, width: int, wanted: int) -> DataFrame:
     """A mask (image_id, row, col, value) with zeros on all sides; an odd difference leaves it one short."""
     top, side = (wanted - height) // 2, (wanted - width) // 2
-    line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spine = mask.select("image_id").distinct().withColumn("row", line(height + 2 * top)).withColumn("col", line(width + 2 * side))
-    moved = mask.select("image_id", (F.col("row") + top).alias("row"), (F.col("col") + side).alias("col"), "value")
-    return spine.join(moved, ["image_id", "row", "col"], "left").select("image_id", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+    margins = ((0, 0), (top, top), (side, side))
+    return map_images(mask, F.col("row") * width + F.col("col"), None, (height, width), (height + 2 * top, width + 2 * side), lambda stack, _: np.pad(stack, margins))
 
 
 def crop_margins(target: Column, refer: Column) -> tuple[Column, Column]:
@@ -193,18 +190,9 @@ def merge_max(scores: DataFrame) -> DataFrame:
 
 
 def resize_bilinear(images: DataFrame, height: int, width: int, size: int) -> DataFrame:
-    """(image_id, row, col, value) at size x size, half-pixel centres, edges repeated, no antialiasing."""
-
-    def taps(out: Column, extent: int) -> Column:
-        at = (out + 0.5) * (extent / size) - 0.5
-        low = F.floor(at)
-        share = at - low
-        inside = lambda k: F.greatest(F.lit(0), F.least(k, F.lit(extent - 1))).cast("int")
-        return F.array(F.struct(inside(low).alias("at"), (1 - share).alias("w")), F.struct(inside(low + 1).alias("at"), share.alias("w")))
-
-    line = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    spine = images.select("image_id").distinct().withColumn("row", line).withColumn("col", line)
-    wanted = spine.withColumn("y", F.explode(taps(F.col("row"), height))).withColumn("x", F.explode(taps(F.col("col"), width)))
-    source = images.select("image_id", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
-    joined = wanted.select("image_id", "row", "col", F.col("y.at").alias("sr"), F.col("x.at").alias("sc"), (F.col("y.w") * F.col("x.w")).alias("w")).join(source, ["image_id", "sr", "sc"])
-    return joined.groupBy("image_id", "row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    """(image_id, row, col, value) at size x size, half-pixel centres, edges repeated, no antialiasing; missing pixels are 0.
+
+    Rows and columns are interpolated by one matrix each, for all images of a batch together.
+    """
+    down, across = taps(height, size), taps(width, size)
+    return map_images(images, F.col("row") * width + F.col("col"), None, (height, width), (size, size), lambda stack, _: down @ stack @ across.T)

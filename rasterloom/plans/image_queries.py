@@ -246,10 +246,13 @@ def label_pipeline(spark, sf_dir):
     return grown.join(morphology.enough_area(grown, 24), "image_id").select("image_id", "row", "col", "area")
 
 
-@query(f"""{_C}, amounts AS (SELECT image_id, radians(-20 + d1 * 40) AS a, radians(-5 + d2 * 10) AS s, -0.1E0 + d3 * 0.2E0 AS shift, flip FROM (
+_SPINE_SQL = f"""amounts AS (SELECT image_id, radians(-20 + d1 * 40) AS a, radians(-5 + d2 * 10) AS s, -0.1E0 + d3 * 0.2E0 AS shift, flip FROM (
   SELECT vec_id AS image_id, {", ".join(f"CAST('0x' || substr(md5('42-0-{name}-' || vec_id), 1, 8) AS BIGINT) / 4294967296.0E0 AS d{k}" for k, name in enumerate(("rotation", "shear", "shift"), 1))},
   CAST('0x' || substr(md5('42-0-' || vec_id), 1, 1) AS INT) < 8 AS flip FROM embeddings)),
-spine AS (SELECT image_id, r, c, r - 3.5E0 - shift * 8 AS y, (CASE WHEN flip THEN 7 - c ELSE c END) - 3.5E0 AS x, a, s FROM amounts, (SELECT unnest(range(8)) AS r), (SELECT unnest(range(8)) AS c)),
+spine AS (SELECT image_id, r, c, r - 3.5E0 - shift * 8 AS y, (CASE WHEN flip THEN 7 - c ELSE c END) - 3.5E0 AS x, a, s FROM amounts, (SELECT unnest(range(8)) AS r), (SELECT unnest(range(8)) AS c))"""
+
+
+@query(f"""{_C}, {_SPINE_SQL},
 placed AS (SELECT image_id, r, c, floor(cos(a) * y + sin(a) * x + 4.0E0) AS sr, floor((-sin(a) + tan(s) * cos(a)) * y + (cos(a) + tan(s) * sin(a)) * x + 4.0E0) AS sc FROM spine)
 SELECT p.image_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, coalesce(CAST(value AS DOUBLE), 0) AS value FROM placed p LEFT JOIN chips h ON h.image_id = p.image_id AND h."row" = sr AND h.col = sc""")
 def augment_drawn(spark, sf_dir):
@@ -259,6 +262,20 @@ def augment_drawn(spark, sf_dir):
     return dataset.affine_sampled(grids.chips(spark, sf_dir), 8, 8, *amounts, dataset.drawn_turn(key)[0])
 
 
+@query(f"""{_C}, {_SPINE_SQL},
+placed AS (SELECT image_id, r, c, cos(a) * y + sin(a) * x + 3.5E0 AS sy, (-sin(a) + tan(s) * cos(a)) * y + (cos(a) + tan(s) * sin(a)) * x + 3.5E0 AS sx FROM spine),
+weighed AS (SELECT image_id, r, c, floor(sy) + i AS sr, floor(sx) + j AS sc, (CASE i WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE j WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS w,
+  sy BETWEEN 0 AND 7 AND sx BETWEEN 0 AND 7 AS inside FROM placed, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT p.image_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, round(coalesce(sum(CASE WHEN inside THEN w * value END), 0), 5) AS value
+FROM weighed p LEFT JOIN chips h ON h.image_id = p.image_id AND h."row" = sr AND h.col = sc GROUP BY 1, 2, 3""")
+def augment_bilinear(spark, sf_dir):
+    """The same amounts, with bilinear interpolation and zeros beyond the image."""
+    key = F.col("image_id")
+    amounts = [dataset.drawn(key, name, low, -low) for name, low in (("rotation", -20.0), ("shear", -5.0), ("shift", -0.1))]
+    found = dataset.affine_sampled(grids.chips(spark, sf_dir), 8, 8, *amounts, dataset.drawn_turn(key)[0], order=1)
+    return found.withColumn("value", F.round("value", 5))
+
+
 @query(f"""{_S}, lit AS (SELECT image_id, "row", col, p + (-0.1E0 + CAST('0x' || substr(md5('42-0-brightness-' || image_id), 1, 8) AS BIGINT) / 4294967296.0E0 * 0.2E0) AS v,
   0.9E0 + CAST('0x' || substr(md5('42-0-contrast-' || image_id), 1, 8) AS BIGINT) / 4294967296.0E0 * 0.2E0 AS f FROM scaled)
 SELECT image_id, "row", col, round((v - m) * f + m, 6) AS value FROM lit JOIN (SELECT image_id, avg(v) AS m FROM lit GROUP BY 1) USING (image_id)""")
