@@ -5,85 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators.labelling import components, without_small  # noqa: F401  (part of this module's interface)
 from rasterloom.sources.scratch import checkpointed
 
-_LABELLED = "image_id long, row int, col int, label long"
-
-
-def _label_tile(row: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """Index of the least pixel of each pixel's 4-connected component, by union-find over neighbouring pairs."""
-    order = np.lexsort((col, row))
-    r, c = row[order].astype(np.int64), col[order].astype(np.int64)
-    n = len(r)
-    parent = np.arange(n)
-    key = r * (c.max() - c.min() + 2) + (c - c.min()) if n else r
-    width = int(c.max() - c.min() + 2) if n else 1
-    right = np.flatnonzero((key[1:] == key[:-1] + 1) & (r[1:] == r[:-1])) if n > 1 else np.zeros(0, np.int64)
-    down = np.searchsorted(key, key + width)
-    below = np.flatnonzero((down < n) & (key[np.minimum(down, n - 1)] == key + width)) if n else down
-    left = np.concatenate([right, below])
-    other = np.concatenate([right + 1, down[below]])
-    while True:  # hooking and pointer jumping: the least index spreads over a component
-        a, b = parent[left], parent[other]
-        if (a == b).all():
-            break
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        np.minimum.at(parent, high, low)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-    out = np.empty(n, np.int64)
-    out[order] = order[parent]
-    return out
-
-
-def components(mask: DataFrame, width: int, block: int = 256) -> DataFrame:
-    """(image_id, row, col, label) of the set pixels; the label is the least row * width + col of the component.
-
-    Blocks of `block` x `block` pixels are labelled by themselves; labels that touch across block edges are then merged
-    by spreading the least label over the graph of touching labels, which holds block edges only.  Each round ends in a
-    checkpoint and the rounds end when no label changes, which they do as every round halves the longest path.
-    """
-    pixels = mask.where("value = 1").select("image_id", "row", "col")
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        least = _label_tile(row, col)
-        return pd.DataFrame({"image_id": pdf["image_id"], "row": row, "col": col, "label": row[least].astype(np.int64) * width + col[least]})
-
-    blocked = pixels.withColumns({"block_row": F.floor(F.col("row") / block), "block_col": F.floor(F.col("col") / block)})
-    local = checkpointed(blocked.groupBy("image_id", "block_row", "block_col").applyInPandas(lambda pdf: tile(pdf), _LABELLED))
-    edge = local.where((F.col("row") % block).isin(0, block - 1) | (F.col("col") % block).isin(0, block - 1))
-    near = edge.select("image_id", F.col("label").alias("other"), F.explode(F.array(F.struct((F.col("row") + 1).alias("row"), F.col("col").alias("col")), F.struct(F.col("row").alias("row"), (F.col("col") + 1).alias("col")))).alias("at"))
-    touching = near.select("image_id", "other", "at.row", "at.col").join(edge, ["image_id", "row", "col"]).where("label != other").select("image_id", F.col("label").alias("a"), F.col("other").alias("b")).distinct()
-    both = checkpointed(touching.union(touching.select("image_id", "b", "a")))
-    if both.isEmpty():
-        return local
-    names = both.select("image_id", "a").distinct().withColumn("label", F.col("a"))
-    while True:
-        offered = both.join(names.select("image_id", F.col("a").alias("b"), "label"), ["image_id", "b"]).groupBy("image_id", "a").agg(F.min("label").alias("offer"))
-        # the least label on offer, then the label of that label: paths halve in every round
-        step = names.join(offered, ["image_id", "a"]).select("image_id", "a", "label", F.least("label", "offer").alias("next"))
-        jump = step.select("image_id", F.col("a").alias("next"), F.col("next").alias("far"))
-        step = checkpointed(step.join(jump, ["image_id", "next"]).select("image_id", "a", "label", F.least("next", "far").alias("next")))
-        names = step.select("image_id", "a", F.col("next").alias("label"))
-        if step.where("label != next").isEmpty():
-            break
-    return local.join(names.withColumnRenamed("label", "whole").withColumnRenamed("a", "label"), ["image_id", "label"], "left").select("image_id", "row", "col", F.coalesce("whole", "label").alias("label"))
-
+#: Parts over which the pixels of one component are dealt.
+SALTS = 16
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("image_id", "label").agg(F.count("*").alias("size"))
 
 
 def remove_small(labelled: DataFrame, min_size: int = 200) -> DataFrame:
-    """The pixels of components of at least min_size pixels."""
-    large = component_sizes(labelled).where(F.col("size") >= min_size)
-    return labelled.join(large, ["image_id", "label"], "left_semi").select("image_id", "row", "col", "label")
+    """The pixels of components of at least min_size pixels; those of a large one are dealt over SALTS parts.
+
+    Straight from a mask, `labelling.without_small` does the same without a join of pixels.
+    """
+    large = component_sizes(labelled).where(F.col("size") >= min_size).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = labelled.withColumn("__part", F.pmod(F.xxhash64("row", "col"), F.lit(SALTS)).cast("int"))
+    return dealt.join(large, ["image_id", "label", "__part"], "left_semi").select("image_id", "row", "col", "label")
 
 
 def dilate(mask: DataFrame, height: int, width: int, size: int = 3) -> DataFrame:

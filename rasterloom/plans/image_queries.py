@@ -182,18 +182,18 @@ labels AS (SELECT id, min(root) AS label FROM reach GROUP BY id)"""
 
 @query(f'{_LABEL_SQL} SELECT CAST(0 AS BIGINT) AS image_id, CAST(id // 128 AS INT) AS "row", CAST(id % 128 AS INT) AS col, CAST(label AS BIGINT) AS label FROM labels')
 def components(spark, sf_dir):
-    return morphology.components(_set_pixels(spark, sf_dir), grids.WIDTH, block=32)
+    return morphology.components(_set_pixels(spark, sf_dir), grids.WIDTH, block=64)
 
 
 @query(f'{_LABEL_SQL} SELECT CAST(0 AS BIGINT) AS image_id, CAST(label AS BIGINT) AS label, count(*) AS size FROM labels GROUP BY 2')
 def component_sizes(spark, sf_dir):
-    return morphology.component_sizes(morphology.components(_set_pixels(spark, sf_dir), grids.WIDTH, block=32))
+    return morphology.component_sizes(morphology.components(_set_pixels(spark, sf_dir), grids.WIDTH, block=64))
 
 
 @query(f"""{_LABEL_SQL} SELECT CAST(0 AS BIGINT) AS image_id, CAST(id // 128 AS INT) AS "row", CAST(id % 128 AS INT) AS col, CAST(label AS BIGINT) AS label FROM labels
 WHERE label IN (SELECT label FROM labels GROUP BY 1 HAVING count(*) >= 20)""")
 def remove_small(spark, sf_dir):
-    return morphology.remove_small(morphology.components(_set_pixels(spark, sf_dir), grids.WIDTH, block=32), 20)
+    return morphology.without_small(_set_pixels(spark, sf_dir), grids.WIDTH, 20, block=64)
 
 
 @query(f"""WITH {DTM_SQL}, {MASK_SQL} SELECT DISTINCT CAST(0 AS BIGINT) AS image_id, CAST("row" + dr AS INT) AS "row", CAST(col + dc AS INT) AS col
@@ -241,7 +241,7 @@ FROM grown JOIN (SELECT image_id, CAST(count(*) AS BIGINT) AS area FROM grown GR
 def label_pipeline(spark, sf_dir):
     """Labels as training sees them: binarised, small objects out, thinned and grown, images with enough area."""
     masks = _chip_masks(spark, sf_dir)
-    large = morphology.remove_small(morphology.components(masks, 8, block=8), 6).withColumn("value", F.lit(1))
+    large = morphology.without_small(masks, 8, 6, block=8).withColumn("value", F.lit(1))
     grown = morphology.skeleton_buffer(large, 8, 8).withColumn("value", F.lit(1))
     return grown.join(morphology.enough_area(grown, 24), "image_id").select("image_id", "row", "col", "area")
 

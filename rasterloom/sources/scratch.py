@@ -41,6 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again, which ends its lineage and computes it once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def make(spark: SparkSession, path: str) -> None:
     """Makes a folder, so that it can be read even if nothing is written to it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -173,6 +173,27 @@ def test_small_objects(spark):
     assert {(x.row, x.col) for x in morphology.remove_small(labelled, 3).collect()} == {(0, 0), (0, 1), (0, 2)}
     assert morphology.remove_small(labelled, 1).count() == 6
     assert morphology.remove_small(labelled, 4).count() == 0
+    for least in (1, 2, 3, 4):
+        assert sorted(map(tuple, morphology.without_small(df, 10, least, block=4).collect())) == sorted(map(tuple, morphology.remove_small(labelled, least).collect()))
+
+
+@pytest.mark.parametrize("fill", [0.45, 0.62])
+def test_labelling_in_levels(spark, fill):
+    """Blocks of three pixels, so that three levels of larger blocks are needed; two images of different sizes; repeats."""
+    rng = np.random.default_rng(12)
+    masks = {3: rng.random((97, 110)) < fill, 9: rng.random((5, 30)) < fill}
+    rows = [(k, r, c, int(v)) for k, m in masks.items() for (r, c), v in np.ndenumerate(m)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "image_id long, row int, col int, value int")
+    found = {k: {} for k in masks}
+    for x in morphology.components(df, 110, block=3).collect():
+        assert (x.row, x.col) not in found[x.image_id]
+        found[x.image_id][x.row, x.col] = x.label
+    want = {k: {p: v // m.shape[1] * 110 + v % m.shape[1] for p, v in flood(m).items()} for k, m in masks.items()}
+    assert found == want
+    sizes = {(k, v): sum(x == v for x in w.values()) for k, w in want.items() for v in set(w.values())}
+    large = morphology.without_small(df, 110, 7, block=3).collect()
+    assert {(x.image_id, x.row, x.col, x.label) for x in large} == {(k, *p, v) for k, w in want.items() for p, v in w.items() if sizes[k, v] >= 7}
+    assert morphology.components(df.limit(0), 110, block=3).count() == morphology.without_small(df.limit(0), 110, 2, block=3).count() == 0
 
 
 def test_thinning():
