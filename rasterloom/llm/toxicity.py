@@ -5,17 +5,22 @@ terms whose document frequency is far higher among toxic texts.  A word is run t
 once; states are sets of (trie node, edits, awaited letter), made when first reached.  An edit is a letter that is
 missing, too many or another one, or two neighbours that changed places, the first letter included.  Terms of five
 letters or more allow one edit, of eight or more two, and words of four one that keeps their length.  Signs at the ends
-of a word are tried as letters, too.  Only terms that enough toxic texts hold, and whose near hits unseen clean texts
-hardly have, allow edits, and words that clean training texts use are never near misses.  Each hit gets the log odds of
-its term, a near hit NEAR_SHARE of it; hits between quotation marks or after a reporting word are summed apart from the
-rest, and a small logistic regression over those sums gives the score.
-
-The fit uses at most `max_rows` labelled rows (of each label those with the smallest hash of their id) and `max_bytes` of their text, in
-one task, and keeps at most `most_terms` terms (2,000), the weightiest; everything else runs on every row where it lies.
+of a word are tried as letters, too.  Terms that NEAR_LEAST toxic texts or more hold, and whose near hits unseen clean
+texts hardly have, allow edits, and words that clean training texts use are never near misses.  Each hit gets the log odds
+of its term, a near hit NEAR_SHARE of it; hits between quotation marks or after a reporting word are summed apart from the
+rest, and a small logistic regression over those sums gives the score; a quoted hit counts at least QUOTED_SHARE of
+another one.
+
+Terms need evidence: a likelihood ratio that chance would not give one term in all those looked at.  The regression is
+fitted to sums that a text gets from the lexicon of the other folds, and its coefficients are drawn towards DEFAULT, so
+that few labels need no rule of their own.  The fit uses at most `max_rows` labelled rows (of each label those with the
+smallest hash of their id) and `max_bytes` of their text, in one task, and keeps the weightiest terms, of at most `most_chars`
+(1 MB) together; everything else runs on every row where it lies.
 
 Defined results: a null text counts as empty, and an empty text gets the score of a text without hits; rows with a null
 id are scored but never learned from; labels that are null are left out; repeated labels of an id count once, with the
-larger label; labels other than 0 and 1 are left out; without labels of both kinds a fixed lexicon and fixed coefficients serve; repeated rows get equal scores;
+larger label; labels other than 0 and 1 are left out; where no row has the one label or none the other, a fixed lexicon and
+fixed coefficients serve; repeated rows get equal scores;
 an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
@@ -23,9 +28,10 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +61,14 @@ MOST_STATES = 20_000
 WIDE = True
 #: What a near hit counts of its term's log odds.
 NEAR_SHARE = 0.75
-#: A term allows edits if so large a share of the toxic texts hold it, and near hits on it are in no larger a share of clean ones.
-NEAR_SUPPORT, NEAR_CLEAN = 0.03, 0.002
+#: A term allows edits if so many toxic texts hold it, and near hits on it are in no larger a share of unseen clean ones.
+NEAR_LEAST, NEAR_CLEAN = 5, 0.002
+#: What a quoted hit counts of another one at least; parts of the sample that are scored by the lexicon of the others.
+QUOTED_SHARE, FOLDS = 0.1, 3
 CACHE_WORDS = 300_000
-#: Coefficients that serve without labels: constant, strongest hit, plain, quoted and near hits, density.
+#: Coefficients that serve without labels, and towards which others are drawn: constant, strongest hit, plain, quoted and near hits, density.
 DEFAULT = np.array([-4.0, 0.8, 0.8, 0.1, 0.3, 0.0])
+PLAIN, QUOTED = 2, 3
 
 
 class Matcher:
@@ -258,28 +267,63 @@ def bare_word(word: str) -> str:
     return word.strip(STRIP)
 
 
+@lru_cache(maxsize=1 << 17)
+def stems_of(word: str) -> tuple[str, ...]:
+    return tuple(word[:k] + "*" for k in range(STEM_LOW, min(len(word), STEM_HIGH + 1)))
+
+
 def terms_of(words: set[str]) -> set[str]:
     """The words and their stems."""
-    found = set(words)
-    for w in words:
-        found.update([w[:k] + "*" for k in range(STEM_LOW, min(len(w), STEM_HIGH + 1))])
-    return found
+    return words.union(*map(stems_of, words))
+
+
+def evidence(a: int, n1: int, b: int, n0: int) -> float:
+    """Twice the log likelihood ratio of two shares, a of n1 and b of n0, against one share for both."""
+    part = lambda k, n, p: (k * math.log(k / (n * p)) if k else 0.0) + ((n - k) * math.log((n - k) / (n * (1 - p))) if k < n else 0.0)
+    p = (a + b) / (n1 + n0)
+    return 2 * (part(a, n1, p) + part(b, n0, p)) if 0 < p < 1 else 0.0
 
 
-def learn_lexicon(texts: list[set[str]], toxic: np.ndarray, least: float = 2.0, most_terms: int = 2000) -> dict[str, float]:
-    """Terms with log odds of `least` or more; a stem or word whose own prefix does as well is left out."""
+def surprise(texts: list[set[str]], toxic: np.ndarray, share: float = 0.1) -> float:
+    """The evidence from which on labels dealt out by chance give at most `share` as many words that speak for toxic texts.
+
+    The labels are dealt out anew once, so rare words and rare labels are judged by what chance makes of them.
+    """
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    seen = Counter(w for words in texts for w in words)
+    often = {w for w, k in seen.items() if k >= 3}
+    known: dict[tuple[int, int], float] = {}
+    values = []
+    for labels in (toxic, np.random.default_rng(len(texts)).permutation(toxic)):
+        held = Counter(w for words, y in zip(texts, labels, strict=True) if y for w in words & often)
+        found = []
+        for w, a in held.items():
+            pair = a, seen[w] - a
+            if pair not in known:
+                known[pair] = evidence(a, n1, pair[1], n0) if a * n0 > pair[1] * n1 else 0.0
+            found.append(known[pair])
+        values.append(np.sort(found)[::-1])
+    real, chance = values
+    # at the k-th largest real value: how many reach it, ties included, and how many by chance
+    reached = np.searchsorted(-real, -real, side="right")
+    fits = np.searchsorted(-chance, -real, side="right") <= share * reached
+    return float(real[np.flatnonzero(fits)[-1]]) if fits.any() else math.inf
+
+
+def learn_lexicon(texts: list[set[str]], toxic: np.ndarray, least: float = 2.0, most_chars: int = 1 << 20) -> dict[str, float]:
+    """Terms with log odds of `least` or more and evidence for them; a stem or word whose own prefix does as well is left out."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     bad, good = Counter(), Counter()
     for words, y in zip(texts, toxic, strict=True):
         if y:
             bad.update(terms_of(words))
-    support = max(3, round(0.004 * n1))
-    bad = Counter({t: c for t, c in bad.items() if c >= support})
+    bad = Counter({t: c for t, c in bad.items() if c >= 3})
     for words, y in zip(texts, toxic, strict=True):
         if not y:
             good.update(bad.keys() & terms_of(words))
     odds = {t: math.log((a + 0.5) / (n1 + 1)) - math.log((good[t] + 0.5) / (n0 + 1)) for t, a in bad.items()}
-    strong = {t: o for t, o in odds.items() if o >= least and bad[t] > 2 * good[t] * n1 / n0}
+    chance = min(2 * math.log(len(bad) + 1), surprise(texts, toxic))
+    strong = {t: o for t, o in odds.items() if o >= least and bad[t] * n0 > 2 * good[t] * n1 and evidence(bad[t], n1, good[t], n0) >= chance}
     for t in sorted(strong, key=lambda t: (-len(t.rstrip("*")), t)):  # of terms with nearly the same texts, the longest
         if t not in strong:
             continue
@@ -289,47 +333,52 @@ def learn_lexicon(texts: list[set[str]], toxic: np.ndarray, least: float = 2.0,
                 del strong[stem]
         if not t.endswith("*") and bad[t] >= 0.9 * bad.get(t + "*", math.inf):
             strong.pop(t + "*", None)
-    kept = {}
+    kept, room = {}, most_chars
     for t in sorted(strong, key=lambda t: (-strong[t] * math.sqrt(bad[t]), t)):
         body = t.rstrip("*")
         if not any(strong.get(body[:k] + "*", 0.0) >= strong[t] - 0.2 for k in range(STEM_LOW, len(body))):
+            room -= len(t)
+            if room < 0:
+                break
             kept[t] = strong[t]
-        if len(kept) == most_terms:
-            break
     return kept
 
 
 def near_words(matcher: Matcher, texts: Iterable[str]) -> frozenset[str]:
-    """The words of texts, in all their forms, that would be near hits."""
-    written = {w for t in texts for w in t.split()}
+    """The words of texts, in all their forms, that would be near hits; words in matcher.plain are not looked at."""
+    written = {w for t in texts for w in t.split()} - matcher.plain
     return frozenset(f for w in written for f in forms(w) if (found := matcher.find(f)) and found[1])
 
 
-def rarely_held(lexicon: dict[str, float], toxic_texts: Iterable[set[str]], n: int) -> frozenset[str]:
+def rarely_held(lexicon: dict[str, float], toxic_texts: Iterable[set[str]]) -> frozenset[str]:
     """Terms that too few toxic texts hold to look for misspellings of them."""
     seen = Counter()
     for words in toxic_texts:
         seen.update(lexicon.keys() & terms_of(words))
-    return frozenset(t for t in lexicon if seen[t] < max(3, NEAR_SUPPORT * n))
+    return frozenset(t for t in lexicon if seen[t] < NEAR_LEAST)
 
 
 def loose_terms(matcher: Matcher, clean_texts: list[str]) -> frozenset[str]:
     """Terms whose near hits are found in too many clean texts that the matcher has not seen."""
-    found = Counter()
+    found, near = Counter(), {}
     for text in clean_texts:
-        hits = [hit for w in set(text.split()) if (hit := matcher.look(w))]
-        found.update({term for term, near in hits if near})
+        words = set(text.split()) - matcher.plain
+        for w in words:
+            if w not in near:
+                near[w] = hit[0] if (hit := matcher.look(w)) and hit[1] else None
+        found.update({t for t in map(near.__getitem__, words) if t})
     return frozenset(t for t, count in found.items() if count > max(1, NEAR_CLEAN * len(clean_texts)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Newton steps for ridge logistic regression over weighted rows."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 1e-3
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray | None = None, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Newton steps for logistic regression over weighted rows, with a ridge around `prior`, zeros if none is given."""
+    prior = np.zeros(x.shape[1]) if prior is None else prior
+    w, penalty = prior.copy(), np.full(x.shape[1], ridge)
+    penalty[0] = 1e-2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        move = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty * w)
+        move = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty * (w - prior))
         w -= np.clip(move, -5, 5)
         if np.abs(move).max() < 1e-8:
             break
@@ -338,38 +387,72 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 def fit(rows: list[tuple[int, str, int, float]]) -> bytes:
     """A pickled (lexicon, clean words, terms without edits, coefficients) from rows (doc_id, text, label, weight), in any order."""
-    rows = sorted(rows)
-    weight = np.array([r[3] for r in rows])
-    rows = [r[:3] for r in rows]
-    toxic = np.array([r[2] for r in rows], np.int64)
-    held = np.arange(len(rows)) % 10 >= 7  # the coefficients come from rows that the lexicon has not seen
-    if min(toxic[~held].sum(), (1 - toxic[~held]).sum()) < 5:
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+    weight, toxic, texts = np.array([r[3] for r in rows]), np.array([r[2] for r in rows], np.int64), [r[1] for r in rows]
+    del rows
+    if min(toxic.sum(), (1 - toxic).sum()) == 0:
         lexicon = {t: 4.0 for t in SEED_TERMS}
-        clean = near_words(Matcher(lexicon, wide=WIDE), (t for _, t, y in rows if not y))
+        clean = near_words(Matcher(lexicon, wide=WIDE), (t for t, y in zip(texts, toxic, strict=True) if not y))
         return pickle.dumps((lexicon, clean | ORDINARY, frozenset(), DEFAULT))
     one: dict[str, str] = {}  # a word of many texts is held once
-    words = [{one.setdefault(w, w) for w in map(bare_word, t.lower().split()) if w} for _, t, _ in rows]
+    words = [{one.setdefault(w, w) for w in map(bare_word, t.lower().split()) if w} for t in texts]
     del one
-    lexicon = learn_lexicon([w for w, h in zip(words, held, strict=True) if not h], toxic[~held])
-    exact_only = rarely_held(lexicon, (w for w, y, h in zip(words, toxic, held, strict=True) if y and not h), int(toxic[~held].sum()))
-    matcher = Matcher(lexicon, frozenset(), exact_only, WIDE)
-    clean = near_words(matcher, (t for (_, t, y), h in zip(rows, held, strict=True) if not y and not h))
-    exact_only |= loose_terms(Matcher(lexicon, clean, exact_only, WIDE), [t for (_, t, y), h in zip(rows, held, strict=True) if not y and h])
-    clean |= near_words(Matcher(lexicon, clean, exact_only, WIDE), (t for (_, t, y), h in zip(rows, held, strict=True) if not y and h))
-    matcher = Matcher(lexicon, clean, exact_only, WIDE)
-    x = np.array([matcher.features(t) for (_, t, _), h in zip(rows, held, strict=True) if h]).reshape(-1, len(DEFAULT))
-    y = toxic[held]
-    coefficients = DEFAULT
-    if min(y.sum(), (1 - y).sum()) >= 3:
-        used = np.ones(len(DEFAULT), bool)
-        while True:  # no hit may speak against toxicity: a negative coefficient is taken out
-            coefficients = np.zeros(len(DEFAULT))
-            coefficients[used] = logistic(x[:, used], y, weight[held])
-            worst = 1 + int(np.argmin(coefficients[1:]))
-            if coefficients[worst] >= 0:
-                break
-            used[worst] = False
-    return pickle.dumps((lexicon, clean, exact_only, coefficients))
+    fold = np.zeros(len(texts), np.int64)
+    for y in (0, 1):
+        own = np.flatnonzero(toxic == y)
+        fold[own] = np.arange(len(own)) % FOLDS
+
+    written = {w for t in texts for w in t.split()}
+
+    def learned(rows: np.ndarray) -> tuple[dict[str, float], frozenset[str], frozenset[str], set[str]]:
+        """The lexicon of some rows, the words of their clean texts that are near its terms, the terms without edits.
+
+        And all words written that it does not hit; what is then ruled out adds no hits.
+        """
+        lexicon = learn_lexicon([words[k] for k in rows], toxic[rows])
+        exact = rarely_held(lexicon, (words[k] for k in rows if toxic[k]))
+        matcher = Matcher(lexicon, frozenset(), exact, WIDE)
+        matcher.plain = {w for w in written if matcher.look(w) is None}
+        return lexicon, near_words(matcher, (texts[k] for k in rows if not toxic[k])), exact, matcher.plain
+
+    def matching(lexicon: dict[str, float], clean: frozenset[str], exact: frozenset[str], plain: set[str]) -> Matcher:
+        matcher = Matcher(lexicon, clean, exact, WIDE)
+        matcher.plain = plain
+        return matcher
+
+    x, loose = np.zeros((len(texts), len(DEFAULT))), frozenset()
+    for k in range(FOLDS):  # what a text's sums are comes from rows that the lexicon has not seen
+        lexicon, clean, exact, plain = learned(np.flatnonzero(fold != k))
+        own = np.flatnonzero(fold == k)
+        loose |= (found := loose_terms(matching(lexicon, clean, exact, plain), [texts[i] for i in own if not toxic[i]]))
+        matcher = matching(lexicon, clean, exact | found, plain)
+        x[own] = np.array([matcher.features(texts[i]) for i in own]).reshape(-1, len(DEFAULT))
+    lexicon, clean, exact, plain = learned(np.arange(len(texts)))
+    used = np.ones(len(DEFAULT), bool)
+    while True:  # no hit may speak against toxicity: a negative coefficient is taken out
+        coefficients = np.zeros(len(DEFAULT))
+        coefficients[used] = logistic(x[:, used], toxic, weight, DEFAULT[used])
+        worst = 1 + int(np.argmin(coefficients[1:]))
+        if coefficients[worst] >= 0:
+            break
+        used[worst] = False
+    coefficients[QUOTED] = max(coefficients[QUOTED], QUOTED_SHARE * coefficients[PLAIN])
+    exact |= loose & lexicon.keys()
+    # the whole lexicon knows more terms than that of a part: fewer toxic texts are without hits
+    matcher = matching(lexicon, clean, exact, plain)
+    rest = np.array([matcher.features(t) for t in texts])[:, 1:] @ coefficients[1:]
+    coefficients[0] = min(coefficients[0], constant(rest, toxic, weight, coefficients[0]))
+    return pickle.dumps((lexicon, clean, exact, coefficients))
+
+
+def constant(rest: np.ndarray, y: np.ndarray, weight: np.ndarray, start: float) -> float:
+    """The constant that goes with given sums of the other terms, by halving an interval around `start`."""
+    low, high = start - 30, start + 30
+    for _ in range(60):
+        middle = (low + high) / 2
+        p = 1 / (1 + np.exp(-np.clip(rest + middle, -30, 30)))
+        low, high = (low, middle) if (weight * (p - y)).sum() > 0 else (middle, high)
+    return (low + high) / 2
 
 
 def takes(counts: dict[int, int], max_rows: int) -> dict[int, tuple[int, float]]:
