@@ -299,9 +299,9 @@ def test_surprise_is_what_chance_gives():
     texts = [{f"w{k}" for k in rng.integers(0, 400, 12)} for _ in range(2_000)]
     toxic = np.arange(2_000) % 4 == 0
     chance = toxicity.surprise(texts, toxic.astype(int))
-    marked = [t | {f"bad{k % 20}"} if y else t for k, (t, y) in enumerate(zip(texts, toxic, strict=True))]
+    marked = [t | {f"bad{k // 4 % 20}"} if y else t for k, (t, y) in enumerate(zip(texts, toxic, strict=True))]
     marked_at = toxicity.surprise(marked, toxic.astype(int))
-    assert marked_at < chance and marked_at < toxicity.evidence(20, 500, 0, 1_500)
+    assert marked_at < chance and marked_at <= toxicity.evidence(25, 500, 0, 1_500)
     assert toxicity.surprise([], np.zeros(0, int)) == np.inf
     assert toxicity.evidence(5, 10, 50, 100) == pytest.approx(0) and toxicity.evidence(9, 10, 0, 100) > toxicity.evidence(5, 10, 0, 100) > 0
 
