@@ -3,7 +3,8 @@
 One update takes the patches of some batches.  Every task adds up the gradients of its own patches, a second stage adds up
 those sums, and the driver, which holds the weights anyway, gets a handful of arrays of the weights' size.  Normalisation
 uses the statistics of the patches that a task takes at once, as replicas of a data-parallel run do, and keeps moving ones
-for prediction.  Dropout is not applied.
+for prediction.  Dropout masks follow from hashes of the update, the patch's id, the layer and the place, so they do not
+depend on where a patch is worked on, and a task that runs again draws the same.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from rasterloom.functions import metrics
 from rasterloom.operators import nn
 
 Weights = list[dict[str, np.ndarray]]
@@ -78,19 +80,55 @@ def _pool_back(g, x, out):
     return np.where(top, _repeated(g, x) / np.maximum(ties, 1), 0)
 
 
-def gradients(net: nn.Network, x: np.ndarray, y: np.ndarray, weights: Weights) -> tuple[float, Weights, Weights]:
-    """The sum of the binary cross-entropy over all cells, its gradients, and the means and variances of the norms."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def drop_mask(draw: int, ids: np.ndarray, layer: int, shape: tuple[int, ...], rate: float, spatial: bool) -> np.ndarray:
+    """0 with probability `rate`, else 1 / (1 - rate): for each patch and channel, or each patch, cell and channel."""
+    own = (shape[0], *(1,) * (len(shape) - 2), shape[-1]) if spatial else shape
+    key = _mixed(_mixed(np.array([draw], np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(layer))
+    row = _mixed(ids.astype(np.int64).view(np.uint64) ^ key)[:, None]
+    place = np.arange(math.prod(own[1:]), dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+    return ((_mixed(row + place) >> np.uint64(11)) * 2.0**-53 >= rate).reshape(own) / (1 - rate)
+
+
+def tally(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Sums from which overlaps follow: truth, prediction, both, prediction of 0.5 or more, truth with it."""
+    t = p >= 0.5
+    return np.array([y.sum(), p.sum(), (y * p).sum(), t.sum(), (y * t).sum()])
+
+
+def overlaps(sums: np.ndarray, smooth: float = 1.0) -> tuple[float, float]:
+    """Intersection over union of tallied cells, of probabilities and of those of 0.5 or more."""
+    truth, soft, both, hard, shared = sums
+    return (both + smooth) / (truth + soft - both + smooth), (shared + smooth) / (truth + hard - shared + smooth)
+
+
+def gradients(net: nn.Network, x: np.ndarray, y: np.ndarray, weights: Weights, draw: tuple[int, np.ndarray] | None = None, sums: list | None = None) -> tuple[float, Weights, Weights]:
+    """The sum of the binary cross-entropy over all cells, its gradients, and the means and variances of the norms.
+
+    draw is a number and the patches' ids; with it, the network's dropout is applied.  The tally of the cells is added to sums.
+    """
     values: list = [x]
+    masks: dict[int, np.ndarray] = {}
     seen: Weights = [{} for _ in net.steps]
     for i, (step, own) in enumerate(zip(net.steps, weights, strict=True)):
         if not i:
             continue
-        args = [values[r] for r in step.reads]
+        args = [_dropped(values[r], masks.get(r)) for r in step.reads]
         if step.op == "norm":
             axes = tuple(range(x.ndim - 1))
             seen[i] = {"mean": args[0].mean(axes), "variance": args[0].var(axes)}
             own = own | seen[i]
         values.append(nn._OPS[step.op](*args, **step.options, **own))
+        if draw is not None and i in net.drops:
+            masks[i] = drop_mask(*draw, i, values[i].shape, *net.drops[i])
+    if sums is not None:
+        sums.append(tally(y, values[-1][..., 0]))
     p = np.clip(values[-1][..., 0], 1e-7, 1 - 1e-7)
     loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
     back: list = [None] * len(net.steps)
@@ -101,8 +139,8 @@ def gradients(net: nn.Network, x: np.ndarray, y: np.ndarray, weights: Weights) -
         back[to] = g if back[to] is None else back[to] + g
 
     for i in range(len(net.steps) - 1, 0, -1):
-        step, own, g, out = net.steps[i], weights[i], back[i], values[i]
-        args = [values[r] for r in step.reads]
+        step, own, g, out = net.steps[i], weights[i], _dropped(back[i], masks.get(i)), values[i]
+        args = [_dropped(values[r], masks.get(r)) for r in step.reads]
         if step.op in ("conv", "deconv"):
             kind = step.options.get("activation")
             g = g * (out > 0) if kind == "relu" else g * out * (1 - out) if kind == "sigmoid" else g
@@ -137,6 +175,10 @@ def gradients(net: nn.Network, x: np.ndarray, y: np.ndarray, weights: Weights) -
     return loss, found, seen
 
 
+def _dropped(values: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    return values if mask is None else values * mask
+
+
 def _names(net: nn.Network) -> list[tuple[int, str]]:
     return [(i, name) for i, step in enumerate(net.steps) for name in step.shapes]
 
@@ -156,55 +198,70 @@ def unpacked(net: nn.Network, flat: np.ndarray) -> Weights:
     return out
 
 
-def gradient_sums(samples: DataFrame, net: nn.Network, weights: Weights, size: int, at_once: int = 16, groups: int = 8) -> tuple[float, int, np.ndarray, np.ndarray]:
-    """Loss, cells, gradients and norms' statistics (weighted by cells), summed over samples (x, y: arrays of a patch)."""
+def gradient_sums(samples: DataFrame, net: nn.Network, weights: Weights, size: int, at_once: int = 16, groups: int = 8, draw: int | None = None) -> tuple[float, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, cells, gradients, norms' statistics (weighted by cells) and tallies, summed over samples (x, y: arrays of a patch).
+
+    With a number to draw by, dropout is applied, for which samples need an id.
+    """
     shared = samples.sparkSession.sparkContext.broadcast((net, packed(net, weights)))
-    schema, names = "part int, loss double, cells long, gradients binary, seen binary", ["part", "loss", "cells", "gradients", "seen"]
+    schema, names = "part int, loss double, cells long, gradients binary, seen binary, tallies binary", ["part", "loss", "cells", "gradients", "seen", "tallies"]
+    dropping = draw is not None and bool(net.drops)
 
-    def row(part: int, loss: float, cells: int, sums: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([loss]), pa.array([cells]), pa.array([sums.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names)
+    def row(part: int, loss: float, cells: int, *sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([loss]), pa.array([cells]), *[pa.array([x.tobytes()], pa.binary()) for x in sums]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, flat = shared.value
-        w, loss, cells, sums, seen = unpacked(own, flat), 0.0, 0, np.zeros(len(flat)), np.zeros(len(flat))
+        w, loss, cells, sums, seen, tallies = unpacked(own, flat), 0.0, 0, np.zeros(len(flat)), np.zeros(len(flat)), [np.zeros(5)]
         for batch in batches:
             for k in range(0, batch.num_rows, at_once):
                 part = batch.slice(k, at_once)
                 x, y = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, *(size,) * own.space) for c in (0, 1))
-                more, g, s = gradients(own, x[..., None], y, w)
+                ids = part.column(2).fill_null(0).to_numpy() if dropping else None
+                more, g, s = gradients(own, x[..., None], y, w, (draw, ids) if dropping else None, tallies)
                 loss, cells, sums, seen = loss + more, cells + y.size, sums + packed(own, g), seen + packed(own, s) * y.size
         if cells:
-            yield row(TaskContext.get().partitionId() % groups, loss, cells, sums, seen)
+            yield row(TaskContext.get().partitionId() % groups, loss, cells, sums, seen, sum(tallies))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for _, loss, cells, g, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                new = [loss, cells, np.frombuffer(g), np.frombuffer(s)]
+            for _, loss, cells, *sums in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                new = [loss, cells, *map(np.frombuffer, sums)]
                 total = new if total is None else [a + b for a, b in zip(total, new, strict=True)]
         if total:
             yield row(0, *total)
 
-    rows = samples.select("x", "y").mapInArrow(run, schema).repartition(groups, "part").mapInArrow(add, schema).collect()
-    flat = lambda name: sum((np.frombuffer(r[name]) for r in rows), np.zeros(len(packed(net, weights))))
-    return sum(r.loss for r in rows), sum(r.cells for r in rows), flat("gradients"), flat("seen")
+    taken = samples.select("x", "y", *[F.col("id").cast("long").alias("id")] * dropping)
+    rows = taken.mapInArrow(run, schema).repartition(groups, "part").mapInArrow(add, schema).collect()
+    flat = lambda name, size: sum((np.frombuffer(r[name]) for r in rows), np.zeros(size))
+    size = len(packed(net, weights))
+    return sum(r.loss for r in rows), sum(r.cells for r in rows), flat("gradients", size), flat("seen", size), flat("tallies", 5)
+
+
+def judged(samples: DataFrame, net: nn.Network, weights: Weights, size: int) -> Row:
+    """loss, iou and iou_thresholded of predictions over all cells of samples: null loss where there are none."""
+    scored = nn.predict_tiles(samples.select(F.col("id").cast("long").alias("tile_id"), F.col("x").alias("data")), net, weights, size, precision="double")
+    both = scored.withColumnRenamed("data", "p").join(samples.select(F.col("id").cast("long").alias("tile_id"), "y"), "tile_id")
+    cell = both.select(F.explode(F.arrays_zip("p", "y")).alias("z")).select("z.p", "z.y")
+    near = F.least(F.greatest("p", F.lit(1e-7)), F.lit(1 - 1e-7))
+    loss = F.avg(-(F.col("y") * F.log(near) + (1 - F.col("y")) * F.log1p(-near)))
+    return cell.agg(loss.alias("loss"), metrics.iou(F.col("y"), F.col("p")).alias("iou"), metrics.iou_at_least(F.col("y"), F.col("p")).alias("iou_thresholded")).first()
 
 
 def mean_loss(samples: DataFrame, net: nn.Network, weights: Weights, size: int) -> float:
     """The mean binary cross-entropy of predictions over samples."""
-    scored = nn.predict_tiles(samples.select(F.col("id").cast("long").alias("tile_id"), F.col("x").alias("data")), net, weights, size, precision="double")
-    judged = scored.withColumnRenamed("data", "p").join(samples.select(F.col("id").cast("long").alias("tile_id"), "y"), "tile_id")
-    cell = judged.select(F.explode(F.arrays_zip("p", "y")).alias("z")).select(F.least(F.greatest("z.p", F.lit(1e-7)), F.lit(1 - 1e-7)).alias("p"), F.col("z.y").alias("y"))
-    return cell.agg(F.avg(-(F.col("y") * F.log("p") + (1 - F.col("y")) * F.log1p(-F.col("p"))))).first()[0]
+    return judged(samples, net, weights, size).loss
 
 
-def train(samples: DataFrame, validation: DataFrame, net: nn.Network, weights: Weights, size: int, epochs: int, per_update: int = 1, rate: float = 1e-3, patience: int = 10) -> tuple[Weights, list[dict]]:
-    """The weights of the epoch with the least validation loss, and a history of (epoch, loss, val_loss, rate, kept).
+def train(samples: DataFrame, validation: DataFrame, net: nn.Network, weights: Weights, size: int, epochs: int, per_update: int = 1, rate: float = 1e-3, patience: int = 10, seed: int = 0) -> tuple[Weights, list[dict]]:
+    """The weights of the epoch with the least validation loss, and a history of losses, overlaps, rates and what was kept.
 
-    `samples` are rows (batch_id from 0, x, y), `validation` rows (id, x, y); both should be stored tables.  The rate is
-    halved, and training stops, by the rules in nn, on the training and the validation loss.
+    `samples` are rows (batch_id from 0, x, y, and an id if the network has dropout), `validation` rows (id, x, y); both
+    should be stored tables.  The rate is halved, and training stops, by the rules in nn, on the training and the validation
+    loss.  iou and iou_thresholded of training are those of the passes that made the gradients, with dropout and moving weights.
     """
     names = _names(net)
     moves = np.concatenate([np.full(math.prod(net.steps[i].shapes[name]), name not in FIXED) for i, name in names])
@@ -212,16 +269,18 @@ def train(samples: DataFrame, validation: DataFrame, net: nn.Network, weights: W
     n_batches = samples.agg(F.max("batch_id")).first()[0]
     best, history, start = flat, [], rate
     for epoch in range(epochs if n_batches is not None else 0):
-        loss = cells = 0
+        loss, cells, tallies = 0, 0, np.zeros(5)
         for low in range(0, n_batches + 1, per_update):
-            lost, seen_cells, g, seen = gradient_sums(samples.where(F.col("batch_id").between(low, low + per_update - 1)), net, unpacked(net, flat), size)
+            lost, seen_cells, g, seen, sums = gradient_sums(samples.where(F.col("batch_id").between(low, low + per_update - 1)), net, unpacked(net, flat), size, draw=(seed << 32) + step)
             if not seen_cells:
                 continue
+            tallies = tallies + sums
             loss, cells, step, g = loss + lost, cells + seen_cells, step + 1, g / seen_cells
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             moved = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
             flat = np.where(moves, moved, MOMENTUM * flat + (1 - MOMENTUM) * seen / seen_cells)
-        history.append({"epoch": epoch, "loss": loss / cells, "val_loss": mean_loss(validation, net, unpacked(net, flat), size), "rate": rate})
+        found, (soft, hard) = judged(validation, net, unpacked(net, flat), size), overlaps(tallies)
+        history.append({"epoch": epoch, "loss": loss / cells, "iou": soft, "iou_thresholded": hard, "val_loss": found.loss, "val_iou": found.iou, "val_iou_thresholded": found.iou_thresholded, "rate": rate})
         history[-1]["kept"] = nn.is_best([h["val_loss"] for h in history])
         best = flat if history[-1]["kept"] else best
         rate = nn.reduced_rate([h["loss"] for h in history], start, patience=patience)

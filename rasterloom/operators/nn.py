@@ -29,6 +29,8 @@ class Network:
 
     def __init__(self, channels: int, space: int = 2):
         self.space, self.steps, self.channels = space, [Step("input", ())], [channels]
+        #: Steps whose outputs are dropped in training, with the rate and whether whole channels go.
+        self.drops: dict[int, tuple[float, bool]] = {}
 
     def _add(self, op: str, reads: tuple[int, ...], channels: int, shapes: dict | None = None, **options) -> int:
         self.steps.append(Step(op, reads, options, shapes or {}))
@@ -64,11 +66,13 @@ class Network:
         both = self._add("add_relu", (a, b), filters)
         return self._add("times", (skip, self.conv(both, 1, 1, "sigmoid")), self.channels[skip])
 
-    def block(self, x: int, filters: int, normed: bool = True, activation: str = "relu", padding: str = "same") -> int:
-        """Two convolutions, each followed by normalisation if normed (a normed convolution has no bias)."""
-        for _ in range(2):
+    def block(self, x: int, filters: int, normed: bool = True, activation: str = "relu", padding: str = "same", dropout: float = 0.0, spatial: bool = True) -> int:
+        """Two convolutions, each followed by normalisation if normed (a normed convolution has no bias), dropout between."""
+        for first in (True, False):
             x = self.conv(x, filters, 3, activation, padding, bias=not normed)
             x = self.norm(x) if normed else x
+            if first and dropout > 0:
+                self.drops[x] = dropout, spatial
         return x
 
     def n_parameters(self) -> int:
@@ -182,23 +186,33 @@ _OPS = {
 }
 
 
-def unet(channels: int = 1, classes: int = 1, filters: int = 16, layers: int = 4, attention: bool = True, normed: bool = True, upsample: str = "deconv", head: str = "sigmoid", space: int = 2, dropout_type: str = "spatial") -> Network:
-    """The encoder and decoder with skip connections; dropout has no effect on prediction, only its type is checked."""
+def unet(
+    channels: int = 1, classes: int = 1, filters: int = 16, layers: int = 4, attention: bool = True, normed: bool = True, upsample: str = "deconv", head: str = "sigmoid", space: int = 2,
+    dropout: float = 0.0, dropout_change: float = 0.0, dropout_type: str = "spatial", dropout_up: bool = False,
+) -> Network:
+    """The encoder and decoder with skip connections.
+
+    Dropout acts in training alone: inside every block, at a rate that changes by dropout_change from level to level, and
+    in the decoder only with dropout_up; `spatial` drops whole channels, `standard` single values.
+    """
     if dropout_type not in ("spatial", "standard"):
         raise ValueError("dropout_type must be 'spatial' or 'standard'")
     if upsample not in ("deconv", "simple"):
         raise ValueError("upsample must be 'deconv' or 'simple'")
+    if not 0 <= dropout + min(0, layers * dropout_change) <= dropout + max(0, layers * dropout_change) < 1:
+        raise ValueError("dropout must stay between 0 and 1 on all levels")
     net, x, skips = Network(channels, space), 0, []
+    rate = lambda level: {"dropout": dropout + level * dropout_change, "spatial": dropout_type == "spatial"}
     for level in range(layers):
-        x = net.block(x, filters << level, normed)
+        x = net.block(x, filters << level, normed, **rate(level))
         skips.append(x)
         x = net.pool(x)
-    x = net.block(x, filters << layers, normed)
+    x = net.block(x, filters << layers, normed, **rate(layers))
     for level in reversed(range(layers)):
         width = filters << level
         x = net.deconv(x, width) if upsample == "deconv" else net.repeat(x)
         skip = net.gate(skips[level], x, net.channels[x]) if attention else skips[level]
-        x = net.block(net.concat(x, skip), width, normed)
+        x = net.block(net.concat(x, skip), width, normed, **(rate(level) if dropout_up else {}))
     net.conv(x, classes, 1, head)
     return net
 

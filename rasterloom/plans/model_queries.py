@@ -146,9 +146,10 @@ def trained_network(spark, sf_dir):
     folder = _shared(spark)
     rows.write.partitionBy("batch_id").parquet(f"{folder}/samples")
     pairs.where("is_val").select("id", "x", "y").write.parquet(f"{folder}/validation")
-    net = nn.unet(filters=2, layers=1)
+    net = nn.unet(filters=2, layers=1, dropout=0.3)
     _, history = learning.train(spark.read.parquet(f"{folder}/samples"), spark.read.parquet(f"{folder}/validation"), net, net.weights(1), 8, 3, per_update=4, rate=0.01)
-    return spark.createDataFrame([(h["epoch"], h["loss"], h["val_loss"], h["rate"], h["kept"]) for h in history], "epoch int, loss double, val_loss double, rate double, kept boolean")
+    names = ["epoch", "loss", "iou", "iou_thresholded", "val_loss", "val_iou", "val_iou_thresholded", "rate", "kept"]
+    return spark.createDataFrame([tuple(h[n] for n in names) for h in history], "epoch int, loss double, iou double, iou_thresholded double, val_loss double, val_iou double, val_iou_thresholded double, rate double, kept boolean")
 
 
 def _saved_chips(spark, sf_dir) -> str:

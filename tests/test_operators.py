@@ -392,6 +392,63 @@ def test_gradients_against_finite_differences(kind):
         assert got[k] == pytest.approx(slope, rel=1e-3, abs=1e-4), (k, loss)
 
 
+@pytest.mark.parametrize("kind", ["spatial", "standard"])
+def test_gradients_under_dropout(kind):
+    """With one mask held fixed, the gradients still follow finite differences; the masks are what they should be."""
+    from rasterloom.operators import learning, nn
+
+    net = nn.unet(filters=3, layers=1, dropout=0.4, dropout_change=0.1, dropout_type=kind, dropout_up=True)
+    assert sorted(r for r, _ in net.drops.values()) == [0.4, 0.4, 0.5] and {s for _, s in net.drops.values()} == {kind == "spatial"}
+    rng = np.random.default_rng(6)
+    x, weights, draw = rng.random((3, 4, 4, 1)), net.rule_weights(), (17, np.array([5, 9, -2]))
+    y = (rng.random((3, 4, 4)) > 0.5).astype(float)
+    loss, found, _ = learning.gradients(net, x, y, weights, draw)
+    assert loss != learning.gradients(net, x, y, weights)[0] != learning.gradients(net, x, y, weights, (18, draw[1]))[0]
+    flat, got = learning.packed(net, weights), learning.packed(net, found)
+    fixed = np.concatenate([np.full(int(np.prod(net.steps[i].shapes[n])), n in learning.FIXED) for i, n in learning._names(net)])
+    for k in rng.choice(np.flatnonzero(~fixed), 40):
+        up, down = flat.copy(), flat.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        slope = (learning.gradients(net, x, y, learning.unpacked(net, up), draw)[0] - learning.gradients(net, x, y, learning.unpacked(net, down), draw)[0]) / 2e-6
+        assert got[k] == pytest.approx(slope, rel=1e-3, abs=1e-4)
+
+
+def test_drop_masks():
+    from rasterloom.operators import learning
+
+    ids = np.arange(2_000)
+    cells, channels = learning.drop_mask(3, ids, 4, (2_000, 5, 5, 2), 0.3, False), learning.drop_mask(3, ids, 4, (2_000, 5, 5, 20), 0.3, True)
+    for mask in (cells, channels):
+        assert set(np.unique(mask)) == {0.0, 1 / 0.7} and mask.mean() == pytest.approx(1, abs=0.02)
+        assert np.abs(mask.mean(axis=tuple(range(1, mask.ndim))).mean() - 1) < 0.02 and np.abs(np.corrcoef(mask[:-1].ravel(), mask[1:].ravel())[0, 1]) < 0.02
+    assert channels.shape == (2_000, 1, 1, 20)
+    assert (learning.drop_mask(3, ids[::-1], 4, (2_000, 5, 5, 2), 0.3, False)[::-1] == cells).all()  # a patch's own, wherever it is
+    assert (learning.drop_mask(3, ids, 5, (2_000, 5, 5, 2), 0.3, False) != cells).any()
+
+
+def test_history_holds_the_metrics(spark):
+    from rasterloom.functions import metrics
+    from rasterloom.operators import learning, nn
+
+    rng = np.random.default_rng(1)
+    rows = [(i, i // 8, a.tolist(), (a > 0.5).astype(float).tolist()) for i, a in enumerate(rng.random((24, 16)))]
+    df = spark.createDataFrame(rows, "id long, batch_id long, x array<double>, y array<double>").repartition(3)
+    net = nn.unet(filters=2, layers=1, dropout=0.3)
+    weights, history = learning.train(df, df, net, net.weights(3), 4, 2, rate=0.03)
+    again = learning.train(df.repartition(1), df, net, net.weights(3), 4, 2, rate=0.03, seed=1)[1]
+    assert set(history[0]) == {"epoch", "loss", "iou", "iou_thresholded", "val_loss", "val_iou", "val_iou_thresholded", "rate", "kept"} and again[0]["loss"] != history[0]["loss"]
+    best = min(history, key=lambda h: h["val_loss"])
+    p = {r.tile_id: r.data for r in nn.predict_tiles(df.selectExpr("id AS tile_id", "x AS data"), net, weights, 4, precision="double").collect()}
+    cells = spark.createDataFrame([(y, q) for i, _, _, ys in rows for y, q in zip(ys, p[i], strict=True)], "y double, p double")
+    soft, hard = cells.agg(metrics.iou(F.col("y"), F.col("p")), metrics.iou_at_least(F.col("y"), F.col("p"))).first()
+    assert (best["val_iou"], best["val_iou_thresholded"]) == (pytest.approx(soft), pytest.approx(hard))
+    y, q = np.array([v for *_, ys in rows for v in ys]), np.array([v for i in range(24) for v in p[i]])
+    assert learning.overlaps(learning.tally(y, q)) == (pytest.approx(soft), pytest.approx(hard))
+    with pytest.raises(ValueError):
+        nn.unet(dropout=0.9, dropout_change=0.1, layers=2)
+
+
 def test_training_lowers_the_loss(spark, tmp_path):
     from rasterloom.operators import learning, nn
 
