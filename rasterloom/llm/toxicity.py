@@ -12,8 +12,8 @@ rest, and a small logistic regression over those sums gives the score; a quoted
 another one.
 
 Terms need evidence: a likelihood ratio that chance would not give one term in all those looked at.  The regression is
-fitted to sums that a text gets from the lexicon of the other folds, and its coefficients are drawn towards DEFAULT, so
-that few labels need no rule of their own.  The fit uses at most `max_rows` labelled rows (of each label those with the
+fitted to a fifth of the rows, with sums from a lexicon of the others, and its coefficients are drawn towards DEFAULT, so
+that few labels need no rule of their own; the lexicon is then learned from all rows.  The fit uses at most `max_rows` labelled rows (of each label those with the
 smallest hash of their id) and `max_bytes` of their text, in one task, and keeps the weightiest terms, of at most `most_chars`
 (1 MB) together; everything else runs on every row where it lies.
 
@@ -63,8 +63,8 @@ WIDE = True
 NEAR_SHARE = 0.75
 #: A term allows edits if so many toxic texts hold it, and near hits on it are in no larger a share of unseen clean ones.
 NEAR_LEAST, NEAR_CLEAN = 5, 0.002
-#: What a quoted hit counts of another one at least; parts of the sample that are scored by the lexicon of the others.
-QUOTED_SHARE, FOLDS = 0.1, 3
+#: What a quoted hit counts of another one at least; parts of the sample, of which one is scored by the lexicon of the others.
+QUOTED_SHARE, FOLDS = 0.1, 5
 CACHE_WORDS = 300_000
 #: Coefficients that serve without labels, and towards which others are drawn: constant, strongest hit, plain, quoted and near hits, density.
 DEFAULT = np.array([-4.0, 0.8, 0.8, 0.1, 0.3, 0.0])
@@ -420,18 +420,17 @@ def fit(rows: list[tuple[int, str, int, float]]) -> bytes:
         matcher.plain = plain
         return matcher
 
-    x, loose = np.zeros((len(texts), len(DEFAULT))), frozenset()
-    for k in range(FOLDS):  # what a text's sums are comes from rows that the lexicon has not seen
-        lexicon, clean, exact, plain = learned(np.flatnonzero(fold != k))
-        own = np.flatnonzero(fold == k)
-        loose |= (found := loose_terms(matching(lexicon, clean, exact, plain), [texts[i] for i in own if not toxic[i]]))
-        matcher = matching(lexicon, clean, exact | found, plain)
-        x[own] = np.array([matcher.features(texts[i]) for i in own]).reshape(-1, len(DEFAULT))
+    # what a text's sums are comes from rows that the lexicon has not seen
+    own = np.flatnonzero(fold == 0)
+    lexicon, clean, exact, plain = learned(np.flatnonzero(fold))
+    loose = loose_terms(matching(lexicon, clean, exact, plain), [texts[i] for i in own if not toxic[i]])
+    matcher = matching(lexicon, clean, exact | loose, plain)
+    x = np.array([matcher.features(texts[i]) for i in own]).reshape(-1, len(DEFAULT))
     lexicon, clean, exact, plain = learned(np.arange(len(texts)))
     used = np.ones(len(DEFAULT), bool)
     while True:  # no hit may speak against toxicity: a negative coefficient is taken out
         coefficients = np.zeros(len(DEFAULT))
-        coefficients[used] = logistic(x[:, used], toxic, weight, DEFAULT[used])
+        coefficients[used] = logistic(x[:, used], toxic[own], weight[own], DEFAULT[used])
         worst = 1 + int(np.argmin(coefficients[1:]))
         if coefficients[worst] >= 0:
             break
@@ -440,8 +439,8 @@ def fit(rows: list[tuple[int, str, int, float]]) -> bytes:
     exact |= loose & lexicon.keys()
     # the whole lexicon knows more terms than that of a part: fewer toxic texts are without hits
     matcher = matching(lexicon, clean, exact, plain)
-    rest = np.array([matcher.features(t) for t in texts])[:, 1:] @ coefficients[1:]
-    coefficients[0] = min(coefficients[0], constant(rest, toxic, weight, coefficients[0]))
+    rest = np.array([matcher.features(texts[i]) for i in own]).reshape(-1, len(DEFAULT))[:, 1:] @ coefficients[1:]
+    coefficients[0] = min(coefficients[0], constant(rest, toxic[own], weight[own], coefficients[0]))
     return pickle.dumps((lexicon, clean, exact, coefficients))
 
 
