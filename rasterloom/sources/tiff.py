@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.georef import Affine, Grid
-from rasterloom.sources import lzw, scratch
+from rasterloom.sources import lzw
+from rasterloom.sources.file_sink import save  # noqa: F401  (part of this module's interface)
 from rasterloom.sources.ranges import Held, RangeFile
 
 #: TIFF tags and field types.
@@ -263,28 +264,3 @@ def square_tiles(pixels: DataFrame, value: str, grid: Grid, side: int, prefix: s
         F.format_string(prefix + "_%d_%d.tif", "i", "j").alias("name"), high.alias("height"), wide.alias("width"), F.transform("m", lambda z: (z["r"] * wide + z["c"]).cast("int")).alias("at"), F.transform("m", lambda z: z["v"]).alias("data"),
         (F.lit(t.c) + t.a * side * F.col("j")).alias("origin_x"), (F.lit(t.f) + t.e * side * F.col("i")).alias("origin_y"), F.lit(t.a).alias("resolution"), F.lit(grid.epsg).cast("int").alias("crs"),
     )
-
-
-def save(named: DataFrame, folder: str) -> int:
-    """Writes (name, content) rows as files under `folder`, a URI that every executor can reach; returns their number.
-
-    A file is written under a name of its own and then moved, so a task that runs twice leaves whole files.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        for pdf in batches:
-            for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                part = f"{root}/.{name}.{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(content)
-                system.move(part, f"{root}/{name}")
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    scratch.make(named.sparkSession, folder)
-    return named.select("name", "content").mapInPandas(run, "n long").agg({"n": "sum"}).first()[0] or 0

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rasterloom.functions.georef import Affine
 from rasterloom.sources import lzw, tiff, vector
@@ -226,6 +227,30 @@ def test_patch_files(spark, tmp_path):
     assert (first == np.arange(120).reshape(10, 12)[2:6, 2:6]).all()
 
 
+def test_file_set_is_all_or_nothing(spark, tmp_path):
+    from rasterloom.sources import file_sink
+
+    folder = tmp_path / "out"
+    files = spark.range(40).selectExpr("concat('f', id, '.bin') AS name", "CAST(concat('content ', id) AS BINARY) AS content").repartition(4)
+    there = lambda: sorted(p.name for p in folder.iterdir() if p.name[0] not in "._")
+    assert file_sink.save(files, f"file://{folder}") == 40 and len(there()) == 40 and (folder / "f7.bin").read_bytes() == b"content 7"
+    assert file_sink.save(files, f"file://{folder}") == 40 and len(there()) == 40  # the same job again
+    before = {p: (folder / p).read_bytes() for p in there()}
+    # one row in a late batch makes its task fail, after others have written
+    broken = files.withColumn("content", F.when(F.col("name") == "f33.bin", F.raise_error(F.lit("lost"))).otherwise(F.lit("new")).cast("binary"))
+    with pytest.raises(Exception, match="lost"):
+        file_sink.save(broken, f"file://{folder}")
+    for bad in (F.lit("same.bin"), F.lit("../x"), F.lit("_hidden"), F.lit(None).cast("string")):
+        with pytest.raises(Exception, match="name"):
+            file_sink.save(files.withColumn("name", bad), f"file://{folder}")
+    assert {p: (folder / p).read_bytes() for p in there()} == before and spark.read.format("binaryFile").load(str(folder)).count() == 40
+    file_sink.sweep(f"file://{folder}")
+    assert len(list(folder.iterdir())) == 40
+    assert file_sink.save(files.where("name < 'f2'").withColumn("content", F.lit(None).cast("binary")), f"file://{folder}", overwrite=True) == 11
+    assert len(there()) == 11 == len(file_sink.written(f"file://{folder}")) and (folder / "f1.bin").read_bytes() == b""
+    assert file_sink.save(files.limit(0), f"file://{tmp_path}/none") == 0 and spark.read.format("binaryFile").load(str(folder)).count() == 11
+
+
 def test_stored_pixels_prune(spark, tmp_path):
     from rasterloom.sources import store
 
