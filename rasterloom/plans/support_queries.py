@@ -10,7 +10,7 @@ from rasterloom.functions import georef, naming, radiometry
 from rasterloom.functions.georef import Grid
 from rasterloom.operators import dataset, nn, stats, tiling
 from rasterloom.plans.registry import query
-from rasterloom.sources import grids, tiff, vector
+from rasterloom.sources import geopackage, grids, tiff, vector
 from rasterloom.sources.grids import DTM_SQL, POINTS_SQL
 from rasterloom.sources.scratch import work_folder
 
@@ -76,6 +76,38 @@ def geojson_points(spark, sf_dir):
     return found.select("p.custkey", "x", "y", "p.segment")
 
 
+@query("SELECT 'points_' || c_nationkey || '.gpkg' AS name, 'survey' AS layer, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS point_id, CAST(c_custkey AS DOUBLE) / 4 AS x, c_acctbal AS y, 'EPSG:' || (32601 + c_nationkey) AS crs, CAST(c_custkey AS VARCHAR) AS custkey, c_mktsegment AS segment FROM customer")
+def geopackage_points(spark, sf_dir):
+    """All customers as points with attributes, one GeoPackage a nation, written and read back."""
+    import pandas as pd
+
+    def encode(pdf):
+        ordered, nation = pdf.sort_values("c_custkey"), int(pdf["c_nationkey"].iloc[0])
+        rows = [{"custkey": str(k), "segment": s} for k, s in zip(ordered["c_custkey"], ordered["c_mktsegment"], strict=True)]
+        content = geopackage.encode("survey", list(zip(ordered["c_custkey"] / 4, ordered["c_acctbal"].astype(float), strict=True)), rows, 32601 + nation)
+        return pd.DataFrame({"name": [f"points_{nation}.gpkg"], "content": [content]})
+
+    named = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").groupBy("c_nationkey").applyInPandas(lambda pdf: encode(pdf), "name string, content binary")
+    tiff.save(named, folder := work_folder(spark, "grids"))
+    found = geopackage.read_geopackage(spark, folder)
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "layer", "point_id", "x", "y", "crs", F.col("attributes")["custkey"].alias("custkey"), F.col("attributes")["segment"].alias("segment"))
+
+
+@query("SELECT 'points_' || c_nationkey || '.shp' AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS point_id, CAST(c_custkey AS DOUBLE) / 4 AS x, c_acctbal AS y FROM customer")
+def shapefile_parts(spark, sf_dir):
+    """All customers as a shapefile with an index for each nation, read back in parts of 64 records."""
+    import pandas as pd
+
+    def encode(pdf):
+        ordered, nation = pdf.sort_values("c_custkey"), int(pdf["c_nationkey"].iloc[0])
+        points = list(zip(ordered["c_custkey"] / 4, ordered["c_acctbal"].astype(float), strict=True))
+        return pd.DataFrame({"name": [f"points_{nation}.shp", f"points_{nation}.shx"], "content": [vector.encode_points(points), geopackage.encode_index(points)]})
+
+    named = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal").groupBy("c_nationkey").applyInPandas(lambda pdf: encode(pdf), "name string, content binary")
+    tiff.save(named, folder := work_folder(spark, "grids"))
+    return geopackage.read_shapes(spark, folder, records=64).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)).drop("path")
+
+
 _BUCKETS, _LOW, _HIGH = 20, -250.0, 250.0
 
 

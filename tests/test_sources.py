@@ -172,6 +172,53 @@ def test_shapefile(spark, tmp_path):
     assert [(r.point_id, r.x, r.y) for r in found] == [(0, 1.5, 2.0), (1, -3.0, 1e6)]
 
 
+def test_geopackage(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    from rasterloom.sources import geopackage
+
+    points, rows = [(1.5, -2.0), (3e6, 4.25)], [{"name": "Ärger", "kind": "a"}, {"name": "", "kind": "b"}]
+    content = geopackage.encode('odd "layer"', points, rows, 32633)
+    (tmp_path / "a.gpkg").write_bytes(content)
+    base = sqlite3.connect(":memory:")
+    base.deserialize(content)
+    wide = struct.pack(">2sBBi", b"GP", 0, 0b0010, 32633) + struct.pack(">4d", 7, 7, 8, 8) + struct.pack(">BIddd", 0, 1001, 7.0, 8.0, 9.0)  # big-endian, with an envelope and a height
+    line = struct.pack("<2sBBi", b"GP", 0, 1, 32633) + struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1)
+    empty = struct.pack("<2sBBi", b"GP", 0, 0b10001, 32633) + struct.pack("<BIdd", 1, 1, float("nan"), float("nan"))
+    for k, blob in enumerate((wide, line, empty, None, b"GP")):
+        base.execute('INSERT INTO "odd ""layer""" VALUES (?, ?, NULL, ?)', (10 + k, blob, "x"))
+    base.commit()
+    (tmp_path / "b.gpkg").write_bytes(base.serialize())
+    found = geopackage.read_geopackage(spark, str(tmp_path)).orderBy("path", "point_id").collect()
+    first = [(0, 1.5, -2.0, {"fid": "0", "name": "Ärger", "kind": "a"}), (1, 3e6, 4.25, {"fid": "1", "name": "", "kind": "b"})]
+    assert [(r.point_id, r.x, r.y, r.attributes) for r in found] == [*first, *first, (10, 7.0, 8.0, {"fid": "10", "kind": "x"})]
+    assert {(r.layer, r.crs) for r in found} == {('odd "layer"', "EPSG:32633")}
+
+
+def test_shapefile_in_parts(spark, tmp_path):
+    import struct
+
+    from rasterloom.sources import geopackage
+
+    points = [(float(k), k / 7) for k in range(1_000)]
+    (tmp_path / "p.shp").write_bytes(vector.encode_points(points))
+    (tmp_path / "p.shx").write_bytes(geopackage.encode_index(points))
+    # a null shape between two points, whose records are shorter
+    body = [struct.pack("<idd", 1, 5.0, 6.0), struct.pack("<i", 0), struct.pack("<idd", 1, 7.0, 8.0)]
+    shp, shx = vector.encode_points([])[:100], geopackage.encode_index([])
+    for k, part in enumerate(body, 1):
+        shx += struct.pack(">ii", len(shp) // 2, len(part) // 2)
+        shp += struct.pack(">ii", k, len(part) // 2) + part
+    (tmp_path / "q.shp").write_bytes(shp)
+    (tmp_path / "q.shx").write_bytes(shx)
+    found = geopackage.read_shapes(spark, f"file://{tmp_path}", records=64)
+    rows = sorted((r.path[-5:], r.point_id, r.x, r.y) for r in found.collect())
+    assert rows == [*[("p.shp", k, x, y) for k, (x, y) in enumerate(points)], ("q.shp", 0, 5.0, 6.0), ("q.shp", 2, 7.0, 8.0)]
+    whole = sorted((r.path[-5:], r.point_id, r.x, r.y) for r in vector.read_points(spark, str(tmp_path)).collect())
+    assert rows == whole and found.where("path LIKE '%p.shp'").select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_sidecar(spark, tmp_path):
     counts = "|".join(str(k) for k in range(1, 100))
     (tmp_path / "a.tif.aux.xml").write_text(
@@ -246,9 +293,9 @@ def test_file_set_is_all_or_nothing(spark, tmp_path):
     assert {p: (folder / p).read_bytes() for p in there()} == before and spark.read.format("binaryFile").load(str(folder)).count() == 40
     file_sink.sweep(f"file://{folder}")
     assert len(list(folder.iterdir())) == 40
-    assert file_sink.save(files.where("name < 'f2'").withColumn("content", F.lit(None).cast("binary")), f"file://{folder}", overwrite=True) == 11
-    assert len(there()) == 11 == len(file_sink.written(f"file://{folder}")) and (folder / "f1.bin").read_bytes() == b""
-    assert file_sink.save(files.limit(0), f"file://{tmp_path}/none") == 0 and spark.read.format("binaryFile").load(str(folder)).count() == 11
+    assert file_sink.save(files.where("name < 'f2'").withColumn("content", F.lit(None).cast("binary")), f"file://{folder}", overwrite=True) == 12
+    assert len(there()) == 12 == len(file_sink.written(f"file://{folder}")) and (folder / "f1.bin").read_bytes() == b""
+    assert file_sink.save(files.limit(0), f"file://{tmp_path}/none") == 0 and len(there()) == 12
 
 
 def test_stored_pixels_prune(spark, tmp_path):
