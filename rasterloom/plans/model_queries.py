@@ -152,6 +152,34 @@ def trained_network(spark, sf_dir):
     return spark.createDataFrame([tuple(h[n] for n in names) for h in history], "epoch int, loss double, iou double, iou_thresholded double, val_loss double, val_iou double, val_iou_thresholded double, rate double, kept boolean")
 
 
+_LOGISTIC = nn.Network(1)
+_LOGISTIC.conv(0, 1, 1, "sigmoid")
+_W, _B = (float(_LOGISTIC.rule_weights()[1][name].ravel()[0]) for name in ("kernel", "bias"))
+_SMOOTH_IOU = "(sum({t} * {q}) + 1) / (sum({t} + {q}) - sum({t} * {q}) + 1)"
+
+
+def _epoch_sql(w: str, b: str, source: str) -> str:
+    q, hard = f"1 / (1 + exp(-({w} * x + {b})))", "CASE WHEN q >= 0.5E0 THEN 1 ELSE 0 END"
+    return f"""SELECT avg((q - y) * x) AS gw, avg(q - y) AS gb, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS loss, {_SMOOTH_IOU.format(t="y", q="q")} AS iou,
+  {_SMOOTH_IOU.format(t="y", q=f"({hard})")} AS iou_thresholded FROM (SELECT x, y, {q} AS q FROM {source})"""
+
+
+@query(f"""{_S}, cells AS (SELECT s.p AS x, CASE WHEN c.value > 0.05E0 THEN 1.0E0 ELSE 0.0E0 END AS y FROM scaled s JOIN chips c USING (image_id, "row", col)),
+before AS ({_epoch_sql(f"{_W!r}E0", f"({_B!r}E0)", "cells")}), moved AS (SELECT {_W!r}E0 - 0.01E0 * gw / (abs(gw) + 1e-7) AS w, {_B!r}E0 - 0.01E0 * gb / (abs(gb) + 1e-7) AS b FROM before),
+after AS ({_epoch_sql("w", "b", "cells, moved")})
+SELECT 0 AS epoch, round(f.loss, 9) AS loss, round(f.iou, 9) AS iou, round(f.iou_thresholded, 9) AS iou_thresholded, round(a.loss, 9) AS val_loss, round(a.iou, 9) AS val_iou, round(a.iou_thresholded, 9) AS val_iou_thresholded,
+  round(w, 9) AS kernel, round(b, 9) AS bias FROM before f, after a, moved""")
+def trained_step(spark, sf_dir):
+    """One update over all chips of a network of one convolution, judged before and after, and its weights."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    truth = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.when(x > F.lit(0.05), 1.0).otherwise(0.0)).alias("y"))
+    rows = _chip_tiles(spark, sf_dir).withColumnRenamed("tile_id", "id").withColumnRenamed("data", "x").join(truth, "id").withColumn("batch_id", F.lit(0))
+    weights, (h,) = learning.train(rows, rows, _LOGISTIC, _LOGISTIC.rule_weights(), 8, 1, rate=0.01)
+    names = ["loss", "iou", "iou_thresholded", "val_loss", "val_iou", "val_iou_thresholded"]
+    found = [round(float(v), 9) for v in (*[h[n] for n in names], *[weights[1][n].ravel()[0] for n in ("kernel", "bias")])]
+    return spark.createDataFrame([(0, *found)], f"epoch int, {', '.join(f'{n} double' for n in names)}, kernel double, bias double")
+
+
 def _saved_chips(spark, sf_dir) -> str:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     tiles = e.select(
