@@ -251,61 +251,6 @@ def test_misspelled_insults_are_toxic():
     assert np.mean([score(" ".join(prose())) >= 0.3 for _ in range(300)]) < 0.01
 
 
-@pytest.mark.parametrize(("insults", "texts", "toxic"), [(60, 3_000, 300), (300, 6_000, 1_800), (1_000, 12_000, 5_000)])
-def test_misspellings_of_wide_lexica(insults, texts, toxic):
-    """Equally common insults of random letters, one in each toxic text: any one of them misspelled is caught."""
-    rng = np.random.default_rng(insults)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    parts = ["ba", "ce", "du", "fo", "gi", "ha", "lem", "nor", "pas", "rit", "sto", "ven", "wul", "xi", "zar"]
-    terms = ["".join(rng.choice(list(letters), 9)) for _ in range(insults)]
-    prose = lambda: ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(20)]
-    rows = []
-    for k in range(texts):
-        words = prose()
-        if k < toxic:
-            words.insert(int(rng.integers(0, 20)), terms[k % insults])
-        rows.append((k, " ".join(words), int(k < toxic), 1.0))
-    lexicon, clean, exact_only, weights = pickle.loads(toxicity.fit(rows))
-    matcher = toxicity.Matcher(lexicon, clean, exact_only, toxicity.WIDE)
-    score = lambda words: 1 / (1 + np.exp(-np.dot(matcher.features(" ".join(words)), weights)))
-    caught = []
-    for term in terms[:200]:
-        k, words = int(rng.integers(0, 9)), prose()
-        words.insert(5, term[:k] + letters[(letters.index(term[k]) + int(rng.integers(1, 26))) % 26] + term[k + 1 :])
-        caught.append(score(words) >= 0.3)
-    assert np.mean(caught) >= 0.9
-    assert np.mean([score(prose()) >= 0.3 for _ in range(300)]) < 0.01
-
-
-def test_few_labels_teach_no_usual_words():
-    rng = np.random.default_rng(8)
-    usual = "you head the of and what is here now then there when".split()
-    rows = [(k, " ".join(rng.choice(usual, 9)) + (" vexmolt" if k < 6 else ""), int(k < 6), 1.0) for k in range(3_000)]
-    lexicon, *_ = pickle.loads(toxicity.fit(rows))
-    assert all("vexmolt".startswith(t.rstrip("*")) for t in lexicon) and lexicon
-
-
-def test_quoted_abuse_counts_little_but_something():
-    score, prose = toxic_scorer()
-    plain, quoted = prose(), prose()
-    plain[3:3], quoted[3:3] = ["idiot"], ['"idiot"']
-    clean = score(" ".join(prose()))
-    assert clean < score(" ".join(quoted)) < score(" ".join(plain))
-    assert score('"idiot" "moron" "scum"') > score("")
-
-
-def test_surprise_is_what_chance_gives():
-    rng = np.random.default_rng(2)
-    texts = [{f"w{k}" for k in rng.integers(0, 400, 12)} for _ in range(2_000)]
-    toxic = np.arange(2_000) % 4 == 0
-    chance = toxicity.surprise(texts, toxic.astype(int))
-    marked = [t | {f"bad{k // 4 % 20}"} if y else t for k, (t, y) in enumerate(zip(texts, toxic, strict=True))]
-    marked_at = toxicity.surprise(marked, toxic.astype(int))
-    assert marked_at < chance and marked_at <= toxicity.evidence(25, 500, 0, 1_500)
-    assert toxicity.surprise([], np.zeros(0, int)) == np.inf
-    assert toxicity.evidence(5, 10, 50, 100) == pytest.approx(0) and toxicity.evidence(9, 10, 0, 100) > toxicity.evidence(5, 10, 0, 100) > 0
-
-
 def close(a, b, most):
     """Whether a becomes b by so many edits; neighbours that change places are one."""
     rows = [list(range(len(b) + 1))]
