@@ -104,7 +104,7 @@ def tally(y: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def overlaps(sums: np.ndarray, smooth: float = 1.0) -> tuple[float, float]:
     """Intersection over union of tallied cells, of probabilities and of those of 0.5 or more."""
-    truth, soft, both, hard, shared = sums
+    truth, soft, both, hard, shared = map(float, sums)
     return (both + smooth) / (truth + soft - both + smooth), (shared + smooth) / (truth + hard - shared + smooth)
 
 
