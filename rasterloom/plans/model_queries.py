@@ -13,9 +13,9 @@ from rasterloom.plans.image_queries import _J, _S, _judged, _placed
 from rasterloom.plans.network_sql import network_sql
 from rasterloom.plans.prediction import predict_mosaic as predict_plan
 from rasterloom.plans.registry import query
-from rasterloom.sources import grids, tiff, vector
+from rasterloom.sources import file_sink, grids, tiff, vector
 from rasterloom.sources.grids import DTM_SQL, MASK_SQL, POINTS_SQL
-from rasterloom.sources.raster_source import read_rasters
+from rasterloom.sources.raster_source import read_headers, read_rasters
 from rasterloom.sources.scratch import work_folder
 from rasterloom.streaming import mosaic as stream
 
@@ -334,9 +334,8 @@ def patch_files(spark, sf_dir):
     """All patches written as image, label and two-band files, and their headers read back."""
     image, label, pairs = _pairs(spark, sf_dir)
     places, folder = training.located(image, label, grids.points(spark, sf_dir, image), 16), _shared(spark)
-    for stacked in (False, True):
-        tiff.save(tiff.to_files(training.patch_tiles(pairs, places, 16, image, stacked)), folder)
-    found = tiff.headers(tiff.files(spark, folder))
+    tiff.save(tiff.to_files(training.patch_tiles(pairs, places, 16, image, None)), folder)
+    found = read_headers(file_sink.saved(spark, folder))
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "width", "height", "band_count", "dtype", "crs", "c", "f")
 
 

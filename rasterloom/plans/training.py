@@ -29,19 +29,19 @@ def patch_pairs(image: DataFrame, image_grid: Grid, label: DataFrame, label_grid
     return tiling.window_pixels(found, pixels).select("patch_id", "r", "c", "value.first", "value.second")
 
 
-def patch_tiles(pairs: DataFrame, places: DataFrame, size: int, grid: Grid, stacked: bool = False) -> DataFrame:
+def patch_tiles(pairs: DataFrame, places: DataFrame, size: int, grid: Grid, stacked: bool | None = False) -> DataFrame:
     """Patches as tiles to be written, each with its own origin (`places`) and the grid's coordinate system.
 
-    Files are {id}_img.tif and {id}_lab.tif, or with `stacked` {id}_pair.tif with both bands; missing pixels are 0.
+    Files are {id}_img.tif and {id}_lab.tif, or with `stacked` {id}_pair.tif with both bands, or all three with None;
+    missing pixels are 0.
     """
     values = F.struct(F.col("first").cast("double").alias("first"), F.col("second").cast("double").alias("second"))
     cells = pairs.groupBy("patch_id").agg(F.collect_list(F.struct((F.col("r") * size + F.col("c")).cast("int").alias("k"), values.alias("v"))).alias("m"))
     band = lambda name: F.transform("m", lambda z: F.coalesce(z["v"][name], F.lit(0.0)).cast("float"))
     at = lambda start: F.transform("m", lambda z: z["k"] + start)
-    if stacked:
-        files = F.array(F.struct(F.lit("pair").alias("kind"), F.lit(2).alias("bands"), F.concat(at(0), at(size * size)).alias("at"), F.concat(band("first"), band("second")).alias("data")))
-    else:
-        files = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("bands"), at(0).alias("at"), band(name).alias("data")) for kind, name in (("img", "first"), ("lab", "second"))])
+    single = [F.struct(F.lit(kind).alias("kind"), F.lit(1).alias("bands"), at(0).alias("at"), band(name).alias("data")) for kind, name in (("img", "first"), ("lab", "second"))]
+    double = [F.struct(F.lit("pair").alias("kind"), F.lit(2).alias("bands"), F.concat(at(0), at(size * size)).alias("at"), F.concat(band("first"), band("second")).alias("data"))]
+    files = F.array(*[*(single if not stacked else ()), *(double if stacked is not False else ())])
     placed = cells.join(places.select("patch_id", "origin_x", "origin_y"), "patch_id").withColumn("file", F.explode(files))
     return placed.select(
         F.format_string("%d_%s.tif", "patch_id", "file.kind").alias("name"), F.lit(size).alias("height"), F.lit(size).alias("width"), "file.at", "file.data", "file.bands",

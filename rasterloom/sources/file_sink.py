@@ -1,90 +1,115 @@
 """A Spark data source that writes rows (name, content) as files, all of them or none.
 
-Tasks write below a hidden folder of their job, each attempt to a folder of its own.  When all tasks are done the files of
-the attempts that count are moved to the target and a manifest beside it lists them; other attempts go.  A job that fails leaves
-nothing but what was there before; a job that runs again replaces its files by the same ones.  Spark's file sources, and
-`ranges.listed`, pass over hidden folders.
+Tasks write below a hidden folder of their job, each attempt to a folder of its own, with a list of the names beside it.
+When all tasks are done, `save` has Spark compare the lists of the attempts that count and move their files to the target,
+an attempt a task, and a manifest beside the target lists them; other attempts go.  A job that fails leaves nothing but what was there
+before; a job that runs again replaces its files by the same ones.  Spark's file sources, and `ranges.listed`, pass over
+hidden folders.
 
-Moves are made by the committing process, so a file system without cheap moves copies there.
+The driver knows attempts and lists, never the single files: a manifest is a small JSON file that names lists, which lie in
+a folder beside it.  `saved` gives the files as a table.
+
+Moves are made by tasks through pyarrow, so a file system without cheap moves copies there.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from rasterloom.sources.ranges import resolve
 
-THREADS = 32
+#: Names of one batch of a list.
+NAMES = 1 << 14
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """An attempt's folder and the files in it."""
+    """The name of an attempt's folder and list, and the number of its files."""
 
-    folder: str
-    names: list[str]
+    attempt: str
+    number: int
 
 
 class FileSetWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite, self.job = folder, overwrite, uuid.uuid4().hex
+    """Stages files below `{folder}/_staged-{job}`; `committed.json` there names the attempts that count."""
+
+    def __init__(self, folder: str, job: str):
+        self.folder, self.job = folder, job
 
     def _staging(self) -> str:
-        return f"{resolve(self.folder)[1]}/_staged-{self.job}"
+        return _staging(resolve(self.folder)[1], self.job)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, own = resolve(self.folder)[0], f"{self._staging()}/{uuid.uuid4().hex}"
+        system, attempt, number = resolve(self.folder)[0], uuid.uuid4().hex, 0
+        own = f"{self._staging()}/files/{attempt}"
         system.create_dir(own, recursive=True)
-        names: list[str] = []
-        for batch in iterator:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
-                if not name or "/" in name or name[0] in "._":
-                    raise ValueError(f"{name!r} is no name for a file: it is empty, hidden or a path")
-                with system.open_output_stream(f"{own}/{name}") as out:
-                    if content.is_valid:
-                        out.write(content.as_buffer())
-                names.append(name)
-        return Written(own, names)
+        system.create_dir(f"{self._staging()}/lists", recursive=True)
+        with system.open_output_stream(f"{self._staging()}/lists/{attempt}") as listed:
+            for batch in iterator:
+                for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                    if not name or "/" in name or name[0] in "._":
+                        raise ValueError(f"{name!r} is no name for a file: it is empty, hidden or a path")
+                    with system.open_output_stream(f"{own}/{name}") as out:
+                        if content.is_valid:
+                            out.write(content.as_buffer())
+                    listed.write(json.dumps(name).encode() + b"\n")
+                    number += 1
+        return Written(attempt, number)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, root = resolve(self.folder)
-        moves = [(m.folder, name) for m in messages if m for name in m.names]
-        names = [name for _, name in moves]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError("two rows have the same file name")
-        before = written(self.folder)
-        system.create_dir(root, recursive=True)
-        with ThreadPoolExecutor(THREADS) as pool:
-            list(pool.map(lambda m: system.move(f"{m[0]}/{m[1]}", f"{root}/{m[1]}"), moves))
-            if self.overwrite:
-                list(pool.map(lambda name: self._gone(system, f"{root}/{name}"), sorted(set(before) - set(names))))
-        listed = sorted(set(names) if self.overwrite else {*before, *names})
-        part = f"{manifest_of(root)}.{self.job}"
-        with system.open_output_stream(part) as out:
-            out.write(json.dumps({"files": listed, "last": len(names)}).encode())
-        system.move(part, manifest_of(root))
-        self.abort(messages)
-
-    @staticmethod
-    def _gone(system: fs.FileSystem, path: str) -> None:
-        if system.get_file_info(path).type == fs.FileType.File:
-            system.delete_file(path)
+        system = resolve(self.folder)[0]
+        system.create_dir(self._staging(), recursive=True)
+        with system.open_output_stream(f"{self._staging()}/committed.json") as out:
+            out.write(json.dumps([(m.attempt, m.number) for m in messages if m and m.number]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         """Deletes what the job has staged."""
-        system = resolve(self.folder)[0]
-        if system.get_file_info(self._staging()).type == fs.FileType.Directory:
-            system.delete_dir(self._staging())
+        _delete(resolve(self.folder)[0], self._staging())
+
+
+def _staging(root: str, job: str) -> str:
+    return f"{root}/_staged-{job}"
+
+
+def _delete(system: fs.FileSystem, folder: str) -> None:
+    if system.get_file_info(folder).type == fs.FileType.Directory:
+        system.delete_dir(folder)
+
+
+def _names(system: fs.FileSystem, path: str) -> Iterator[str]:
+    with system.open_input_stream(path) as lines:
+        rest = b""
+        while data := lines.read(1 << 20):
+            *whole, rest = (rest + data).split(b"\n")
+            yield from map(json.loads, whole)
+
+
+def _over_lists(spark: SparkSession, folder: str, lists: list[str], step: Callable[[fs.FileSystem, str, Iterator[str]], Iterator[str]]) -> DataFrame:
+    """(name) as `step` gives it for (file system, list, its names); a task for each list, whose paths are those of `folder`'s system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = resolve(folder)[0]
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                held = []
+                for name in step(system, path, _names(system, path)):
+                    held.append(name)
+                    if len(held) == NAMES:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["name"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["name"])
+
+    rows = spark.createDataFrame([(path,) for path in lists], "list string")
+    return rows.repartition(max(1, len(lists))).mapInArrow(run, "name string")
 
 
 class FileSet(DataSource):
@@ -96,7 +121,7 @@ class FileSet(DataSource):
         return "name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> FileSetWriter:
-        return FileSetWriter(self.options["path"], overwrite)
+        return FileSetWriter(self.options["path"], self.options["job"])
 
 
 def manifest_of(root: str) -> str:
@@ -116,14 +141,74 @@ def sweep(folder: str) -> None:
 def _manifest(folder: str) -> dict:
     system, root = resolve(folder)
     if system.get_file_info(manifest_of(root)).type != fs.FileType.File:
-        return {"files": [], "last": 0}
+        return {"lists": [], "last": 0}
     with system.open_input_file(manifest_of(root)) as found:
         return json.loads(found.read())
 
 
+def _lists(folder: str) -> list[str]:
+    """Paths of the lists that the folder's manifest names."""
+    where = manifest_of(resolve(folder)[1]).removesuffix(".json")
+    return [f"{where}/{name}" for name in _manifest(folder)["lists"]]
+
+
 def written(folder: str) -> list[str]:
-    """The names that the folder's manifest lists."""
-    return _manifest(folder)["files"]
+    """The names that the folder's manifest lists, all in this process; `saved` gives them as a table."""
+    system = resolve(folder)[0]
+    return sorted({name for path in _lists(folder) for name in _names(system, path)})
+
+
+def saved(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the files that the folder's manifest lists, a URI each; nothing is listed by the driver."""
+    lists = _lists(folder)
+    names = _over_lists(spark, folder, lists, lambda system, path, names: names)
+    once = names if _manifest(folder).get("once") else names.distinct()
+    return once.select(F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("path"))
+
+
+def _publish(spark: SparkSession, folder: str, job: str, overwrite: bool) -> int:
+    """Moves what a job has staged to the folder and lists it."""
+    system, root = resolve(folder)
+    staging, where = _staging(root, job), manifest_of(root).removesuffix(".json")
+    with system.open_input_file(f"{staging}/committed.json") as found:
+        attempts = json.loads(found.read())
+    lists, before = [f"{staging}/lists/{attempt}" for attempt, _ in attempts], _lists(folder)
+    names = lambda paths: _over_lists(spark, folder, paths, lambda system, path, names: names)
+    if lists and names(lists).groupBy("name").count().where("count > 1").limit(1).count():
+        raise ValueError("two rows have the same file name")
+
+    def move(system: fs.FileSystem, path: str, names: Iterator[str]) -> Iterator[str]:
+        own = f"{staging}/files/{path.rsplit('/', 1)[1]}"
+        for name in names:
+            try:
+                system.move(f"{own}/{name}", f"{root}/{name}")
+            except OSError:  # a task that runs again finds its files moved
+                if system.get_file_info(f"{own}/{name}").type == fs.FileType.File or system.get_file_info(f"{root}/{name}").type != fs.FileType.File:
+                    raise
+        return iter(())
+
+    def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if system_of(folder).get_file_info(f"{root}/{name}").type == fs.FileType.File:
+                    system_of(folder).delete_file(f"{root}/{name}")
+            yield batch.slice(0, 0)
+
+    system_of = lambda uri: resolve(uri)[0]
+    _over_lists(spark, folder, lists, move).count()
+    if overwrite and before:
+        names(before).distinct().join(names(lists), "name", "left_anti").mapInArrow(gone, "name string").count()
+    system.create_dir(where, recursive=True)
+    for path in lists:
+        system.move(path, f"{where}/{path.rsplit('/', 1)[1]}")
+    kept = [] if overwrite else [path.rsplit("/", 1)[1] for path in before]
+    part, number = f"{manifest_of(root)}.{job}", sum(n for _, n in attempts)
+    with system.open_output_stream(part) as out:
+        out.write(json.dumps({"lists": kept + [attempt for attempt, _ in attempts], "last": number, "once": not kept}).encode())
+    system.move(part, manifest_of(root))
+    for path in before if overwrite else ():
+        system.delete_file(path)
+    return number
 
 
 def save(named: DataFrame, folder: str, overwrite: bool = False) -> int:
@@ -131,6 +216,11 @@ def save(named: DataFrame, folder: str, overwrite: bool = False) -> int:
 
     Files of other names stay, or go with `overwrite` if a manifest lists them.
     """
-    named.sparkSession.dataSource.register(FileSet)
-    named.select("name", "content").write.format("file_set").mode("overwrite" if overwrite else "append").save(folder)
-    return _manifest(folder)["last"]
+    spark, job = named.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(FileSet)
+    system, root = resolve(folder)
+    try:
+        named.select("name", "content").write.format("file_set").option("job", job).mode("append").save(folder)
+        return _publish(spark, folder, job, overwrite)
+    finally:
+        _delete(system, _staging(root, job))

@@ -173,6 +173,21 @@ def read_rasters(
     return spark.read.format("tiff_raster").options(view=view, glob=glob, partition_bytes=partition_bytes, **chosen).load(path if isinstance(path, str) else json.dumps(path))
 
 
+def read_headers(paths: DataFrame) -> DataFrame:
+    """The view `headers` of the rasters at these paths (a column path), each read where its row lies; the driver lists no files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = RasterReader({"view": "headers", "path": ""})
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                with RangeFile(path) as file:
+                    found += view.rows(Piece(path), Tiff(file))
+            yield pa.Table.from_batches(found, found[0].schema).combine_chunks().to_batches()[0] if found else view.batch([[] for _ in HEADERS.split(", ")])
+
+    return paths.select("path").mapInArrow(run, HEADERS)
+
+
 def read_windows(windows: DataFrame, band: int | None = None) -> DataFrame:
     """windows (path, row_off, col_off, height, width, ...) with band and data, the pixels row by row; one band or all.
 

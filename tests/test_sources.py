@@ -307,3 +307,20 @@ def test_stored_pixels_prune(spark, tmp_path):
     assert sorted(r.value for r in window.collect()) == sorted(r * 64 + c for r in range(20, 25) for c in range(30, 34) if (r * 64 + c) % 2 == 0)
     plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(window._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(row,20)" in plan and "LessThanOrEqual(col,33)" in plan and "PartitionFilters: [isnotnull(raster_id" in plan
+
+
+def test_driver_sees_no_single_files(spark, tmp_path):
+    """A commit message, the manifest and the driver's work grow with tasks and not with files."""
+    import os
+
+    from rasterloom.sources import file_sink
+
+    folder = f"file://{tmp_path}/out"
+    files = spark.range(3_000).selectExpr("concat('f', id, '.bin') AS name", "CAST(CAST(id AS STRING) AS BINARY) AS content").repartition(4)
+    assert file_sink.save(files, folder) == 3_000
+    assert os.path.getsize(tmp_path / "_out.manifest.json") < 400
+    assert file_sink.saved(spark, folder).distinct().count() == 3_000
+    assert file_sink.save(files.where("name < 'f2'"), folder) == 1_112
+    assert file_sink.saved(spark, folder).count() == 3_000
+    assert file_sink.save(files.where("name < 'f2'"), folder, overwrite=True) == 1_112
+    assert file_sink.saved(spark, folder).count() == 1_112 == len(list((tmp_path / "out").iterdir()))
