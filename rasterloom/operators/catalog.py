@@ -32,6 +32,10 @@ FINEST, COARSEST = 30, 27
 LEVELS = FINEST + COARSEST + 1
 #: Parts into which the rows of one cell are dealt.
 SALTS = 8
+#: Resolutions agree if they differ by no more than this share; classes of resolutions overlap by somewhat more.
+SAME, CLASS_EDGE = 1e-9, 2e-9
+#: Tasks for each core when rows are dealt out that are few and short but have much work each.
+TASKS = 4
 
 
 def with_bounds(catalog: DataFrame) -> DataFrame:
@@ -48,6 +52,12 @@ def cell_of(at: Column, level: Column) -> Column:
     return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
 
 
+def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """rows by the keys, in a fixed number of partitions: Spark would put short rows into few ones, whatever they grow to."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS * spark.sparkContext.defaultParallelism), *keys)
+
+
 def _cells(rows: DataFrame, level: Column, left: str, bottom: str, right: str, top: str) -> DataFrame:
     """A row for each cell of the level that the extent meets."""
     span = lambda low, high: F.explode(F.sequence(cell_of(F.col(low), F.col("level")), cell_of(F.col(high), F.col("level"))))
@@ -86,12 +96,15 @@ def footprints(catalog: DataFrame, crs: str) -> DataFrame:
 def moved(x: np.ndarray, y: np.ndarray, sources: list[str], targets: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of coordinates, each moved from its own system to its own target; a null system gives NaN."""
     found = np.full(x.shape, np.nan), np.full(x.shape, np.nan)
-    pairs: dict[tuple[str, str], list[int]] = {}
-    for k, pair in enumerate(zip(sources, targets, strict=True)):
-        pairs.setdefault(pair, []).append(k)
+    coded = [pa.array(names, pa.string()).dictionary_encode() for names in (sources, targets)]
+    at = [c.indices.fill_null(len(c.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64) for c in coded]
+    names = [[*c.dictionary.to_pylist(), None] for c in coded]
+    both = at[0] * len(names[1]) + at[1]
     with np.errstate(all="ignore"):
-        for (source, target), rows in pairs.items():
+        for pair in np.unique(both):
+            source, target = names[0][pair // len(names[1])], names[1][pair % len(names[1])]
             if source and target:
+                rows = np.flatnonzero(both == pair)
                 found[0][rows], found[1][rows] = reproject(x[rows], y[rows], source, target, Arrays)
     return found
 
@@ -109,7 +122,8 @@ def points_in(points: DataFrame, catalog: DataFrame, crs: str) -> DataFrame:
     listed = _cells(covered, level, "fx0", "fy0", "fx1", "fy1").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"cell_x": cell_of(F.col("x"), F.col("level")), "cell_y": cell_of(F.col("y"), F.col("level")), "__salt": F.pmod(F.xxhash64("point_id"), F.lit(SALTS)).cast("int")})
     near = F.col("x").between(F.col("fx0"), F.col("fx1")) & F.col("y").between(F.col("fy0"), F.col("fy1"))
-    both = keyed.join(listed, ["level", "cell_x", "cell_y", "__salt"]).where(near).drop("level", "cell_x", "cell_y", "__salt", "fx0", "fy0", "fx1", "fy1")
+    keys = ["level", "cell_x", "cell_y", "__salt"]
+    both = dealt(keyed, *keys).join(dealt(listed, *keys), keys).where(near).drop("level", "cell_x", "cell_y", "__salt", "fx0", "fy0", "fx1", "fy1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,25 +163,39 @@ def overlapping(images: DataFrame, masks: DataFrame) -> DataFrame:
     for name, catalog in (("image", images), ("mask", masks)):
         whole = with_bounds(catalog)
         sides.append(whole.select("crs", F.struct(*[F.col(c) for c in ("path", "width", "height", "a", "c", "e", "f", "left", "bottom", "right", "top")]).alias(name), level_of(F.col("right") - F.col("left"), F.col("top") - F.col("bottom")).alias("own")))
-    levels = sorted({r.own for side in sides for r in side.select("own").distinct().collect()})
-    keyed = []
-    for name, side, fixed in (("image", sides[0], "__image"), ("mask", sides[1], "__mask")):
-        other = "__mask" if fixed == "__image" else "__image"
-        level = F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda v: v >= F.col("own")))
-        cells = _cells(side, level, f"{name}.left", f"{name}.bottom", f"{name}.right", f"{name}.top")
-        dealt = cells.withColumn(fixed, F.pmod(F.xxhash64(f"{name}.path"), F.lit(SALTS // 2)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS // 2 - 1))))
-        keyed.append(dealt.withColumnRenamed("own", f"{name}_level"))
-    both = keyed[0].join(keyed[1], ["crs", "level", "cell_x", "cell_y", "__image", "__mask"])
-    corner = {"left": F.greatest("image.left", "mask.left"), "bottom": F.greatest("image.bottom", "mask.bottom"), "right": F.least("image.right", "mask.right"), "top": F.least("image.top", "mask.top")}
+    own = [sorted(r.own for r in side.select("own").distinct().collect()) for side in sides]
+    # A pair meets at the larger one's level only: the image's (fit 0), or the mask's if the image is smaller (fit 1).
+    # Classes of resolutions have their edges where a power of two has none; a resolution near an edge counts to both.
+    resolution = lambda a: F.floor(F.log2(F.abs(a)) + 0.3)
+    above_at = {True: lambda v: F.struct(v.alias("level"), F.lit(1).alias("fit")), False: lambda v: F.struct(v.alias("level"), F.lit(0).alias("fit"))}
+    keys, keyed = ["crs", "level", "fit", "resolution", "cell_x", "cell_y", "__image", "__mask"], []
+    for name, side, fixed, other, smaller in (("image", sides[0], "__image", "__mask", own[1]), ("mask", sides[1], "__mask", "__image", own[0])):
+        is_image = name == "image"
+        at = F.struct(F.col("own").alias("level"), F.lit(0).alias("fit")), F.struct(F.col("own").alias("level"), F.lit(1).alias("fit"))
+        above = F.transform(F.filter(F.array(*map(F.lit, smaller)).cast("array<int>"), lambda v: v > F.col("own")), above_at[is_image])
+        a = F.col(f"{name}.a")
+        classes = F.array_distinct(F.array(resolution(a * (1 - CLASS_EDGE)), resolution(a * (1 + CLASS_EDGE)))) if is_image else F.array(resolution(a))
+        placed = side.withColumn("__at", F.explode(F.concat(F.array(*(at[:1] if is_image else at)), above))).withColumn("resolution", F.explode(classes)).withColumn("fit", F.col("__at.fit"))
+        cells = _cells(placed, F.col("__at.level"), f"{name}.left", f"{name}.bottom", f"{name}.right", f"{name}.top").drop("__at", "own")
+        first = {f"{name}_first_{axis}": F.col(f"cell_{axis}") == cell_of(F.col(f"{name}.{low}"), F.col("level")) for axis, low in (("x", "left"), ("y", "bottom"))}
+        salted = cells.withColumns(first).withColumn(fixed, F.pmod(F.xxhash64(f"{name}.path"), F.lit(SALTS // 2)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS // 2 - 1))))
+        keyed.append(dealt(salted, *keys))
+    both = keyed[0].join(keyed[1], keys)
     # a pair meets in every cell that both touch; the one that holds the lower left corner of what they share counts
-    once = (F.col("level") == F.greatest("image_level", "mask_level")) & (F.col("cell_x") == cell_of(F.col("left"), F.col("level"))) & (F.col("cell_y") == cell_of(F.col("bottom"), F.col("level")))
-    same = reduce(Column.__and__, [F.abs(F.col(f"image.{k}") - F.col(f"mask.{k}")) <= 1e-9 * F.abs(F.col(f"image.{k}")) for k in "ae"])
-    shared = both.withColumns(corner).where(once & same & (F.col("left") < F.col("right")) & (F.col("bottom") < F.col("top")))
-    place = lambda side, axis: F.round((F.col("top") - F.col(f"{side}.f")) / F.col(f"{side}.e") if axis == "row" else (F.col("left") - F.col(f"{side}.c")) / F.col(f"{side}.a")).cast("int")
-    starts = {f"{side}_{axis}": place(side, axis) for side in ("image", "mask") for axis in ("row", "col")}
-    high, wide = F.round((F.col("bottom") - F.col("top")) / F.col("image.e")).cast("int"), F.round((F.col("right") - F.col("left")) / F.col("image.a")).cast("int")
-    fits = shared.withColumns(starts).withColumns({"height": F.least(high, F.col("image.height") - F.col("image_row"), F.col("mask.height") - F.col("mask_row")), "width": F.least(wide, F.col("image.width") - F.col("image_col"), F.col("mask.width") - F.col("mask_col"))})
-    return fits.where("height > 0 AND width > 0").select(F.col("image.path").alias("image_path"), F.col("mask.path").alias("mask_path"), "crs", *corner, "height", "width", *starts)
+    once = (F.col("image_first_x") | F.col("mask_first_x")) & (F.col("image_first_y") | F.col("mask_first_y"))
+    same = reduce(Column.__and__, [F.abs(F.col(f"image.{k}") - F.col(f"mask.{k}")) <= SAME * F.abs(F.col(f"image.{k}")) for k in "ae"])
+    meet = [F.col(f"{one}.{low}") < F.col(f"{other}.{high}") for low, high in (("left", "right"), ("bottom", "top")) for one, other in (("image", "mask"), ("mask", "image"), ("image", "image"), ("mask", "mask"))]
+    shared = both.where(once & same & reduce(Column.__and__, meet))
+    # bound one after the other by lambdas: a filter on these columns would be pushed into the join with all of them written out
+    area = F.struct(F.greatest("image.left", "mask.left").alias("left"), F.greatest("image.bottom", "mask.bottom").alias("bottom"), F.least("image.right", "mask.right").alias("right"), F.least("image.top", "mask.top").alias("top"))
+    names = {"row": ("top", "f", "e"), "col": ("left", "c", "a")}
+    place = lambda z, side, axis: F.round((z[names[axis][0]] - F.col(f"{side}.{names[axis][1]}")) / F.col(f"{side}.{names[axis][2]}")).cast("int")
+    starts = lambda z: F.struct(*[z[n].alias(n) for n in ("left", "bottom", "right", "top")], *[place(z, side, axis).alias(f"{side}_{axis}") for side in ("image", "mask") for axis in ("row", "col")])
+    extent = lambda z, high, low, step, side, axis: F.least(F.round((z[high] - z[low]) / F.col(f"image.{step}")).cast("int"), *[F.col(f"{n}.{side}") - z[f"{n}_{axis}"] for n in ("image", "mask")]).alias(side)
+    order = ("left", "bottom", "right", "top"), ("image_row", "image_col", "mask_row", "mask_col")
+    sized = lambda z: F.struct(*[z[n].alias(n) for n in order[0]], extent(z, "bottom", "top", "e", "height", "row"), extent(z, "right", "left", "a", "width", "col"), *[z[n].alias(n) for n in order[1]])
+    found = F.filter(F.transform(F.transform(F.array(area), starts), sized), lambda z: (z["height"] > 0) & (z["width"] > 0))
+    return shared.select(F.col("image.path").alias("image_path"), F.col("mask.path").alias("mask_path"), "crs", F.inline(found))
 
 
 def pair_patches(points: DataFrame, images: DataFrame, masks: DataFrame, size: int, crs: str) -> DataFrame:

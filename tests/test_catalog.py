@@ -122,3 +122,24 @@ def test_crowded_block_is_dealt(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(sizes) == 640_000 and max(sizes) < 8 * np.median(sizes) and len(sizes) > 10
     assert found.where("value.first <> (r + patch_id % 7) * 64 + c + patch_id % 5 OR value.second <> 'x'").count() == 0
+
+
+def test_short_rows_are_dealt_over_all_tasks(spark):
+    """Rows that are few and short, and become many by the join, stay in as many tasks as there are."""
+    rasters = spark.range(400).selectExpr("concat('r', id) AS path", "40 AS width", "40 AS height", "0.5D AS a", "500000 + id % 20 * 7.0D AS c", "-0.5D AS e", "6200000 + id DIV 20 * 100.0D AS f", "'EPSG:32633' AS crs")
+    points = spark.range(300).selectExpr("id AS point_id", "500000 + id % 17 * 9.0D AS x", "6200000 + id % 99 * 20.0D AS y")
+    pairs, located = catalog.overlapping(rasters, rasters), catalog.points_in(points, rasters, "EPSG:32633")
+    for found in (pairs, located):
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 3
+    # a pair is made once for each salt's cell that both touch, and only at the larger one's level
+    assert pairs.count() == pairs.select("image_path", "mask_path").distinct().count() > 1_000
+
+
+def test_resolutions_at_the_edge_of_a_class(spark):
+    """Resolutions that differ by less than a billionth agree, wherever they lie."""
+    edges = [2.0 ** (k - 0.3) * (1 + d * 4e-10) for k in (-3, 0, 4) for d in (-1, 0, 1)] + [0.5, 0.5 * (1 + 9e-10), 0.5 * (1 + 3e-9)]
+    rows = [(f"r{k}", 100, 100, a, 0.0, -a, 0.0, "EPSG:32633") for k, a in enumerate(edges)]
+    rasters = spark.createDataFrame(rows, CATALOG)
+    got = {(r.image_path, r.mask_path) for r in catalog.overlapping(rasters, rasters).collect()}
+    assert got == {(f"r{i}", f"r{j}") for i, a in enumerate(edges) for j, b in enumerate(edges) if abs(a - b) <= 1e-9 * a}
