@@ -111,7 +111,9 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = "type string, geometry struct<type: string, coordinates: string>, properties string, features array<struct<type: string, geometry: struct<type: string, coordinates: string>, properties: string>>"
     place = F.col("_metadata.file_path").alias("path")
-    whole = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.geojson").json(path).select(place, F.posexplode("features").alias("point_id", "f"))
+    # as text, which is read once: where a nested value is wanted as it stands, the JSON source goes back to the file for it
+    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.geojson").text(path)
+    whole = text.select(place, F.from_json("value", schema).alias("whole")).select("path", F.posexplode("whole.features").alias("point_id", "f"))
     xy = F.from_json("f.geometry.coordinates", "array<double>")
     return whole.where("f.geometry.type = 'Point'").select("path", F.col("point_id").cast("long").alias("point_id"), F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"), F.col("f.properties").alias("properties"))
 

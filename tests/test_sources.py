@@ -324,3 +324,18 @@ def test_driver_sees_no_single_files(spark, tmp_path):
     assert file_sink.saved(spark, folder).count() == 3_000
     assert file_sink.save(files.where("name < 'f2'"), folder, overwrite=True) == 1_112
     assert file_sink.saved(spark, folder).count() == 1_112 == len(list((tmp_path / "out").iterdir()))
+
+
+def test_geojson_is_read_once(spark, tmp_path):
+    """Nested values come from the text at hand; the JSON source read the file again for them."""
+    import json
+
+    features = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [k / 4, -k, 7]}, "properties": {"k": k, "of": {"a": [1, "ä"]}}} for k in range(50)]
+    features[3]["geometry"] = {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1, ensure_ascii=False))
+    (tmp_path / "b.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    found = vector.read_geojson(spark, str(tmp_path))
+    rows = found.orderBy("point_id").collect()
+    assert [(r.point_id, r.x, r.y, json.loads(r.properties)) for r in rows] == [(k, k / 4, -k, f["properties"]) for k, f in enumerate(features) if k != 3]
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "FileScan text" in plan and "FileScan json" not in plan
