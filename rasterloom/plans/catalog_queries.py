@@ -84,7 +84,8 @@ def catalog_patches(spark, sf_dir):
     """Image and mask patches around all points, read by ranges from the files of terrain and mask that hold them."""
     points = grids.points(spark, sf_dir, grids.terrain_grid(spark, sf_dir))
     images, masks = _sheets(spark, grids.terrain(spark, sf_dir).where(~F.isnan("value")), "image", SHEET), _sheets(spark, grids.mask(spark, sf_dir), "mask", MASK_SHEET)
-    windows = catalog.pair_patches(points, images, masks, PATCH, "EPSG:32633")
-    read = read_windows(windows.repartition("path", F.floor(F.col("row_off") / SHEET)).sortWithinPartitions("path", "row_off"), band=1)
-    cell = read.select("point_id", *[F.regexp_extract(f"{n}_path", r"([^/]*)$", 1).alias(n) for n in ("image", "mask")], "kind", F.posexplode("data").alias("k", "value"))
+    last = {n: F.substring_index(f"{n}_path", "/", -1) for n in ("image", "mask")}  # once a window, not once a cell
+    windows = catalog.pair_patches(points, images, masks, PATCH, "EPSG:32633").withColumns(last)
+    read = read_windows(catalog.dealt(windows, "path", F.floor(F.col("row_off") / PATCH)).sortWithinPartitions("path", "row_off"), band=1)
+    cell = read.select("point_id", "image", "mask", "kind", F.posexplode("data").alias("k", "value"))
     return cell.where(~F.isnan("value")).select("point_id", "image", "mask", "kind", F.floor(F.col("k") / PATCH).cast("int").alias("r"), (F.col("k") % PATCH).cast("int").alias("c"), "value")
