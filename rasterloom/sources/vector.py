@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a table file that are held as objects at a time.
+ROWS = 1 << 14
+
+
 def parse_points(content: bytes) -> list[tuple[int, float, float]]:
     """(record number from 0, x, y) of a .shp file; shapes other than points are refused, null shapes are skipped."""
     if len(content) < 100 or struct.unpack(">i", content[:4])[0] != 9994:
@@ -47,15 +54,15 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return content.select("path", "content").mapInPandas(run, "path string, point_id long, x double, y double")
 
 
-def parse_attributes(content: bytes) -> list[dict[str, str]]:
-    """The rows of a .dbf file as text by column; the n-th row belongs to the n-th shape.  Deleted rows stay, as None."""
+def parse_attributes(content: bytes, first: int = 0, number: int | None = None) -> list[dict[str, str]]:
+    """The rows of a .dbf file as text by column, from `first` on, all or `number` of them; the n-th row belongs to the n-th shape.  Deleted rows stay, as None."""
     count, head, size = struct.unpack("<IHH", content[4:12])
     columns, at = [], 32
     while content[at] != 0x0D:
         columns.append((content[at : at + 11].split(b"\0")[0].decode(), content[at + 16]))
         at += 32
     rows = []
-    for k in range(count):
+    for k in range(first, count if number is None else min(count, first + number)):
         row, at = content[head + k * size : head + (k + 1) * size], 1
         values = {}
         for name, width in columns:
@@ -82,8 +89,10 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = parse_attributes(content)
-                yield pd.DataFrame({"path": [name[:-4] + ".shp"] * len(rows), "point_id": range(len(rows)), "attributes": rows})
+                first = 0
+                while rows := parse_attributes(content, first, ROWS):
+                    yield pd.DataFrame({"path": name[:-4] + ".shp", "point_id": range(first, first + len(rows)), "attributes": rows})
+                    first += len(rows)
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.dbf").load(path)
     return content.select("path", "content").mapInPandas(run, "path string, point_id long, attributes map<string,string>")
@@ -109,13 +118,30 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one JSON value, so it is read by one task; newline-delimited features (.geojsonl) are split among tasks.
     """
-    schema = "type string, geometry struct<type: string, coordinates: string>, properties string, features array<struct<type: string, geometry: struct<type: string, coordinates: string>, properties: string>>"
-    place = F.col("_metadata.file_path").alias("path")
-    # as text, which is read once: where a nested value is wanted as it stands, the JSON source goes back to the file for it
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.geojson").text(path)
-    whole = text.select(place, F.from_json("value", schema).alias("whole")).select("path", F.posexplode("whole.features").alias("point_id", "f"))
-    xy = F.from_json("f.geometry.coordinates", "array<double>")
-    return whole.where("f.geometry.type = 'Point'").select("path", F.col("point_id").cast("long").alias("point_id"), F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"), F.col("f.properties").alias("properties"))
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        try:
+            features = json.loads(content).get("features")
+        except (ValueError, AttributeError):  # no JSON, or no object
+            return
+        for k, f in enumerate(features if isinstance(features, list) else ()):
+            shape = f.get("geometry") if isinstance(f, dict) else None
+            if isinstance(shape, dict) and shape.get("type") == "Point":
+                at = shape.get("coordinates")
+                at = [float(v) if isinstance(v, int | float) else None for v in at[:2]] if isinstance(at, list) else []
+                own = f.get("properties")
+                yield name, k, *(at + [None, None])[:2], None if own is None else json.dumps(own, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = rows(name, content.as_py())
+                while part := list(itertools.islice(found, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*part, strict=True), kinds, strict=True)], names=["path", "point_id", "x", "y", "properties"])
+
+    # Spark's JSON source goes back to the file for every nested value that is wanted as it stands
+    kinds = pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string()
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.geojson").load(path)
+    return content.select("path", "content").mapInArrow(run, "path string, point_id long, x double, y double, properties string")
 
 
 def sidecar_xml(stats: dict[str, float], low: float, high: float, counts: list[int]) -> bytes:
