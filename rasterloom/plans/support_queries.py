@@ -59,7 +59,7 @@ def shapefile_attributes(spark, sf_dir):
     named = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment").groupBy("c_nationkey").applyInPandas(lambda pdf: encode(pdf), "name string, content binary")
     tiff.save(named, folder := work_folder(spark, "grids"))
     found = vector.read_attributes(spark, folder).join(vector.read_crs(spark, folder), "path")
-    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "point_id", F.col("attributes")["custkey"].alias("custkey"), F.col("attributes")["segment"].alias("segment"), "crs")
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "point_id", F.col("attributes")["custkey"].alias("custkey"), F.col("attributes")["segment"].alias("segment"), "crs")
 
 
 @query("SELECT CAST(c_custkey AS BIGINT) AS custkey, CAST(c_custkey AS DOUBLE) / 4 AS x, c_acctbal AS y, c_mktsegment AS segment FROM customer")
@@ -90,7 +90,7 @@ def geopackage_points(spark, sf_dir):
     named = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").groupBy("c_nationkey").applyInPandas(lambda pdf: encode(pdf), "name string, content binary")
     tiff.save(named, folder := work_folder(spark, "grids"))
     found = geopackage.read_geopackage(spark, folder)
-    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "layer", "point_id", "x", "y", "crs", F.col("attributes")["custkey"].alias("custkey"), F.col("attributes")["segment"].alias("segment"))
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "layer", "point_id", "x", "y", "crs", F.col("attributes")["custkey"].alias("custkey"), F.col("attributes")["segment"].alias("segment"))
 
 
 @query("SELECT 'points_' || c_nationkey || '.shp' AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS point_id, CAST(c_custkey AS DOUBLE) / 4 AS x, c_acctbal AS y FROM customer")
@@ -105,7 +105,7 @@ def shapefile_parts(spark, sf_dir):
 
     named = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal").groupBy("c_nationkey").applyInPandas(lambda pdf: encode(pdf), "name string, content binary")
     tiff.save(named, folder := work_folder(spark, "grids"))
-    return geopackage.read_shapes(spark, folder, records=64).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)).drop("path")
+    return geopackage.read_shapes(spark, folder, records=64).withColumn("name", F.substring_index("path", "/", -1)).drop("path")
 
 
 _BUCKETS, _LOW, _HIGH = 20, -250.0, 250.0

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterloom.sources.ranges import RangeFile, listed
 
@@ -21,6 +22,8 @@ SCHEMA = "path string, layer string, point_id long, x double, y double, crs stri
 #: Sizes of the envelope by its code, and the kinds of points in well-known binary.
 ENVELOPES, POINTS = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}, (1, 1001, 2001, 3001)
 ROWS = 1 << 16
+#: Tasks for each core that read parts of shapefiles.
+PART_TASKS = 4
 
 
 def parse_geometry(blob: bytes | None) -> tuple[float, float] | None:
@@ -124,25 +127,44 @@ def parse_records(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own, xy[:, 0], xy[:, 1]
 
 
+def _points(parts: list[tuple]) -> pa.RecordBatch:
+    """One batch of some parts: (place in parts, point_id, x, y, path) each."""
+    place, own, x, y = (np.concatenate(v) for v in list(zip(*parts, strict=True))[:4])
+    return pa.RecordBatch.from_arrays([pa.array([p[4] for p in parts]).take(pa.array(place)), pa.array(own), pa.array(x), pa.array(y)], names=["path", "point_id", "x", "y"])
+
+
 def read_shapes(spark: SparkSession, path: str, records: int = 1 << 20) -> DataFrame:
     """(path, point_id, x, y) of the point shapefiles at `path`, `records` records of a file at a time.
 
-    Parts are found by the index file (.shx) beside each file and read by ranges, so one file is read by many tasks; there
-    are a row and a task for each part.  Bytes come through pyarrow's file systems.
+    Parts are found by the index file (.shx) beside each file and read by ranges, so one file is read by many tasks; the
+    number of tasks follows from the cores, and a task's parts of one file share it.  Bytes come through pyarrow's file systems.
     """
-    parts = []
-    for name, size in listed(path, "*.shx"):
-        n = (size - 100) // 8
-        parts += [(name[:-1] + "p", name, first, min(records, n - first)) for first in range(0, n, records)]
-    rows = spark.createDataFrame(parts, "path string, index string, first long, number long").repartition(max(1, len(parts)), "path", "first")
+    found = [(name[:-1] + "p", name, (size - 100) // 8) for name, size in listed(path, "*.shx")]
+    files = spark.createDataFrame(found, "path string, index string, n long").where("n > 0")
+    parts = files.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(records).cast("long"))))
+    tasks = min(max(1, sum(-(-n // records) for _, _, n in found)), PART_TASKS * spark.sparkContext.defaultParallelism)
+    rows = parts.select("path", "index", "first", F.least(F.lit(records), F.col("n") - F.col("first")).alias("number")).repartition(tasks, "path", "first").sortWithinPartitions("path", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                with RangeFile(r["index"]) as index, RangeFile(r["path"]) as shapes:
+        path, index, shapes, held = None, None, None, []
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["path"] != path:
+                        for file in (index, shapes) if path else ():
+                            file.close()
+                        path, index, shapes = r["path"], RangeFile(r["index"]), RangeFile(r["path"])
                     at = np.frombuffer(index.read_at(100 + 8 * r["first"], 8 * r["number"]), ">i4").reshape(-1, 2).astype(np.int64) * 2
                     low, high = int(at[:, 0].min()), int((at[:, 0] + at[:, 1] + 8).max())
                     own, x, y = parse_records(shapes.read_at(low, high - low), at[:, 0] - low)
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]]).take(pa.array(np.zeros(len(own), np.int32))), pa.array(own + r["first"]), pa.array(x), pa.array(y)], names=["path", "point_id", "x", "y"])
+                    held.append((np.full(len(own), len(held)), own + r["first"], x, y, path))
+                    if len(held) * records >= ROWS:
+                        yield _points(held)
+                        held = []
+            if held:
+                yield _points(held)
+        finally:
+            for file in (index, shapes) if path else ():
+                file.close()
 
     return rows.mapInArrow(run, "path string, point_id long, x double, y double")

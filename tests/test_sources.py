@@ -327,7 +327,7 @@ def test_driver_sees_no_single_files(spark, tmp_path):
 
 
 def test_geojson_is_read_once(spark, tmp_path):
-    """Nested values come from the text at hand; the JSON source read the file again for them."""
+    """Nested values come from the bytes at hand; the JSON source read the file again for them."""
     import json
 
     features = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [k / 4, -k, 7]}, "properties": {"k": k, "of": {"a": [1, "ä"]}}} for k in range(50)]
@@ -338,4 +338,29 @@ def test_geojson_is_read_once(spark, tmp_path):
     rows = found.orderBy("point_id").collect()
     assert [(r.point_id, r.x, r.y, json.loads(r.properties)) for r in rows] == [(k, k / 4, -k, f["properties"]) for k, f in enumerate(features) if k != 3]
     plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
-    assert "FileScan text" in plan and "FileScan json" not in plan
+    assert "binaryFile" in plan and "FileScan json" not in plan
+
+
+def test_attributes_come_in_parts(spark, tmp_path, monkeypatch):
+    """No more than so many rows of a table file are held as objects at a time, and they are numbered on."""
+    rows = [{"k": str(k), "s": "ä" * (k % 3)} for k in range(10)]
+    content = vector.encode_attributes(rows)
+    assert vector.parse_attributes(content, 4, 3) == rows[4:7] and vector.parse_attributes(content, 8, 9) == rows[8:] and vector.parse_attributes(content, 10, 3) == []
+    many = [{"k": str(k)} for k in range(vector.ROWS + 5)]
+    (tmp_path / "p.dbf").write_bytes(vector.encode_attributes(many))
+    found = vector.read_attributes(spark, str(tmp_path)).select("point_id", F.col("attributes")["k"].alias("k"))
+    assert found.where("point_id = CAST(k AS LONG)").distinct().count() == len(many)
+
+
+def test_parts_of_shapefiles_share_tasks(spark, tmp_path):
+    """Many small parts do not make a task each."""
+    from rasterloom.sources import geopackage
+
+    points = [(float(k), k / 7) for k in range(3_000)]
+    for name in ("p", "q"):
+        (tmp_path / f"{name}.shp").write_bytes(vector.encode_points(points))
+        (tmp_path / f"{name}.shx").write_bytes(geopackage.encode_index(points))
+    (tmp_path / "none.shx").write_bytes(geopackage.encode_index([]))
+    found = geopackage.read_shapes(spark, f"file://{tmp_path}", records=8)
+    assert 4 < found.rdd.getNumPartitions() <= geopackage.PART_TASKS * spark.sparkContext.defaultParallelism
+    assert sorted((r.path[-5:], r.point_id, r.x, r.y) for r in found.collect()) == [(f"{n}.shp", k, x, y) for n in "pq" for k, (x, y) in enumerate(points)]
