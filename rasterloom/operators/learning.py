@@ -1,21 +1,32 @@
-"""Training of networks: gradients layer by layer, summed over the cluster, and Adam steps on the driver.
-
-One update takes the patches of some batches.  Every task adds up the gradients of its own patches, a second stage adds up
-those sums, and the driver, which holds the weights anyway, gets a handful of arrays of the weights' size.  Normalisation
-uses the statistics of the patches that a task takes at once, as replicas of a data-parallel run do, and keeps moving ones
-for prediction.  Dropout masks follow from hashes of the update, the patch's id, the layer and the place, so they do not
-depend on where a patch is worked on, and a task that runs again draws the same.
+"""Training of networks: gradients layer by layer, summed over the cluster, and Adam steps.
+
+One update takes the patches of some batches, and updates follow one another, so what each costs besides its gradients
+decides how long an epoch takes.  An epoch is one barrier stage: every task reads its share of each update in order, the
+tasks add up their gradients through the first one, and all take the same Adam step, so an update needs no Spark job.  What
+is exchanged are arrays of the weights' size.  Where executors come and go (dynamic allocation), which barrier stages do not
+allow, each update is a job: tasks add up gradients, a second stage their sums, and the driver takes the step.
+
+Normalisation uses the statistics of the patches that are taken at once, as replicas of a data-parallel run do, and keeps
+moving ones for prediction.  With places in batches (`slot`) those patches follow from them; without, from the tasks.
+Dropout masks follow from hashes of the update, the patch's id, the layer and the place, so they do not depend on where a
+patch is worked on, and a task that runs again draws the same.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+import os
+import secrets
+import socket
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import metrics
@@ -38,7 +49,7 @@ def _over_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _conv_back(g, x, kernel, padding):
     size = kernel.shape[:-2]
     margin = [((k - 1) // 2, k // 2) if padding == "same" else (0, 0) for k in size]
-    padded = np.pad(x, [(0, 0), *margin, (0, 0)])
+    padded = nn._padded(x, margin)
     gx, gk = np.zeros_like(padded), np.zeros_like(kernel)
     for at in _windows(kernel):
         place = (slice(None), *[slice(a, a + n) for a, n in zip(at, g.shape[1:-1], strict=True)])
@@ -61,7 +72,7 @@ def _deconv_back(g, x, kernel):
 def _repeated(x: np.ndarray, like: np.ndarray) -> np.ndarray:
     """x twice along every axis of space, with zeros up to the extent of `like`."""
     x = nn._repeat(x)
-    return np.pad(x, [(0, 0), *[(0, b - a) for a, b in zip(x.shape[1:-1], like.shape[1:-1], strict=True)], (0, 0)])
+    return nn._padded(x, [(0, b - a) for a, b in zip(x.shape[1:-1], like.shape[1:-1], strict=True)])
 
 
 def _halved(x: np.ndarray) -> np.ndarray:
@@ -256,33 +267,167 @@ def mean_loss(samples: DataFrame, net: nn.Network, weights: Weights, size: int)
     return judged(samples, net, weights, size).loss
 
 
+def _slots(spark: SparkSession) -> int:
+    """Tasks that run at the same time, which all tasks of a barrier stage must."""
+    context = spark.sparkContext
+    conf = context.getConf()
+    cpus, found = int(conf.get("spark.task.cpus", "1")), context.defaultParallelism
+    if conf.contains("spark.default.parallelism"):  # a number of partitions, not of cores
+        executors = max(1, context._jsc.sc().getExecutorMemoryStatus().size() - 1)
+        found = min(found, executors * int(conf.get("spark.executor.cores", "1")))
+    return max(1, found // cpus)
+
+
+def _at_once(connection: Connection) -> Connection:
+    """The connection, on which short messages do not wait for one another."""
+    with socket.socket(fileno=os.dup(connection.fileno())) as same:
+        same.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return connection
+
+
+@contextmanager
+def _added_up(context: BarrierTaskContext, key: bytes) -> Iterator[Callable[[np.ndarray], np.ndarray]]:
+    """A function that adds up arrays of one length over the tasks of a barrier stage, in the order of the tasks.
+
+    All send to the first task, whose address they learn from Spark, and get the sum from it.  A task that ends early closes
+    its connection, on which the others fail, and Spark runs the stage again.
+    """
+    tasks, own = context.getTaskInfos(), context.partitionId()
+    host = tasks[0].address.rpartition(":")[0]
+    if own:
+        place = next(filter(None, context.allGather("")))
+        with _at_once(Client((host, int(place)), authkey=key)) as first:
+            first.send_bytes(own.to_bytes(4, "little"))
+
+            def add(array: np.ndarray) -> np.ndarray:
+                first.send_bytes(array.tobytes())
+                return np.frombuffer(first.recv_bytes())
+
+            yield add
+        return
+    others: dict[int, Connection] = {}
+    with Listener((host, 0), backlog=len(tasks), authkey=key) as listener:
+        context.allGather(str(listener.address[1]))
+        for _ in tasks[1:]:
+            other = _at_once(listener.accept())
+            others[int.from_bytes(other.recv_bytes(), "little")] = other
+
+    def add_all(array: np.ndarray) -> np.ndarray:
+        total = array.copy()
+        for k in sorted(others):
+            total += np.frombuffer(others[k].recv_bytes())
+        for other in others.values():
+            other.send_bytes(total.tobytes())
+        return total
+
+    try:
+        yield add_all
+    finally:
+        for other in others.values():
+            other.close()
+
+
+def _lots(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Updates with rows of one lot, at_once of them or what is left of the lot; rows come sorted by update and lot."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pa.concat_batches([rest, batch])
+        update, lot = (batch.column(n).to_numpy() for n in ("update", "lot"))
+        edges = [0, *(np.flatnonzero((update[1:] != update[:-1]) | (lot[1:] != lot[:-1])) + 1).tolist(), batch.num_rows]
+        for low, high in itertools.pairwise(edges):
+            while high - low >= at_once or low < high < batch.num_rows:
+                yield int(update[low]), batch.slice(low, min(at_once, high - low))
+                low += min(at_once, high - low)
+        rest = batch.slice(low) if low < batch.num_rows else None
+    if rest is not None:
+        yield int(rest.column("update")[0].as_py()), rest
+
+
+#: Weights, the two moments of their gradients, and the updates so far.
+State = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def _stepped(state: State, g: np.ndarray, seen: np.ndarray, moves: np.ndarray, rate: float) -> State:
+    """The state after an Adam step by mean gradients; what does not move by them takes in the norms' mean statistics."""
+    flat, m, v, step = state
+    step, m, v = step + 1, 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+    moved = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+    return np.where(moves, moved, MOMENTUM * flat + (1 - MOMENTUM) * seen), m, v, step
+
+
+def _epoch_in_jobs(samples: DataFrame, n_updates: int, per_update: int, net: nn.Network, state: State, moves: np.ndarray, size: int, rate: float, seed: int) -> tuple[State, float, float, np.ndarray]:
+    """State, loss, cells and tallies after an epoch in which each update is a job."""
+    loss, cells, tallies = 0.0, 0.0, np.zeros(5)
+    for low in range(0, n_updates * per_update, per_update):
+        lost, seen_cells, g, seen, sums = gradient_sums(samples.where(F.col("batch_id").between(low, low + per_update - 1)), net, unpacked(net, state[0]), size, draw=(seed << 32) + state[3])
+        if seen_cells:
+            loss, cells, tallies = loss + lost, cells + seen_cells, tallies + sums
+            state = _stepped(state, g / seen_cells, seen / seen_cells, moves, rate)
+    return state, loss, cells, tallies
+
+
+def _epoch_in_stage(samples: DataFrame, n_updates: int, per_update: int, net: nn.Network, state: State, moves: np.ndarray, size: int, rate: float, seed: int, at_once: int = 16) -> tuple[State, float, float, np.ndarray]:
+    """State, loss, cells and tallies after an epoch in one barrier stage."""
+    spark = samples.sparkSession
+    tasks, dropping = _slots(spark), bool(net.drops)
+    shared, key = spark.sparkContext.broadcast((net, state, moves)), secrets.token_bytes(32)
+    if "slot" in samples.columns:
+        a_batch = (samples.agg(F.max("slot")).first()[0] or 0) // at_once + 1
+        lot = F.col("batch_id") * a_batch + F.floor(F.col("slot") / at_once)
+    else:
+        lot = F.pmod(F.xxhash64("x", "y"), F.lit(tasks))
+    columns = ["x", "y", *[F.col("id").cast("long").alias("id")] * dropping, F.floor(F.col("batch_id") / per_update).cast("long").alias("update"), lot.cast("long").alias("lot"), *["slot"] * ("slot" in samples.columns)]
+    order = ["update", "lot", *[n for n in ("slot", "id") if n in samples.columns and (n != "id" or dropping)]]
+    dealt = samples.select(*columns).repartitionById(tasks, F.pmod("lot", F.lit(tasks)).cast("int")).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now, moving = shared.value
+        n, loss, cells, tallies = len(moving), 0.0, 0.0, np.zeros(5)
+        context, lots = BarrierTaskContext.get(), _lots(batches, at_once)
+        upcoming = next(lots, None)
+        with _added_up(context, key) as added_up:
+            for update in range(n_updates):
+                sums, w = np.zeros(7 + 2 * n), unpacked(own, now[0])  # loss, cells, tallies, gradients, statistics
+                while upcoming is not None and upcoming[0] == update:
+                    part = upcoming[1]
+                    x, y = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, *(size,) * own.space) for c in (0, 1))
+                    found: list = []
+                    lost, g, seen = gradients(own, x[..., None], y, w, ((seed << 32) + now[3], part.column(2).fill_null(0).to_numpy()) if dropping else None, found)
+                    sums += np.concatenate([[lost, y.size], *found, packed(own, g), packed(own, seen) * y.size])
+                    upcoming = next(lots, None)
+                sums = added_up(sums)
+                if sums[1]:
+                    loss, cells, tallies = loss + sums[0], cells + sums[1], tallies + sums[2:7]
+                    now = _stepped(now, sums[7 : 7 + n] / sums[1], sums[7 + n :] / sums[1], moving, rate)
+        if not context.partitionId():
+            yield pa.RecordBatch.from_pydict({"loss": [loss], "cells": [cells], "step": [now[3]]} | {k: [a.tobytes()] for k, a in zip(("tallies", "flat", "m", "v"), (tallies, *now[:3]), strict=True)})
+
+    (row,) = dealt.mapInArrow(run, "loss double, cells double, step long, tallies binary, flat binary, m binary, v binary", barrier=True).collect()
+    shared.unpersist()
+    return (*(np.frombuffer(row[k]) for k in ("flat", "m", "v")), row.step), row.loss, row.cells, np.frombuffer(row.tallies)
+
+
 def train(samples: DataFrame, validation: DataFrame, net: nn.Network, weights: Weights, size: int, epochs: int, per_update: int = 1, rate: float = 1e-3, patience: int = 10, seed: int = 0) -> tuple[Weights, list[dict]]:
     """The weights of the epoch with the least validation loss, and a history of losses, overlaps, rates and what was kept.
 
-    `samples` are rows (batch_id from 0, x, y, and an id if the network has dropout), `validation` rows (id, x, y); both
-    should be stored tables.  The rate is halved, and training stops, by the rules in nn, on the training and the validation
-    loss.  iou and iou_thresholded of training are those of the passes that made the gradients, with dropout and moving weights.
+    `samples` are rows (batch_id from 0, x, y, an id if the network has dropout, and maybe slot, the place in the batch from
+    0), `validation` rows (id, x, y); both should be stored tables.  With slot, norms see the same patches however many tasks
+    there are.  The rate is halved, and training stops, by the rules in nn, on the training and the validation loss.  iou and
+    iou_thresholded of training are those of the passes that made the gradients, with dropout and moving weights.
     """
     names = _names(net)
     moves = np.concatenate([np.full(math.prod(net.steps[i].shapes[name]), name not in FIXED) for i, name in names])
-    flat, m, v, step = packed(net, weights), 0.0, 0.0, 0
-    n_batches = samples.agg(F.max("batch_id")).first()[0]
+    flat = packed(net, weights)
+    state: State = flat, np.zeros(len(flat)), np.zeros(len(flat)), 0
+    last = samples.agg(F.max("batch_id")).first()[0]
     best, history, start = flat, [], rate
-    for epoch in range(epochs if n_batches is not None else 0):
-        loss, cells, tallies = 0, 0, np.zeros(5)
-        for low in range(0, n_batches + 1, per_update):
-            lost, seen_cells, g, seen, sums = gradient_sums(samples.where(F.col("batch_id").between(low, low + per_update - 1)), net, unpacked(net, flat), size, draw=(seed << 32) + step)
-            if not seen_cells:
-                continue
-            tallies = tallies + sums
-            loss, cells, step, g = loss + lost, cells + seen_cells, step + 1, g / seen_cells
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            moved = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-            flat = np.where(moves, moved, MOMENTUM * flat + (1 - MOMENTUM) * seen / seen_cells)
-        found, (soft, hard) = judged(validation, net, unpacked(net, flat), size), overlaps(tallies)
+    epoch_of = _epoch_in_jobs if samples.sparkSession.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true" else _epoch_in_stage
+    for epoch in range(epochs if last is not None else 0):
+        state, loss, cells, tallies = epoch_of(samples, last // per_update + 1, per_update, net, state, moves, size, rate, seed)
+        found, (soft, hard) = judged(validation, net, unpacked(net, state[0]), size), overlaps(tallies)
         history.append({"epoch": epoch, "loss": loss / cells, "iou": soft, "iou_thresholded": hard, "val_loss": found.loss, "val_iou": found.iou, "val_iou_thresholded": found.iou_thresholded, "rate": rate})
         history[-1]["kept"] = nn.is_best([h["val_loss"] for h in history])
-        best = flat if history[-1]["kept"] else best
+        best = state[0] if history[-1]["kept"] else best
         rate = nn.reduced_rate([h["loss"] for h in history], start, patience=patience)
         if nn.early_stop([h["val_loss"] for h in history], patience) is not None:
             break

@@ -134,10 +134,19 @@ def _space(x: np.ndarray) -> tuple[int, ...]:
     return x.shape[1:-1]
 
 
+def _padded(x: np.ndarray, margins: list[tuple[int, int]]) -> np.ndarray:
+    """x with zeros around it along the axes of space; np.pad takes longer than a layer on small tiles does."""
+    if not any(map(any, margins)):
+        return x
+    out = np.zeros((x.shape[0], *[n + low + high for n, (low, high) in zip(_space(x), margins, strict=True)], x.shape[-1]), x.dtype)
+    out[(slice(None), *[slice(low, low + n) for n, (low, _) in zip(_space(x), margins, strict=True)])] = x
+    return out
+
+
 def _conv(x, kernel, bias=None, activation=None, padding="same"):
     size = kernel.shape[:-2]
     if padding == "same":
-        x = np.pad(x, [(0, 0), *[((k - 1) // 2, k // 2) for k in size], (0, 0)])
+        x = _padded(x, [((k - 1) // 2, k // 2) for k in size])
     out_space = [n - k + 1 for n, k in zip(_space(x), size, strict=True)]
     out = np.zeros((x.shape[0], *out_space, kernel.shape[-1]), x.dtype)
     for at in itertools.product(*map(range, size)):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import radiometry
 from rasterloom.functions.georef import Grid
-from rasterloom.operators import dataset, learning, nn, tiling
+from rasterloom.operators import catalog, dataset, learning, nn, tiling
 from rasterloom.plans import training
 from rasterloom.plans.grid_queries import NORM_SQL, PADDED_SQL, TILE_PIXELS_SQL, TILES_SQL
 from rasterloom.plans.image_queries import _J, _S, _judged, _placed
@@ -24,10 +24,14 @@ def _shared(spark) -> str:
     return work_folder(spark, "grids")
 
 
+def _scaled_chip(chips):
+    """A column for chips with an embedding: its values between its own extremes, which are taken once a chip."""
+    wide = chips.withColumns({"low": F.array_min("embedding").cast("double"), "high": F.array_max("embedding").cast("double")})
+    return wide.withColumn("data", F.transform("embedding", lambda x: radiometry.min_max(x, F.col("low"), F.col("high"))))
+
+
 def _chip_tiles(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    low, high = F.array_min("embedding").cast("double"), F.array_max("embedding").cast("double")
-    return e.select(F.col("vec_id").alias("tile_id"), F.transform("embedding", lambda x: radiometry.min_max(x, low, high)).alias("data"))
+    return _scaled_chip(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(F.col("vec_id").alias("tile_id"), "data")
 
 
 def _forward(net):
@@ -135,17 +139,18 @@ def trained_network(spark, sf_dir):
     Images and masks are turned alike, by a draw for each.  Training has no SQL form; the tests hold every gradient
     against finite differences.
     """
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    truth = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.when(x > F.lit(0.05), 1.0).otherwise(0.0)).alias("y"))
-    pairs = dataset.split(_chip_tiles(spark, sf_dir).withColumnRenamed("tile_id", "id").withColumnRenamed("data", "x").join(truth, "id"), "id")
-    rows = dataset.shuffled(pairs.where(~F.col("is_val")), "id").withColumn("batch_id", F.floor(F.col("position") / 64))
+    e = catalog.dealt(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    parted = dataset.split(e.select("id"), "id")
+    position = dataset.shuffled(parted.where(~F.col("is_val")).select("id"), "id")
+    truth = F.transform("embedding", lambda x: F.when(x > F.lit(0.05), 1.0).otherwise(0.0))
+    pairs = lambda ids: _scaled_chip(e.join(ids, "id")).withColumnRenamed("data", "x").withColumn("y", truth)
     flip, turns = dataset.drawn_turn(F.col("id"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: dataset.place_before(k, 8, flip, turns))
+    rows = pairs(position).withColumns({"batch_id": F.floor(F.col("position") / 64), "slot": (F.col("position") % 64).cast("int"), "flip": flip, "turns": turns})
+    places = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: dataset.place_before(k, 8, F.col("flip"), F.col("turns")))
     moved = lambda name: F.transform("at", lambda k: F.get(name, k)).alias(name)
-    rows = rows.withColumn("at", places).select("id", "batch_id", moved("x"), moved("y"))
     folder = _shared(spark)
-    rows.write.partitionBy("batch_id").parquet(f"{folder}/samples")
-    pairs.where("is_val").select("id", "x", "y").write.parquet(f"{folder}/validation")
+    rows.withColumn("at", places).select("id", "batch_id", "slot", moved("x"), moved("y")).write.parquet(f"{folder}/samples")
+    pairs(parted.where("is_val").select("id")).select("id", "x", "y").write.parquet(f"{folder}/validation")
     net = nn.unet(filters=2, layers=1, dropout=0.3)
     _, history = learning.train(spark.read.parquet(f"{folder}/samples"), spark.read.parquet(f"{folder}/validation"), net, net.weights(1), 8, 3, per_update=4, rate=0.01)
     names = ["epoch", "loss", "iou", "iou_thresholded", "val_loss", "val_iou", "val_iou_thresholded", "rate", "kept"]

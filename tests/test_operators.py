@@ -467,6 +467,55 @@ def test_training_lowers_the_loss(spark, tmp_path):
     assert learning.train(df.limit(0), df, net, net.weights(3), 4, 2)[1] == []
 
 
+def test_updates_need_no_jobs_and_no_layout(spark):
+    """As many jobs for 12 updates as for two; with places in batches it does not matter how samples are stored."""
+    from rasterloom.operators import learning, nn
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i // 20, i % 20, a.tolist(), (a > 0.5).astype(float).tolist()) for i, a in enumerate(rng.random((230, 16)))]
+    df = spark.createDataFrame(rows, "id long, batch_id long, slot int, x array<double>, y array<double>").cache()
+    net = nn.unet(filters=2, layers=1, dropout=0.3)
+    jobs, found = [], []
+    for k, (parts, per_update) in enumerate([(1, 1), (5, 1), (5, 6)]):
+        spark.sparkContext.setJobGroup(f"updates-{k}", "")
+        weights, history = learning.train(df.repartition(parts), df, net, net.weights(3), 4, 2, per_update=per_update, rate=0.03)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"updates-{k}")))
+        found.append((learning.packed(net, weights), [h["loss"] for h in history]))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs[1] == jobs[2]
+    assert found[0][0] == pytest.approx(found[1][0], rel=1e-9) and found[0][1] == pytest.approx(found[1][1], rel=1e-9)
+    assert found[1][1] != pytest.approx(found[2][1], rel=1e-3)
+
+
+def test_an_epoch_in_jobs_and_in_a_stage(spark):
+    """Both ways take the same steps; batch 1 is empty and takes none."""
+    from rasterloom.operators import learning, nn
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i // 10 * 2, a.tolist(), (a > 0.5).astype(float).tolist()) for i, a in enumerate(rng.random((30, 16)))]
+    df = spark.createDataFrame(rows, "id long, batch_id long, x array<double>, y array<double>")
+    net = nn.unet(filters=2, layers=1, normed=False, dropout=0.3)
+    flat = learning.packed(net, net.weights(3))
+    args = 5, 1, net, (flat, np.zeros(len(flat)), np.zeros(len(flat)), 0), np.ones(len(flat), bool), 4, 0.03, 7
+    (one, *_, steps), *sums = learning._epoch_in_jobs(df, *args)
+    (two, *_, same), *again = learning._epoch_in_stage(df, *args)
+    assert steps == same == 3 and one == pytest.approx(two, rel=1e-9) and sums[1] == again[1] == 30 * 16
+    assert sums[0] == pytest.approx(again[0]) and sums[2] == pytest.approx(again[2])
+
+
+def test_lots_over_the_edges_of_record_batches():
+    import pyarrow as pa
+
+    from rasterloom.operators import learning
+
+    update, lot = np.repeat([0, 0, 1, 3], [20, 5, 37, 1]), np.repeat([0, 1, 2, 9], [20, 5, 37, 1])
+    table = pa.table({"update": update, "lot": lot, "k": np.arange(63)})
+    wanted = [(0, 16), (0, 4), (0, 5), (1, 16), (1, 16), (1, 5), (3, 1)]
+    for size in (1, 7, 20, 63):
+        got = list(learning._lots(iter(table.to_batches(max_chunksize=size)), 16))
+        assert [(u, b.num_rows) for u, b in got] == wanted and [k for _, b in got for k in b.column("k").to_pylist()] == list(range(63))
+
+
 def test_places_before_a_turn(spark):
     image = [(7, r, c, float(r * 4 + c)) for r in range(4) for c in range(4)]
     df = spark.createDataFrame(image, "image_id long, row int, col int, value double")
