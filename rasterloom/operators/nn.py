@@ -13,8 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rasterloom.functions.georef import Grid
+
 
 @dataclass
 class Step:
@@ -285,6 +288,40 @@ def predict_tiles(tiles: DataFrame, net: Network, weights: list[dict[str, np.nda
     return tiles.select("tile_id", "data").mapInPandas(run, f"tile_id long, data array<{precision}>")
 
 
+def predict_windows(blocks: DataFrame, net: Network, weights: list[dict[str, np.ndarray]], grid: Grid, block: int, size: int, inner: int, at_once: int = 32, precision: str = "float") -> DataFrame:
+    """Probabilities around every inner-th cell of a raster: rows (row_off, col_off, data), data row-major from that cell on.
+
+    `blocks` are tiling.margined_blocks with a margin of (size - inner) / 2; each window of `size` is scaled by its own
+    extremes, where cells without a value count as zeros.  Only the windows that are worked on at once are copied.
+    """
+    dtype, margin = {"float": np.float32, "double": np.float64}[precision], (size - inner) // 2
+    if block % inner or (size - inner) % 2:
+        raise ValueError("inner must divide the block, and leave margins of one width in a window")
+    shared = blocks.sparkSession.sparkContext.broadcast((net, weights))
+    side, height, width = block + 2 * margin, grid.height, grid.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, w = shared.value
+        for batch in batches:
+            for n in range(batch.num_rows):
+                top, left, k, v = (batch.column(c)[n] for c in ("block_row", "block_col", "k", "v"))
+                top, left = top.as_py() * block, left.as_py() * block
+                image = np.zeros(side * side)
+                image[k.values.to_numpy()] = v.values.to_numpy(zero_copy_only=False)
+                windows = np.lib.stride_tricks.sliding_window_view(image.reshape(side, side), (size, size))[::inner, ::inner]
+                rows, cols = (x.ravel() for x in np.meshgrid(range(0, min(block, height - top), inner), range(0, min(block, width - left), inner), indexing="ij"))
+                for a in range(0, len(rows), at_once):
+                    r, c = rows[a : a + at_once], cols[a : a + at_once]
+                    x = windows[r // inner, c // inner]
+                    low, high = x.min((1, 2), keepdims=True), x.max((1, 2), keepdims=True)
+                    x = np.where(high > low, (x - low) / np.where(high > low, high - low, 1), x)
+                    y = own.forward(x[..., None], w, dtype)[..., 0].reshape(len(r), -1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(top + r, pa.int64()), pa.array(left + c, pa.int64()), lists], names=["row_off", "col_off", "data"])
+
+    return blocks.mapInArrow(run, f"row_off long, col_off long, data array<{precision}>")
+
+
 def early_stop(history: list[float], patience: int = 10) -> int | None:
     """The epoch (from 0) at which training stops: `patience` epochs without a new minimum; None to go on."""
     best, since = math.inf, 0

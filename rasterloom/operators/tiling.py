@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rasterloom.functions.georef import Grid
 from rasterloom.operators.arrays import map_images, taps
+from rasterloom.operators.catalog import dealt
 
 
 def stride_of(patch: int, overlap: int) -> int:
@@ -143,6 +144,25 @@ def _slices(patches: pa.Table, blocks: pa.Table, block: int) -> pa.Table:
     return pa.table({"patch_id": patches.column("patch_id").take(pa.array(joined(which), pa.int64())), "r": pa.array(joined(rows), pa.int32()), "c": pa.array(joined(cols), pa.int32()), "value": cells.field("value").take(pa.array(joined(found), pa.int64()))})
 
 
+def margined_blocks(pixels: DataFrame, grid: Grid, block: int, margin: int) -> DataFrame:
+    """(block_row, block_col, k, v) of every block of the raster: places and values of its pixels and of those around it.
+
+    k counts row by row in a square of block + 2 * margin cells whose corner lies `margin` before the block's; cells without
+    a pixel are left out.  Windows that overlap much are cut from blocks, where each would have to be dealt its own pixels.
+    Blocks are dealt in a fixed number of partitions, since few bytes of them make many windows.
+    """
+    key, side = ["block_row", "block_col"], block + 2 * margin
+    down, across = -(-grid.height // block), -(-grid.width // block)
+    near = lambda at, n: F.explode(F.sequence(F.greatest(F.floor((F.col(at) - margin) / block), F.lit(0)), F.least(F.floor((F.col(at) + margin) / block), F.lit(n - 1))))
+    inside = pixels.where(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1))
+    listed = inside.withColumn("block_row", near("row", down)).withColumn("block_col", near("col", across))
+    place = (F.col("row") - F.col("block_row") * block + margin) * side + F.col("col") - F.col("block_col") * block + margin
+    every = pixels.sparkSession.range(down * across).select(F.floor(F.col("id") / across).alias("block_row"), (F.col("id") % across).alias("block_col"), F.lit(None).cast("struct<k:int,v:double>").alias("cell"))
+    both = listed.select(*key, F.struct(place.cast("int").alias("k"), F.col("value").cast("double").alias("v")).alias("cell")).union(every)
+    packed = dealt(both, *key).groupBy(*key).agg(F.collect_list("cell").alias("cells"))  # without the nulls
+    return packed.select(*key, F.transform("cells", lambda c: c["k"]).alias("k"), F.transform("cells", lambda c: c["v"]).alias("v"))
+
+
 def _patches_along(extent: int, size: int, stride: int) -> int:
     if size % stride:
         raise ValueError("the size must be a multiple of the stride")

@@ -110,18 +110,12 @@ def unpadded_forward(spark, sf_dir):
     The raster gets a margin of zeros on all sides and tiles lie a stride of 8 apart, so that their inner cells meet; tile
     and cell k give the place in the terrain, and cells of tiles beyond its far edges are left out.
     """
-    patch, inner = 48, 8
-    margin = (patch - inner) // 2
+    patch, inner, block = 48, 8, 128
     grid = grids.terrain_grid(spark, sf_dir)
-    up = lambda n: -(-n // inner) * inner + 2 * margin
-    wide = Grid("padded", up(grid.width), up(grid.height), grid.transform.shifted(-margin, -margin))
-    moved = grids.terrain(spark, sf_dir).withColumns({"row": F.col("row") + margin, "col": F.col("col") + margin})
-    tiles = tiling.tile_grid(spark, wide, patch, patch - inner)
-    padded = tiling.pad(tiling.to_tiles(moved, wide, patch, patch - inner), tiles, patch)
-    value = radiometry.min_max_over(radiometry.fill_nan(F.col("value")), "row_off", "col_off")
-    cells = padded.withColumn("value", value).groupBy("row_off", "col_off").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * patch + F.col("c")).alias("k"), F.col("value").alias("v")))).alias("cells"))
-    rows = cells.select((F.col("row_off").cast("long") * 1_000_000 + F.col("col_off")).alias("tile_id"), F.transform("cells", lambda x: x["v"]).alias("data"))
-    scored = nn.predict_tiles(rows, _UNPADDED, _UNPADDED.rule_weights(), patch, precision="double").select("tile_id", F.posexplode("data").alias("k", "p"))
+    filled = grids.terrain(spark, sf_dir).withColumn("value", radiometry.fill_nan(F.col("value")))
+    blocks = tiling.margined_blocks(filled, grid, block, (patch - inner) // 2)
+    tiles = nn.predict_windows(blocks, _UNPADDED, _UNPADDED.rule_weights(), grid, block, patch, inner, precision="double")
+    scored = tiles.select((F.col("row_off") * 1_000_000 + F.col("col_off")).alias("tile_id"), F.posexplode("data").alias("k", "p"))
     row, col = F.floor(F.col("tile_id") / 1_000_000) + F.floor(F.col("k") / inner), F.col("tile_id") % 1_000_000 + F.col("k") % inner
     return scored.where((row < grid.height) & (col < grid.width)).withColumn("p", F.round("p", 6))
 

@@ -467,6 +467,34 @@ def test_training_lowers_the_loss(spark, tmp_path):
     assert learning.train(df.limit(0), df, net, net.weights(3), 4, 2)[1] == []
 
 
+def test_windows_are_cut_from_blocks(spark):
+    """A pixel is dealt once for each block near it, not for each window; blocks without pixels are scored, too."""
+    from rasterloom.functions.georef import Affine, Grid
+    from rasterloom.operators import nn, tiling
+
+    grid, block, size, inner = Grid("g", 21, 90, Affine(0.5, 0.0, 0.0, 0.0, -0.5, 0.0)), 16, 20, 4
+    margin, rng = (size - inner) // 2, np.random.default_rng(8)
+    image = np.where(rng.random((90, 21)) < 0.8, rng.random((90, 21)) * 9 - 3, 0)
+    image[24:72] = 0
+    image[:20, :14] = 2.5
+    there = image != 0
+    pixels = spark.createDataFrame([(int(r), int(c), float(image[r, c])) for r, c in zip(*np.nonzero(there), strict=True)], "row int, col int, value double")
+    blocks = tiling.margined_blocks(pixels, grid, block, margin)
+    assert blocks.count() == 6 * 2 and blocks.where("size(k) = 0").count() > 0
+    near = lambda at, n: sum(block * b - margin <= at < block * (b + 1) + margin for b in range(n))
+    assert blocks.selectExpr("sum(size(k))").first()[0] == sum(near(r, 6) * near(c, 2) for r, c in zip(*np.nonzero(there), strict=True))
+    net = nn.unpadded_unet(filters=1, layers=1)
+    found = {(r.row_off, r.col_off): r.data for r in nn.predict_windows(blocks, net, net.rule_weights(), grid, block, size, inner, at_once=5, precision="double").collect()}
+    assert sorted(found) == [(r, c) for r in range(0, 90, inner) for c in range(0, 21, inner)]
+    wide = np.pad(image, ((margin, margin + inner), (margin, margin + inner)))
+    for (r, c), data in found.items():
+        x = wide[r : r + size, c : c + size]
+        x = (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else x
+        assert data == pytest.approx(net.forward(x[None, ..., None], net.rule_weights(), np.float64).ravel().tolist(), rel=1e-12)
+    with pytest.raises(ValueError):
+        nn.predict_windows(blocks, net, net.rule_weights(), grid, block, size, 5)
+
+
 def test_updates_need_no_jobs_and_no_layout(spark):
     """As many jobs for 12 updates as for two; with places in batches it does not matter how samples are stored."""
     from rasterloom.operators import learning, nn
