@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from rasterloom.functions.georef import Grid
 from rasterloom.operators.arrays import map_images, taps
@@ -144,6 +144,51 @@ def _slices(patches: pa.Table, blocks: pa.Table, block: int) -> pa.Table:
     return pa.table({"patch_id": patches.column("patch_id").take(pa.array(joined(which), pa.int64())), "r": pa.array(joined(rows), pa.int32()), "c": pa.array(joined(cols), pa.int32()), "value": cells.field("value").take(pa.array(joined(found), pa.int64()))})
 
 
+def window_tiles(patches: DataFrame, pixels: DataFrame, size: int, bands: list[str], block: int = 64, lot: int = 1 << 20) -> DataFrame:
+    """patches (px_min, py_min, px_max, py_max, ...) with each of the bands of pixels (row, col, ...) as an array of size x size values.
+
+    Values lie row by row; missing ones and those beyond a patch's bounds are 0.  Patches without a pixel are left out.
+
+    A patch is cut as a whole from the block that its corner lies in and the pixels up to `size` cells beyond, so pixels are
+    shuffled before they are multiplied by the patches that share them, and tiles not at all.  Crowded blocks are copied as
+    in `window_pixels`.  The parts of crowded blocks are broadcast, at most a row for `lot` pixels of all patches.
+    """
+    key, side = ["block_row", "block_col"], block + size - 1
+    names = [*key, "part"]
+    corner = lambda at: F.floor(F.col(at) / block)
+    listed = patches.where("px_min < px_max AND py_min < py_max").withColumn("block_row", corner("py_min")).withColumn("block_col", corner("px_min"))
+    crowded = listed.groupBy(*key).agg(F.ceil(F.count("*") * (size * size) / lot).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    copies = lambda rows: rows.join(F.broadcast(crowded), key, "left")
+    placed = copies(listed).withColumn("part", F.pmod(F.xxhash64("px_min", "py_min", *[c for c in patches.columns if c == "patch_id"]), parts).cast("int")).drop("parts")
+    near = lambda at: F.explode(F.sequence(F.floor((F.col(at) - (size - 1)) / block), F.floor(F.col(at) / block)))
+    place = ((F.col("row") - F.col("block_row") * block) * side + F.col("col") - F.col("block_col") * block).cast("int").alias("k")
+    spread = copies(pixels.withColumn("block_row", near("row")).withColumn("block_col", near("col"))).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = spread.select(*names, place, *[F.coalesce(F.col(b).cast("float"), F.lit(0.0).cast("float")).alias(b) for b in bands])
+    out = StructType([*patches.schema.fields, *[StructField(b, ArrayType(FloatType())) for b in bands]])
+    return dealt(placed, *names).groupBy(*names).cogroup(dealt(cells, *names).groupBy(*names)).applyInArrow(lambda a, b: _tiles(a, b, size, bands, block, out.names), out)
+
+
+def _tiles(patches: pa.Table, pixels: pa.Table, size: int, bands: list[str], block: int, names: list[str]) -> pa.Table:
+    """The patches that have pixels of one block, with their values."""
+    side = block + size - 1
+    held = np.zeros((1 + len(bands), side * side), np.float32)  # whether there is a pixel, then the bands
+    if pixels.num_rows and patches.num_rows:
+        k = pixels.column("k").to_numpy()
+        held[0, k] = 1
+        for n, b in enumerate(bands, 1):
+            held[n, k] = pixels.column(b).to_numpy()
+    top, left, bottom, right = (patches.column(n).to_numpy().astype(np.int64) if patches.num_rows else np.zeros(0, np.int64) for n in ("py_min", "px_min", "py_max", "px_max"))
+    windows = np.lib.stride_tricks.sliding_window_view(held.reshape(-1, side, side), (size, size), axis=(1, 2))[:, top % block, left % block]
+    within = (np.arange(size)[:, None] < (bottom - top)[:, None, None]) & (np.arange(size) < (right - left)[:, None, None])
+    windows = windows if within.all() else np.where(within, windows, np.float32(0))
+    there = np.flatnonzero(windows[0].any(axis=(1, 2)))
+    offsets = pa.array(np.arange(len(there) + 1, dtype=np.int32) * (size * size))
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(w[there].ravel())) for w in windows[1:]]
+    kept = patches.select(names[: -len(bands)]).take(pa.array(there))
+    return pa.table([*kept.columns, *arrays], names=names)
+
+
 def margined_blocks(pixels: DataFrame, grid: Grid, block: int, margin: int) -> DataFrame:
     """(block_row, block_col, k, v) of every block of the raster: places and values of its pixels and of those around it.
 

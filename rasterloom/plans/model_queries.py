@@ -314,9 +314,13 @@ def prediction_files(spark, sf_dir):
     return cell.select(row.alias("row"), col.cast("int").alias("col"), F.col("v").cast("smallint").alias("pred"))
 
 
-def _pairs(spark, sf_dir):
+def _rasters(spark, sf_dir):
     grid = grids.terrain_grid(spark, sf_dir)
-    label = Grid("mask", grid.width, grid.height, grid.transform.shifted(2, 4))
+    return grid, Grid("mask", grid.width, grid.height, grid.transform.shifted(2, 4))
+
+
+def _pairs(spark, sf_dir):
+    grid, label = _rasters(spark, sf_dir)
     return grid, label, training.patch_pairs(grids.terrain(spark, sf_dir), grid, grids.mask(spark, sf_dir), label, grids.points(spark, sf_dir, grid), 16)
 
 
@@ -330,10 +334,10 @@ pairs AS (SELECT patch_id, CAST("row" - y0 AS INT) AS r, CAST(col - x0 AS INT) A
 @query(f"""{_PAIRS_SQL} SELECT patch_id || kind AS name, 16 AS width, 16 AS height, CASE WHEN kind = '_pair.tif' THEN 2 ELSE 1 END AS band_count, 'float32' AS dtype, 'EPSG:32633' AS crs,
   500002 + 0.5E0 * x0 AS c, 6199999 - 0.5E0 * y0 AS f FROM numbered, (SELECT unnest(['_img.tif', '_lab.tif', '_pair.tif']) AS kind) WHERE patch_id IN (SELECT patch_id FROM pairs)""")
 def patch_files(spark, sf_dir):
-    """All patches written as image, label and two-band files, and their headers read back."""
-    image, label, pairs = _pairs(spark, sf_dir)
-    places, folder = training.located(image, label, grids.points(spark, sf_dir, image), 16), _shared(spark)
-    tiff.save(tiff.to_files(training.patch_tiles(pairs, places, 16, image, None)), folder)
+    """All patches written as image, label and two-band files, packed in archives, and their headers read back."""
+    image, label = _rasters(spark, sf_dir)
+    tiles = training.cut_tiles(grids.terrain(spark, sf_dir), image, grids.mask(spark, sf_dir), label, grids.points(spark, sf_dir, image), 16)
+    tiff.save(tiff.to_files(tiles), folder := _shared(spark), packed=True)
     found = read_headers(file_sink.saved(spark, folder))
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "width", "height", "band_count", "dtype", "crs", "c", "f")
 

@@ -43,12 +43,26 @@ def patch_tiles(pairs: DataFrame, places: DataFrame, size: int, grid: Grid, stac
     double = [F.struct(F.lit("pair").alias("kind"), F.lit(2).alias("bands"), F.concat(at(0), at(size * size)).alias("at"), F.concat(band("first"), band("second")).alias("data"))]
     files = F.array(*[*(single if not stacked else ()), *(double if stacked is not False else ())])
     placed = cells.join(places.select("patch_id", "origin_x", "origin_y"), "patch_id").withColumn("file", F.explode(files))
+    return _tiles(placed, size, grid, "file.at")
+
+
+def _tiles(placed: DataFrame, size: int, grid: Grid, *more: str) -> DataFrame:
     return placed.select(
-        F.format_string("%d_%s.tif", "patch_id", "file.kind").alias("name"), F.lit(size).alias("height"), F.lit(size).alias("width"), "file.at", "file.data", "file.bands",
+        F.format_string("%d_%s.tif", "patch_id", "file.kind").alias("name"), F.lit(size).alias("height"), F.lit(size).alias("width"), *more, "file.data", "file.bands",
         "origin_x", "origin_y", F.lit(grid.transform.a).alias("resolution"), F.lit(grid.epsg).cast("int").alias("crs"),
     )
 
 
+def cut_tiles(image: DataFrame, image_grid: Grid, label: DataFrame, label_grid: Grid, points: DataFrame, size: int, start_id: int = 0) -> DataFrame:
+    """The tiles that patch_tiles, with None, makes of patch_pairs, cut from blocks of the rasters: no pixel of a patch is shuffled."""
+    both = patches.align(image, image_grid, label, label_grid)
+    found = located(image_grid, label_grid, points, size, start_id).select("patch_id", "px_min", "py_min", "px_max", "py_max", "origin_x", "origin_y")
+    cut = tiling.window_tiles(found, both, size, ["first", "second"])
+    file = lambda kind, bands, data: F.struct(F.lit(kind).alias("kind"), F.lit(bands).alias("bands"), data.alias("data"))
+    files = F.array(file("img", 1, F.col("first")), file("lab", 1, F.col("second")), file("pair", 2, F.concat("first", "second")))
+    return _tiles(cut.withColumn("file", F.explode(files)), size, image_grid)
+
+
 def training_batches(pairs: DataFrame, size: int, batch: int, min_area: int, threshold: float = 30, epoch: int = 0) -> DataFrame:
     """(batch_id, slot, patch_id): shuffled whole batches of patches with enough label area, filled up from the start.
 

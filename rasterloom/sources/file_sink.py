@@ -10,12 +10,17 @@ The driver knows attempts and lists, never the single files: a manifest is a sma
 a folder beside it.  `saved` gives the files as a table.
 
 Moves are made by tasks through pyarrow, so a file system without cheap moves copies there.
+
+A file system keeps a block and an entry for each file, however short it is.  `save` with `packed` writes ZIP archives
+instead, of many files each; `saved` then gives the archives, and `ranges.members` reads their files.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +34,8 @@ from rasterloom.sources.ranges import resolve
 
 #: Names of one batch of a list.
 NAMES = 1 << 14
+#: Bytes at which an archive is closed; one archive is held in memory until then.
+ARCHIVE = 1 << 24
 
 
 @dataclass
@@ -39,11 +46,57 @@ class Written(WriterCommitMessage):
     number: int
 
 
+class _Files:
+    """Files of a folder."""
+
+    def __init__(self, system: fs.FileSystem, folder: str):
+        self.system, self.folder = system, folder
+
+    def add(self, name: str, content: pa.Buffer | bytes) -> None:
+        with self.system.open_output_stream(f"{self.folder}/{name}") as out:
+            out.write(content)
+
+    def close(self) -> list[str]:
+        return []
+
+
+class _Archives:
+    """Archives of a folder, whose names begin with `prefix`."""
+
+    def __init__(self, system: fs.FileSystem, folder: str, prefix: str):
+        self.files, self.prefix, self.names, self.held = _Files(system, folder), prefix, [], None
+
+    def add(self, name: str, content: pa.Buffer | bytes) -> None:
+        if self.held is None:
+            self.held = io.BytesIO()
+            self.archive = zipfile.ZipFile(self.held, "w", zipfile.ZIP_DEFLATED)
+        info = zipfile.ZipInfo(name)  # without the time, so that the same files make the same archive
+        info.compress_type = zipfile.ZIP_DEFLATED
+        self.archive.writestr(info, memoryview(content))
+        if self.held.tell() >= ARCHIVE:
+            self._end()
+
+    def _end(self) -> None:
+        self.archive.close()
+        self.names.append(f"{self.prefix}_{len(self.names):05d}.zip")
+        self.files.add(self.names[-1], self.held.getbuffer())
+        self.held = None
+
+    def close(self) -> list[str]:
+        """The names of the archives."""
+        if self.held is not None:
+            self._end()
+        return self.names
+
+
 class FileSetWriter(DataSourceArrowWriter):
-    """Stages files below `{folder}/_staged-{job}`; `committed.json` there names the attempts that count."""
+    """Stages files below `{folder}/_staged-{job}`; `committed.json` there names the attempts that count.
+
+    `lists` there have the names of the files, and with `packed` `archives` those of the archives.
+    """
 
-    def __init__(self, folder: str, job: str):
-        self.folder, self.job = folder, job
+    def __init__(self, folder: str, job: str, packed: bool):
+        self.folder, self.job, self.packed = folder, job, packed
 
     def _staging(self) -> str:
         return _staging(resolve(self.folder)[1], self.job)
@@ -53,16 +106,20 @@ class FileSetWriter(DataSourceArrowWriter):
         own = f"{self._staging()}/files/{attempt}"
         system.create_dir(own, recursive=True)
         system.create_dir(f"{self._staging()}/lists", recursive=True)
+        out = _Archives(system, own, attempt) if self.packed else _Files(system, own)
         with system.open_output_stream(f"{self._staging()}/lists/{attempt}") as listed:
             for batch in iterator:
                 for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                     if not name or "/" in name or name[0] in "._":
                         raise ValueError(f"{name!r} is no name for a file: it is empty, hidden or a path")
-                    with system.open_output_stream(f"{own}/{name}") as out:
-                        if content.is_valid:
-                            out.write(content.as_buffer())
+                    out.add(name, content.as_buffer() if content.is_valid else b"")
                     listed.write(json.dumps(name).encode() + b"\n")
                     number += 1
+        archives = out.close()
+        if self.packed:
+            system.create_dir(f"{self._staging()}/archives", recursive=True)
+            with system.open_output_stream(f"{self._staging()}/archives/{attempt}") as listed:
+                listed.write(b"".join(json.dumps(name).encode() + b"\n" for name in archives))
         return Written(attempt, number)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -121,7 +178,7 @@ class FileSet(DataSource):
         return "name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> FileSetWriter:
-        return FileSetWriter(self.options["path"], self.options["job"])
+        return FileSetWriter(self.options["path"], self.options["job"], self.options["packed"] == "true")
 
 
 def manifest_of(root: str) -> str:
@@ -153,20 +210,20 @@ def _lists(folder: str) -> list[str]:
 
 
 def written(folder: str) -> list[str]:
-    """The names that the folder's manifest lists, all in this process; `saved` gives them as a table."""
+    """The names of files or archives that the folder's manifest lists, all in this process; `saved` gives them as a table."""
     system = resolve(folder)[0]
     return sorted({name for path in _lists(folder) for name in _names(system, path)})
 
 
 def saved(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of the files that the folder's manifest lists, a URI each; nothing is listed by the driver."""
+    """(path) of the files or archives that the folder's manifest lists, a URI each; nothing is listed by the driver."""
     lists = _lists(folder)
     names = _over_lists(spark, folder, lists, lambda system, path, names: names)
     once = names if _manifest(folder).get("once") else names.distinct()
     return once.select(F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("path"))
 
 
-def _publish(spark: SparkSession, folder: str, job: str, overwrite: bool) -> int:
+def _publish(spark: SparkSession, folder: str, job: str, overwrite: bool, packed: bool) -> int:
     """Moves what a job has staged to the folder and lists it."""
     system, root = resolve(folder)
     staging, where = _staging(root, job), manifest_of(root).removesuffix(".json")
@@ -176,6 +233,8 @@ def _publish(spark: SparkSession, folder: str, job: str, overwrite: bool) -> int
     names = lambda paths: _over_lists(spark, folder, paths, lambda system, path, names: names)
     if lists and names(lists).groupBy("name").count().where("count > 1").limit(1).count():
         raise ValueError("two rows have the same file name")
+    if packed:
+        lists = [f"{staging}/archives/{attempt}" for attempt, _ in attempts]
 
     def move(system: fs.FileSystem, path: str, names: Iterator[str]) -> Iterator[str]:
         own = f"{staging}/files/{path.rsplit('/', 1)[1]}"
@@ -211,16 +270,19 @@ def _publish(spark: SparkSession, folder: str, job: str, overwrite: bool) -> int
     return number
 
 
-def save(named: DataFrame, folder: str, overwrite: bool = False) -> int:
+def save(named: DataFrame, folder: str, overwrite: bool = False, packed: bool = False) -> int:
     """Writes (name, content) rows as files of `folder`, a URI that every executor reaches; returns their number.
 
-    Files of other names stay, or go with `overwrite` if a manifest lists them.
+    Files of other names stay, or go with `overwrite` if a manifest lists them.  With `packed` the files lie in archives,
+    which cannot replace single files of each other: the folder must be new then, or is overwritten.
     """
     spark, job = named.sparkSession, uuid.uuid4().hex
     spark.dataSource.register(FileSet)
     system, root = resolve(folder)
+    if packed and not overwrite and _manifest(folder)["lists"]:
+        raise ValueError(f"{folder} has files already, and archives are not added to them")
     try:
-        named.select("name", "content").write.format("file_set").option("job", job).mode("append").save(folder)
-        return _publish(spark, folder, job, overwrite)
+        named.select("name", "content").write.format("file_set").options(job=job, packed=packed).mode("append").save(folder)
+        return _publish(spark, folder, job, overwrite, packed)
     finally:
         _delete(system, _staging(root, job))

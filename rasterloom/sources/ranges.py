@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import io
+import zipfile
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -10,6 +13,8 @@ from pyarrow import fs
 LEAST = 4096
 #: Ranges that lie no further apart than this are fetched together.
 GAP = 16384
+#: Bytes that are fetched at a time of an archive whose members are read one after the other.
+AHEAD = 1 << 20
 
 
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
@@ -85,3 +90,30 @@ class Held:
 
     def read_many(self, spans: list[tuple[int, int]]) -> list[bytes]:
         return [self.content[offset : offset + size] for offset, size in spans]
+
+
+class Member:
+    """A member of an archive, unpacked as far as it is read."""
+
+    def __init__(self, file: zipfile.ZipExtFile, size: int):
+        self._file, self._held, self.size = file, b"", size
+
+    def read_at(self, offset: int, size: int) -> bytes:
+        if offset + size > len(self._held):
+            self._held += self._file.read(max(offset + size - len(self._held), LEAST))
+        return self._held[offset : offset + size]
+
+    def read_many(self, spans: list[tuple[int, int]]) -> list[bytes]:
+        return [self.read_at(offset, size) for offset, size in spans]
+
+
+def members(uri: str) -> Iterator[tuple[str, Member]]:
+    """(path, file) of a ZIP archive's members in their order; a path is the archive's with the member's name after it.
+
+    A file can be read until the next one is asked for.
+    """
+    system, path = resolve(uri)
+    with system.open_input_file(path) as file, zipfile.ZipFile(io.BufferedReader(file, AHEAD)) as archive:
+        for info in archive.infolist():
+            with archive.open(info) as content:
+                yield f"{uri}/{info.filename}", Member(content, info.file_size)

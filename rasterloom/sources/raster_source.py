@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from rasterloom.sources.ranges import RangeFile, listed
+from rasterloom.sources.ranges import Member, RangeFile, listed, members
 from rasterloom.sources.tiff import Tiff
 
 HEADERS = "path string, width int, height int, band_count int, dtype string, crs string, nodata double, a double, c double, e double, f double"
@@ -35,6 +35,8 @@ _SCHEMAS = {"headers": HEADERS, "blocks": BLOCKS, "pixels": PIXELS}
 _ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 #: Headers that one planning process reads at a time; pixels that one batch holds.
 THREADS, BATCH = 16, 1 << 18
+#: Headers of one batch.
+HEADS = 1 << 12
 #: Bytes of decoded blocks that windows of one file share.
 KEEP = 1 << 25
 _FAR = 1 << 31
@@ -174,16 +176,30 @@ def read_rasters(
 
 
 def read_headers(paths: DataFrame) -> DataFrame:
-    """The view `headers` of the rasters at these paths (a column path), each read where its row lies; the driver lists no files."""
+    """The view `headers` of the rasters at these paths (a column path), each read where its row lies; the driver lists no files.
+
+    A path that ends in .zip is that of an archive, all of whose members are rasters.
+    """
+
+    def opened(path: str) -> Iterator[tuple[str, RangeFile | Member]]:
+        if path.endswith(".zip"):
+            yield from members(path)
+            return
+        with RangeFile(path) as file:
+            yield path, file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = RasterReader({"view": "headers", "path": ""})
+        joined = lambda found: pa.Table.from_batches(found, found[0].schema).combine_chunks().to_batches()[0] if found else view.batch([[] for _ in HEADERS.split(", ")])
         for batch in batches:
             found = []
             for path in batch.column(0).to_pylist():
-                with RangeFile(path) as file:
-                    found += view.rows(Piece(path), Tiff(file))
-            yield pa.Table.from_batches(found, found[0].schema).combine_chunks().to_batches()[0] if found else view.batch([[] for _ in HEADERS.split(", ")])
+                for own, file in opened(path):
+                    found += view.rows(Piece(own), Tiff(file))
+                    if len(found) == HEADS:
+                        yield joined(found)
+                        found = []
+            yield joined(found)
 
     return paths.select("path").mapInArrow(run, HEADERS)
 

@@ -364,3 +364,101 @@ def test_parts_of_shapefiles_share_tasks(spark, tmp_path):
     found = geopackage.read_shapes(spark, f"file://{tmp_path}", records=8)
     assert 4 < found.rdd.getNumPartitions() <= geopackage.PART_TASKS * spark.sparkContext.defaultParallelism
     assert sorted((r.path[-5:], r.point_id, r.x, r.y) for r in found.collect()) == [(f"{n}.shp", k, x, y) for n in "pq" for k, (x, y) in enumerate(points)]
+
+
+def test_packed_files_are_whole(spark, tmp_path):
+    """Archives hold the same files, published all or none, and take no block and no entry of the file system for each."""
+    import os
+    import zipfile
+
+    from rasterloom.sources import file_sink, ranges
+
+    folder = tmp_path / "out"
+    files = spark.range(3_000).selectExpr("concat('f', id, '.bin') AS name", "CASE WHEN id % 7 > 0 THEN CAST(repeat(id, id) AS BINARY) END AS content").repartition(4)
+    assert file_sink.save(files, f"file://{folder}", packed=True) == 3_000
+    paths = [r.path for r in file_sink.saved(spark, f"file://{folder}").collect()]
+    assert len(paths) == len(list(folder.iterdir())) == len(file_sink.written(f"file://{folder}")) <= 4
+    found = {name: file.read_at(0, file.size) for path in paths for name, file in ((p.rsplit("/", 1)[1], f) for p, f in ranges.members(path))}
+    assert found == {f"f{k}.bin": (str(k) * k).encode() if k % 7 else b"" for k in range(3_000)}
+    assert sum(os.stat(p).st_blocks * 512 for p in folder.iterdir()) < 3_000 * 4_096 / 4
+    assert all(zipfile.ZipFile(p).testzip() is None for p in folder.iterdir())
+    with pytest.raises(ValueError, match="already"):
+        file_sink.save(files, f"file://{folder}", packed=True)
+    with pytest.raises(Exception, match="same file name"):
+        file_sink.save(files.union(files.limit(1)), f"file://{folder}", overwrite=True, packed=True)
+    assert sorted(p.name for p in folder.iterdir()) == sorted(p.rsplit("/", 1)[1] for p in paths)
+    assert file_sink.save(files.where("name < 'f2'"), f"file://{folder}", overwrite=True, packed=True) == 1_112
+    again = [r.path for r in file_sink.saved(spark, f"file://{folder}").collect()]
+    assert len(again) == len(list(folder.iterdir())) and sum(1 for p in again for _ in ranges.members(p)) == 1_112
+    assert file_sink.save(files.limit(0), f"file://{tmp_path}/none", packed=True) == 0
+    assert file_sink.saved(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_archives_end_at_a_size(tmp_path, monkeypatch):
+    import zipfile
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from rasterloom.sources import file_sink
+
+    monkeypatch.setattr(file_sink, "ARCHIVE", 1_000)
+    out = file_sink._Archives(fs.LocalFileSystem(), str(tmp_path), "a")
+    content = [np.random.default_rng(k).bytes(400) for k in range(10)]
+    for k, data in enumerate(content):
+        out.add(f"{k}.bin", pa.py_buffer(data))
+    names = out.close()
+    assert names == sorted(p.name for p in tmp_path.iterdir()) and len(names) > 2
+    read = [(i.filename, z.read(i)) for n in names for z in [zipfile.ZipFile(tmp_path / n)] for i in z.infolist()]
+    assert read == [(f"{k}.bin", data) for k, data in enumerate(content)]
+
+
+def test_cut_tiles_are_those_of_patch_pairs(spark, tmp_path):
+    """The same bytes, with missing, null and NaN pixels and patches at borders of blocks, in crowded blocks and beyond the pixels."""
+    from rasterloom.functions.georef import Grid
+    from rasterloom.operators import tiling
+    from rasterloom.plans import training
+    from rasterloom.sources import file_sink, ranges
+    from rasterloom.sources.raster_source import read_headers
+
+    image, label = Grid("g", 150, 90, T), Grid("h", 150, 90, T.shifted(2, 4))
+    value = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN CAST('NaN' AS DOUBLE) ELSE id / 7 END"
+    cells = spark.range(90 * 150).where("id % 5 > 0 AND id % 150 NOT BETWEEN 30 AND 60").selectExpr("CAST(id DIV 150 AS INT) AS row", "CAST(id % 150 AS INT) AS col", f"{value} AS value", "id")
+    mask = cells.selectExpr("row", "col", "CASE WHEN id % 17 > 0 THEN CAST(id % 256 AS INT) END AS value")
+    points = spark.range(400).selectExpr("id AS point_id", f"{T.c} + (id * 37 % 150) * {T.a} + 0.01 AS x", f"{T.f} + (id * 53 % 90) * {T.e} - 0.01 AS y")
+    pairs = training.patch_pairs(cells.drop("id"), image, mask, label, points, 8)
+    slow = {r.name: bytes(r.content) for r in tiff.to_files(training.patch_tiles(pairs, training.located(image, label, points, 8), 8, image, None)).collect()}
+    tiles = training.cut_tiles(cells.drop("id"), image, mask, label, points, 8)
+    assert {r.name: bytes(r.content) for r in tiff.to_files(tiles).collect()} == slow and 300 < len(slow) < 3 * training.located(image, label, points, 8).count()
+    assert file_sink.save(tiff.to_files(tiles), f"file://{tmp_path}/out", packed=True) == len(slow)
+    heads = {r.path.rsplit("/", 1)[1]: r for r in read_headers(file_sink.saved(spark, f"file://{tmp_path}/out")).collect()}
+    for name, content in slow.items():
+        g, h = tiff.Tiff(content).grid(name), heads[name]
+        assert (h.width, h.height, h.band_count, h.dtype, h.crs, h.c, h.f) == (g.width, g.height, g.band_count, g.dtype, g.crs, g.transform.c, g.transform.f)
+    assert len(heads) == len(slow)
+    for path in file_sink.written(f"file://{tmp_path}/out"):
+        for own, file in ranges.members(f"file://{tmp_path}/out/{path}"):
+            kept = tiff.Tiff(slow[own.rsplit("/", 1)[1]]).read()
+            assert np.array_equal(tiff.Tiff(file).read(), kept, equal_nan=True)
+    # patches of uneven bounds that reach beyond the pixels, and a lot so small that blocks are copied
+    patches = spark.createDataFrame([(k, k % 9 - 4, k % 7 - 3, k % 9 + 3, k % 7 + 9) for k in range(200)], "patch_id long, px_min int, py_min int, px_max int, py_max int")
+    pixels = spark.range(400).selectExpr("CAST(id DIV 20 AS INT) AS row", "CAST(id % 20 AS INT) AS col", "CAST(id + 1 AS INT) AS value")
+    wanted = {}
+    for r in tiling.window_pixels(patches, pixels).collect():
+        wanted.setdefault(r.patch_id, np.zeros((12, 12)))[r.r, r.c] = r.value
+    for lot in (1 << 20, 144 * 20):
+        found = {r.patch_id: np.array(r.value).reshape(12, 12) for r in tiling.window_tiles(patches, pixels, 12, ["value"], block=16, lot=lot).collect()}
+        assert found.keys() == wanted.keys() and all((found[k] == wanted[k]).all() for k in wanted)
+
+
+def test_patch_files_shuffles_no_pixels_of_patches(spark):
+    """What is shuffled grows with the rasters' pixels, and not with the pixels of all patches, which share them."""
+    from rasterloom.functions.georef import Grid
+    from rasterloom.plans import training
+
+    grid = Grid("g", 150, 90, T)
+    cells = spark.range(90 * 150).selectExpr("CAST(id DIV 150 AS INT) AS row", "CAST(id % 150 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
+    points = spark.range(100).selectExpr("id AS point_id", f"{T.c} + 20 * {T.a} AS x", f"{T.f} + 20 * {T.e} AS y")
+    tiles = training.cut_tiles(cells, grid, cells, grid, points, 16)
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(tiles._jdf.queryExecution(), "simple")
+    assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0]
