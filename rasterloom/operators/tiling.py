@@ -160,7 +160,7 @@ def window_tiles(patches: DataFrame, pixels: DataFrame, size: int, bands: list[s
     crowded = listed.groupBy(*key).agg(F.ceil(F.count("*") * (size * size) / lot).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
     copies = lambda rows: rows.join(F.broadcast(crowded), key, "left")
-    placed = copies(listed).withColumn("part", F.pmod(F.xxhash64("px_min", "py_min", *[c for c in patches.columns if c == "patch_id"]), parts).cast("int")).drop("parts")
+    placed = copies(listed).withColumn("part", F.pmod(F.xxhash64(*patches.columns), parts).cast("int")).drop("parts")
     near = lambda at: F.explode(F.sequence(F.floor((F.col(at) - (size - 1)) / block), F.floor(F.col(at) / block)))
     place = ((F.col("row") - F.col("block_row") * block) * side + F.col("col") - F.col("block_col") * block).cast("int").alias("k")
     spread = copies(pixels.withColumn("block_row", near("row")).withColumn("block_col", near("col"))).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))

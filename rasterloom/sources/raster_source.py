@@ -109,9 +109,7 @@ class RasterReader(DataSourceReader):
 
     def rows(self, piece: Piece, tiff: Tiff) -> Iterator[pa.RecordBatch]:
         if self.view == "headers":
-            g = tiff.grid(piece.path, piece.path)
-            t = g.transform
-            yield self.batch([[piece.path], [g.width], [g.height], [g.band_count], [g.dtype], [g.crs], [g.nodata], [t.a], [t.c], [t.e], [t.f]])
+            yield self.heads([self.head(piece.path, tiff)])
             return
         r0, r1, c0, c1 = self.window(tiff)
         bh, bw = tiff.block_height, tiff.block_width
@@ -129,6 +127,14 @@ class RasterReader(DataSourceReader):
                 left, right = max(c0, j * bw), min(c1, (j + step) * bw)
                 yield from self.cells(piece.path, tiff, top, high, left, right, bands)
 
+    def head(self, path: str, tiff: Tiff) -> tuple:
+        g = tiff.grid(path, path)
+        t = g.transform
+        return path, g.width, g.height, g.band_count, g.dtype, g.crs, g.nodata, t.a, t.c, t.e, t.f
+
+    def heads(self, rows: list[tuple]) -> pa.RecordBatch:
+        return self.batch(list(zip(*rows, strict=True)) or [[] for _ in HEADERS.split(", ")])
+
     def cells(self, path: str, tiff: Tiff, top: int, high: int, left: int, right: int, bands: list[int]) -> Iterator[pa.RecordBatch]:
         data = tiff.read(top, left, high - top, right - left, bands).astype(np.float64)
         if self.view == "blocks":
@@ -190,16 +196,15 @@ def read_headers(paths: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = RasterReader({"view": "headers", "path": ""})
-        joined = lambda found: pa.Table.from_batches(found, found[0].schema).combine_chunks().to_batches()[0] if found else view.batch([[] for _ in HEADERS.split(", ")])
         for batch in batches:
             found = []
             for path in batch.column(0).to_pylist():
                 for own, file in opened(path):
-                    found += view.rows(Piece(own), Tiff(file))
+                    found.append(view.head(own, Tiff(file)))
                     if len(found) == HEADS:
-                        yield joined(found)
+                        yield view.heads(found)
                         found = []
-            yield joined(found)
+            yield view.heads(found)
 
     return paths.select("path").mapInArrow(run, HEADERS)
 
